@@ -142,8 +142,10 @@ def with_views(sql: str, views: dict[str, str]) -> str:
         return sql.strip()
     heads = ",\n".join(f"{name} as ({views[name].strip()})" for name in used)
     body = sql.strip()
-    # A query with views of its own continues the list.
-    return f"with {heads},\n{body[5:]}" if body.lower().startswith("with ") else f"with {heads}\n{body}"
+    for start in ("with recursive ", "with "):
+        if body.startswith(start):  # a query with views of its own continues the list
+            return f"{start}{heads},\n{body[len(start):]}"
+    return f"with {heads}\n{body}"
 
 
 class Inputs:

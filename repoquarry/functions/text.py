@@ -83,6 +83,7 @@ def lines_text(*lines: Column) -> Column:
 
 def description_of(text: Column | str) -> Column:
     """Up to three non-blank, non-heading lines among the first ten, as one text of at most 500 characters."""
-    head = F.transform(F.slice(F.split(unix_lines(text), "\n", -1), 1, 10), strip_text)
+    # Ten cuts are enough; the rest of a long text stays one piece that is dropped.
+    head = F.transform(F.slice(F.split(unix_lines(text), "\n", 11), 1, 10), strip_text)
     kept = F.filter(head, lambda line: (line != "") & ~line.startswith("#"))
     return F.left(F.array_join(F.slice(kept, 1, 3), " "), F.lit(500))

@@ -118,7 +118,7 @@ def files_in_text(answer: Column | str) -> Column:
     marks = ":`\"'(),"
 
     def observe(state: Column, line: Column) -> Column:
-        word = F.try_element_at(F.filter(F.split(line, r"(?U)\s+"), lambda w: w.rlike(word_regex)), F.lit(1))
+        word = F.try_element_at(F.filter(F.split(line, r"(?U)[\s\x1c-\x1f]+"), lambda w: w.rlike(word_regex)), F.lit(1))
         names_file = line.rlike(line_regex) & line.rlike(r"[/\\]")
         held = F.regexp_replace(word, rf"^[{marks}]+|[{marks}]+\z", "")
         upper = F.upper(line)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoquarry.functions import paths
-from repoquarry.operators.skew import first_rows
+from repoquarry.operators.skew import first_rows, spread_join
 
 
 def chunk_text(files: DataFrame, size: int = 2000, overlap: int = 200) -> DataFrame:
@@ -61,7 +61,7 @@ def top_k_similar(chunks: DataFrame, queries: DataFrame, k: int, digits: int = 6
         "qn", F.sqrt(dot(F.col("qv"), F.col("qv")))
     )
     similarity = F.round(F.try_divide(dot(F.col("cv"), F.col("qv")), F.col("cn") * F.col("qn")), digits)
-    scored = left.join(right, "repo_id").select("repo_id", "query_id", "chunk_id", similarity.alias("similarity"))
+    scored = spread_join(left, right, ["repo_id"], "chunk_id").select("repo_id", "query_id", "chunk_id", similarity.alias("similarity"))
     return first_rows(
         scored.filter(F.col("similarity").isNotNull()),
         ["repo_id", "query_id"],

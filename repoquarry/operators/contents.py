@@ -43,7 +43,7 @@ def read_contents(
     """`important` with `content`, `file_size_bytes`, `line_count`, `is_readable`, `error_message`.
 
     The first failing guard decides: missing, not a file, binary suffix, too large, undecodable. Texts are cut to
-    `max_lines` lines in the scan, before anything is shuffled.
+    `max_lines` lines in the scan, before anything is shuffled, and counters that need no text do not carry it.
     """
     wanted = important.select(*KEY)
     named = files.select("repo_id", F.col("path").alias("file_path"), "content", "size")
@@ -53,6 +53,7 @@ def read_contents(
         *KEY,
         F.lit(True).alias("found"),
         "size",
+        F.col("content").isNotNull().alias("has_text"),
         F.when(open_file, text.truncate_lines("content", max_lines)).alias("text"),
         F.when(open_file, text.truncated_line_count("content", max_lines)).alias("lines"),
     )
@@ -64,7 +65,7 @@ def read_contents(
         .when(F.col("found").isNull(), F.lit("File does not exist"))
         .when(binary, F.concat(F.lit("Skipped binary/large file type: "), paths.suffix("file_path")))
         .when(large, F.format_string(f"File too large: %d bytes > {max_bytes} bytes", F.col("size").cast("bigint")))
-        .when(F.col("text").isNull(), F.lit("Could not decode file content"))
+        .when(~F.col("has_text"), F.lit("Could not decode file content"))
     )
     readable = F.col("error_message").isNull()
     seen_size = F.when(F.col("found").isNull() | binary, F.lit(0)).otherwise(F.col("size")).cast("bigint")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repoquarry.functions import fixed
-from repoquarry.operators.skew import first_rows, paged_lists
+from repoquarry.operators.skew import first_rows, paged_lists, spread_join
 
 
 def log_order(commits: DataFrame) -> list[Column]:
@@ -72,17 +72,17 @@ def change_frequency(
     threshold: int = fixed.FREQUENCY_THRESHOLD,
 ) -> DataFrame:
     """`(repo_id, file_path, change_count)`: changes per file over the n newest commits, at least `threshold`."""
-    recent = newest(commits, n).select("repo_id", "commit_id")
-    counted = (
-        changes.select("repo_id", "commit_id", "file_path")
-        .filter(F.col("file_path").isNotNull())
-        .join(recent, ["repo_id", "commit_id"], "left_semi")
-        .groupBy("repo_id", "file_path")
-        .agg(F.count("*").alias("change_count"))
-    )
+    named = changes.select("repo_id", "commit_id", "file_path").filter(F.col("file_path").isNotNull())
+    counted = changes_of(named, newest(commits, n)).groupBy("repo_id", "file_path").agg(F.count("*").alias("change_count"))
     return counted.filter(F.col("change_count") >= threshold)
 
 
+def changes_of(changes: DataFrame, commits: DataFrame) -> DataFrame:
+    """Changes belonging to the given few commits; one commit may hold very many of them."""
+    keys = ["repo_id", "commit_id"]
+    return spread_join(changes, commits.select(*keys), keys, "file_path", "left_semi")
+
+
 def commit_rollup(commits: DataFrame, changes: DataFrame) -> DataFrame:
     """Commits with `file_count`, `total_additions`, `total_deletions`; commits without changes stay with zeros."""
     totals = changes.groupBy("repo_id", "commit_id").agg(

@@ -98,8 +98,8 @@ def importance_stats(important: DataFrame) -> DataFrame:
 
 
 def first_critical(important: DataFrame, n: int = 3) -> DataFrame:
-    """`(repo_id, critical_files)`: paths of the first n critical files in answer order."""
+    """`(repo_id, critical_paths)`: paths of the first n critical files in answer order."""
     critical = important.filter(F.col("importance_level") == "CRITICAL")
     head = first_rows(critical, ["repo_id"], [F.asc("ordinal"), F.asc("file_path")], n)
     ordered = F.sort_array(F.collect_list(F.struct("rank", "file_path")))
-    return head.groupBy("repo_id").agg(ordered.alias("head")).select("repo_id", F.col("head.file_path").alias("critical_files"))
+    return head.groupBy("repo_id").agg(ordered.alias("head")).select("repo_id", F.col("head.file_path").alias("critical_paths"))

@@ -15,6 +15,18 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, rank
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 
 
+def spread_join(large: DataFrame, small: DataFrame, keys: list[str], spread_by: str, how: str = "inner", salts: int = 32) -> DataFrame:
+    """Join whose large side may hold a third of its rows under one key.
+
+    The large side is cut by the hash of `spread_by` and every row of the small side, which has few rows per key, is
+    repeated for each cut, so a hot key meets in `salts` places. Nothing is dropped and the result is that of the plain
+    join. If the small side turns out small enough to be broadcast, Spark drops the shuffle altogether.
+    """
+    cut = large.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return cut.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
 def rank_in_groups(df: DataFrame, keys: list[str], by: str, rank: str = "rank") -> DataFrame:
     """Exact 1..n rank of each row in its group, without sorting a group in one task.
 

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repoquarry.functions import fixed, text
-from repoquarry.operators import history, languages, tree
+from repoquarry.functions import fixed, paths, text
+from repoquarry.operators import history, languages
 
-LANGUAGE_FIELDS = ("language", "line_count", "file_count", "percentage", "sample_files")
+LANGUAGES = (
+    "array<struct<language: string, line_count: bigint, file_count: bigint, percentage: double, "
+    "sample_files: array<string>>>"
+)
 
 
 def repo_description(files: DataFrame) -> DataFrame:
@@ -24,9 +27,64 @@ def repo_description(files: DataFrame) -> DataFrame:
     return candidates.groupBy("repo_id").agg(best.alias("repo_description"))
 
 
-def language_arrays(table: DataFrame) -> DataFrame:
-    """`(repo_id, languages)`: the language table as arrays by lines (at most one entry per known language)."""
-    return table.groupBy("repo_id").agg(languages.sorted_struct(*LANGUAGE_FIELDS).alias("languages"))
+def content_facts(files: DataFrame) -> DataFrame:
+    """`(repo_id, lines array<struct<language, line_count>>, total_files, repo_description)` in one pass over contents.
+
+    Lines and files are summed per (repository, language) in each task, so what meets per repository is one row per
+    known language and up to four READMEs.
+    """
+    counted = ~paths.is_ignored("path")
+    if "line_count" not in files.columns:
+        files = files.withColumns(
+            {
+                "line_count": text.line_count("content"),
+                "description": F.when(F.col("path").isin(fixed.README_NAMES), text.description_of("content")),
+            }
+        )
+    rank = F.array_position(F.array(*map(F.lit, fixed.README_NAMES)), F.col("path"))
+    readme = F.when(F.col("path").isin(fixed.README_NAMES), F.struct(rank.alias("rank"), "description"))
+    per_language = (
+        files.groupBy("repo_id", paths.language_of("path").alias("language"))
+        .agg(
+            F.sum(F.when(counted, F.col("line_count"))).alias("line_count"),
+            F.count_if(counted).alias("files"),
+            F.collect_list(readme).alias("readmes"),
+        )
+    )
+    has_lines = F.col("language").isNotNull() & F.col("line_count").isNotNull()
+    per_repo = per_language.groupBy("repo_id").agg(
+        F.collect_list(F.when(has_lines, F.struct("language", "line_count"))).alias("lines"),
+        F.sum("files").alias("total_files"),
+        F.sort_array(F.flatten(F.collect_list("readmes"))).alias("readmes"),
+    )
+    best = F.try_element_at("readmes", F.lit(1))["description"]
+    return per_repo.select("repo_id", "lines", "total_files", best.alias("repo_description"))
+
+
+def file_facts(files: DataFrame) -> DataFrame:
+    """`(repo_id, listed map<language, struct<file_count, sample_files>>)` from paths alone."""
+    both = languages.file_counts(files).join(languages.sample_files(files), ["repo_id", "language"])
+    entries = F.collect_list(F.struct("language", F.struct("file_count", "sample_files")))
+    return both.groupBy("repo_id").agg(F.map_from_entries(entries).alias("listed"))
+
+
+def _language_array() -> Column:
+    """The language table of a repository as an array by lines, from its content and file facts."""
+    total = F.aggregate("lines", F.lit(0).cast("bigint"), lambda t, e: t + e["line_count"])
+    ordered = F.sort_array(F.transform("lines", lambda e: F.struct((-e["line_count"]).alias("neg"), e["language"].alias("language"))))
+
+    def entry(e: Column) -> Column:
+        listed = F.try_element_at("listed", e["language"])
+        share = F.try_divide((-e["neg"]).cast("double"), total.cast("double")) * 100
+        return F.struct(
+            e["language"].alias("language"),
+            (-e["neg"]).alias("line_count"),
+            F.coalesce(listed["file_count"], F.lit(0).cast("bigint")).alias("file_count"),
+            F.coalesce(share, F.lit(0.0)).alias("percentage"),
+            F.coalesce(listed["sample_files"], F.array().cast("array<string>")).alias("sample_files"),
+        )
+
+    return F.transform(ordered, entry)
 
 
 def repo_ids(*tables: DataFrame) -> DataFrame:
@@ -38,23 +96,16 @@ def repo_profile(files: DataFrame, commits: DataFrame, repos: DataFrame | None =
     """The wide profile of each repository.
 
     All joins are on `repo_id` between tables with one row per repository, so a large repository weighs no more than a
-    small one. With the enriched table in place of `files` no content is read.
+    small one. Contents are read once; with the enriched table in place of `files` they are not read at all.
     """
-    table = languages.languages(files)
     if repos is None:
-        base = repo_ids(files, commits).withColumns(
-            {"url": F.lit(None).cast("string"), "local_path": F.lit(None).cast("string"), "branch": F.lit(None).cast("string")}
-        )
+        nothing = {c: F.lit(None).cast("string") for c in ("url", "local_path", "branch")}
+        base = repo_ids(files, commits).withColumns(nothing)
     else:
         base = repos.select("repo_id", "url", "local_path", "branch")
-    parts = [
-        language_arrays(table),
-        tree.total_files(files),
-        history.commit_overview(commits),
-        history.recent_authors(commits),
-        repo_description(files),
-    ]
+    parts = [content_facts(files), file_facts(files), history.commit_overview(commits), history.recent_authors(commits)]
     joined = reduce(lambda left, right: left.join(right, "repo_id", "left"), parts, base)
+    joined = joined.withColumn("languages", F.coalesce(_language_array(), F.array().cast(LANGUAGES)))
     primary = F.try_element_at("languages", F.lit(1))["language"]
     zero = F.lit(0).cast("bigint")
     # An address if there is one, else where the repository lies.

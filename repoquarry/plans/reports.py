@@ -14,20 +14,15 @@ from repoquarry.functions import fixed, text
 from repoquarry.operators import contents as contents_ops
 from repoquarry.operators import history, importance, tree
 from repoquarry.operators.importance import level_rank
+from repoquarry.plans.profile import LANGUAGES
 
 
 def _join(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def _languages(column: str = "languages") -> Column:
-    return F.coalesce(F.col(column), F.array().cast(_LANGUAGES))
-
-
-_LANGUAGES = (
-    "array<struct<language: string, line_count: bigint, file_count: bigint, percentage: double, "
-    "sample_files: array<string>>>"
-)
+def _languages() -> Column:
+    return F.coalesce(F.col("languages"), F.array().cast(LANGUAGES))
 
 
 def language_summary_column() -> Column:
@@ -127,12 +122,17 @@ def _listed_files(contents: DataFrame, n: int = fixed.BASIC_FILES) -> DataFrame:
     return head.groupBy("repo_id").agg(ordered.alias("listed"))
 
 
-def basic_overview(profile: DataFrame, files: DataFrame, contents: DataFrame | None = None) -> DataFrame:
-    """`(repo_id, overview, repo_url, primary_language, total_files_analyzed, analysis_status, analysis_method)`."""
+def with_overview_parts(profile: DataFrame, files: DataFrame, contents: DataFrame | None = None) -> DataFrame:
+    """Profile rows with what an overview lists: ten directories and, given contents, counters and fifteen files."""
     joined = profile.join(_listed_directories(files), "repo_id", "left")
-    if contents is not None:
-        stats = contents_ops.content_stats(contents).withColumnRenamed("total_files", "content_files")
-        joined = joined.join(stats, "repo_id", "left").join(_listed_files(contents), "repo_id", "left")
+    if contents is None:
+        return joined
+    stats = contents_ops.content_stats(contents).withColumnRenamed("total_files", "content_files")
+    return joined.join(stats, "repo_id", "left").join(_listed_files(contents), "repo_id", "left")
+
+
+def overview_column(with_contents: bool) -> Column:
+    """Markdown overview of a row made by `with_overview_parts`."""
     langs = _languages()
 
     def language_line(e: Column) -> Column:
@@ -161,9 +161,7 @@ def basic_overview(profile: DataFrame, files: DataFrame, contents: DataFrame | N
     nothing = F.array().cast("array<string>")
     directories = F.coalesce(F.transform("directories", directory_line), nothing)
     parts = [head, used, structure, directories]
-    analyzed = F.lit(0).cast("bigint")
-    if contents is not None:
-        analyzed = F.coalesce("successful_reads", F.lit(0))
+    if with_contents:
         number = {c: F.coalesce(c, F.lit(0)) for c in ("successful_reads", "content_files", "critical_files", "high_files", "medium_files", "total_lines")}
         parts.append(
             F.array(
@@ -185,15 +183,23 @@ def basic_overview(profile: DataFrame, files: DataFrame, contents: DataFrame | N
             )
         )
     parts.append(F.array(*map(F.lit, fixed.OVERVIEW_NOTES)))
-    return joined.select(
-        "repo_id",
-        F.array_join(F.concat(*parts), "\n").alias("overview"),
-        "repo_url",
-        "primary_language",
+    return F.array_join(F.concat(*parts), "\n")
+
+
+def _overview_columns(with_contents: bool) -> list[Column]:
+    analyzed = F.coalesce("successful_reads", F.lit(0)) if with_contents else F.lit(0).cast("bigint")
+    return [
+        overview_column(with_contents).alias("overview"),
         analyzed.alias("total_files_analyzed"),
         F.lit("basic").alias("analysis_status"),
         F.lit("Basic Repository Analysis").alias("analysis_method"),
-    )
+    ]
+
+
+def basic_overview(profile: DataFrame, files: DataFrame, contents: DataFrame | None = None) -> DataFrame:
+    """`(repo_id, repo_url, primary_language, overview, total_files_analyzed, analysis_status, analysis_method)`."""
+    whole = with_overview_parts(profile, files, contents)
+    return whole.select("repo_id", "repo_url", "primary_language", *_overview_columns(contents is not None))
 
 
 def fallback_overview(profile: DataFrame, contents: DataFrame) -> DataFrame:
@@ -274,9 +280,7 @@ def commit_digest(commits: DataFrame, changes: DataFrame, n: int = fixed.DIGEST_
     Changes are cut to those commits before they are counted.
     """
     recent = history.recent_commits(commits, n)
-    keys = ["repo_id", "commit_id"]
-    touched = changes.join(recent.select(*keys), keys, "left_semi")
-    rolled = history.commit_rollup(recent, touched)
+    rolled = history.commit_rollup(recent, history.changes_of(changes, recent))
     files = F.col("file_count")
     entry = text.lines_text(
         _join("\n", F.col("rank"), ". ", text.short_hash("commit_id"), " by ", F.col("author")),
@@ -297,49 +301,62 @@ def _present(*items: Column) -> Column:
     return F.array_compact(F.array(*items))
 
 
-def insights(profile: DataFrame, important: DataFrame) -> DataFrame:
-    """`(repo_id, insights)`: share of the primary language, critical and high counts, mean confidence."""
-    joined = profile.join(importance.importance_stats(important), "repo_id", "left")
+def with_importance(profile: DataFrame, important: DataFrame) -> DataFrame:
+    """Profile rows with counts, confidence and the first critical files of the important files."""
+    return profile.join(importance.importance_stats(important), "repo_id", "left").join(
+        importance.first_critical(important), "repo_id", "left"
+    )
+
+
+def insights_column() -> Column:
+    """Sentences on the primary language, critical and high files and the mean confidence."""
     first = F.try_element_at(_languages(), F.lit(1))
     critical, high = F.coalesce("critical", F.lit(0)), F.coalesce("high", F.lit(0))
-    sentences = _present(
+    return _present(
         F.when(first.isNotNull(), _join("Primary language is ", first["language"], " with ", text.percent(first["percentage"]), "% coverage")),
         F.when(critical > 0, _join("Identified ", critical, " critical files essential for understanding the project")),
         F.when(high > 0, _join("Found ", high, " high-importance files containing key business logic")),
         _join("Average classification confidence: ", text.percent(F.coalesce("avg_confidence", F.lit(0.0)) * 100), "%"),
     )
-    return joined.select("repo_id", sentences.alias("insights"))
 
 
-def recommendations(profile: DataFrame, important: DataFrame) -> DataFrame:
-    """`(repo_id, recommendations)`."""
-    joined = profile.join(importance.importance_stats(important), "repo_id", "left").join(
-        importance.first_critical(important), "repo_id", "left"
-    )
+def recommendations_column() -> Column:
+    """Sentences on critical files, the primary language and configuration files."""
     by_language = F.lit(None).cast("string")
     for names, sentence in reversed(fixed.LANGUAGE_RECOMMENDATIONS):
         by_language = F.when(F.lower("primary_language").isin(names), F.lit(sentence)).otherwise(by_language)
-    sentences = _present(
+    return _present(
         F.when(
-            F.col("critical_files").isNotNull(),
-            _join("Start documentation with critical files: ", F.array_join("critical_files", ", ")),
+            F.col("critical_paths").isNotNull(),
+            _join("Start documentation with critical files: ", F.array_join("critical_paths", ", ")),
         ),
         by_language,
         F.when(F.col("has_config"), F.lit(fixed.CONFIG_RECOMMENDATION)),
     )
-    return joined.select("repo_id", sentences.alias("recommendations"))
+
+
+def insights(profile: DataFrame, important: DataFrame) -> DataFrame:
+    """`(repo_id, insights)`."""
+    return with_importance(profile, important).select("repo_id", insights_column().alias("insights"))
+
+
+def recommendations(profile: DataFrame, important: DataFrame) -> DataFrame:
+    """`(repo_id, recommendations)`."""
+    return with_importance(profile, important).select("repo_id", recommendations_column().alias("recommendations"))
+
+
+def _result_columns() -> list[Column]:
+    return [
+        F.coalesce("important_count", F.lit(0)).alias("important_count"),
+        insights_column().alias("insights"),
+        recommendations_column().alias("recommendations"),
+        F.coalesce("confidence_score", F.lit(0.0)).alias("confidence_score"),
+    ]
 
 
 def analysis_result(profile: DataFrame, important: DataFrame) -> DataFrame:
     """`(repo_id, important_count, insights, recommendations, confidence_score)` of parsed important files."""
-    stats = importance.importance_stats(important).select("repo_id", "important_count", "confidence_score")
-    return (
-        insights(profile, important)
-        .join(recommendations(profile, important), "repo_id")
-        .join(stats, "repo_id", "left")
-        .withColumn("important_count", F.coalesce("important_count", F.lit(0)))
-        .withColumn("confidence_score", F.coalesce("confidence_score", F.lit(0.0)))
-    )
+    return with_importance(profile, important).select("repo_id", *_result_columns())
 
 
 def analyze_basic(profile: DataFrame, files: DataFrame, n: int = fixed.BASIC_FILES) -> DataFrame:
@@ -369,12 +386,12 @@ def analyze_overview(profile: DataFrame, important: DataFrame, files: DataFrame)
     return basic_overview(profile, files, contents_ops.read_contents(important, files))
 
 
-def project_analysis(profile: DataFrame, result: DataFrame, overview: DataFrame) -> DataFrame:
-    """Profile, analysis result and overview of each repository in one row."""
-    return (
-        profile.join(result, "repo_id", "left")
-        .join(overview.select("repo_id", "overview", "total_files_analyzed", "analysis_status", "analysis_method"), "repo_id", "left")
-    )
+def project_analysis(profile: DataFrame, important: DataFrame, files: DataFrame) -> DataFrame:
+    """Profile, analysis result and overview of each repository in one row; the profile is computed once."""
+    counted = with_importance(profile, important)
+    read = contents_ops.read_contents(important, files)
+    whole = with_overview_parts(counted, files, read)
+    return whole.select(*profile.columns, *_result_columns(), *_overview_columns(True))
 
 
 def important_files_report(important: DataFrame) -> DataFrame:

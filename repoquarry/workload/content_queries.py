@@ -94,12 +94,12 @@ def _(t: Inputs) -> DataFrame:
 
 @query(
     "first_critical",
-    """select repo_id, string_agg(file_path, ', ' order by n) as critical_files from (
+    """select repo_id, string_agg(file_path, ', ' order by n) as critical_paths from (
          select *, row_number() over (partition by repo_id order by pos) as n from o_important where importance_level = 'CRITICAL')
        where n <= 3 group by repo_id""",
 )
 def _(t: Inputs) -> DataFrame:
-    return importance.first_critical(t.important_files).withColumn("critical_files", F.array_join("critical_files", ", "))
+    return importance.first_critical(t.important_files).withColumn("critical_paths", F.array_join("critical_paths", ", "))
 
 
 @query(

@@ -223,10 +223,7 @@ def _(t: Inputs) -> DataFrame:
        from o_profile join o_counts using (repo_id) join (select repo_id, successful_reads from o_stats) using (repo_id)""",
 )
 def _(t: Inputs) -> DataFrame:
-    base = _profile(t)
-    whole = reports.project_analysis(
-        base, reports.analysis_result(base, important(t)), reports.analyze_overview(base, important(t), t.files)
-    )
+    whole = reports.project_analysis(_profile(t), important(t), t.files)
     return whole.select(
         "repo_id", "primary_language", "total_commits", "important_count", F.round("confidence_score", 9).alias("confidence_score"), "total_files_analyzed"
     )

@@ -156,8 +156,11 @@ class Inputs:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        if name not in VIEWS:
+            found = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        elif name in VIEWS:
+            tables = {t: f"select * from parquet.`{self.folder}/{t}.parquet`" for t in TABLES}
+            found = self.spark.sql(with_views(f"select * from {name}", {**tables, **VIEWS}))
+        else:
             raise AttributeError(name)
-        tables = {t: f"select * from parquet.`{self.folder}/{t}.parquet`" for t in TABLES}
-        return self.spark.sql(with_views(f"select * from {name}", {**tables, **VIEWS}))
+        setattr(self, name, found)
+        return found

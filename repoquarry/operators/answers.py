@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from repoquarry.functions import fixed, text
 from repoquarry.functions.paths import any_of, col
+from repoquarry.functions.rows import unfold
 
 FENCE = "```json"
 FILE_TYPE = (
@@ -174,7 +175,7 @@ def parse_important_files(responses: DataFrame) -> DataFrame:
         F.when(F.col("as_text"), "text").otherwise("json").alias("source"),
         F.when(F.col("as_text"), files_in_text("text")).otherwise(F.transform("items", _file).cast(FILES_TYPE)).alias("found"),
     )
-    rows = chosen.select("repo_id", "response_id", "source", F.posexplode("found").alias("position", "file"))
+    rows = unfold(chosen, ["repo_id", "response_id", "source"], F.col("found"), "file", "position")
     return rows.select(
         "repo_id", "response_id", (F.col("position") + 1).cast("bigint").alias("ordinal"), "file.*", "source"
     )
@@ -182,5 +183,5 @@ def parse_important_files(responses: DataFrame) -> DataFrame:
 
 def extract_files_from_text(responses: DataFrame) -> DataFrame:
     """Every answer read as free text: `(repo_id, response_id, ordinal, file columns)`."""
-    rows = responses.select("repo_id", "response_id", F.posexplode(files_in_text("text")).alias("position", "file"))
+    rows = unfold(responses, ["repo_id", "response_id"], files_in_text("text"), "file", "position")
     return rows.select("repo_id", "response_id", (F.col("position") + 1).cast("bigint").alias("ordinal"), "file.*")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoquarry.functions import paths
+from repoquarry.functions.rows import unfold
 from repoquarry.operators.skew import first_rows, spread_join
 
 
@@ -34,7 +35,7 @@ def chunk_text(files: DataFrame, size: int = 2000, overlap: int = 200) -> DataFr
         (F.size(steps) > 1) & (F.length(F.element_at(steps, -1)) <= overlap), F.size(steps) - 1
     ).otherwise(F.size(steps))
     chunks = cut.withColumn("chunks", F.slice(F.transform(steps, chunk), F.lit(1), count))
-    rows = chunks.select("repo_id", "path", "language", F.posexplode("chunks").alias("chunk_no", "chunk"))
+    rows = unfold(chunks, ["repo_id", "path", "language"], F.col("chunks"), "chunk", "chunk_no")
     return rows.select(
         "repo_id", "path", "language", "chunk_no", (F.col("chunk_no") * step + 1).alias("start"), "chunk"
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoquarry.functions import fixed, paths, text
+from repoquarry.functions.rows import unfold
 from repoquarry.operators.importance import level_rank
 from repoquarry.operators.skew import first_rows
 
@@ -29,7 +30,7 @@ def _found(files: DataFrame) -> DataFrame:
 
 def _directories(important: DataFrame, files: DataFrame) -> DataFrame:
     """Keys of important files that are directories of the tree."""
-    above = files.select("repo_id", F.explode(paths.ancestor_dirs("path")).alias("file_path"))
+    above = unfold(files, ["repo_id"], paths.ancestor_dirs("path"), "file_path")
     wanted = above.join(important.select(*KEY), KEY, "left_semi")
     return wanted.distinct().withColumn("is_dir", F.lit(True))
 

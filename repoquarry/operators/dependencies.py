@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoquarry.functions import paths, text
+from repoquarry.functions.rows import unfold
 from repoquarry.session import cut_lineage
 
 _ENTRY = "array<struct<package: string, version: string>>"
@@ -15,10 +16,6 @@ def _all(value: Column, regex: str, group: int = 1) -> Column:
     return F.regexp_extract_all(value, F.lit(regex), F.lit(group))
 
 
-def _entries(matches: Column, package: Column | None, split) -> Column:
-    return F.transform(matches, split).cast(_ENTRY)
-
-
 def _pair(package: Column, version: Column) -> Column:
     return F.struct(package.alias("package"), F.nullif(text.strip_text(version), F.lit("")).alias("version"))
 
@@ -86,7 +83,7 @@ def dependency_manifest(files: DataFrame) -> DataFrame:
     manifests = files.filter(
         name.rlike(r"^requirements.*\.txt$") | name.isin("pyproject.toml", "package.json", "Cargo.toml", "go.mod", "pom.xml")
     )
-    rows = manifests.select("repo_id", "path", ecosystem.alias("ecosystem"), F.explode(entries).alias("entry"))
+    rows = unfold(manifests, ["repo_id", "path", ecosystem.alias("ecosystem")], entries, "entry")
     return rows.select("repo_id", "path", "ecosystem", "entry.package", "entry.version")
 
 
@@ -125,7 +122,7 @@ def import_edges(files: DataFrame) -> DataFrame:
     """`(repo_id, path, language, module)`: modules each source file names in its import statements."""
     sources = files.withColumn("language", paths.language_of("path")).filter("language is not null")
     modules = _imports(F.col("language"), text.unix_lines("content"))
-    return sources.select("repo_id", "path", "language", F.explode(modules).alias("module"))
+    return unfold(sources, ["repo_id", "path", "language"], modules, "module")
 
 
 def file_edges(edges: DataFrame, files: DataFrame) -> DataFrame:

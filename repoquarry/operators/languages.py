@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repoquarry.functions import fixed, paths, text
+from repoquarry.functions.rows import unfold
 from repoquarry.operators.skew import first_rows
 
 def by_lines() -> list[Column]:
@@ -61,7 +62,7 @@ def with_share(lines: DataFrame) -> DataFrame:
 def files_by_language(files: DataFrame) -> DataFrame:
     """`(repo_id, language, path)` by the language's extension list; `.tsx` files appear under two languages."""
     tree = files.filter(~paths.is_ignored("path"))
-    return tree.select("repo_id", F.explode(paths.listed_languages("path")).alias("language"), "path")
+    return unfold(tree, ["repo_id", "path"], paths.listed_languages("path"), "language")
 
 
 def file_counts(files: DataFrame) -> DataFrame:

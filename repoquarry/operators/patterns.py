@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoquarry.functions import fixed, paths
+from repoquarry.functions.rows import unfold
 
 # category -> entries (key, pattern); the key names a language or framework, "" elsewhere.
 CATALOGUE: dict[str, list[tuple[str, str]]] = {
@@ -133,8 +134,8 @@ def explain_pattern(files: DataFrame) -> DataFrame:
         )
         return f"case when path rlike r'{category_regex(category)}' then array_compact(array({hits})) else array() end"
 
-    hits = F.expr(f"explode(concat({', '.join(map(matched, CATALOGUE))})) as hit")
-    return files.select("repo_id", "path", hits).select("repo_id", "path", "hit.*")
+    hits = F.expr(f"concat({', '.join(map(matched, CATALOGUE))})")
+    return unfold(files, ["repo_id", "path"], hits, "hit").select("repo_id", "path", "hit.*")
 
 
 def framework_keys(path: Column | str) -> Column:
@@ -149,7 +150,7 @@ def detect_frameworks(files: DataFrame, minimum: int = 1) -> DataFrame:
     """`(repo_id, framework, patterns_found, hits)`: frameworks with at least `minimum` of their patterns present."""
     rows = ", ".join(f"('{k}', '{p}')" for k, ps in fixed.FRAMEWORK_FILES.items() for p in ps)
     known = files.sparkSession.sql(f"select * from values {rows} as known(framework, pattern)")
-    keys = files.select("repo_id", F.explode(framework_keys("path")).alias("pattern"))
+    keys = unfold(files, ["repo_id"], framework_keys("path"), "pattern")
     # Counted per name before the join, so the join sees each name of a repository once.
     names = keys.groupBy("repo_id", "pattern").agg(F.count("*").alias("hits"))
     found = names.join(F.broadcast(known), "pattern").groupBy("repo_id", "framework")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repoquarry.functions import paths
+from repoquarry.functions.rows import unfold
 from repoquarry.operators.patterns import flag
 from repoquarry.sources.tree import file_tree
 
@@ -19,30 +22,53 @@ SENSITIVE = {
     "ipv4": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
     "phone": r"\+?[0-9]{1,3}[ -]\(?[0-9]{3}\)?[ -][0-9]{3}[ -]?[0-9]{4}\b",
 }
+# Every passage of a kind holds one of these literals; a text without any is spared the regex.
+_LITERALS = {
+    "private_key": ["-----BEGIN"],
+    "access_key": ["AKIA", "ASIA"],
+    "token": ["ghp", "gho", "ghs", "glpat", "xoxb", "xoxp"],
+    "assigned_secret": [":", "="],
+    "email": ["@"],
+}
 MARKERS = ["TODO", "FIXME", "HACK"]
 
 
-def masked(value: Column | str) -> Column:
-    """Text with every sensitive passage replaced by its kind in brackets."""
-    result = paths.col(value)
-    for kind, regex in SENSITIVE.items():
-        result = F.regexp_replace(result, regex, f"[{kind.upper()}]")
-    return result
+def _may_hold(value: Column, kind: str) -> Column:
+    if kind not in _LITERALS:
+        return value.rlike("[0-9]{3}[ -]?[0-9]{4}" if kind == "phone" else r"[0-9]\.[0-9]")
+    return reduce(lambda a, b: a | b, [F.contains(value, F.lit(word)) for word in _LITERALS[kind]])
+
+
+def _masking_steps(files: DataFrame) -> DataFrame:
+    """Columns `_left0`, `_left1`, ...: the content after masking the first 0, 1, ... kinds.
+
+    One projection per kind: a column used several times is kept by the optimizer, a nested expression would be repeated.
+    """
+    step = files.withColumn("_left0", F.col("content"))
+    for i, (kind, regex) in enumerate(SENSITIVE.items()):
+        before = F.col(f"_left{i}")
+        after = F.when(_may_hold(before, kind), F.regexp_replace(before, regex, f"[{kind.upper()}]")).otherwise(before)
+        step = step.withColumn(f"_left{i + 1}", after)
+    return step
 
 
 def mask_sensitive(files: DataFrame) -> DataFrame:
-    """`files` with masked content and its length."""
-    return files.select("repo_id", "path", masked("content").alias("content"))
+    """`(repo_id, path, content)` with every sensitive passage replaced by its kind in brackets."""
+    return _masking_steps(files).select("repo_id", "path", F.col(f"_left{len(SENSITIVE)}").alias("content"))
 
 
 def sensitive_findings(files: DataFrame) -> DataFrame:
     """`(repo_id, path, kind, findings)`: passages per kind, each counted in the text left by the kinds before it."""
-    counts, value = [], F.col("content")
-    for kind, regex in SENSITIVE.items():
-        counts.append(F.struct(F.lit(kind).alias("kind"), F.regexp_count(value, F.lit(regex)).cast("bigint").alias("findings")))
-        value = F.regexp_replace(value, regex, f"[{kind.upper()}]")
-    rows = files.select("repo_id", "path", F.explode(F.array(*counts)).alias("found"))
-    return rows.select("repo_id", "path", "found.*").filter("findings > 0")
+
+    def found(i: int, kind: str, regex: str) -> Column:
+        text = F.col(f"_left{i}")
+        count = F.when(_may_hold(text, kind), F.regexp_count(text, F.lit(regex)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+        return F.struct(F.lit(kind).alias("kind"), count.alias("findings"))
+
+    counts = [found(i, kind, regex) for i, (kind, regex) in enumerate(SENSITIVE.items())]
+    listed = F.filter(F.array(*counts), lambda c: c["findings"] > 0)
+    rows = unfold(_masking_steps(files), ["repo_id", "path"], listed, "found")
+    return rows.select("repo_id", "path", "found.*")
 
 
 def doc_coverage(files: DataFrame) -> DataFrame:
@@ -71,13 +97,19 @@ def test_share(files: DataFrame) -> DataFrame:
     )
 
 
+def _marker_count(marker: str) -> Column:
+    # The cheap search spares most texts the regex.
+    found = F.regexp_count("content", F.lit(rf"\b{marker}\b")).cast("bigint")
+    return F.when(F.contains("content", F.lit(marker)), found).otherwise(F.lit(0).cast("bigint"))
+
+
 def debt_markers(files: DataFrame) -> DataFrame:
     """`(repo_id, path, language, todo, fixme, hack)` of the files holding any."""
     counted = files.filter(~paths.is_ignored("path")).select(
         "repo_id",
         "path",
         F.coalesce(paths.language_of("path"), F.lit("Other")).alias("language"),
-        *[F.regexp_count("content", F.lit(rf"\b{m}\b")).cast("bigint").alias(m.lower()) for m in MARKERS],
+        *[_marker_count(m).alias(m.lower()) for m in MARKERS],
     )
     return counted.filter("todo + fixme + hack > 0")
 

@@ -15,7 +15,7 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, rank
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 
 
-def spread_join(large: DataFrame, small: DataFrame, keys: list[str], spread_by: str, how: str = "inner", salts: int = 32) -> DataFrame:
+def spread_join(large: DataFrame, small: DataFrame, keys: list[str], spread_by: str, how: str = "inner", salts: int = 16) -> DataFrame:
     """Join whose large side may hold a third of its rows under one key.
 
     The large side is cut by the hash of `spread_by` and every row of the small side, which has few rows per key, is

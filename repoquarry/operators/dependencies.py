@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from repoquarry.functions import paths, text
 from repoquarry.functions.rows import unfold
+from repoquarry.operators.skew import spread_join
 from repoquarry.session import cut_lineage
 
 _ENTRY = "array<struct<package: string, version: string>>"
@@ -136,7 +137,9 @@ def file_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
     wanted = edges.select(
         "repo_id", "language", F.col("path").alias("src"), F.replace(F.col("module"), F.lit("."), F.lit("/")).alias("target")
     )
-    return wanted.join(targets, ["repo_id", "language", "target"]).filter("src <> dst").select("repo_id", "src", "dst").distinct()
+    # A module may be imported by very many files but is one file itself.
+    met = spread_join(wanted, targets, ["repo_id", "language", "target"], "src")
+    return met.filter("src <> dst").select("repo_id", "src", "dst").distinct()
 
 
 def change_impact(changed: DataFrame, edges: DataFrame, max_depth: int = 10) -> DataFrame:
@@ -150,7 +153,7 @@ def change_impact(changed: DataFrame, edges: DataFrame, max_depth: int = 10) ->
     frontier = cut_lineage(changed.select(*keys).distinct().withColumn("depth", F.lit(0)))
     reached = frontier
     for depth in range(1, max_depth + 1):
-        step = frontier.join(incoming, keys).select("repo_id", F.col("src").alias("path")).distinct()
+        step = spread_join(incoming, frontier, keys, "src").select("repo_id", F.col("src").alias("path")).distinct()
         frontier = cut_lineage(step.join(reached, keys, "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from repoquarry.functions.paths import col
 from repoquarry.functions.rows import unfold
-from repoquarry.operators.skew import first_rows
+from repoquarry.operators.skew import first_rows, spread_join
 
 
 def terms_of(text: Column | str) -> Column:
@@ -77,6 +77,6 @@ def search_docs(docs: DataFrame, terms: list[str], k: int = 10, index: DataFrame
     # One row per wanted term and repository, however many postings a term has.
     weights = postings.groupBy("repo_id", "term").agg(F.count("*").alias("df")).join(sizes, "repo_id")
     weights = weights.select("repo_id", "term", F.log1p(F.col("documents") / F.col("df")).alias("idf"))
-    scored = postings.join(weights, ["repo_id", "term"]).groupBy("repo_id", "path")
+    scored = spread_join(postings, weights, ["repo_id", "term"], "path").groupBy("repo_id", "path")
     scores = scored.agg(F.round(F.sum(F.col("tf") * F.col("idf")), 6).alias("score"))
     return first_rows(scores, ["repo_id"], [F.desc("score"), F.asc("path")], k)

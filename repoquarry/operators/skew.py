@@ -67,6 +67,6 @@ def paged_lists(
         .filter(F.col("_n") > page_size)
         .select(*keys, F.ceil(F.col("_n") / F.lit(page_size)).cast("bigint").alias("_pages"))
     )
-    paged = rows.join(large, keys, "left").withColumn("pages", F.coalesce("_pages", F.lit(1).cast("bigint")))
+    paged = spread_join(rows, large, keys, "_spread", "left").withColumn("pages", F.coalesce("_pages", F.lit(1).cast("bigint")))
     paged = paged.withColumn("page", F.pmod("_spread", "pages"))
     return paged.groupBy(*keys, "page", "pages").agg(F.sort_array(F.collect_list("_value")).alias(name))

@@ -21,48 +21,57 @@ _BATCH = 2000  # listing rows handed back to Spark at a time
 _BATCH_BYTES = 64 * 1024 * 1024  # file bytes handed back to Spark at a time
 
 
-def _listing(root: str, sub: str, recursive: bool) -> Iterator[tuple[str, bool]]:
-    """(path relative to the root, is a directory) for what lies below root/sub."""
+def _entries(root: str, sub: str) -> Iterator[tuple[str, bool]]:
+    """(path relative to the root, is a directory) for what lies directly in root/sub."""
     from pyarrow import fs
 
     system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
     base = base.rstrip("/")
-    start = f"{base}/{sub}" if sub else base
-    for info in system.get_file_info(fs.FileSelector(start, recursive=recursive)):
+    for info in system.get_file_info(fs.FileSelector(f"{base}/{sub}" if sub else base)):
         yield info.path[len(base) + 1:], info.type == fs.FileType.Directory
 
 
-def list_tree(repos: DataFrame) -> DataFrame:
+def _files_below(root: str, sub: str) -> Iterator[str]:
+    """Files below root/sub, holding one directory's entries at a time."""
+    waiting = [sub]
+    while waiting:
+        for path, is_dir in _entries(root, waiting.pop()):
+            if is_dir:
+                waiting.append(path)
+            else:
+                yield path
+
+
+def list_tree(repos: DataFrame, levels: int = 3) -> DataFrame:
     """Listing `(repo_id, root, path)` of every file below the roots in `repos(repo_id, root)`.
 
-    Two passes: the top level of each root first, then every top-level directory as a task item of its own, so that
-    one very large repository is listed by many tasks.
+    The top `levels` levels are opened one by one with the found directories spread over the cluster in between; what
+    lies deeper is walked by the task holding the directory. So one very large repository is listed by many tasks.
     """
+    state = "repo_id string, root string, path string, is_dir boolean"
 
-    def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def one_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for repo_id, root in zip(batch.repo_id, batch.root):
-                rows = [(repo_id, root, p, d) for p, d in _listing(root, "", False)]
+            for repo_id, root, path, is_dir in batch.itertuples(index=False):
+                rows = [(repo_id, root, p, d) for p, d in _entries(root, path)] if is_dir else [(repo_id, root, path, False)]
                 yield pd.DataFrame(rows, columns=["repo_id", "root", "path", "is_dir"])
 
     def below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["repo_id", "root", "path"]
         for batch in batches:
             for repo_id, root, path, is_dir in batch.itertuples(index=False):
-                if not is_dir:
-                    yield pd.DataFrame([(repo_id, root, path)], columns=["repo_id", "root", "path"])
-                    continue
                 rows = []
-                for p, d in _listing(root, path, True):
-                    if not d:
-                        rows.append((repo_id, root, p))
+                for found in _files_below(root, path) if is_dir else [path]:
+                    rows.append((repo_id, root, found))
                     if len(rows) >= _BATCH:
-                        yield pd.DataFrame(rows, columns=["repo_id", "root", "path"])
+                        yield pd.DataFrame(rows, columns=columns)
                         rows = []
-                yield pd.DataFrame(rows, columns=["repo_id", "root", "path"])
+                yield pd.DataFrame(rows, columns=columns)
 
-    first = repos.select("repo_id", "root").mapInPandas(top, "repo_id string, root string, path string, is_dir boolean")
-    spread = first.repartition("repo_id", "path")
-    return spread.mapInPandas(below, schemas.LISTING)
+    open_dirs = repos.select("repo_id", "root", F.lit("").alias("path"), F.lit(True).alias("is_dir"))
+    for _ in range(levels):
+        open_dirs = open_dirs.mapInPandas(one_level, state).repartition("repo_id", "path")
+    return open_dirs.mapInPandas(below, schemas.LISTING)
 
 
 def scan_files(listing: DataFrame, keep_ignored: bool = False) -> DataFrame:

@@ -168,7 +168,8 @@ def docs_to_refresh(reports: DataFrame, changes: DataFrame) -> DataFrame:
     per file first, so a file changed very often meets each report once.
     """
     last = changes.groupBy("repo_id", "file_path").agg(F.max("ts").alias("changed_at"))
-    joined = reports.join(last, ["repo_id", "file_path"], "left")
+    # One file (a README) may be an input of very many reports.
+    joined = spread_join(reports, last, ["repo_id", "file_path"], "report_id", "left")
     stale = F.col("changed_at") > F.col("built_at")
     return joined.groupBy("repo_id", "report_id").agg(
         F.count("*").alias("inputs"), F.count_if(stale).alias("stale_inputs"), F.max("changed_at").alias("last_change")

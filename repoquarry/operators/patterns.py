@@ -39,7 +39,7 @@ def find_regex(pattern: str) -> str:
 
 
 def category_regex(category: str) -> str:
-    return "|".join(f"({find_regex(p)})" for _, p in CATALOGUE[category])
+    return "|".join(f"(?:{find_regex(p)})" for _, p in CATALOGUE[category])
 
 
 def catalogue_table(spark: SparkSession) -> DataFrame:

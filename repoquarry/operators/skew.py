@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first n rows of each group.
 
-    The rank filter becomes a group limit before the shuffle, so at most n rows per group leave each task.
+    The rank filter becomes a group limit before the shuffle, so at most n rows per group leave each task (for n below
+    `spark.sql.optimizer.windowGroupLimitThreshold`, 1000 by default).
     """
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)

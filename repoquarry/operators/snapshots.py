@@ -15,18 +15,24 @@ def diff_snapshots(a: DataFrame, b: DataFrame) -> DataFrame:
     M: same path, other blob. R: a removed and an added path with the same blob, paired one to one. What is left is
     A or D. Equal blobs may be very many (empty files), so pairs are made by a rank that needs no single sorted group.
     """
-    left = a.select("repo_id", "path", F.col("blob").alias("blob_a"), F.lit(True).alias("in_a"))
-    right = b.select("repo_id", "path", F.col("blob").alias("blob_b"), F.lit(True).alias("in_b"))
-    both = left.join(right, ["repo_id", "path"], "full").filter(
-        "in_a is null or in_b is null or not (blob_a <=> blob_b)"
+    tagged = a.select("repo_id", "path", "blob", F.lit(True).alias("in_a")).unionByName(
+        b.select("repo_id", "path", "blob", F.lit(False).alias("in_a"))
     )
+    # Grouping instead of a full join: conditions on the result cannot be pushed below the aggregation, so the parts
+    # further down read one and the same shuffle of the snapshots instead of shuffling them again each.
+    both = tagged.groupBy("repo_id", "path").agg(
+        F.max(F.when(F.col("in_a"), F.col("blob"))).alias("blob_a"),
+        F.max(F.when(~F.col("in_a"), F.col("blob"))).alias("blob_b"),
+        F.bool_or("in_a").alias("in_a"),
+        F.bool_or(~F.col("in_a")).alias("in_b"),
+    ).filter("not (in_a and in_b and blob_a <=> blob_b)")
     modified = both.filter("in_a and in_b").select(
         "repo_id", F.col("path").alias("file_path"), F.lit("M").alias("change_type"), F.lit(None).cast("string").alias("old_path")
     )
-    one_sided = both.filter("in_a is null or in_b is null").select(
+    one_sided = both.filter("not (in_a and in_b)").select(
         "repo_id",
         "path",
-        F.when(F.col("in_b").isNull(), "D").otherwise("A").alias("side"),
+        F.when(F.col("in_a"), "D").otherwise("A").alias("side"),
         F.coalesce("blob_a", "blob_b").alias("blob"),
     )
     # Files without a readable blob can never be matched; they pass through as they are.

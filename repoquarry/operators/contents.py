@@ -121,6 +121,7 @@ def prompt_sections(contents: DataFrame) -> DataFrame:
 
     Readable files by level; MEDIUM ones limited in number and length and without reasons. The whole prompt of a
     repository is the sections in (level_rank, part, ordinal, file_path) order; it is never built as one value.
+    `contents` is used three times; give a table or a checkpoint, or the files are read as often.
     """
     shown = head_per_level(contents.filter("is_readable")).withColumn("level_rank", level_rank("importance_level"))
     medium = F.col("importance_level") == "MEDIUM"

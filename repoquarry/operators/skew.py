@@ -35,7 +35,9 @@ def rank_in_groups(df: DataFrame, keys: list[str], by: str, rank: str = "rank")
     of about equal size; a row's rank is its number inside its slice plus the rows in the slices before. Both come from
     the data alone, so a recomputed task gives the same ranks.
     """
-    sliced = df.withColumn("_hash", F.md5(by)).withColumn("_slice", F.left("_hash", F.lit(3)))
+    # The default keeps the join below from adding a condition on the slice to one of its two inputs' scans.
+    slice_of = F.coalesce(F.left("_hash", F.lit(3)), F.lit(""))
+    sliced = df.withColumn("_hash", F.md5(by)).withColumn("_slice", slice_of)
     slice_keys = [*keys, "_slice"]
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

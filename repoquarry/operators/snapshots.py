@@ -20,7 +20,8 @@ def diff_snapshots(a: DataFrame, b: DataFrame) -> DataFrame:
     )
     # Grouping instead of a full join: conditions on the result cannot be pushed below the aggregation, so the parts
     # further down read one and the same shuffle of the snapshots instead of shuffling them again each.
-    both = tagged.groupBy("repo_id", "path").agg(
+    # A repository id is always given; saying so once keeps the joins below from each adding their own condition.
+    both = tagged.filter("repo_id is not null").groupBy("repo_id", "path").agg(
         F.max(F.when(F.col("in_a"), F.col("blob"))).alias("blob_a"),
         F.max(F.when(~F.col("in_a"), F.col("blob"))).alias("blob_b"),
         F.bool_or("in_a").alias("in_a"),

@@ -15,6 +15,7 @@ from repoquarry.operators import contents as contents_ops
 from repoquarry.operators import history, importance, tree
 from repoquarry.operators.importance import level_rank
 from repoquarry.plans.profile import LANGUAGES
+from repoquarry.session import cut_lineage
 
 
 def _join(*parts: Column | str) -> Column:
@@ -383,14 +384,18 @@ def analyze_basic(profile: DataFrame, files: DataFrame, n: int = fixed.BASIC_FIL
 
 def analyze_overview(profile: DataFrame, important: DataFrame, files: DataFrame) -> DataFrame:
     """Contents read, counted and laid out as the basic overview."""
-    return basic_overview(profile, files, contents_ops.read_contents(important, files))
+    return basic_overview(profile, files, _content_facts(important, files))
+
+
+def _content_facts(important: DataFrame, files: DataFrame) -> DataFrame:
+    """What overviews need of the contents: no texts. Two parts use it, so it is kept; contents are read once."""
+    return cut_lineage(contents_ops.read_contents(important, files).drop("content"))
 
 
 def project_analysis(profile: DataFrame, important: DataFrame, files: DataFrame) -> DataFrame:
     """Profile, analysis result and overview of each repository in one row; the profile is computed once."""
     counted = with_importance(profile, important)
-    read = contents_ops.read_contents(important, files)
-    whole = with_overview_parts(counted, files, read)
+    whole = with_overview_parts(counted, files, _content_facts(important, files))
     return whole.select(*profile.columns, *_result_columns(), *_overview_columns(True))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoquarry.operators import answers, contents, importance
+from repoquarry.session import cut_lineage
 from repoquarry.sources import tables
 from repoquarry.workload.registry import query
 from repoquarry.workload.views import Inputs
@@ -121,7 +122,7 @@ def _(t: Inputs) -> DataFrame:
        from r where level_rank < 3 or (level_rank = 3 and n <= 5)""",
 )
 def _(t: Inputs) -> DataFrame:
-    sections = contents.prompt_sections(contents.read_contents(important(t), t.files))
+    sections = contents.prompt_sections(cut_lineage(contents.read_contents(important(t), t.files)))
     return sections.select(
         "repo_id", "level_rank", "part", F.coalesce("ordinal", F.lit(-1)).alias("ordinal"), "file_path", F.md5("text").alias("text_md5")
     )

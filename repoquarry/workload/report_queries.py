@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from repoquarry.functions import fixed
 from repoquarry.operators import contents
 from repoquarry.plans import profile, reports
+from repoquarry.session import cut_lineage
 from repoquarry.sources import sinks
 from repoquarry.workload.content_queries import important
 from repoquarry.workload.registry import query
@@ -19,7 +20,8 @@ def _profile(t: Inputs) -> DataFrame:
 
 
 def _read(t: Inputs) -> DataFrame:
-    return contents.read_contents(important(t), t.files)
+    """Facts of the contents, kept because reports use them more than once."""
+    return cut_lineage(contents.read_contents(important(t), t.files).drop("content"))
 
 
 @query(

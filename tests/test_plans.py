@@ -41,3 +41,21 @@ def test_ids_are_never_collected(spark):
     # Only lists of bounded groups are collected; the per-file tables stay rows.
     for name in ("language_lines", "commit_totals", "total_files", "content_stats", "diff_snapshots", "term_index", "chunk_text"):
         assert "collect_list" not in plan(spark, name), name
+
+
+def test_snapshots_are_shuffled_once(spark, tmp_path):
+    from repoquarry.operators import snapshots
+
+    made = spark.range(100).selectExpr("'r' as repo_id", "concat('p', id) as path", "concat('b', id % 7) as blob")
+    made.write.parquet(str(tmp_path / "a"))
+    made.filter("path not like '%3'").selectExpr("repo_id", "concat(path, 'x') as path", "blob").write.parquet(str(tmp_path / "b"))
+    diff = snapshots.diff_snapshots(spark.read.parquet(str(tmp_path / "a")), spark.read.parquet(str(tmp_path / "b")))
+    diff.collect()
+    final = diff._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 2
+
+
+@pytest.mark.parametrize("name", ["language_lines", "attach_files", "repo_profile", "language_summary_text", "chunk_text", "term_index", "mask_sensitive"])
+def test_contents_are_read_once(spark, name):
+    scans = re.findall(r"ReadSchema: struct<([^>]*)>", plan(spark, name))
+    assert sum("text:" in s for s in scans) == 1

@@ -298,3 +298,63 @@ FALLBACK_NOTE = (
     "*Note: This is a basic analysis. For detailed project overview, "
     "ensure CrewAI dependencies are properly installed.*"
 )
+
+# Texts of the reports, with the names of the values that go into them.
+OVERVIEW_HEAD = """\
+# Project Overview (Basic Analysis)
+
+## Repository Information
+**URL**: {url}
+**Primary Language**: {primary_language}
+**Total Files**: {total_files}
+**Total Commits**: {total_commits}
+**Contributors**: {authors_count}
+
+## Languages Used"""
+OVERVIEW_STRUCTURE = """
+## Project Structure
+### Directory Overview"""
+OVERVIEW_CONTENTS = """
+## File Analysis Summary
+- **Total files analyzed**: {successful_reads}/{content_files}
+- **Critical files**: {critical_files}
+- **High importance files**: {high_files}
+- **Medium importance files**: {medium_files}
+- **Total lines analyzed**: {total_lines}
+
+### Successfully Analyzed Files"""
+FALLBACK_HEAD = """\
+# Project Overview (Basic Analysis)
+
+**Repository**: {url}
+**Primary Language**: {primary_language}
+**Languages**: {languages}
+**Files Analyzed**: {successful_reads}/{content_files}
+
+## File Analysis Summary
+- Critical files: {critical_files}
+- High importance files: {high_files}
+- Medium importance files: {medium_files}
+
+## Readable Files"""
+CONTENT_SUMMARY_HEAD = """\
+📄 File Content Summary
+==================
+Total files: {total_files}
+Successfully read: {successful_reads}
+Failed to read: {failed_reads}
+Total lines: {total_lines}
+Total size: {total_size} bytes
+
+📊 By Importance Level:
+  Critical: {critical_files} files
+  High: {high_files} files
+  Medium: {medium_files} files
+
+📝 Readable Files:"""
+SUMMARY_HEAD = """\
+Primary Language: {primary_language}
+Total Languages: {language_count}
+Total Code Files: {code_files}
+
+Language Breakdown:"""

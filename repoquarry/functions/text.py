@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,6 +83,22 @@ def lines_text(*lines: Column) -> Column:
     return F.array_join(F.array_compact(F.array(*lines)), "\n")
 
 
+def fill(template: str, **values: Column | str) -> Column:
+    """The template with its {names} replaced by columns."""
+    parts: list[Column] = []
+    for literal, name, _, _ in Formatter().parse(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if name:
+            parts.append(col(values[name]).cast("string"))
+    return F.concat(*parts)
+
+
+def fill_lines(template: str, **values: Column | str) -> Column:
+    """The filled template as an array of lines."""
+    return F.split(fill(template, **values), "\n", -1)
+
+
 def description_of(text: Column | str) -> Column:
     """Up to three non-blank, non-heading lines among the first ten, as one text of at most 500 characters."""
     # Ten cuts are enough; the rest of a long text stays one piece that is dropped.

@@ -43,16 +43,8 @@ def language_summary_column() -> Column:
         return F.when(shown, F.concat(head, samples)).otherwise(head)
 
     code_files = F.aggregate(langs, F.lit(0).cast("bigint"), lambda total, e: total + e["file_count"])
-    lines = F.concat(
-        F.array(
-            _join("Primary Language: ", F.col("primary_language")),
-            _join("Total Languages: ", F.size(langs)),
-            _join("Total Code Files: ", code_files),
-            F.lit(""),
-            F.lit("Language Breakdown:"),
-        ),
-        F.transform(top, entry),
-    )
+    head = text.fill_lines(fixed.SUMMARY_HEAD, primary_language="primary_language", language_count=F.size(langs), code_files=code_files)
+    lines = F.concat(head, F.transform(top, entry))
     return F.when(F.size(langs) == 0, F.lit(fixed.NO_LANGUAGES)).otherwise(F.array_join(lines, "\n"))
 
 
@@ -75,21 +67,11 @@ def search_context(profile: DataFrame) -> DataFrame:
 def content_summary(contents: DataFrame) -> DataFrame:
     """Line table `(repo_id, section, ordinal, file_path, line)`: counters, then one line per file."""
     stats = contents_ops.content_stats(contents)
-    head = F.array(
-        F.lit("📄 File Content Summary"),
-        F.lit("=================="),
-        _join("Total files: ", F.col("total_files")),
-        _join("Successfully read: ", F.col("successful_reads")),
-        _join("Failed to read: ", F.col("failed_reads")),
-        _join("Total lines: ", text.grouped("total_lines")),
-        _join("Total size: ", text.grouped("total_size_bytes"), " bytes"),
-        F.lit(""),
-        F.lit("📊 By Importance Level:"),
-        _join("  Critical: ", F.col("critical_files"), " files"),
-        _join("  High: ", F.col("high_files"), " files"),
-        _join("  Medium: ", F.col("medium_files"), " files"),
-        F.lit(""),
-        F.lit("📝 Readable Files:"),
+    head = text.fill_lines(
+        fixed.CONTENT_SUMMARY_HEAD,
+        **{c: c for c in ("total_files", "successful_reads", "failed_reads", "critical_files", "high_files", "medium_files")},
+        total_lines=text.grouped("total_lines"),
+        total_size=text.grouped("total_size_bytes"),
     )
     line = F.when(
         F.col("is_readable"),
@@ -143,40 +125,23 @@ def overview_column(with_contents: bool) -> Column:
         name = F.when(d["dir"] == ".", "Root directory").otherwise(d["dir"])
         return _join("- **", name, "**: ", d["file_count"], " files")
 
-    head = F.array(
-        F.lit("# Project Overview (Basic Analysis)"),
-        F.lit(""),
-        F.lit("## Repository Information"),
-        _join("**URL**: ", F.coalesce("repo_url", F.lit("Local repository"))),
-        _join("**Primary Language**: ", F.col("primary_language")),
-        _join("**Total Files**: ", F.col("total_files")),
-        _join("**Total Commits**: ", F.col("total_commits")),
-        _join("**Contributors**: ", F.col("authors_count")),
-        F.lit(""),
-        F.lit("## Languages Used"),
+    head = text.fill_lines(
+        fixed.OVERVIEW_HEAD,
+        url=F.coalesce("repo_url", F.lit("Local repository")),
+        **{c: c for c in ("primary_language", "total_files", "total_commits", "authors_count")},
     )
     used = F.when(F.size(langs) > 0, F.transform(langs, language_line)).otherwise(
         F.array(F.lit("- No language information available"))
     )
-    structure = F.array(F.lit(""), F.lit("## Project Structure"), F.lit("### Directory Overview"))
+    structure = text.fill_lines(fixed.OVERVIEW_STRUCTURE)
     nothing = F.array().cast("array<string>")
     directories = F.coalesce(F.transform("directories", directory_line), nothing)
     parts = [head, used, structure, directories]
     if with_contents:
-        number = {c: F.coalesce(c, F.lit(0)) for c in ("successful_reads", "content_files", "critical_files", "high_files", "medium_files", "total_lines")}
-        parts.append(
-            F.array(
-                F.lit(""),
-                F.lit("## File Analysis Summary"),
-                _join("- **Total files analyzed**: ", number["successful_reads"], "/", number["content_files"]),
-                _join("- **Critical files**: ", number["critical_files"]),
-                _join("- **High importance files**: ", number["high_files"]),
-                _join("- **Medium importance files**: ", number["medium_files"]),
-                _join("- **Total lines analyzed**: ", text.grouped(number["total_lines"])),
-                F.lit(""),
-                F.lit("### Successfully Analyzed Files"),
-            )
-        )
+        counters = ("successful_reads", "content_files", "critical_files", "high_files", "medium_files")
+        numbers = {c: F.coalesce(c, F.lit(0)) for c in counters}
+        total_lines = text.grouped(F.coalesce("total_lines", F.lit(0)))
+        parts.append(text.fill_lines(fixed.OVERVIEW_CONTENTS, **numbers, total_lines=total_lines))
         parts.append(
             F.coalesce(
                 F.transform("listed", lambda f: _join("- `", f["file_path"], "` (", f["importance_level"], ") - ", f["content_type"])),
@@ -210,20 +175,11 @@ def fallback_overview(profile: DataFrame, contents: DataFrame) -> DataFrame:
         0, ["successful_reads", "content_files", "critical_files", "high_files", "medium_files"]
     )
     names = F.array_join(F.transform(_languages(), lambda e: e["language"]), ", ")
-    head = F.array(
-        F.lit("# Project Overview (Basic Analysis)"),
-        F.lit(""),
-        _join("**Repository**: ", F.coalesce("repo_url", F.lit("Local repository"))),
-        _join("**Primary Language**: ", F.col("primary_language")),
-        _join("**Languages**: ", F.when(F.size(_languages()) > 0, names).otherwise("Unknown")),
-        _join("**Files Analyzed**: ", F.col("successful_reads"), "/", F.col("content_files")),
-        F.lit(""),
-        F.lit("## File Analysis Summary"),
-        _join("- Critical files: ", F.col("critical_files")),
-        _join("- High importance files: ", F.col("high_files")),
-        _join("- Medium importance files: ", F.col("medium_files")),
-        F.lit(""),
-        F.lit("## Readable Files"),
+    head = text.fill_lines(
+        fixed.FALLBACK_HEAD,
+        url=F.coalesce("repo_url", F.lit("Local repository")),
+        languages=F.when(F.size(_languages()) > 0, names).otherwise("Unknown"),
+        **{c: c for c in ("primary_language", "successful_reads", "content_files", "critical_files", "high_files", "medium_files")},
     )
     line = _join("- ", F.col("file_path"), " (", F.col("importance_level"), ")")
     return (

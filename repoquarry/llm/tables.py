@@ -1,13 +1,31 @@
-"""Intermediate tables in the folder all executors share."""
+"""Intermediate tables in the folder all executors share, and Arrow functions on executors."""
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import repoquarry
 from repoquarry.session import shared_dir
 
+_SHIPPED: set[str] = set()
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """`mapInArrow` whose workers can import this package, wherever they run: it is sent to them once per application."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = os.path.dirname(os.path.abspath(repoquarry.__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="repoquarry-package-"), "repoquarry-package")
+        context.addPyFile(shutil.make_archive(archive, "zip", os.path.dirname(package), os.path.basename(package)))
+        _SHIPPED.add(context.applicationId)
+    return df.mapInArrow(run, schema)
+
 
 def _root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/repoquarry-llm-{spark.sparkContext.applicationId}"

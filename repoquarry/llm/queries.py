@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoquarry.llm import line_dedup, packing, sentence_pieces, token_counts
+from repoquarry.llm import exact_dedup, line_dedup, packing, sentence_pieces, token_counts
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +32,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(_documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), WORD_TOKENIZER, capacity=4096, end_id=1)
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentence_pieces": op1_sentence_pieces,
     "op2_token_counts": op2_token_counts,
     "op3_line_dedup": op3_line_dedup,
+    "op6_exact_dedup": op6_exact_dedup,
     "op9_packing": op9_packing,
 }
 
@@ -56,4 +61,9 @@ ORACLES: dict[str, str] = {
         select doc_id, count(*) as n_lines, count(*) filter (where dropped) as n_dropped,
                sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not dropped), '')) as kept_sha256
         from judged group by doc_id""",
+    "op6_exact_dedup": """
+        with normal as (
+          select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+        groups as (select text, max(doc_id) as keep_id, count(*) as group_size from normal group by text)
+        select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(text) as text_sha256 from normal join groups using (text)""",
 }

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import repoquarry
 from repoquarry.session import shared_dir
@@ -47,3 +48,16 @@ def clear(spark: SparkSession) -> None:
     context = spark.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(_root(spark))
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, share: int = 1000) -> DataFrame:
+    """Rows with the one row of their group in `groups`, a stored table with the number of rows per group in `size`.
+
+    Groups with more than 1/`share` of all rows are fewer than `share`, so they are broadcast and their rows stay where they are. All
+    other groups are small against a task, and join by a shuffle.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) * share > total
+    flagged = rows.join(F.broadcast(groups.filter(hot).select(*keys, F.lit(True).alias("_hot"))), keys, "left")
+    of_hot = flagged.filter("_hot").drop("_hot").join(F.broadcast(groups.filter(hot)), keys)
+    return of_hot.unionByName(flagged.filter("_hot is null").drop("_hot").join(groups.filter(~hot), keys))

@@ -23,6 +23,10 @@ class Words(NamedTuple):
     """Distinct words (binary)."""
     offsets: np.ndarray
     """First word of each text, and at the end the number of words."""
+    begins: np.ndarray
+    """First byte of each word in `data`."""
+    data: np.ndarray
+    """Bytes of all texts."""
 
 
 def filled(texts: pa.Array) -> pa.Array:
@@ -69,7 +73,7 @@ def words(texts: pa.Array) -> Words:
     data, offsets = buffers(texts)
     begins, ends = runs(~SPACES[data], offsets)
     codes, table = distinct(data, begins, ends)
-    return Words(codes, table, np.searchsorted(begins, offsets))
+    return Words(codes, table, np.searchsorted(begins, offsets), begins, data)
 
 
 def gather(flat: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

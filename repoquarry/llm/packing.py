@@ -23,31 +23,72 @@ from repoquarry.llm.sentence_pieces import model_bytes
 from repoquarry.llm.tables import map_arrow, written
 from repoquarry.llm.texts import filled, gather, slices, words
 
-_KNOWN_WORDS: dict[int, dict[bytes, bytes]] = {}
-MAX_KNOWN_WORDS = 300_000
+_KNOWN: dict[int, dict[bytes, bytes]] = {}
+MAX_KNOWN_WORDS = 1_000_000
 """Words a Python worker remembers of a tokenizer from slice to slice. Words beyond are encoded once in each slice."""
 
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+_BETWEEN = "\x01"
+_AT_ONCE = 2000
+
 
 class WordEncoder:
-    """A tokenizer that drops white space, so that words are encoded independently: each distinct word of a slice once."""
+    """A tokenizer that drops white space and case, so that words are encoded independently: each distinct word once.
+
+    Marks behind a word that ends with a letter are a token sequence of their own, so words are kept without them. Unknown words are
+    given to the library many at a time, with a mark between them that no word holds.
+    """
 
     def __init__(self, file: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(file.decode())
-        self.known = _KNOWN_WORDS.setdefault(zlib.crc32(file), {})
+        self.known = _KNOWN.setdefault(zlib.crc32(file), {})
+        self.between = self._encode([_BETWEEN])[0]
+        if len(self.between) != 1 or self._encode([f"A. {_BETWEEN} Bc"])[0] != [i for x in self._encode(["a", ".", _BETWEEN, "bc"]) for i in x]:
+            raise ValueError("this tokenizer does not encode words independently of case and white space")
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, new: list[bytes]) -> dict[bytes, bytes]:
+        found = {}
+        plain = [w for w in new if b"\x01" not in w]
+        for at in range(0, len(plain), _AT_ONCE):
+            part = plain[at : at + _AT_ONCE]
+            joined = "".join(f"{w.decode('utf-8', 'replace')} {_BETWEEN} " for w in part)
+            ids = np.array(self._encode([joined])[0], np.uint32)
+            ends = np.flatnonzero(ids == self.between[0])
+            starts = np.concatenate(([0], ends[:-1] + 1))
+            found.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, starts.tolist(), ends.tolist(), strict=True))
+        odd = [w for w in new if b"\x01" in w]
+        found.update((w, np.array(ids, np.uint32).tobytes()) for w, ids in zip(odd, self._encode([w.decode("utf-8", "replace") for w in odd]), strict=True))
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text begins."""
         found = words(filled(texts))
+        known = self.known
         table = found.table.to_pylist()
-        new = [w for w in table if w not in self.known]
-        ids = (np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False))
-        fresh = dict(zip(new, ids, strict=True))
-        per_word = [self.known[w] if w in self.known else fresh[w] for w in table]
-        if len(self.known) < MAX_KNOWN_WORDS:
-            self.known.update(list(fresh.items())[: MAX_KNOWN_WORDS - len(self.known)])
+        per_word = [known.get(w) for w in table]
+        missing = [i for i, ids in enumerate(per_word) if ids is None]
+        parts: list[tuple[bytes, bytes]] = []
+        for word in map(table.__getitem__, missing):
+            low = word.lower()
+            core = low.rstrip(_MARKS)
+            if b"<|" in word:  # may hold a special token, which case and marks are part of
+                parts.append((word, b""))
+            else:
+                parts.append((core, low[len(core) :]) if core and core[-1] in _LETTERS else (low, b""))
+        fresh = self._encode_words(list({p for pair in parts for p in pair if p and p not in known})) | {b"": b""}
+        for i, (core, marks) in zip(missing, parts, strict=True):
+            per_word[i] = (known[core] if core in known else fresh[core]) + (known[marks] if marks in known else fresh[marks])
+        if len(known) < MAX_KNOWN_WORDS:
+            again = np.bincount(found.codes, minlength=len(table)) > 1
+            fresh.update((table[i], per_word[i]) for i in missing if again[i])
+            known.update(list(fresh.items())[: MAX_KNOWN_WORDS - len(known)])
         sizes = np.concatenate(([0], np.cumsum([len(b) >> 2 for b in per_word]))).astype(np.int64)
         flat, at = gather(np.frombuffer(b"".join(per_word), np.uint32), sizes, found.codes)
         return flat, at[found.offsets]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoquarry.llm import exact_dedup, line_dedup, packing, sentence_pieces, token_counts, toxicity
+from repoquarry.llm import exact_dedup, languages, line_dedup, packing, sentence_pieces, token_counts, toxicity
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -47,6 +47,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), WORD_TOKENIZER, capacity=4096, end_id=1)
 
 
+def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    tagged = languages.tag_languages(docs.select("doc_id", "text"), languages.learn(docs), with_spans=False)
+    return tagged.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentence_pieces": op1_sentence_pieces,
     "op2_token_counts": op2_token_counts,
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_packing": op9_packing,
+    "op10_languages": op10_languages,
 }
 
 ORACLES: dict[str, str] = {

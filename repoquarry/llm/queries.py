@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoquarry.llm import exact_dedup, languages, line_dedup, packing, sentence_pieces, token_counts, toxicity
+from repoquarry.llm import exact_dedup, languages, line_dedup, nearest, packing, sentence_pieces, token_counts, toxicity
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+NEAREST_FACTOR = 1.0
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -39,6 +40,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest.nearest(vectors, F.col("vec_id") % 100 == 0, k=10, factor=NEAREST_FACTOR)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_nearest": op5_nearest,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_packing": op9_packing,
     "op10_languages": op10_languages,

@@ -17,14 +17,19 @@ from repoquarry.session import shared_dir
 _SHIPPED: set[str] = set()
 
 
-def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """`mapInArrow` whose workers can import this package, wherever they run: it is sent to them once per application."""
-    context = df.sparkSession.sparkContext
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once per application, so that they can import it wherever they run."""
+    context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         package = os.path.dirname(os.path.abspath(repoquarry.__file__))
         archive = os.path.join(tempfile.mkdtemp(prefix="repoquarry-package-"), "repoquarry-package")
         context.addPyFile(shutil.make_archive(archive, "zip", os.path.dirname(package), os.path.basename(package)))
         _SHIPPED.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """`mapInArrow` by workers that have this package."""
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoquarry.llm import exact_dedup, languages, line_dedup, nearest, packing, sentence_pieces, token_counts, toxicity
+from repoquarry.llm import exact_dedup, languages, line_dedup, near_dedup, nearest, packing, sentence_pieces, token_counts, toxicity
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 NEAREST_FACTOR = 1.0
@@ -49,6 +49,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(_documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "n_shingles")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), WORD_TOKENIZER, capacity=4096, end_id=1)
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_nearest": op5_nearest,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_near_dedup": op7_near_dedup,
     "op9_packing": op9_packing,
     "op10_languages": op10_languages,
 }

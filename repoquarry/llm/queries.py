@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoquarry.llm import exact_dedup, languages, line_dedup, near_dedup, nearest, packing, sentence_pieces, token_counts, toxicity
+from repoquarry.llm import exact_dedup, languages, line_dedup, near_dedup, nearest, packing, sentence_pieces, substring_dedup, token_counts, toxicity
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 NEAREST_FACTOR = 1.0
@@ -53,6 +53,12 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(_documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "n_shingles")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.dedup_substrings(_documents(spark, sf_dir).select("doc_id", "text"))
+    spaced = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), "^ | $", "")
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(spaced, 256).alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), WORD_TOKENIZER, capacity=4096, end_id=1)
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_nearest": op5_nearest,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_near_dedup": op7_near_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
     "op10_languages": op10_languages,
 }

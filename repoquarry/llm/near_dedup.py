@@ -1,10 +1,10 @@
 """Near-duplicate documents: ProbMinHash signatures of weighted word shingles, banding, exact verification, classes.
 
-Rows with the same set of shingles are one node. Nodes that agree in a band share a bucket. In rounds, every bucket that still holds
-several classes names leaders, each member proposes to one leader of another class, proposals with similar signatures are verified
-on the shingle sets, and verified links merge classes. A bucket rests once it holds one class, or once all members of all its
-classes but one have led; so a large group of near copies costs a proposal per member, not one per pair, and no link between different
-classes goes untested.
+Rows with the same set of shingles are one node. Nodes that agree in a band share a bucket. Every bucket names a leader, its members
+propose to it, proposals with similar signatures are verified on the shingle sets, and verified links merge classes; so a large group
+of near copies costs a proposal per member, not one per pair. Buckets of one class are done. The nodes of the others, as a
+rule texts around a common passage, are joined on their rarest shingles, which loses no pair of the wanted similarity and makes
+none of what is common to all.
 """
 
 from __future__ import annotations
@@ -15,18 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repoquarry.llm.shingles import shingles, signatures
 from repoquarry.llm.tables import join_groups, map_arrow, new_path, written
 from repoquarry.llm.texts import slices
-from repoquarry.operators.skew import first_rows
 
-BANDS, ROWS, SIZE = 30, 5, 151
-"""Signature places; the last one is used by the estimate only. A pair of similarity 0.8 misses all bands once in 150,000."""
-_SLACK = 0.25
-"""Proposals whose signatures agree in less than the threshold less this are not verified (seven standard deviations)."""
+BANDS, ROWS, SIZE = 40, 6, 241
+"""Bands of rows; the number of signature places is a prime. A pair of similarity 0.8 misses all bands once in 180,000."""
+ESTIMATE = 151
+"""Places that estimate a similarity."""
+_SLACK = 0.2
+"""Proposals whose signatures agree in less than the threshold less this are not verified (six standard deviations)."""
 _LED = 1000
 """Proposals to one leader that are verified in one task."""
 
@@ -58,7 +59,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
                     pa.array(pairs[:, 1]),
                     pa.array(np.diff(found.offsets).astype(np.int64)),
                     pa.ListArray.from_arrays(np.arange(len(full) + 1, dtype=np.int32) * BANDS, hashed.view(np.int64)),
-                    pa.array([row.tobytes() for row in (full >> np.uint64(40)).astype(np.uint8)], pa.binary()),
+                    pa.array([row.tobytes() for row in (full[:, :ESTIMATE] >> np.uint64(40)).astype(np.uint8)], pa.binary()),
                     pa.array(sets, pa.binary()),
                 ],
                 ["doc_id", "k1", "k2", "n", "bands", "signature", "shingles"],
@@ -140,7 +141,7 @@ def _alike(proposals: DataFrame, notes: DataFrame, least: float) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SIZE) for c in ("sa", "sb"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, ESTIMATE) for c in ("sa", "sb"))
             keep = (a == b).mean(1) >= least if len(a) else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("node")], ["leader", "node"]).filter(pa.array(keep, pa.bool_()))
 
@@ -183,53 +184,69 @@ def _as_links(found: DataFrame, name: str) -> DataFrame:
     return written(found.select(F.col("leader").alias("a"), F.col("node").alias("b")), name)
 
 
+def _across(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The pairs `(leader, node)` of nodes in different classes."""
+    if labels is None:
+        return pairs
+    told = pairs
+    for side in ("leader", "node"):
+        told = told.join(labels.select(F.col("node").alias(side), F.col("class").alias(f"{side}_class")), side, "left")
+    return told.filter(F.coalesce("leader_class", "leader") != F.coalesce("node_class", "node")).select("leader", "node")
+
+
+def _prefix_pairs(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different classes that can reach the threshold, from `(node, class)`: no pair that does is missing.
+
+    Two sets of this similarity have a shingle in common among the rarest of each, as many as may be missing from the other and one
+    more; and behind the first of these in the order of rarity enough must be left. What many texts share is not rare in any of
+    them, so a common passage brings no pairs, and what only one class has is left out before pairs are made.
+    """
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [np.frombuffer(v.as_buffer(), np.uint32) for v in batch.column("shingles")]
+            sizes = np.array([len(v) for v in values], np.int64)
+            index = pa.array(np.repeat(np.arange(len(values)), sizes))
+            flat = np.concatenate(values).astype(np.int64) if values else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node").take(index), batch.column("class").take(index), pa.array(np.repeat(sizes, sizes)), pa.array(flat)], ["node", "class", "size", "shingle"]
+            )
+
+    rows = written(map_arrow(placed.join(sets, "node").select("node", "class", "shingles"), unfold, "node bigint, class bigint, size bigint, shingle bigint"), "rest-shingles")
+    uses = rows.groupBy("shingle").agg(F.count("*").alias("uses"), (F.min("class") < F.max("class")).alias("mixed"))
+    rarest = Window.partitionBy("node").orderBy("uses", "shingle")
+    ranked = rows.join(uses, "shingle").withColumn("at", F.row_number().over(rarest))
+    prefix = written(ranked.filter(F.col("mixed") & (F.col("at") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1)).drop("uses", "mixed"), "rest-prefixes")
+    other = prefix.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("node", "class", "size", "at")])
+    least = (F.col("size") + F.col("other_size")) * (threshold / (1 + threshold)) - 1e-6
+    left = F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at")) + 1
+    fits = (F.col("node") < F.col("other_node")) & (F.col("class") != F.col("other_class")) & (left >= least)
+    return prefix.join(other, "shingle").filter(fits).select(F.col("node").alias("leader"), F.col("other_node").alias("node")).distinct()
+
+
 def _classes(buckets: DataFrame, sets: DataFrame, notes: DataFrame, threshold: float) -> DataFrame | None:
     """Labels `(node, class)` of the nodes that verified links connect; none if there are no links."""
-    labels: DataFrame | None = None
-    led: DataFrame | None = None  # (bucket, node): has led
-    leaders_each = 1
-    turn = 0
-    while True:
-        turn += 1
-        # Buckets with several classes, and in them the members that have not led.
-        placed = buckets.select("bucket", "node", F.col("node").alias("class")) if labels is None else (
-            buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
-        )
-        mixed = placed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("bucket")
-        placed = written(placed.join(mixed, "bucket", "left_semi"), f"placed-{turn}")
-        if placed.isEmpty():
-            return labels
-        buckets = placed.select("bucket", "node")
-        waiting = placed if led is None else placed.join(led, ["bucket", "node"], "left_anti")
-        # The class with most waiting members leads last; when it alone is left, all its pairs with others are tested.
-        sizes = waiting.groupBy("bucket", "class").agg(F.count("*").alias("waits"))
-        largest = sizes.groupBy("bucket").agg(F.max(F.struct("waits", "class")).alias("top"), F.count("*").alias("classes"))
-        eligible = waiting.join(largest.filter("classes > 1"), "bucket").filter("class <> top.class" if turn > 1 else "true").select("bucket", "node", "class")
-        if turn == 1:
-            chosen = waiting.groupBy("bucket").agg(F.min(F.struct("node", "class")).alias("leader")).select("bucket", "leader.*")
-        else:
-            chosen = first_rows(eligible, ["bucket"], [F.col("node")], leaders_each).select("bucket", "node", "class")
-        chosen = written(chosen, f"leaders-{turn}")
-        if chosen.isEmpty():
-            return labels
-        led_now = chosen.select("bucket", "node")
-        led = written(led_now if led is None else led.unionByName(led_now), f"led-{turn}")
-        pairs = placed.join(chosen.select("bucket", F.col("node").alias("leader"), F.col("class").alias("led_class")), "bucket").filter("class <> led_class")
-        pairs = written(pairs.select("leader", "node").distinct(), f"pairs-{turn}")
-        pairs = written(_alike(pairs, notes, threshold - _SLACK), f"alike-{turn}")
+
+    def settle(labels: DataFrame | None, pairs: DataFrame, name: str) -> DataFrame | None:
+        pairs = written(_alike(pairs, notes, threshold - _SLACK), f"{name}-alike")
         # Each node first proposes to one leader; as a rule that settles its other proposals.
         one = pairs.groupBy("node").agg(F.min("leader").alias("leader"))
-        labels = merge(labels, _as_links(_verified(one, sets, threshold), f"links-{turn}"), f"round-{turn}")
-        rest = pairs.join(one, ["leader", "node"], "left_anti")
-        if labels is not None:
-            for side in ("leader", "node"):
-                rest = rest.join(labels.select(F.col("node").alias(side), F.col("class").alias(f"{side}_class")), side, "left")
-            differ = F.coalesce("leader_class", "leader") != F.coalesce("node_class", "node")
-            rest = rest.filter(differ).select("leader", "node")
-        rest = written(rest, f"rest-{turn}")
-        if not rest.isEmpty():
-            labels = merge(labels, _as_links(_verified(rest, sets, threshold), f"more-links-{turn}"), f"more-{turn}")
-        leaders_each *= 2
+        labels = merge(labels, _as_links(_verified(one, sets, threshold), f"{name}-links"), name)
+        rest = written(_across(pairs.join(one, ["leader", "node"], "left_anti"), labels), f"{name}-rest")
+        return labels if rest.isEmpty() else merge(labels, _as_links(_verified(rest, sets, threshold), f"{name}-more-links"), f"{name}-more")
+
+    leaders = buckets.groupBy("bucket").agg(F.min("node").alias("leader"))
+    proposals = buckets.join(leaders, "bucket").filter("node <> leader").select("leader", "node").distinct()
+    labels = settle(None, written(proposals, "proposals"), "led")
+    placed = buckets.withColumn("class", F.col("node")) if labels is None else (
+        buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
+    )
+    placed = written(placed, "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("bucket")
+    open_nodes = written(placed.join(mixed, "bucket", "left_semi").select("node", "class").distinct(), "open-nodes")
+    if open_nodes.isEmpty():
+        return labels
+    return settle(labels, written(_prefix_pairs(open_nodes, sets, threshold), "prefix-pairs"), "rest")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:

@@ -109,7 +109,9 @@ def learn(
     rows = kept.filter(~is_script).orderBy(F.desc("all"), "gram").limit(most_trigrams).collect()
     script_rows = kept.filter(is_script).collect()  # at most one row for each script
     languages = sorted({name for r in [*rows, *script_rows] for name in r["by"]})
-    counts = np.array([[r["by"].get(name, 0) for name in languages] for r in rows] + [[0] * len(languages)], float).reshape(-1, len(languages))
+    counts = np.zeros((len(rows) + 1, len(languages)))
+    for i, r in enumerate(rows):
+        counts[i] = [r["by"].get(name, 0) for name in languages]
     scores = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * len(counts)))
     uses = {r["gram"].removeprefix("script:"): np.array([r["by"].get(name, 0) for name in languages], float) for r in script_rows}
     total = sum(uses.values(), np.zeros(len(languages))) + 1e-9

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from repoquarry.functions import paths, text
 from repoquarry.functions.rows import unfold
-from repoquarry.operators.skew import spread_join
 from repoquarry.session import cut_lineage
 
 _ENTRY = "array<struct<package: string, version: string>>"
@@ -27,10 +26,15 @@ def _by_regex(value: Column, regex: str) -> Column:
 
 
 _REQUIREMENT = r"([A-Za-z0-9][A-Za-z0-9._-]*)[ \t]*(?:\[[^\]\n]*\])?[ \t]*((?:[=<>!~]=?=?[ \t]*[^\s;#,\"']+[ \t]*,?[ \t]*)*)"
-_LINE_REQUIREMENT = rf"(?m)^[ \t]*{_REQUIREMENT}"
+# A line that is an address names no package.
+_LINE_REQUIREMENT = rf"(?m)^[ \t]*(?![A-Za-z0-9+._-]*:){_REQUIREMENT}"
 _QUOTED_REQUIREMENT = rf"[\"']{_REQUIREMENT}"
 _TOML_PAIR = r"(?m)^[ \t]*\"?([A-Za-z0-9._-]+)\"?[ \t]*=[ \t]*(?:\{[^}\n]*?version[ \t]*=[ \t]*)?\"([^\"\n]*)\""
 _GO_REQUIRE = r"(?m)^[ \t]*(?:require[ \t]+)?([\w.~-]+(?:\.[\w.~-]+)*/[\w./~-]+)[ \t]+(v[^\s]+)"
+_CARGO_TABLE = r"(?m)^\[(?:dev-|build-)?dependencies\.([\w-]+)\][ \t]*\n(?:(?!\[)[^\n]*\n)*?[ \t]*version[ \t]*=[ \t]*\"([^\"\n]*)\""
+_SETUP_CFG = r"(?m)^install_requires[ \t]*=[ \t]*([^\n]*(?:\n[ \t]+[^\n]*)*)"
+_GEM = r"(?m)^[ \t]*gem[ \t]+['\"]([^'\"\n]+)['\"](?:[ \t]*,[ \t]*['\"]([^'\"\n]*)['\"])?"
+_GRADLE = r"(?m)^[ \t]*(?:implementation|api|compileOnly|runtimeOnly|testImplementation|kapt|annotationProcessor)[ \t(]+['\"]([^:'\"\n]+:[^:'\"\n]+)(?::([^'\"\n]*))?['\"]"
 _POM = r"(?s)<dependency>.*?</dependency>"
 
 
@@ -39,15 +43,20 @@ def _toml_sections(value: Column, names: str) -> Column:
     return F.array_join(_all(value, rf"(?ms)^\[(?:{names})\][ \t]*\n(.*?)(?=^\[|\z)", 1), "\n")
 
 
-def _package_json(value: Column) -> Column:
-    parsed = F.from_json(value, "dependencies map<string,string>, devDependencies map<string,string>")
+def _json_maps(value: Column, fields: list[str]) -> Column:
+    """Entries of objects that map packages to versions."""
+    parsed = F.from_json(value, ", ".join(f"`{f}` map<string,string>" for f in fields))
 
     def entries(field: str) -> Column:
         return F.coalesce(
             F.transform(F.map_entries(parsed[field]), lambda e: _pair(e["key"], e["value"])).cast(_ENTRY), F.array().cast(_ENTRY)
         )
 
-    return F.concat(entries("dependencies"), entries("devDependencies"))
+    return F.concat(*map(entries, fields))
+
+
+def _package_json(value: Column) -> Column:
+    return _json_maps(value, ["dependencies", "devDependencies", "peerDependencies", "optionalDependencies"])
 
 
 def _pom(value: Column) -> Column:
@@ -63,26 +72,40 @@ def _pom(value: Column) -> Column:
 def _pyproject(value: Column) -> Column:
     listed = F.array_join(_all(value, r"(?ms)^dependencies[ \t]*=[ \t]*\[(.*?)^?\][ \t]*$", 1), "\n")
     poetry = _toml_sections(value, r"tool\.poetry\.(?:dev-)?dependencies|tool\.poetry\.group\.[\w-]+\.dependencies")
-    return F.concat(_by_regex(listed, _QUOTED_REQUIREMENT), _by_regex(poetry, _TOML_PAIR))
+    groups = _toml_sections(value, r"project\.optional-dependencies|dependency-groups")
+    return F.concat(_by_regex(listed, _QUOTED_REQUIREMENT), _by_regex(groups, _QUOTED_REQUIREMENT), _by_regex(poetry, _TOML_PAIR))
+
+
+def _visible(files: DataFrame, with_ignored: bool) -> DataFrame:
+    """Hidden and installed files (node_modules, ...) say nothing about a repository's own declarations."""
+    return files if with_ignored else files.filter(~paths.is_ignored("path"))
 
 
-def dependency_manifest(files: DataFrame) -> DataFrame:
+def dependency_manifest(files: DataFrame, with_ignored: bool = False) -> DataFrame:
     """`(repo_id, path, ecosystem, package, version)` declared in manifests; other files' contents are not looked at."""
     name, content = paths.file_name("path"), text.unix_lines("content")
     readers = [
         (name.rlike(r"^requirements.*\.txt$"), "python", _by_regex(content, _LINE_REQUIREMENT)),
         (name == "pyproject.toml", "python", _pyproject(content)),
         (name == "package.json", "javascript", _package_json(content)),
-        (name == "Cargo.toml", "rust", _by_regex(_toml_sections(content, "dependencies|dev-dependencies|build-dependencies"), _TOML_PAIR)),
+        (name == "Cargo.toml", "rust", F.concat(
+            _by_regex(_toml_sections(content, "(?:workspace\\.)?(?:dev-|build-)?dependencies"), _TOML_PAIR), _by_regex(content, _CARGO_TABLE)
+        )),
         (name == "go.mod", "go", _by_regex(content, _GO_REQUIRE)),
         (name == "pom.xml", "java", _pom(content)),
+        (name == "Pipfile", "python", _by_regex(_toml_sections(content, "packages|dev-packages"), _TOML_PAIR)),
+        (name == "setup.cfg", "python", _by_regex(F.array_join(_all(content, _SETUP_CFG), "\n"), _LINE_REQUIREMENT)),
+        (name == "Gemfile", "ruby", _by_regex(content, _GEM)),
+        (name == "composer.json", "php", _json_maps(content, ["require", "require-dev"])),
+        (name.isin("build.gradle", "build.gradle.kts"), "java", _by_regex(content, _GRADLE)),
     ]
     ecosystem, entries = F.lit(None).cast("string"), F.array().cast(_ENTRY)
     for test, eco, found in reversed(readers):
         ecosystem = F.when(test, F.lit(eco)).otherwise(ecosystem)
         entries = F.when(test, found).otherwise(entries)
-    manifests = files.filter(
-        name.rlike(r"^requirements.*\.txt$") | name.isin("pyproject.toml", "package.json", "Cargo.toml", "go.mod", "pom.xml")
+    manifests = _visible(files, with_ignored).filter(
+        name.rlike(r"^requirements.*\.txt$")
+        | name.isin("pyproject.toml", "package.json", "Cargo.toml", "go.mod", "pom.xml", "Pipfile", "setup.cfg", "Gemfile", "composer.json", "build.gradle", "build.gradle.kts")
     )
     rows = unfold(manifests, ["repo_id", "path", ecosystem.alias("ecosystem")], entries, "entry")
     return rows.select("repo_id", "path", "ecosystem", "entry.package", "entry.version")
@@ -94,11 +117,25 @@ def _first_words(lists: Column) -> Column:
     return F.filter(F.transform(names, lambda n: F.regexp_extract(n, r"^\s*([\w.]+)", 1)), lambda n: n != "")
 
 
+def _from_names(content: Column) -> Column:
+    """`pkg.name` of every `from pkg import name, ...`: a name may be a module of the package. Stars and aliases are left out."""
+    lines = _all(content, r"(?m)^[ \t]*from[ \t]+[\w.]+[ \t]+import[ \t]+(?:\([^)]*\)|[^\n#;]+)", 0)
+
+    def names(line: Column) -> Column:
+        package = F.regexp_extract(line, r"from[ \t]+([\w.]+)", 1)
+        listed = F.split(F.regexp_extract(line, r"(?s)import[ \t]+(.*)", 1), ",")
+        words = F.filter(F.transform(listed, lambda n: F.regexp_extract(n, r"([\w]+)", 1)), lambda n: n != "")
+        return F.transform(words, lambda n: F.concat(package, F.when(package.endswith("."), "").otherwise("."), n))
+
+    return F.flatten(F.transform(lines, names))
+
+
 def _imports(language: Column, content: Column) -> Column:
     go_blocks = F.array_join(_all(content, r"(?ms)^import[ \t]*\((.*?)\)", 1), "\n")
     by_language = [
         (["Python"], F.concat(
             _all(content, r"(?m)^[ \t]*from[ \t]+([\w.]+)[ \t]+import\b"),
+            _from_names(content),
             _first_words(_all(content, r"(?m)^[ \t]*import[ \t]+([\w., \t]+)")),
         )),
         (["JavaScript", "TypeScript", "JSX", "TSX", "Vue"], _all(content, r"(?:\bfrom|\bimport|\brequire\(|\bimport\()\s*['\"]([^'\"\n]+)['\"]")),
@@ -108,7 +145,7 @@ def _imports(language: Column, content: Column) -> Column:
             _all(go_blocks, r"\"([^\"\n]+)\""),
         )),
         (["C", "C++"], _all(content, r"(?m)^[ \t]*#[ \t]*include[ \t]*[<\"]([^>\"\n]+)[>\"]")),
-        (["Rust"], _all(content, r"(?m)^[ \t]*(?:pub[ \t]+)?use[ \t]+([\w:]+)")),
+        (["Rust"], F.transform(_all(content, r"(?m)^[ \t]*(?:pub[ \t]+)?use[ \t]+([\w:]+)"), lambda m: F.regexp_replace(m, ":+$", ""))),
         (["C#"], _all(content, r"(?m)^[ \t]*using[ \t]+(?:static[ \t]+)?([\w.]+)[ \t]*;")),
         (["Ruby"], _all(content, r"(?m)^[ \t]*require(?:_relative)?[ \t]+['\"]([^'\"\n]+)['\"]")),
         (["PHP"], _all(content, r"(?m)^[ \t]*use[ \t]+([\w\\]+)")),
@@ -119,45 +156,97 @@ def _imports(language: Column, content: Column) -> Column:
     return F.array_distinct(found)
 
 
-def import_edges(files: DataFrame) -> DataFrame:
-    """`(repo_id, path, language, module)`: modules each source file names in its import statements."""
-    sources = files.withColumn("language", paths.language_of("path")).filter("language is not null")
+def import_edges(files: DataFrame, with_ignored: bool = False) -> DataFrame:
+    """`(repo_id, path, language, module)`: modules each source file names in its import statements.
+
+    For `from pkg import name` both `pkg` and `pkg.name` are given, as either may be the module.
+    """
+    sources = _visible(files, with_ignored).withColumn("language", paths.language_of("path")).filter("language is not null")
     modules = _imports(F.col("language"), text.unix_lines("content"))
     return unfold(sources, ["repo_id", "path", "language"], modules, "module")
 
 
-def file_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """`(repo_id, src, dst)`: import edges whose dotted module is a file (or package) of the same repository."""
-    # "pkg.mod" is pkg/mod.py, pkg/mod/__init__.py or src/pkg/mod.py.
-    module_path = F.regexp_replace(F.regexp_replace(paths.parent_dir("path"), "^[.]$", ""), "^src(/|$)", "")
-    named = F.when(paths.stem("path") == "__init__", module_path).otherwise(
-        F.concat(F.when(module_path == "", "").otherwise(F.concat(module_path, F.lit("/"))), paths.stem("path"))
+_SCRIPTS = ["", ".ts", ".tsx", ".js", ".jsx", ".vue", "/index.ts", "/index.tsx", "/index.js"]
+
+
+def _normal(path: Column) -> Column:
+    """The path with "." and ".." parts resolved."""
+    none = F.array().cast("array<string>")
+    up = lambda parts: F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    kept = F.aggregate(
+        F.split(path, "/"), none, lambda parts, x: F.when(x == "..", up(parts)).when(x.isin(".", ""), parts).otherwise(F.array_append(parts, x))
     )
-    targets = files.select("repo_id", paths.language_of("path").alias("language"), named.alias("target"), F.col("path").alias("dst"))
-    wanted = edges.select(
-        "repo_id", "language", F.col("path").alias("src"), F.replace(F.col("module"), F.lit("."), F.lit("/")).alias("target")
+    return F.array_join(kept, "/")
+
+
+def _candidates(language: Column, path: Column, module: Column) -> Column:
+    """Paths a module may stand for, seen from the file that names it."""
+    own = F.concat(F.regexp_replace(paths.parent_dir(path), "^[.]$", ""), F.lit("/"))
+
+    def under(roots: list[str], name: Column, endings: list[str]) -> Column:
+        return F.array(*[F.concat(F.lit(r), name, F.lit(e)) for r in roots for e in endings])
+
+    dots = F.length(F.regexp_extract(module, r"^(\.*)", 1))
+    rest = F.replace(F.regexp_replace(module, r"^\.+", ""), F.lit("."), F.lit("/"))
+    nested = F.replace(module, F.lit("."), F.lit("/"))
+    climbed = F.concat(own, F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0))), rest)
+    crate = F.replace(F.regexp_replace(module, "^crate::", ""), F.lit("::"), F.lit("/"))
+    java = [".java", ".kt", ".scala"]
+    roots = ["", "src/main/java/", "src/main/kotlin/", "src/main/scala/", "src/test/java/", "src/"]
+    found = (
+        F.when((language == "Python") & (dots > 0), under([""], climbed, [".py", "/__init__.py"]))
+        .when(language == "Python", under(["", "src/"], nested, [".py", "/__init__.py"]))
+        .when(language.isin("JavaScript", "TypeScript", "JSX", "TSX", "Vue") & module.rlike(r"^\.\.?(/|$)"), under([""], F.concat(own, module), _SCRIPTS))
+        .when(language.isin("Java", "Kotlin", "Scala"), F.concat(under(roots, nested, java), under(roots, F.regexp_replace(nested, "/[^/]*$", ""), java)))
+        .when(language.isin("C", "C++"), F.concat(F.array(F.concat(own, module)), under(["", "include/", "src/"], module, [""])))
+        .when(
+            (language == "Rust") & module.startswith("crate::"),
+            F.concat(under(["src/"], crate, [".rs", "/mod.rs"]), under(["src/"], F.regexp_replace(crate, "/[^/]*$", ""), [".rs", "/mod.rs"])),
+        )
+        .when(language == "Ruby", F.concat(F.array(F.concat(own, module, F.lit(".rb"))), under(["", "lib/"], module, [".rb"])))
+        .otherwise(F.array().cast("array<string>"))
     )
-    # A module may be imported by very many files but is one file itself.
-    met = spread_join(wanted, targets, ["repo_id", "language", "target"], "src")
-    return met.filter("src <> dst").select("repo_id", "src", "dst").distinct()
+    return F.array_distinct(F.transform(found, _normal))
+
+
+def file_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """`(repo_id, src, dst)`: import edges whose module is a file of the same repository.
+
+    Absolute and relative modules of Python, relative ones of JavaScript and TypeScript, packages of Java, Kotlin and Scala under the usual
+    source roots, includes of C and C++, `crate::` of Rust, required files of Ruby. Each edge brings its few possible paths, which meet the
+    files on the path itself; a file imported everywhere is a hot key of the edges only, which Spark splits.
+    """
+    seen = unfold(edges, ["repo_id", F.col("path").alias("src")], _candidates(F.col("language"), F.col("path"), F.col("module")), "dst")
+    met = seen.filter("src <> dst").join(files.select("repo_id", F.col("path").alias("dst")), ["repo_id", "dst"], "left_semi")
+    return met.select("repo_id", "src", "dst").distinct()
+
+
+def impact_from_code(changed: DataFrame, files: DataFrame) -> DataFrame:
+    """`change_impact` on the import edges of the files themselves."""
+    return change_impact(changed, file_edges(import_edges(files), files))
 
 
-def change_impact(changed: DataFrame, edges: DataFrame, max_depth: int = 10) -> DataFrame:
+def change_impact(changed: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """`(repo_id, path, depth)`: changed files (depth 0) and the files reaching them through imports.
 
-    Breadth first with a bounded depth; each round only joins the newly reached files, which are distinct, and ends when
-    there are none. Rounds are checkpointed in the shared folder, so plans stay short and lost executors cost nothing.
+    Breadth first until no new file is reached; only a caller's `max_depth` ends it earlier. The edges are stored once. Each round
+    joins the files the round before has newly reached, which are distinct, and is checkpointed in the shared folder, so plans stay
+    short and lost executors cost one round. A file imported everywhere is a hot key of the edges only; Spark splits it.
     """
     keys = ["repo_id", "path"]
-    incoming = edges.select("repo_id", F.col("dst").alias("path"), F.col("src"))
+    incoming = cut_lineage(edges.select("repo_id", F.col("dst").alias("path"), F.col("src")).distinct())
     frontier = cut_lineage(changed.select(*keys).distinct().withColumn("depth", F.lit(0)))
     reached = frontier
-    for depth in range(1, max_depth + 1):
-        step = spread_join(incoming, frontier, keys, "src").select("repo_id", F.col("src").alias("path")).distinct()
-        frontier = cut_lineage(step.join(reached, keys, "left_anti").withColumn("depth", F.lit(depth)))
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        step = incoming.join(frontier.select(*keys), keys).select("repo_id", F.col("src").alias("path")).distinct()
+        frontier = cut_lineage(step.join(reached.select(*keys), keys, "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
+        if depth % 16 == 0:
+            reached = cut_lineage(reached)
     return reached
 
 
@@ -168,8 +257,8 @@ def docs_to_refresh(reports: DataFrame, changes: DataFrame) -> DataFrame:
     per file first, so a file changed very often meets each report once.
     """
     last = changes.groupBy("repo_id", "file_path").agg(F.max("ts").alias("changed_at"))
-    # One file (a README) may be an input of very many reports.
-    joined = spread_join(reports, last, ["repo_id", "file_path"], "report_id", "left")
+    # One file (a README) may be an input of very many reports: a hot key of one side only, which Spark splits.
+    joined = reports.join(last, ["repo_id", "file_path"], "left")
     stale = F.col("changed_at") > F.col("built_at")
     return joined.groupBy("repo_id", "report_id").agg(
         F.count("*").alias("inputs"), F.count_if(stale).alias("stale_inputs"), F.max("changed_at").alias("last_change")

@@ -72,7 +72,7 @@ _N = "cast(i % 40 as varchar)"
 
 @query(
     "dependency_manifest",
-    f"""with m as (select repo_id, path, {_N} as n, i % 16 as k from code_paths)
+    f"""with m as (select repo_id, path, {_N} as n, i % 16 as k from code_paths where path not like '.%')
         select repo_id, path, 'python' as ecosystem, 'flask' as package, '==' || n || '.1' as version from m where k = 0
         union all select repo_id, path, 'python', 'numpy', '>= 1.' || n from m where k = 0
         union all select repo_id, path, 'javascript', 'react', '^' || n || '.0' from m where k = 1
@@ -87,9 +87,9 @@ def _(t: Inputs) -> DataFrame:
 
 @query(
     "import_edges",
-    f"""with m as (select repo_id, path, {_N} as n, i % 16 as k from code_paths),
-        e as (select repo_id, path, n, 'Python' as language, unnest(['os', 'sys', 'm' || n || '.settings']) as module from m where k = 2
-              union all select repo_id, path, n, 'TSX', unnest(['react', './m' || n]) from m where k = 3
+    f"""with m as (select repo_id, path, i, {_N} as n, i % 16 as k from code_paths where path not like '.%'),
+        e as (select repo_id, path, n, 'Python' as language, unnest(['os', 'sys', 'm' || (i + 9) || '.settings', 'm' || (i + 9) || '.settings.x']) as module from m where k = 2
+              union all select repo_id, path, n, 'TSX', unnest(['react', '../m' || (i + 4)]) from m where k = 3
               union all select repo_id, path, n, 'Java', unnest(['java.util.List', 'a.b' || n || '.C']) from m where k = 4
               union all select repo_id, path, n, 'Python', 'pytest' from m where k = 5
               union all select repo_id, path, n, 'JavaScript', 'lib' || n from m where k = 7
@@ -103,16 +103,39 @@ def _(t: Inputs) -> DataFrame:
     return dependencies.import_edges(t.code_files)
 
 
+_FILE_EDGES = """
+    select distinct a.repo_id, a.path as src, b.path as dst from code_paths a join code_paths b on a.repo_id = b.repo_id
+    where a.path not like '.%' and ((a.i % 16 = 2 and b.i = a.i + 9 and regexp_matches(b.path, '^(src/)?m[0-9]+/settings[.]py$'))
+          or (a.i % 16 = 3 and b.i = a.i + 4 and regexp_replace(a.path, 'm[0-9]+/[^/]*$', '') = regexp_replace(b.path, 'm[0-9]+/[^/]*$', '')))"""
+
+
+@query("file_edges", _FILE_EDGES)
+def _(t: Inputs) -> DataFrame:
+    return dependencies.file_edges(dependencies.import_edges(t.code_files), t.code_files)
+
+
+@query(
+    "change_impact_from_code",
+    f"""with e as ({_FILE_EDGES}), s as (select repo_id, path from code_paths where i % 16 in (7, 11))
+        select repo_id, path, min(depth) as depth from (
+          select *, 0::bigint as depth from s union all select e.repo_id, e.src, 1 from e join s on e.repo_id = s.repo_id and e.dst = s.path) group by all""",
+)
+def _(t: Inputs) -> DataFrame:
+    """All settings modules and scripts changed; their importers are found in the texts."""
+    changed = t.code_paths.filter((F.col("i") % 16).isin(7, 11)).select("repo_id", "path")
+    return dependencies.impact_from_code(changed, t.code_files)
+
+
 @query(
     "change_impact",
-    """with recursive s as (select repo_id, path, i from code_paths where strpos(path, 'src/') = 1),
+    """with recursive s as (select repo_id, path, i from code_paths where strpos(path, 'src/') = 1 and (repo_id <> 'r5' or i > 1000)),
        r as (select repo_id, path, 0 as depth from s
-             union all select e.repo_id, e.src, depth + 1 from r join code_edges e on e.repo_id = r.repo_id and e.dst = r.path where depth < 10)
+             union select e.repo_id, e.src, depth + 1 from r join code_edges e on e.repo_id = r.repo_id and e.dst = r.path)
        select repo_id, path, min(depth)::bigint as depth from r group by all""",
 )
 def _(t: Inputs) -> DataFrame:
-    """Everything below src/ counts as changed."""
-    changed = t.code_paths.filter(F.col("path").startswith("src/")).select("repo_id", "path")
+    """Everything below src/ counts as changed; in r5, whose files import each other in one long chain, only its far end."""
+    changed = t.code_paths.filter(F.col("path").startswith("src/") & ((F.col("repo_id") != "r5") | (F.col("i") > 1000))).select("repo_id", "path")
     return dependencies.change_impact(changed, t.code_edges)
 
 

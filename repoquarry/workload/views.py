@@ -44,7 +44,7 @@ VIEWS: dict[str, str] = {
                case doc_id % 4 when 0 then 'CRITICAL' when 1 then 'HIGH' when 2 then 'MEDIUM' else 'LOW' end as importance_level,
                (doc_id % 8) / 8.0 as confidence_score, doc_id as ordinal,
                case when doc_id % 5 = 0 then 'Configuration file' else 'General file' end as content_type
-        from documents join paths on i = doc_id where doc_id % 9 = 0
+        from documents join paths on i = doc_id
         union all
         select 'en', concat('ghost/', path), 'HIGH', 0.5, i, 'General file' from paths where i % 50 = 7""",
     "snapshot_a": "select repo_id, path, blob from files where (size + length(path)) % 10 <> 0",
@@ -91,8 +91,8 @@ VIEWS: dict[str, str] = {
         from (select repo_id, path, case i % 16
             when 0 then concat('# pinned', chr(10), 'flask==', n, '.1', chr(10), 'numpy[all] >= 1.', n, ' ; python_version > "3"', chr(10))
             when 1 then concat('{"name": "m', n, '", "dependencies": {"react": "^', n, '.0"}, "devDependencies": {"jest": "1.', n, '"}}')
-            when 2 then concat('import os, sys', chr(10), 'from m', n, '.settings import x', chr(10), '# TODO ', title, chr(10))
-            when 3 then concat('import React from "react";', chr(10), 'import x from ''./m', n, ''';', chr(10), '// FIXME')
+            when 2 then concat('import os, sys', chr(10), 'from m', cast(i + 9 as varchar(20)), '.settings import x', chr(10), '# TODO ', title, chr(10))
+            when 3 then concat('import React from "react";', chr(10), 'import x from ''../m', cast(i + 4 as varchar(20)), ''';', chr(10), '// FIXME')
             when 4 then concat('package a;', chr(10), 'import java.util.List;', chr(10), 'import static a.b', n, '.C;', chr(10))
             when 5 then concat('import pytest', chr(10), '# TODO TODO ', title, chr(10), '# HACK', chr(10))
             when 6 then concat('# ', title, chr(10), chr(10), 'About ', title, chr(10), 'Contact dev', n, '@example.com', chr(10))
@@ -106,10 +106,11 @@ VIEWS: dict[str, str] = {
             when 14 then concat('package main', chr(10), 'import (', chr(10), '  "fmt"', chr(10), '  x "example.com/dep', n, '"', chr(10), ')', chr(10))
             else concat('#include <stdio.h>', chr(10), '#include "m', n, '.h"', chr(10), '/* FIXME HACK */', chr(10)) end as content
           from (select repo_id, path, i, title, cast(i % 40 as varchar(20)) as n from code_paths) c) d""",
-    # Import edges between files: each file's importer has half its number, so reaching is a chain of halving.
+    # Import edges between files: each file's importer has half its number, so reaching is a chain of halving; in r5 the
+    # importer has the number before in that repository, so reaching takes as many rounds as it has files.
     "code_edges": """
         select a.repo_id, a.path as src, b.path as dst
-        from (select repo_id, path, i, case when repo_id = 'hot' then i * 2 else i * 18 end as j from code_paths) a
+        from (select repo_id, path, i, case when repo_id = 'hot' then i * 2 when repo_id = 'r5' then i + 51 else i * 18 end as j from code_paths) a
         join code_paths b on b.i = a.j and b.repo_id = a.repo_id""",
     "repos": """
         select distinct lang as repo_id, concat('https://git.example.com/team/', lang, '.git') as url,

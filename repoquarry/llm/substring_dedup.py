@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
@@ -25,10 +26,12 @@ from pyspark.sql import types as T
 
 from repoquarry.llm.suffix_automaton import SuffixAutomaton
 from repoquarry.llm.tables import map_arrow, new_path, ship, written
-from repoquarry.llm.texts import SPACES, filled, mix, runs, slices, words
+from repoquarry.llm.texts import SPACES, buffers, filled, mix, runs, slices, words
 
 GRAM = 5
 _LAST = (1 << 63) - 1
+_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+SLICE_BYTES = 6_000_000
 SHARD_SEGMENTS = 5_000
 """Different segments in a reference shard; an anchor with more has a table of hashes instead."""
 
@@ -42,9 +45,16 @@ def _rolled(hashes: np.ndarray, width: int, factor: int) -> np.ndarray:
     """Hash of the `width` words from each word on; the last `width` - 1 places have no meaning."""
     rolled = np.zeros(len(hashes), np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(width):
-            rolled[: len(hashes) - k] = mix(rolled[: len(hashes) - k] * np.uint64(factor) + hashes[k:])
-    return rolled
+        for k in range(min(width, len(hashes))):
+            rolled[: len(hashes) - k] *= np.uint64(factor)
+            rolled[: len(hashes) - k] += hashes[k:]
+    return mix(rolled)
+
+
+def _segment_hash(whole: np.ndarray, begin: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Hash of all words of a segment: its first and its last window hold them all."""
+    with np.errstate(over="ignore"):
+        return mix(whole[begin] + mix(whole[begin + windows - 1] + windows.astype(np.uint64)))
 
 
 def segments(docs: DataFrame, window: int) -> DataFrame:
@@ -55,15 +65,15 @@ def segments(docs: DataFrame, window: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             hashes, offsets = _word_hashes(batch.column("text"))
             n = len(hashes) - window + 1
             if n <= 0:
                 continue
             owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
             inside = owner[:n] == owner[window - 1 :]
-            grams = _rolled(hashes, GRAM, 31)
-            whole = _rolled(hashes, window, 0x9E3779B1)
+            grams = _rolled(hashes, GRAM, _FACTORS[0])
+            whole = _rolled(hashes, window, _FACTORS[1])
             place = np.arange(n) + sliding_window_view(grams[: n + window - GRAM], window - GRAM + 1).argmin(1)
             place[~inside] = -1
             change = place[1:] != place[:-1]
@@ -71,8 +81,7 @@ def segments(docs: DataFrame, window: int) -> DataFrame:
             end = np.flatnonzero(inside & np.append(change, True))
             width = end - begin + 1
             anchor = grams[place[begin]]
-            with np.errstate(over="ignore"):
-                seg = mix(whole[begin] + mix(whole[end] + width.astype(np.uint64)))
+            seg = _segment_hash(whole, begin, width)
             ids = batch.column("id").to_numpy()[owner[begin]]
             start = begin - offsets[:-1][owner[begin]]
             order = np.lexsort((start, ids, seg, anchor))
@@ -111,32 +120,60 @@ def _packed(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, T.StructType([*kept, T.StructField("packed", T.BinaryType())]))
 
 
-def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with `text` (binary) for `packed`, in slices of bounded texts."""
     unpack = zstandard.ZstdDecompressor().decompress
-    return [unpack(p.as_buffer()) for p in batch.column("packed")]
+    for batch in batches:
+        sizes = [zstandard.frame_content_size(p.as_buffer()) for p in batch.column("packed")]
+        group = np.cumsum(sizes) // SLICE_BYTES
+        cuts = np.flatnonzero(np.diff(group)) + 1
+        for low, high in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            part = batch.slice(low, high - low)
+            texts = pa.array([unpack(p.as_buffer()) for p in part.column("packed")], pa.binary())
+            rest = [n for n in part.schema.names if n != "packed"]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in rest), texts], [*rest, "text"])
+
+
+def _listed(lists: pa.Array, names: list[str]) -> tuple[np.ndarray, list[pa.Array]]:
+    """Owner of each element of a list column (null: no elements), and the fields of the elements."""
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    elements = lists.flatten()
+    return np.repeat(np.arange(len(lists)), sizes), [elements.field(n) for n in names]
+
+
+def _places(starts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and value of each element of a list column of integers."""
+    sizes = pc.list_value_length(starts).fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(starts)), sizes), starts.flatten().to_numpy()
 
 
 def _contents(variants: DataFrame, docs: DataFrame, window: int) -> DataFrame:
-    """The variants with the hashes of their words, `(vid, anchor, id, many, content)`; each is read in its first document."""
-    wanted = variants.groupBy("id").agg(F.collect_list(F.struct("vid", "anchor", "start", "windows", "many")).alias("wanted"))
+    """The variants with the hashes of their words, `(vid, anchor, id, many, content)`; each is read in its first document.
+
+    Where several rows have the id of that document, those without the segment are passed over; repeated rows repeat the content.
+    """
+    wanted = variants.groupBy("id").agg(F.collect_list(F.struct("vid", "anchor", "seg", "start", "windows", "many")).alias("wanted"))
     met = _packed(docs).join(wanted, "id").select("id", "packed", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, text in enumerate(_unpacked(batch)):
-                hashes, _ = _word_hashes(pa.array([text], pa.binary()))
-                rows = [w for w in batch.column("wanted")[i].as_py() if w["start"] + w["windows"] + window - 1 <= len(hashes)]
-                signed = hashes.view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([w["vid"] for w in rows], pa.int64()),
-                        pa.array([w["anchor"] for w in rows], pa.int64()),
-                        pa.array([batch.column("id")[i].as_py()] * len(rows), pa.int64()),
-                        pa.array([w["many"] for w in rows], pa.bool_()),
-                        pa.array([signed[w["start"] : w["start"] + w["windows"] + window - 1] for w in rows], pa.list_(pa.int64())),
-                    ],
-                    ["vid", "anchor", "id", "many", "content"],
-                )
+        for batch in _unpacked(batches):
+            hashes, offsets = _word_hashes(batch.column("text"))
+            owner, (vid, anchor, seg, start, windows, many) = _listed(batch.column("wanted"), ["vid", "anchor", "seg", "start", "windows", "many"])
+            size = windows.to_numpy().astype(np.int64)
+            begin = offsets[:-1][owner] + start.to_numpy()
+            inside = begin + size + window - 1 <= offsets[1:][owner]
+            at = np.flatnonzero(inside)
+            if not len(at):
+                continue
+            same = _segment_hash(_rolled(hashes, window, _FACTORS[1]), begin[at], size[at]).view(np.int64) == seg.to_numpy()[at]
+            at = at[same]
+            lengths = size[at] + window - 1
+            ends = np.concatenate(([0], np.cumsum(lengths)))
+            index = np.repeat(begin[at] - ends[:-1], lengths) + np.arange(ends[-1])
+            take = pa.array(at)
+            content = pa.ListArray.from_arrays(ends.astype(np.int32), hashes[index].view(np.int64))
+            ids = batch.column("id").take(pa.array(owner[at]))
+            yield pa.RecordBatch.from_arrays([vid.take(take), anchor.take(take), ids, many.take(take), content], ["vid", "anchor", "id", "many", "content"])
 
     return map_arrow(met, run, "vid bigint, anchor bigint, id bigint, many boolean, content array<bigint>")
 
@@ -146,7 +183,8 @@ def _firsts_by_automata(contents: DataFrame, total: int, window: int) -> DataFra
     shards = max(1, -(-total // SHARD_SEGMENTS))
 
     def match(table: pa.Table) -> pa.Table:
-        order = np.lexsort((table.column("vid").to_numpy(), table.column("id").to_numpy()))
+        _, order = np.unique(table.column("vid").to_numpy(), return_index=True)
+        order = order[np.argsort(table.column("id").to_numpy()[order], kind="stable")]
         vids, ids = (table.column(c).to_numpy()[order].tolist() for c in ("vid", "id"))
         content = table.column("content").to_pylist()
         automaton = SuffixAutomaton()
@@ -171,7 +209,7 @@ def _firsts_by_hashes(contents: DataFrame, window: int) -> DataFrame:
             owner = np.repeat(np.arange(len(n)), n)
             place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
             at = (np.cumsum(lengths) - lengths)[owner] + place
-            both = [_rolled(flat, window, f)[at].view(np.int64) if len(flat) else np.zeros(0, np.int64) for f in (0x9E3779B1, 0x85EBCA77)]
+            both = [_rolled(flat, window, f)[at].view(np.int64) if len(flat) else np.zeros(0, np.int64) for f in _FACTORS[1:]]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c).take(pa.array(owner, pa.int64())) for c in ("vid", "id")), pa.array(place.astype(np.int32)), *map(pa.array, both)],
                 ["vid", "id", "place", "w1", "w2"],
@@ -179,7 +217,7 @@ def _firsts_by_hashes(contents: DataFrame, window: int) -> DataFrame:
 
     each = written(map_arrow(contents.select("vid", "id", "content"), run, "vid bigint, id bigint, place int, w1 bigint, w2 bigint"), "windows")
     least = each.groupBy("w1", "w2").agg(F.min("id").alias("first"))
-    told = each.join(least, ["w1", "w2"]).groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("place", "first"))).alias("all"))
+    told = each.join(least, ["w1", "w2"]).groupBy("vid").agg(F.sort_array(F.collect_set(F.struct("place", "first"))).alias("all"))
     return told.select("vid", F.col("all.first").alias("firsts"))
 
 
@@ -238,26 +276,31 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     )
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, n_words, n_removed = [], [], []
-            for i, value in enumerate(_unpacked(batch)):
-                data = np.frombuffer(value, np.uint8)
-                begins, ends = runs(~SPACES[data], np.array([0, len(data)]))
-                change = np.zeros(len(begins) + 1, np.int64)
-                for cut in batch.column("_cuts")[i].as_py() or []:
-                    for bit in range(cut["mask"].bit_length()):
-                        if cut["mask"] >> bit & 1:
-                            at = np.array(cut["starts"]) + bit
-                            np.add.at(change, at, 1)
-                            np.add.at(change, at + window, -1)
-                gone = np.cumsum(change[:-1]) > 0
-                n_words.append(len(begins))
-                n_removed.append(int(gone.sum()))
-                if gone.any():
-                    value = b" ".join(value[a:b] for a, b in zip(begins[~gone].tolist(), ends[~gone].tolist(), strict=True))
-                texts.append(None if batch.column("_null")[i].as_py() else value)
+        bits = np.arange(window - GRAM + 1)
+        for batch in _unpacked(batches):
+            data, bounds = buffers(batch.column("text"))
+            begins, ends = runs(~SPACES[data], bounds)
+            offsets = np.searchsorted(begins, bounds)
+            cut_of, (starts, masks) = _listed(batch.column("_cuts"), ["starts", "mask"])
+            place_of, places = _places(starts)
+            at = (offsets[:-1][cut_of[place_of]] + places)[:, None] + bits
+            held = (masks.to_numpy()[place_of][:, None] >> bits & 1).astype(bool)
+            first = at[held]
+            change = np.bincount(first, minlength=len(begins) + 1) - np.bincount(first + window, minlength=len(begins) + 1)
+            gone = np.cumsum(change)[: len(begins)] > 0
+            total = np.concatenate(([0], np.cumsum(gone)))
+            removed = total[offsets[1:]] - total[offsets[:-1]]
+            texts = batch.column("text").to_pylist()
+            whole = data.tobytes()
+            for i in np.flatnonzero(removed).tolist():
+                own = slice(offsets[i], offsets[i + 1])
+                kept = ~gone[own]
+                texts[i] = b" ".join(map(whole.__getitem__, map(slice, begins[own][kept].tolist(), ends[own][kept].tolist())))
+            for i in np.flatnonzero(batch.column("_null").to_numpy(zero_copy_only=False)).tolist():
+                texts[i] = None
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], schema.names
+                [batch.column("_row"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(np.diff(offsets).astype(np.int64)), pa.array(removed.astype(np.int64))],
+                schema.names,
             )
 
     done = map_arrow(joined, remove, schema)

@@ -1,242 +1,201 @@
 """Fixed values.
 
 Every table in this file is a value the results depend on: change one and the numbers change. They are
-written as plain text, one entry per line, in their natural order.
+plain lists and dicts in their natural order.
 """
 
 from __future__ import annotations
 
 
-def _rows(text: str) -> list[list[str]]:
-    return [line.split() for line in text.splitlines() if line.strip()]
-
-
-def _table(text: str) -> dict[str, list[str]]:
-    return {key: rest for key, *rest in _rows(text)}
-
-
-def _words(text: str) -> list[str]:
-    return [word for row in _rows(text) for word in row]
-
-
 # File extension -> language whose lines it counts for.
 LANGUAGE_OF_EXTENSION: dict[str, str] = {
-    ext: lang
-    for ext, lang in _rows(
-        """
-        .py Python
-        .js JavaScript
-        .ts TypeScript
-        .java Java
-        .cpp C++
-        .c C
-        .cs C#
-        .php PHP
-        .rb Ruby
-        .go Go
-        .rs Rust
-        .swift Swift
-        .kt Kotlin
-        .scala Scala
-        .html HTML
-        .css CSS
-        .scss SCSS
-        .sass Sass
-        .less Less
-        .vue Vue
-        .jsx JSX
-        .tsx TSX
-        .md Markdown
-        .yml YAML
-        .yaml YAML
-        .json JSON
-        .xml XML
-        .sql SQL
-        .sh Shell
-        .bash Bash
-        .zsh Zsh
-        .dockerfile Dockerfile
-        .r R
-        .m MATLAB
-        .pl Perl
-        """
-    )
+    ".py": "Python",
+    ".js": "JavaScript",
+    ".ts": "TypeScript",
+    ".java": "Java",
+    ".cpp": "C++",
+    ".c": "C",
+    ".cs": "C#",
+    ".php": "PHP",
+    ".rb": "Ruby",
+    ".go": "Go",
+    ".rs": "Rust",
+    ".swift": "Swift",
+    ".kt": "Kotlin",
+    ".scala": "Scala",
+    ".html": "HTML",
+    ".css": "CSS",
+    ".scss": "SCSS",
+    ".sass": "Sass",
+    ".less": "Less",
+    ".vue": "Vue",
+    ".jsx": "JSX",
+    ".tsx": "TSX",
+    ".md": "Markdown",
+    ".yml": "YAML",
+    ".yaml": "YAML",
+    ".json": "JSON",
+    ".xml": "XML",
+    ".sql": "SQL",
+    ".sh": "Shell",
+    ".bash": "Bash",
+    ".zsh": "Zsh",
+    ".dockerfile": "Dockerfile",
+    ".r": "R",
+    ".m": "MATLAB",
+    ".pl": "Perl",
 }
 
 # Language -> extensions of the files listed under it (not the inverse of the table above).
-EXTENSIONS_OF_LANGUAGE: dict[str, list[str]] = _table(
-    """
-    Python .py .pyw .pyx .pyi
-    JavaScript .js .mjs .cjs
-    TypeScript .ts .tsx
-    Java .java
-    Go .go
-    Rust .rs
-    C .c .h
-    C++ .cpp .cxx .cc .hpp .hxx .hh
-    C# .cs
-    PHP .php .php3 .php4 .php5
-    Ruby .rb .rbw
-    Swift .swift
-    Kotlin .kt .kts
-    Scala .scala
-    Dart .dart
-    HTML .html .htm
-    CSS .css
-    SCSS .scss
-    Sass .sass
-    Vue .vue
-    React .jsx .tsx
-    Shell .sh .bash .zsh .fish
-    SQL .sql
-    YAML .yml .yaml
-    JSON .json
-    XML .xml
-    Markdown .md .markdown
-    """
-)
+EXTENSIONS_OF_LANGUAGE: dict[str, list[str]] = {
+    "Python": [".py", ".pyw", ".pyx", ".pyi"],
+    "JavaScript": [".js", ".mjs", ".cjs"],
+    "TypeScript": [".ts", ".tsx"],
+    "Java": [".java"],
+    "Go": [".go"],
+    "Rust": [".rs"],
+    "C": [".c", ".h"],
+    "C++": [".cpp", ".cxx", ".cc", ".hpp", ".hxx", ".hh"],
+    "C#": [".cs"],
+    "PHP": [".php", ".php3", ".php4", ".php5"],
+    "Ruby": [".rb", ".rbw"],
+    "Swift": [".swift"],
+    "Kotlin": [".kt", ".kts"],
+    "Scala": [".scala"],
+    "Dart": [".dart"],
+    "HTML": [".html", ".htm"],
+    "CSS": [".css"],
+    "SCSS": [".scss"],
+    "Sass": [".sass"],
+    "Vue": [".vue"],
+    "React": [".jsx", ".tsx"],
+    "Shell": [".sh", ".bash", ".zsh", ".fish"],
+    "SQL": [".sql"],
+    "YAML": [".yml", ".yaml"],
+    "JSON": [".json"],
+    "XML": [".xml"],
+    "Markdown": [".md", ".markdown"],
+}
 
 # Path parts that take a file out of every count. Parts starting with a dot are out as well;
 # the three starred entries are compared literally.
-IGNORED_PARTS: list[str] = _words(
-    """
-    .git __pycache__ .pyc .DS_Store
-    node_modules .vscode .idea .vs
-    *.log *.tmp *.cache
-    """
-)
+IGNORED_PARTS: list[str] = [
+    ".git", "__pycache__", ".pyc", ".DS_Store",
+    "node_modules", ".vscode", ".idea", ".vs",
+    "*.log", "*.tmp", "*.cache",
+]
 
 # Suffixes whose content is never read.
-SKIPPED_SUFFIXES: list[str] = _words(
-    """
-    .pyc .pyo .pyd .so .dll .exe .bin
-    .jpg .jpeg .png .gif .bmp .ico .svg
-    .pdf .doc .docx .xls .xlsx .ppt .pptx
-    .zip .tar .gz .bz2 .7z .rar
-    .mp3 .mp4 .avi .mov .wmv .flv
-    .db .sqlite .sqlite3
-    """
-)
+SKIPPED_SUFFIXES: list[str] = [
+    ".pyc", ".pyo", ".pyd", ".so", ".dll", ".exe", ".bin",
+    ".jpg", ".jpeg", ".png", ".gif", ".bmp", ".ico", ".svg",
+    ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx",
+    ".zip", ".tar", ".gz", ".bz2", ".7z", ".rar",
+    ".mp3", ".mp4", ".avi", ".mov", ".wmv", ".flv",
+    ".db", ".sqlite", ".sqlite3",
+]
 
 # Words that put a file first among the samples of its language.
-PRIORITY_WORDS: list[str] = _words(
-    "main app index server run config settings models views routes controllers services"
-)
+PRIORITY_WORDS: list[str] = ["main", "app", "index", "server", "run", "config", "settings", "models", "views", "routes", "controllers", "services"]
 
 # Root files a description is taken from, best first.
-README_NAMES: list[str] = _words("README.md README.rst README.txt README")
+README_NAMES: list[str] = ["README.md", "README.rst", "README.txt", "README"]
 
 # Entry point names by language; entries with regex signs are regexes.
-ENTRY_POINTS: dict[str, list[str]] = _table(
-    r"""
-    python main.py __main__.py app.py server.py run.py manage.py wsgi.py asgi.py application.py
-    javascript index.js main.js app.js server.js start.js index.mjs app.mjs server.mjs
-    typescript index.ts main.ts app.ts server.ts start.ts index.tsx app.tsx
-    java Main.java Application.java App.java Server.java .*Application\.java$ .*Main\.java$
-    go main.go
-    rust main.rs lib.rs
-    c main.c
-    cpp main.cpp main.cxx
-    csharp Program.cs Main.cs Application.cs
-    php index.php app.php bootstrap.php
-    """
-)
+ENTRY_POINTS: dict[str, list[str]] = {
+    "python": ["main.py", "__main__.py", "app.py", "server.py", "run.py", "manage.py", "wsgi.py", "asgi.py", "application.py"],
+    "javascript": ["index.js", "main.js", "app.js", "server.js", "start.js", "index.mjs", "app.mjs", "server.mjs"],
+    "typescript": ["index.ts", "main.ts", "app.ts", "server.ts", "start.ts", "index.tsx", "app.tsx"],
+    "java": ["Main.java", "Application.java", "App.java", "Server.java", r".*Application\.java$", r".*Main\.java$"],
+    "go": ["main.go"],
+    "rust": ["main.rs", "lib.rs"],
+    "c": ["main.c"],
+    "cpp": ["main.cpp", "main.cxx"],
+    "csharp": ["Program.cs", "Main.cs", "Application.cs"],
+    "php": ["index.php", "app.php", "bootstrap.php"],
+}
 
 # Configuration file regexes.
-CONFIG_PATTERNS: list[str] = _words(
-    r"""
-    package\.json$ package-lock\.json$ yarn\.lock$
-    requirements.*\.txt$ Pipfile$ pyproject\.toml$
-    pom\.xml$ build\.gradle$ Cargo\.toml$
-    composer\.json$ go\.mod$ Gemfile$
-    \.env.*$ config\..*$ settings\..*$
-    .*\.config\.(js|ts|json)$ .*\.conf$ .*\.ini$
-    .*\.yaml$ .*\.yml$ .*\.toml$
-    Dockerfile.*$ docker-compose.*\.(yml|yaml)$
-    Makefile$ makefile$ CMakeLists\.txt$
-    webpack\.config\..*$ vite\.config\..*$
-    rollup\.config\..*$ babel\.config\..*$
-    tsconfig\.json$ jsconfig\.json$
-    \.github/workflows/.*\.(yml|yaml)$
-    \.gitlab-ci\.yml$ \.travis\.yml$
-    Jenkinsfile$ azure-pipelines\.yml$
-    """
-)
+CONFIG_PATTERNS: list[str] = [
+    r"package\.json$", r"package-lock\.json$", r"yarn\.lock$",
+    r"requirements.*\.txt$", "Pipfile$", r"pyproject\.toml$",
+    r"pom\.xml$", r"build\.gradle$", r"Cargo\.toml$",
+    r"composer\.json$", r"go\.mod$", "Gemfile$",
+    r"\.env.*$", r"config\..*$", r"settings\..*$",
+    r".*\.config\.(js|ts|json)$", r".*\.conf$", r".*\.ini$",
+    r".*\.yaml$", r".*\.yml$", r".*\.toml$",
+    "Dockerfile.*$", r"docker-compose.*\.(yml|yaml)$",
+    "Makefile$", "makefile$", r"CMakeLists\.txt$",
+    r"webpack\.config\..*$", r"vite\.config\..*$",
+    r"rollup\.config\..*$", r"babel\.config\..*$",
+    r"tsconfig\.json$", r"jsconfig\.json$",
+    r"\.github/workflows/.*\.(yml|yaml)$",
+    r"\.gitlab-ci\.yml$", r"\.travis\.yml$",
+    "Jenkinsfile$", r"azure-pipelines\.yml$",
+]
 
 # Test file regexes.
-TEST_PATTERNS: list[str] = _words(
-    r"""
-    test_.*\.py$ .*_test\.py$ conftest\.py$
-    .*/tests/.*\.py$ .*/test/.*\.py$
-    .*\.test\.(js|ts|jsx|tsx)$ .*\.spec\.(js|ts|jsx|tsx)$
-    .*/tests/.*\.(js|ts|jsx|tsx)$ .*/test/.*\.(js|ts|jsx|tsx)$
-    .*/__tests__/.*\.(js|ts|jsx|tsx)$
-    .*Test\.java$ .*Tests\.java$ .*IT\.java$
-    .*/test/.*\.java$ .*/tests/.*\.java$
-    .*_test\.go$
-    .*_test\.rs$ .*/tests/.*\.rs$
-    test_.*\.(c|cpp|cxx)$ .*_test\.(c|cpp|cxx)$
-    .*/test.*$ .*/spec.*$
-    """
-)
+TEST_PATTERNS: list[str] = [
+    r"test_.*\.py$", r".*_test\.py$", r"conftest\.py$",
+    r".*/tests/.*\.py$", r".*/test/.*\.py$",
+    r".*\.test\.(js|ts|jsx|tsx)$", r".*\.spec\.(js|ts|jsx|tsx)$",
+    r".*/tests/.*\.(js|ts|jsx|tsx)$", r".*/test/.*\.(js|ts|jsx|tsx)$",
+    r".*/__tests__/.*\.(js|ts|jsx|tsx)$",
+    r".*Test\.java$", r".*Tests\.java$", r".*IT\.java$",
+    r".*/test/.*\.java$", r".*/tests/.*\.java$",
+    r".*_test\.go$",
+    r".*_test\.rs$", r".*/tests/.*\.rs$",
+    r"test_.*\.(c|cpp|cxx)$", r".*_test\.(c|cpp|cxx)$",
+    ".*/test.*$", ".*/spec.*$",
+]
 
 # Documentation file regexes.
-DOC_PATTERNS: list[str] = _words(
-    r"""
-    README.*$ CHANGELOG.*$ HISTORY.*$
-    LICENSE.*$ COPYING.*$ NOTICE.*$
-    CONTRIBUTING.*$ CODE_OF_CONDUCT.*$
-    .*\.md$ .*\.rst$ .*\.txt$
-    .*/docs/.*$ .*/doc/.*$ .*/documentation/.*$
-    .*\.adoc$ .*\.asciidoc$
-    """
-)
+DOC_PATTERNS: list[str] = [
+    "README.*$", "CHANGELOG.*$", "HISTORY.*$",
+    "LICENSE.*$", "COPYING.*$", "NOTICE.*$",
+    "CONTRIBUTING.*$", "CODE_OF_CONDUCT.*$",
+    r".*\.md$", r".*\.rst$", r".*\.txt$",
+    ".*/docs/.*$", ".*/doc/.*$", ".*/documentation/.*$",
+    r".*\.adoc$", r".*\.asciidoc$",
+]
 
 # Build script regexes.
-BUILD_PATTERNS: list[str] = _words(
-    r"""
-    Makefile$ makefile$ Dockerfile.*$
-    build\.sh$ build\.bat$ install\.sh$
-    setup\.py$ setup\.cfg$ pyproject\.toml$
-    build\.gradle$ build\.xml$ CMakeLists\.txt$
-    webpack\..*$ gulpfile\..*$ gruntfile\..*$
-    rollup\..*$ vite\..*$
-    """
-)
+BUILD_PATTERNS: list[str] = [
+    "Makefile$", "makefile$", "Dockerfile.*$",
+    r"build\.sh$", r"build\.bat$", r"install\.sh$",
+    r"setup\.py$", r"setup\.cfg$", r"pyproject\.toml$",
+    r"build\.gradle$", r"build\.xml$", r"CMakeLists\.txt$",
+    r"webpack\..*$", r"gulpfile\..*$", r"gruntfile\..*$",
+    r"rollup\..*$", r"vite\..*$",
+]
 
 # Asset regexes.
-ASSET_PATTERNS: list[str] = _words(
-    r"""
-    .*\.(png|jpg|jpeg|gif|svg|ico|webp)$
-    .*\.(css|scss|sass|less|styl)$
-    .*\.(woff|woff2|ttf|eot)$
-    .*\.(mp3|mp4|wav|avi|mov)$
-    .*\.(pdf|doc|docx|xls|xlsx)$
-    """
-)
+ASSET_PATTERNS: list[str] = [
+    r".*\.(png|jpg|jpeg|gif|svg|ico|webp)$",
+    r".*\.(css|scss|sass|less|styl)$",
+    r".*\.(woff|woff2|ttf|eot)$",
+    r".*\.(mp3|mp4|wav|avi|mov)$",
+    r".*\.(pdf|doc|docx|xls|xlsx)$",
+]
 
 # Utility and helper file regexes.
-UTILITY_PATTERNS: list[str] = _words(
-    r"""
-    .*/utils?/.*$ .*/util/.*$ .*/helpers?/.*$
-    .*/helper/.*$ .*/common/.*$ .*/shared/.*$
-    .*/lib/.*$ .*/libs/.*$ .*/library/.*$
-    .*util.*\..*$ .*helper.*\..*$ .*common.*\..*$
-    """
-)
+UTILITY_PATTERNS: list[str] = [
+    ".*/utils?/.*$", ".*/util/.*$", ".*/helpers?/.*$",
+    ".*/helper/.*$", ".*/common/.*$", ".*/shared/.*$",
+    ".*/lib/.*$", ".*/libs/.*$", ".*/library/.*$",
+    r".*util.*\..*$", r".*helper.*\..*$", r".*common.*\..*$",
+]
 
 # Files (or directories, with a slash at the end) characteristic of a framework.
-FRAMEWORK_FILES: dict[str, list[str]] = _table(
-    """
-    django settings.py urls.py wsgi.py asgi.py models.py views.py admin.py forms.py
-    flask app.py run.py config.py __init__.py
-    react App.js App.tsx index.js index.tsx App.css index.css
-    vue App.vue main.js main.ts index.html
-    angular app.module.ts main.ts app.component.ts angular.json app.component.html
-    spring Application.java Main.java application.properties application.yml pom.xml
-    express app.js server.js index.js routes/ middleware/ controllers/
-    """
-)
+FRAMEWORK_FILES: dict[str, list[str]] = {
+    "django": ["settings.py", "urls.py", "wsgi.py", "asgi.py", "models.py", "views.py", "admin.py", "forms.py"],
+    "flask": ["app.py", "run.py", "config.py", "__init__.py"],
+    "react": ["App.js", "App.tsx", "index.js", "index.tsx", "App.css", "index.css"],
+    "vue": ["App.vue", "main.js", "main.ts", "index.html"],
+    "angular": ["app.module.ts", "main.ts", "app.component.ts", "angular.json", "app.component.html"],
+    "spring": ["Application.java", "Main.java", "application.properties", "application.yml", "pom.xml"],
+    "express": ["app.js", "server.js", "index.js", "routes/", "middleware/", "controllers/"],
+}
 
 # The substring rules of the basic classification, first match wins.
 # level, content type, reason, substrings of the lower-cased path
@@ -253,9 +212,9 @@ BASIC_RULES: list[tuple[str, str, str, list[str]]] = [
 BASIC_DEFAULT: tuple[str, str, str] = ("MEDIUM", "General file", "Identified through pattern analysis")
 
 # What marks a line of a free-text answer as naming a file, and a word as being one.
-ANSWER_LINE_SUFFIXES: list[str] = _words(".py .js .ts .java .go .cpp .c .rb")
-ANSWER_WORD_SUFFIXES: list[str] = _words(".py .js .ts .java .go")
-ANSWER_LEVELS: list[str] = _words("CRITICAL HIGH MEDIUM LOW")
+ANSWER_LINE_SUFFIXES: list[str] = [".py", ".js", ".ts", ".java", ".go", ".cpp", ".c", ".rb"]
+ANSWER_WORD_SUFFIXES: list[str] = [".py", ".js", ".ts", ".java", ".go"]
+ANSWER_LEVELS: list[str] = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
 
 # Work limits.
 AUTHOR_COMMITS = 100

@@ -16,7 +16,7 @@ from repoquarry.functions.rows import unfold
 FENCE = "```json"
 FILE_TYPE = (
     "struct<file_path: string, importance_level: string, confidence_score: double, "
-    "reasons: array<string>, content_type: string, estimated_lines: int>"
+    "reasons: array<string>, content_type: string, estimated_lines: bigint>"
 )
 FILES_TYPE = f"array<{FILE_TYPE}>"
 
@@ -63,11 +63,16 @@ def _number(item: Column, field: str, type_name: str, pattern: str) -> Column:
     """Number of a field: JSON numbers and booleans as they are, texts when they spell one; null otherwise."""
     kind = _kind(item, field)
     raw = F.regexp_replace(F.try_variant_get(item, f"$.{field}", "string"), r"(?<=\d)_(?=\d)", "")
-    spelled = F.when(raw.rlike(pattern), text.strip_text(raw).try_cast(type_name))
+    # What is spelled as a number stays one: beyond the type's range the nearest value is taken.
+    wide = text.strip_text(raw).try_cast("double").cast(type_name)
+    spelled = F.when(raw.rlike(pattern), F.coalesce(text.strip_text(raw).try_cast(type_name), wide))
     return (
         F.when(kind == "STRING", spelled)
         .when(kind == "BOOLEAN", F.try_variant_get(item, f"$.{field}", "boolean").cast("int").cast(type_name))
-        .when(~kind.rlike("^(ARRAY|OBJECT)"), F.try_variant_get(item, f"$.{field}", type_name))
+        .when(
+            ~kind.rlike("^(ARRAY|OBJECT)"),
+            F.coalesce(F.try_variant_get(item, f"$.{field}", type_name), F.try_variant_get(item, f"$.{field}", "double").cast(type_name)),
+        )
     )
 
 
@@ -78,7 +83,7 @@ def _is_bad(item: Column) -> Column:
         present = F.coalesce(_kind(item, field), F.lit("VOID")) != "VOID"
         return present & _number(item, field, type_name, pattern).isNull()
 
-    return bad("confidence_score", "double", _FLOAT) | bad("estimated_lines", "int", _INT)
+    return bad("confidence_score", "double", _FLOAT) | bad("estimated_lines", "bigint", _INT)
 
 
 def _file(item: Column) -> Column:
@@ -97,7 +102,7 @@ def _file(item: Column) -> Column:
         F.coalesce(_number(item, "confidence_score", "double", _FLOAT), F.lit(0.7)).alias("confidence_score"),
         F.coalesce(given, F.array().cast("array<string>")).alias("reasons"),
         string("content_type", "").alias("content_type"),
-        F.coalesce(_number(item, "estimated_lines", "int", _INT), F.lit(100)).alias("estimated_lines"),
+        F.coalesce(_number(item, "estimated_lines", "bigint", _INT), F.lit(100).cast("bigint")).alias("estimated_lines"),
     )
 
 

@@ -100,7 +100,8 @@ def commit_files(changes: DataFrame, page_size: int = 1000) -> DataFrame:
     An ordinary commit is one row; an import of millions of files is many pages.
     """
     change = F.struct("file_path", "change_type", "old_path", "lines_added", "lines_deleted")
-    return paged_lists(changes, ["repo_id", "commit_id"], change, F.col("file_path"), page_size, "files_changed")
+    order = ["file_path", "change_type", "old_path", "lines_added", "lines_deleted"]
+    return paged_lists(changes, ["repo_id", "commit_id"], order, change, page_size, "files_changed")
 
 
 def file_history(
@@ -112,6 +113,8 @@ def file_history(
         touched = touched.filter(F.col("file_path") == file_path)
     # A commit may list a file twice; equal ranks keep such rows together until they are dropped below.
     ranks = F.dense_rank().over(Window.partitionBy("repo_id", "file_path").orderBy(*log_order(commits)))
-    joined = touched.join(commits, ["repo_id", "commit_id"])
-    newest_first = joined.withColumn("rank", ranks).filter(F.col("rank") <= n)
-    return newest_first.dropDuplicates(["repo_id", "file_path", "commit_id"])
+    # Only what orders the log goes through the ranking; authors and messages join the commits that are left.
+    narrow = [c for c in ("ts", "seq") if c in commits.columns]
+    joined = touched.distinct().join(commits.select("repo_id", "commit_id", *narrow), ["repo_id", "commit_id"])
+    newest_first = joined.withColumn("rank", ranks).filter(F.col("rank") <= n).drop(*narrow)
+    return newest_first.join(commits, ["repo_id", "commit_id"])

@@ -28,14 +28,14 @@ LANGUAGE_CATEGORIES = list(CATALOGUE)[:6]
 def find_regex(pattern: str) -> str:
     """The pattern as a regex searched for in a relative path.
 
-    Plain names must be the whole file name, names ending in a slash a directory. A leading ".*" means nothing to a
-    search and only makes it slower.
+    The path has a slash before it, so that folders at the root are found like others. Plain names must be the whole file
+    name, names ending in a slash a directory. A leading ".*" means nothing to a search and only makes it slower.
     """
     if re.search(r"[\\^$*+?()|\[]", pattern):
         return re.sub(r"^\.\*", "", pattern)
     if pattern.endswith("/"):
-        return rf"(^|/){re.escape(pattern)}"
-    return rf"(^|/){re.escape(pattern)}$"
+        return rf"/{re.escape(pattern)}"
+    return rf"/{re.escape(pattern)}$"
 
 
 def category_regex(category: str) -> str:
@@ -111,7 +111,7 @@ FLAGS = {
 
 
 def flag(path: Column | str, category: str) -> Column:
-    return paths.col(path).rlike(category_regex(category))
+    return F.concat(F.lit("/"), paths.col(path)).rlike(category_regex(category))
 
 
 def match_patterns(files: DataFrame) -> DataFrame:
@@ -129,10 +129,10 @@ def explain_pattern(files: DataFrame) -> DataFrame:
     def matched(category: str) -> str:
         # One SQL text: over a hundred Column objects would cost seconds of driver time before anything runs.
         hits = ", ".join(
-            f"case when path rlike r'{find_regex(p)}' then named_struct('category', '{category}', 'key', '{k}', 'pattern', r'{p}') end"
+            f"case when concat('/', path) rlike r'{find_regex(p)}' then named_struct('category', '{category}', 'key', '{k}', 'pattern', r'{p}') end"
             for k, p in CATALOGUE[category]
         )
-        return f"case when path rlike r'{category_regex(category)}' then array_compact(array({hits})) else array() end"
+        return f"case when concat('/', path) rlike r'{category_regex(category)}' then array_compact(array({hits})) else array() end"
 
     hits = F.expr(f"concat({', '.join(map(matched, CATALOGUE))})")
     return unfold(files, ["repo_id", "path"], hits, "hit").select("repo_id", "path", "hit.*")

@@ -14,12 +14,12 @@ from repoquarry.sources.tree import file_tree
 
 # Kinds of sensitive text, masked in this order.
 SENSITIVE = {
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----",
+    "private_key": r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----",
     "access_key": r"\b(AKIA|ASIA)[0-9A-Z]{16}\b",
     "token": r"\b(ghp|gho|ghs|glpat|xoxb|xoxp)[-_][0-9A-Za-z_-]{20,}",
-    "assigned_secret": r"(?i)\b(password|passwd|secret|api[_-]?key|token)\b[ \t]*[:=][ \t]*[^\s,;]{6,}",
+    "assigned_secret": r"(?i)(password|passwd|secret|api[_-]?key|token)(_[a-z0-9_]{1,40})?[\x22\x27]?[ \t]*[:=][ \t]*[^\s,;]{6,}",
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "ipv4": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
+    "ipv4": r"\b(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(\.(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}\b",
     "phone": r"\+?[0-9]{1,3}[ -]\(?[0-9]{3}\)?[ -][0-9]{3}[ -]?[0-9]{4}\b",
 }
 # Every passage of a kind holds one of these literals; a text without any is spared the regex.

@@ -5,26 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repoquarry.session import cut_lineage
+
+
+_GROUP_LIMIT = 1000
+"""From this rank on Spark no longer cuts groups before the shuffle (`spark.sql.optimizer.windowGroupLimitThreshold`)."""
+
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first n rows of each group.
 
-    The rank filter becomes a group limit before the shuffle, so at most n rows per group leave each task (for n below
-    `spark.sql.optimizer.windowGroupLimitThreshold`, 1000 by default).
+    The rank filter becomes a group limit before the shuffle, so at most n rows per group leave each task. For n from 1000 on, where
+    Spark has no such limit, groups are first cut into slices by a hash of the row and each slice is reduced to its first n rows, so a
+    hot group is never sorted in one task.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
+    if n >= _GROUP_LIMIT:
+        slices = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(64))
+        inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+        df = df.withColumn("_slice", slices).withColumn("_inside", F.row_number().over(inside)).filter(F.col("_inside") <= n).drop("_slice", "_inside")
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 
 
-def spread_join(large: DataFrame, small: DataFrame, keys: list[str], spread_by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+def spread_join(
+    large: DataFrame, small: DataFrame, keys: list[str], spread_by: str, how: str = "inner", rows_per_place: int = 1_000_000
+) -> DataFrame:
     """Join whose large side may hold a third of its rows under one key.
 
-    The large side is cut by the hash of `spread_by` and every row of the small side, which has few rows per key, is
-    repeated for each cut, so a hot key meets in `salts` places. Nothing is dropped and the result is that of the plain
-    join. If the small side turns out small enough to be broadcast, Spark drops the shuffle altogether.
+    Keys with more than `rows_per_place` rows on the large side are counted; their rows are cut by the hash of `spread_by` into as many
+    places as they need, and only for these keys the rows of the small side are repeated, once for each place. All other keys have
+    one place and nothing of theirs is repeated. Nothing is dropped and the result is that of the plain join.
     """
-    cut = large.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    counted = large.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > rows_per_place)
+    hot = counted.select(*keys, F.ceil(F.col("_rows") / F.lit(rows_per_place)).cast("int").alias("_places"))
+    # At most one key for every `rows_per_place` rows of the table.
+    one = F.coalesce("_places", F.lit(1))
+    cut = large.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread_by), one).cast("int")).drop("_places")
+    repeated = small.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_places")
     return cut.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -47,29 +64,50 @@ def rank_in_groups(df: DataFrame, keys: list[str], by: str, rank: str = "rank")
         .drop("_rows")
     )
     inside = Window.partitionBy(*slice_keys).orderBy("_hash", by)
+    # A missing key is a group of its own.
+    renamed = offsets.withColumnsRenamed({k: f"_of_{k}" for k in slice_keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in slice_keys]
     return (
         sliced.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, slice_keys)
+        .join(renamed, same)
+        .drop(*[f"_of_{k}" for k in slice_keys])
         .withColumn(rank, F.col("_offset") + F.col("_inside"))
         .drop("_hash", "_slice", "_inside", "_offset")
     )
 
 
-def paged_lists(
-    df: DataFrame, keys: list[str], value: Column, spread_by: Column, page_size: int, name: str
-) -> DataFrame:
-    """Groups as sorted arrays, in pages of about `page_size` values: `(keys, page, pages, name)`.
+def ordinals(df: DataFrame, keys: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
+    """Exact 1..n place of each row of its group in the order of the columns, with no group in one task.
 
-    Groups that fit have one page. Larger ones are spread over pages by the hash of `spread_by`, so no task or row holds
-    a whole large group and nothing is left out. Only groups beyond one page take part in the join, one row each.
+    All rows are sorted in ranges over the whole table, which cut a large group into many; a row's place in the table less the place of
+    its group's first row gives its place in the group. The ranges are drawn from a sample, so the sorted rows are stored first.
     """
-    rows = df.select(*keys, value.alias("_value"), F.xxhash64(spread_by).alias("_spread"))
-    large = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > page_size)
-        .select(*keys, F.ceil(F.col("_n") / F.lit(page_size)).cast("bigint").alias("_pages"))
-    )
-    paged = spread_join(rows, large, keys, "_spread", "left").withColumn("pages", F.coalesce("_pages", F.lit(1).cast("bigint")))
-    paged = paged.withColumn("page", F.pmod("_spread", "pages"))
-    return paged.groupBy(*keys, "page", "pages").agg(F.sort_array(F.collect_list("_value")).alias(name))
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    stored = cut_lineage(ranged.withColumn("_range", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stored.groupBy("_range").agg(F.count("*").alias("_rows"), F.min("_id").alias("_low"))  # one row per range
+    starts = offsets.select("_range", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_low")).alias("_shift"))
+    placed = stored.join(F.broadcast(starts), "_range").withColumn("_place", F.col("_id") + F.col("_shift"))
+    first = placed.groupBy(*keys).agg(F.min("_place").alias("_first"))
+    return placed.join(first, keys).withColumn(name, F.col("_place") - F.col("_first") + 1).drop("_range", "_id", "_shift", "_place", "_first")
+
+
+def paged_lists(df: DataFrame, keys: list[str], order: list[str], value: Column, page_size: int, name: str) -> DataFrame:
+    """Groups as arrays sorted by `order`, in pages: `(keys, page, pages, name)`.
+
+    Page p holds the places p * page_size + 1 up to (p + 1) * page_size, so the pages one after the other are the sorted group, whatever
+    their size. Groups beyond one page get their places from `ordinals`; no task or row holds a whole large group.
+    """
+    entry = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], value.alias("_value"))
+    rows = df.select(*keys, *order, entry.alias("_entry"))
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    large = cut_lineage(sizes.filter(F.col("_n") > page_size))
+    count = F.ceil(F.col("_n") / F.lit(page_size)).cast("bigint")
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    listed = F.transform(F.sort_array(F.collect_list("_entry")), lambda e: e["_value"]).alias(name)
+    if large.isEmpty():
+        return rows.groupBy(*keys).agg(listed).select(*keys, zero.alias("page"), one.alias("pages"), name)
+    small = rows.join(large, keys, "left_anti").groupBy(*keys).agg(listed).select(*keys, zero.alias("page"), one.alias("pages"), name)
+    placed = ordinals(rows.join(large, keys, "left_semi"), keys, order)
+    paged = placed.withColumn("page", F.floor((F.col("ordinal") - 1) / F.lit(page_size)).cast("bigint")).groupBy(*keys, "page").agg(listed)
+    return small.unionByName(paged.join(large.select(*keys, count.alias("pages")), keys).select(*keys, "page", "pages", name))

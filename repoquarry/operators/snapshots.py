@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repoquarry.functions import paths, text
+from repoquarry.operators.languages import enrich_files
 from repoquarry.operators.skew import rank_in_groups
 
 
@@ -20,8 +20,7 @@ def diff_snapshots(a: DataFrame, b: DataFrame) -> DataFrame:
     )
     # Grouping instead of a full join: conditions on the result cannot be pushed below the aggregation, so the parts
     # further down read one and the same shuffle of the snapshots instead of shuffling them again each.
-    # A repository id is always given; saying so once keeps the joins below from each adding their own condition.
-    both = tagged.filter("repo_id is not null").groupBy("repo_id", "path").agg(
+    both = tagged.groupBy("repo_id", "path").agg(
         F.max(F.when(F.col("in_a"), F.col("blob"))).alias("blob_a"),
         F.max(F.when(~F.col("in_a"), F.col("blob"))).alias("blob_b"),
         F.bool_or("in_a").alias("in_a"),
@@ -55,21 +54,19 @@ def diff_snapshots(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def file_stats(files: DataFrame) -> DataFrame:
-    """`(repo_id, path, blob, language, line_count)`: what an incremental profile keeps per file."""
-    return files.select(
-        "repo_id", "path", "blob", paths.language_of("path").alias("language"), text.line_count("content").alias("line_count")
-    )
+    """What an incremental profile keeps per file: the enriched table, which profiles take in place of `files`."""
+    return enrich_files(files)
 
 
 def incremental_stats(previous: DataFrame, files: DataFrame) -> DataFrame:
-    """`file_stats(files)`, taking unchanged files from the previous table.
+    """`file_stats(files)`, taking unchanged files from the previous table; `repo_profile` takes it in place of `files`.
 
     Only files whose (path, blob) is new have their content counted. The snapshot is matched on narrow columns; the
     wide scan is then reduced to the changed keys.
     """
     keys = ["repo_id", "path", "blob"]
     current = files.select(*keys)
-    unchanged = previous.join(current, keys, "left_semi").select(*keys, "language", "line_count")
+    unchanged = previous.join(current, keys, "left_semi")
     changed = current.join(previous.select(*keys), keys, "left_anti").select("repo_id", "path")
     fresh = files.join(changed, ["repo_id", "path"], "left_semi")
-    return unchanged.unionByName(file_stats(fresh))
+    return unchanged.unionByName(file_stats(fresh)).select(*previous.columns)

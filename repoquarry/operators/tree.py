@@ -15,7 +15,7 @@ def directory_index(files: DataFrame, page_size: int = 1000) -> DataFrame:
 
     A directory of ordinary size is one row. `file_tree` is the flat form of the same data.
     """
-    return paged_lists(file_tree(files), ["repo_id", "dir"], F.col("name"), F.col("name"), page_size, "files")
+    return paged_lists(file_tree(files), ["repo_id", "dir"], ["name"], F.col("name"), page_size, "files")
 
 
 def flatten_index(index: DataFrame) -> DataFrame:

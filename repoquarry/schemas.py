@@ -9,7 +9,7 @@ COMMITS = (
 )
 FILE_CHANGES = (
     "repo_id string, commit_id string, file_path string, change_type string, old_path string, "
-    "lines_added bigint, lines_deleted bigint, parent_no int"
+    "lines_added bigint, lines_deleted bigint, ts timestamp, parent_no int"
 )
 # One row per commit with its changes nested, as exports of a log write it.
 COMMIT_EXPORT = (
@@ -19,7 +19,7 @@ COMMIT_EXPORT = (
 )
 IMPORTANT_FILES = (
     "repo_id string, file_path string, importance_level string, confidence_score double, "
-    "reasons array<string>, content_type string, estimated_lines int, ordinal bigint"
+    "reasons array<string>, content_type string, estimated_lines bigint, ordinal bigint"
 )
 RESPONSES = "repo_id string, response_id string, text string"
 LISTING = "repo_id string, root string, path string"

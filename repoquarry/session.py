@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +30,13 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g"
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables named by the cluster.
 
-    Only where none is set (tests, a laptop) a temporary folder is taken.
+    Only where none is set and all runs on this machine (tests, a laptop) a temporary folder is taken; executors elsewhere could not
+    see it.
     """
     context = spark.sparkContext
     folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
+    if folder is None and context.getCheckpointDir() is None and not re.match(r"local(\[|$)", context.master):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="repoquarry-"))
     return folder or context.getCheckpointDir()

@@ -32,11 +32,12 @@ def scan_changes(source: DataFrame) -> DataFrame:
     """
     if "files_changed" in source.columns:
         nested = source.select(
-            "repo_id", F.col("commit_hash").alias("commit_id"), F.explode("files_changed").alias("change")
+            "repo_id", F.col("commit_hash").alias("commit_id"), F.col("date").alias("ts"), F.explode("files_changed").alias("change")
         )
-        source = nested.select("repo_id", "commit_id", "change.*")
+        source = nested.select("repo_id", "commit_id", "ts", "change.*")
     if "parent_no" in source.columns:
         source = source.filter(F.coalesce("parent_no", F.lit(1)) == 1).drop("parent_no")
+    time = [F.col("ts")] if "ts" in source.columns else []
     # The new path names the file; a deletion may only carry the old one.
     return source.select(
         "repo_id",
@@ -46,6 +47,7 @@ def scan_changes(source: DataFrame) -> DataFrame:
         F.when(F.col("change_type").startswith("R"), F.col("old_path")).alias("old_path"),
         F.coalesce("lines_added", F.lit(0)).cast("bigint").alias("lines_added"),
         F.coalesce("lines_deleted", F.lit(0)).cast("bigint").alias("lines_deleted"),
+        *time,
     )
 
 

@@ -35,8 +35,11 @@ def stream_change_counts(
 def run_to_table(counts: DataFrame, table: str, checkpoint: str) -> None:
     """Processes what is available and keeps the changed counts of each batch under `table/batch=N`.
 
-    A batch that is tried again overwrites its own folder, so failures leave neither gaps nor doubles.
+    A batch that is tried again overwrites its own folder, so failures leave neither gaps nor doubles. An empty batch -1 holds the
+    columns, so that a stream without input is a table without rows.
     """
+    spark = counts.sparkSession
+    spark.createDataFrame([], counts.schema).write.mode("overwrite").parquet(f"{table}/batch=-1")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")

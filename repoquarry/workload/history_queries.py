@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoquarry.operators import history, snapshots
-from repoquarry.plans import reports
+from repoquarry.plans import profile, reports
 from repoquarry.sources import tables
 from repoquarry.workload.registry import query
 from repoquarry.workload.views import Inputs
@@ -19,7 +19,7 @@ def _(t: Inputs) -> DataFrame:
     return tables.scan_commits(t.commits)
 
 
-@query("scan_changes", "select repo_id, commit_id, file_path, change_type, old_path, lines_added, lines_deleted from file_changes")
+@query("scan_changes", f"select repo_id, commit_id, file_path, change_type, old_path, lines_added, lines_deleted, {_TS} from file_changes")
 def _(t: Inputs) -> DataFrame:
     return tables.scan_changes(t.file_changes)
 
@@ -78,16 +78,18 @@ def _(t: Inputs) -> DataFrame:
 
 @query(
     "commit_files",
-    """select repo_id, commit_id, 0::bigint as page, 1::bigint as pages, count(*) as files,
-              string_agg(file_path || ':' || change_type, '|' order by file_path, change_type) as listed
-       from file_changes group by all""",
+    """select repo_id, commit_id, (ordinal - 1) // 3 as page, max((n + 2) // 3) as pages, count(*) as files, string_agg(change, '|' order by ordinal) as listed
+       from (select *, count(*) over (partition by repo_id, commit_id) as n, concat_ws(':', file_path, change_type, old_path, lines_added, lines_deleted) as change,
+                    row_number() over (partition by repo_id, commit_id order by file_path, change_type, old_path nulls first, lines_added, lines_deleted) as ordinal
+             from file_changes) group by all""",
 )
 def _(t: Inputs) -> DataFrame:
-    nested = history.commit_files(t.file_changes)
-    listed = F.transform("files_changed", lambda c: F.concat(c["file_path"], F.lit(":"), c["change_type"]))
+    nested = history.commit_files(t.file_changes, page_size=3)
+    fields = ["file_path", "change_type", "old_path", "lines_added", "lines_deleted"]
+    listed = F.transform("files_changed", lambda c: F.concat_ws(":", *[c[f].cast("string") for f in fields]))
     return nested.select(
         "repo_id", "commit_id", "page", "pages", F.size("files_changed").alias("files"),
-        F.array_join(F.sort_array(listed), "|").alias("listed"),
+        F.array_join(listed, "|").alias("listed"),
     )
 
 
@@ -152,4 +154,32 @@ def _(t: Inputs) -> DataFrame:
         "case when size % 5 = 2 then concat('moved/', path) else path end as path",
         "case when size % 7 = 0 then concat(content, '!') else content end as content",
     ).withColumn("blob", F.md5("content"))
-    return snapshots.incremental_stats(snapshots.file_stats(kept), later)
+    later = later.withColumn("size", F.length("content"))
+    stats = snapshots.incremental_stats(snapshots.file_stats(kept), later)
+    return stats.select("repo_id", "path", "blob", "language", "line_count")
+
+
+@query(
+    "incremental_repo_profile",
+    """with n as (select repo_id, path, coalesce(language, '') as language,
+                  length(text) - length(replace(text, chr(10), '')) + case when text <> '' and right(text, 1) <> chr(10) then 1 else 0 end as lines
+           from (select b.repo_id, b.path, e.language, case when f.size % 7 = 0 then concat(f.content, '!') else f.content end as text
+                 from snapshot_b b join files f on f.repo_id = b.repo_id and f.path = replace(b.path, 'moved/', '')
+                 left join o_ext e on e.ext = lower(regexp_extract(b.path, '([.][^./]+)$', 1))
+                 where len(list_filter(string_split(b.path, '/'), lambda x: x like '.%')) = 0)),
+       l as (select repo_id, language, sum(lines) as s from n where language <> '' group by all)
+       select repo_id, count(*) as total_files,
+              (select arg_min(language, (-s, language)) from l where l.repo_id = n.repo_id) as primary_language
+       from n group by repo_id""",
+)
+def _(t: Inputs) -> DataFrame:
+    """The profile of snapshot b, from the stored facts of snapshot a and the contents of what changed."""
+    files = t.files
+    kept = files.filter("(size + length(path)) % 10 <> 0")
+    later = files.filter("(size + length(path)) % 10 <> 1").selectExpr(
+        "repo_id",
+        "case when size % 5 = 2 then concat('moved/', path) else path end as path",
+        "case when size % 7 = 0 then concat(content, '!') else content end as content",
+    ).withColumns({"blob": F.md5("content"), "size": F.length("content")})
+    stats = snapshots.incremental_stats(snapshots.file_stats(kept), later)
+    return profile.repo_profile(stats, t.commits).select("repo_id", "total_files", "primary_language")

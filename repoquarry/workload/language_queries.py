@@ -76,10 +76,12 @@ def _(t: Inputs) -> DataFrame:
     return languages.sample_files(t.files).select("repo_id", "language", F.explode("sample_files").alias("path"))
 
 
-@query("directory_index", "select repo_id, dir, count(*) as file_count, string_agg(name, '|' order by name) as names from o_tree group by all")
+@query("directory_index", """select repo_id, dir, (ordinal - 1) // 20 as page, max((n + 19) // 20) as pages, count(*) as file_count, string_agg(name, '|' order by name) as names
+          from (select *, row_number() over (partition by repo_id, dir order by name) as ordinal, count(*) over (partition by repo_id, dir) as n from o_tree)
+          group by all""")
 def _(t: Inputs) -> DataFrame:
-    index = tree.directory_index(t.files, page_size=1000000)
-    return index.select("repo_id", "dir", F.size("files").alias("file_count"), F.array_join("files", "|").alias("names"))
+    index = tree.directory_index(t.files, page_size=20)
+    return index.select("repo_id", "dir", "page", "pages", F.size("files").alias("file_count"), F.array_join("files", "|").alias("names"))
 
 
 @query("directory_totals", "select repo_id, dir, count(*) as file_count from o_tree group by all")

@@ -115,7 +115,7 @@ _README = """
     (select concat('d', cast(cast(floor(doc_id / 4) as bigint) as varchar(20))) as repo_id,
             case doc_id % 4 when 0 then 'README' when 1 then 'docs/README.md' when 2 then 'README.txt' else 'README.md' end as path,
             text as content, doc_id
-     from documents where n_chars % 3 <> 0) d"""
+     from documents) d"""
 
 
 @query(

@@ -169,7 +169,7 @@ ORACLE_VIEWS: dict[str, str] = {
         from code_files""",
     "o_hits": """
         select repo_id, path, category, key, pattern from o_code, o_catalogue
-        where case kind when 'regex' then regexp_matches(path, pattern) when 'name' then name = pattern
+        where case kind when 'regex' then regexp_matches('/' || path, pattern) when 'name' then name = pattern
                         else strpos('/' || path, '/' || pattern) > 0 end""",
     "o_code_lang": """
         select c.*, e.language, len(list_filter(string_split(path, '/'), lambda x: x like '.%')) > 0 as ignored

@@ -68,3 +68,9 @@ def test_text_fold_equals_model(spark):
     got = [(r.response_id, r.file_path, r.importance_level, r.reasons) for r in answers.extract_files_from_text(df).orderBy("response_id", "ordinal").collect()]
     assert got == [(i, *row) for i, t in enumerate(texts) for row in model(t)]
     assert len(got) > 200
+
+
+def test_large_numbers_keep_the_answer(spark):
+    text = '[{"file_path": "a.py", "estimated_lines": 3000000000}, {"file_path": "b.py", "estimated_lines": "5000000000", "confidence_score": 1}]'
+    found = answers.parse_important_files(spark.createDataFrame([("r", "1", text)], "repo_id string, response_id string, text string"))
+    assert [(r.file_path, r.estimated_lines, r.source) for r in found.orderBy("ordinal").collect()] == [("a.py", 3000000000, "json"), ("b.py", 5000000000, "json")]

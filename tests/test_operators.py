@@ -145,7 +145,7 @@ def test_unreadable_files_are_never_renames(spark):
 
 
 def test_incremental_equals_full(spark):
-    make = lambda d: spark.createDataFrame([("r", p, c) for p, c in d.items()], "repo_id string, path string, content string").withColumn("blob", F.md5("content"))
+    make = lambda d: spark.createDataFrame([("r", p, c) for p, c in d.items()], "repo_id string, path string, content string").withColumns({"blob": F.md5("content"), "size": F.length("content")})
     a = make({"a.py": "1\n2\n", "b.py": "x", "c.md": "t\n"})
     b = make({"a.py": "1\n2\n", "b.py": "x\ny\nz", "d.js": "q\n"})
     assert rows(snapshots.incremental_stats(snapshots.file_stats(a), b), "path") == rows(snapshots.file_stats(b), "path")
@@ -242,7 +242,7 @@ def test_explain_agrees_with_python_search(spark):
         for category, entries in patterns.CATALOGUE.items():
             for key, p in entries:
                 if re.search(r"[\\^$*+?()|\[]", p):
-                    hit = re.search(p, path)
+                    hit = re.search(p, "/" + path)  # a folder at the root is found like others
                 elif p.endswith("/"):
                     hit = p[:-1] in path.split("/")[:-1]
                 else:
@@ -312,7 +312,7 @@ def test_imports_and_manifests(spark):
     )
     edges = dependencies.import_edges(files)
     assert {(r.path, r.module) for r in edges.collect()} == {
-        ("pkg/a.py", "os"), ("pkg/a.py", "pkg.b"), ("pkg/a.py", "pkg.c"), ("pkg/a.py", "."), ("pkg/b.py", "pkg.c"), ("x.go", "fmt"), ("x.go", "a/b"),
+        ("pkg/a.py", "os"), ("pkg/a.py", "pkg.b"), ("pkg/a.py", "pkg.c"), ("pkg/a.py", "pkg.c.z"), ("pkg/a.py", "."), ("pkg/a.py", ".k"), ("pkg/b.py", "pkg.c"), ("x.go", "fmt"), ("x.go", "a/b"),
     }
     between = dependencies.file_edges(edges, files)
     assert {(r.src, r.dst) for r in between.collect()} == {("pkg/a.py", "pkg/b.py"), ("pkg/a.py", "pkg/c/__init__.py"), ("pkg/b.py", "pkg/c/__init__.py")}
@@ -326,6 +326,53 @@ def test_imports_and_manifests(spark):
     }
 
 
+def test_imports_become_files(spark):
+    texts = {
+        "pkg/__init__.py": "", "pkg/a.py": "from .b import x\nfrom pkg import c\nfrom . import (\n    d,\n)\n", "pkg/b.py": "", "pkg/c.py": "", "pkg/d.py": "",
+        "pkg/sub/e.py": "from ..b import y\n", "web/a.ts": 'import x from "./b";\nimport y from "../lib";\n', "web/b.tsx": "", "lib/index.js": "",
+        "c/m.c": '#include "m.h"\n', "c/m.h": "", "src/main/java/p/A.java": "import p.B;\nimport static p.B.run;\n", "src/main/java/p/B.java": "",
+        "src/lib.rs": "use crate::net::{Conn, Pool};\n", "src/net.rs": "", "node_modules/q/i.js": 'require("./j")', "node_modules/q/j.js": "",
+    }
+    files = spark.createDataFrame([("r", p, c) for p, c in texts.items()], "repo_id string, path string, content string")
+    found = {(r.src, r.dst) for r in dependencies.file_edges(dependencies.import_edges(files), files).collect()}
+    assert found == {
+        ("pkg/a.py", "pkg/b.py"), ("pkg/a.py", "pkg/__init__.py"), ("pkg/a.py", "pkg/c.py"), ("pkg/a.py", "pkg/d.py"), ("pkg/sub/e.py", "pkg/b.py"),
+        ("web/a.ts", "web/b.tsx"), ("web/a.ts", "lib/index.js"), ("c/m.c", "c/m.h"), ("src/main/java/p/A.java", "src/main/java/p/B.java"), ("src/lib.rs", "src/net.rs"),
+    }
+    changed = spark.createDataFrame([("r", "pkg/b.py")], "repo_id string, path string")
+    assert {r.path for r in dependencies.impact_from_code(changed, files).collect()} == {"pkg/b.py", "pkg/a.py", "pkg/sub/e.py"}
+
+
+def test_impact_goes_to_the_end(spark):
+    edges = spark.createDataFrame([("r", f"f{k + 1}", f"f{k}") for k in range(20)], "repo_id string, src string, dst string")
+    changed = spark.createDataFrame([("r", "f0")], "repo_id string, path string")
+    assert {(r.path, r.depth) for r in dependencies.change_impact(changed, edges).collect()} == {(f"f{k}", k) for k in range(21)}
+    assert dependencies.change_impact(changed, edges, max_depth=3).count() == 4
+
+
+def test_manifest_forms(spark):
+    texts = {
+        "requirements.txt": "https://h/x.whl\nflask==1\n",
+        "pyproject.toml": '[project.optional-dependencies]\ntest = ["pytest>=8"]\n\n[dependency-groups]\ndev = [\n  "ruff",\n]\n',
+        "package.json": '{"peerDependencies": {"react": "^18"}, "optionalDependencies": {"fs": "1"}}',
+        "Cargo.toml": '[dependencies.serde]\nfeatures = ["x"]\nversion = "1.0"\n',
+        "Pipfile": '[packages]\nrequests = "*"\n[dev-packages]\nblack = {version = "23"}\n',
+        "Gemfile": "gem 'rails', '~> 7'\ngem \"puma\"\n",
+        "composer.json": '{"require": {"a/b": "1.0"}, "require-dev": {"c/d": "2"}}',
+        "build.gradle": "dependencies {\n  implementation 'g:a:1.2'\n  testImplementation(\"t:u\")\n}\n",
+        "setup.cfg": "[options]\ninstall_requires =\n    six>=1\n    attrs\nzip_safe = no\n",
+        "node_modules/q/package.json": '{"dependencies": {"hidden": "1"}}',
+    }
+    files = spark.createDataFrame([("r", p, c) for p, c in texts.items()], "repo_id string, path string, content string")
+    found = {(r.path, r.package, r.version) for r in dependencies.dependency_manifest(files).collect()}
+    assert found == {
+        ("requirements.txt", "flask", "==1"), ("pyproject.toml", "pytest", ">=8"), ("pyproject.toml", "ruff", None), ("package.json", "react", "^18"),
+        ("package.json", "fs", "1"), ("Cargo.toml", "serde", "1.0"), ("Pipfile", "requests", "*"), ("Pipfile", "black", "23"), ("Gemfile", "rails", "~> 7"),
+        ("Gemfile", "puma", None), ("composer.json", "a/b", "1.0"), ("composer.json", "c/d", "2"), ("build.gradle", "g:a", "1.2"), ("build.gradle", "t:u", None),
+        ("setup.cfg", "six", ">=1"), ("setup.cfg", "attrs", None),
+    }
+
+
 def test_impact_of_a_cycle_ends(spark):
     edges = spark.createDataFrame([("r", "a", "b"), ("r", "b", "c"), ("r", "c", "a")], "repo_id string, src string, dst string")
     changed = spark.createDataFrame([("r", "a")], "repo_id string, path string")
@@ -339,6 +386,24 @@ def test_masking(spark):
     assert {r.kind: r.findings for r in quality.sensitive_findings(df).collect()} == {"email": 1, "access_key": 1, "assigned_secret": 1, "ipv4": 1, "phone": 1}
 
 
+def test_masking_of_keys_and_names(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\nabc-def\n-----END RSA PRIVATE KEY-----"
+    texts = {
+        "DB_PASSWORD=supersecret": "DB_[ASSIGNED_SECRET]", "AWS_SECRET_ACCESS_KEY=abcdef123456": "AWS_[ASSIGNED_SECRET]",
+        '{"password": "hunter22", "x": 1}': '{"[ASSIGNED_SECRET], "x": 1}', key: "[PRIVATE_KEY]", "at 999.1.2.3": "at 999.1.2.3", "at 10.20.30.255": "at [IPV4]",
+    }
+    df = spark.createDataFrame([("r", t, t) for t in texts], "repo_id string, path string, content string")
+    assert {r.path: r.content for r in quality.mask_sensitive(df).collect()} == texts
+
+
+def test_pages_follow_the_order(spark):
+    files = spark.createDataFrame([("r", f"d/f{k:03}") for k in range(12)] + [("r", "e/x"), ("s", "d/f")], "repo_id string, path string")
+    pages = rows(tree.directory_index(files, page_size=5).filter("dir = 'd' and repo_id = 'r'"), "page")
+    assert [(p[2], p[3]) for p in pages] == [(0, 3), (1, 3), (2, 3)]
+    assert [n for p in pages for n in p[4]] == [f"f{k:03}" for k in range(12)] and [len(p[4]) for p in pages] == [5, 5, 2]
+    assert tree.directory_index(files, page_size=5).count() == 5
+
+
 def test_docs_to_refresh(spark):
     reports = spark.createDataFrame([("r", 1, "a", 5), ("r", 1, "b", 5), ("r", 2, "a", 9), ("r", 3, "never", 1)], "repo_id string, report_id int, file_path string, built_at int")
     changes = spark.createDataFrame([("r", "a", 7), ("r", "a", 3), ("r", "b", 4)], "repo_id string, file_path string, ts int")

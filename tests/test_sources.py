@@ -3,6 +3,7 @@ from __future__ import annotations
 import glob
 import json
 import os
+import re
 import subprocess
 
 import pytest
@@ -31,8 +32,10 @@ def tree(tmp_path):
 
 def test_tree_keeps_underscore_files(spark, tree):
     root, made = tree
-    listing = list_tree(spark.createDataFrame([("r", root)], "repo_id string, root string"))
+    repos = spark.createDataFrame([("r", root)], "repo_id string, root string")
+    listing = list_tree(repos, keep_ignored=True)
     assert {r.path for r in listing.collect()} == set(made)
+    assert {r.path for r in list_tree(repos, levels=1).collect()} == {p for p in made if not re.search(r"(^|/)([.]|node_modules/)", p)}
     files = scan_files(listing)
     got = {r.path: (r.content, r.size) for r in files.collect()}
     assert got == {
@@ -65,16 +68,17 @@ def test_nested_export(spark, tmp_path, sample):
     whole = nested.join(commits.withColumnsRenamed({"commit_id": "commit_hash", "ts": "date"}), ["repo_id", "commit_hash"])
     whole.write.json(str(tmp_path / "log"))
     back = tables.read_export(spark, str(tmp_path / "log"))
-    assert rows(tables.scan_changes(back), "commit_id", "file_path") == rows(changes, "commit_id", "file_path")
+    assert rows(tables.scan_changes(back).drop("ts"), "commit_id", "file_path") == rows(changes, "commit_id", "file_path")
+    assert {(r.commit_id, r.ts) for r in tables.scan_changes(back).collect()} == {(r.commit_id, r.ts) for r in commits.collect()}
     assert tables.commits_of_export(back).count() == 2
 
 
 def test_only_first_parent_counts(spark):
     merged = spark.createDataFrame(
-        [("r", "c", "a", "M", None, 1, 1, 1), ("r", "c", "b", "M", None, 1, 1, 2), ("r", "c", None, "D", "gone", None, 3, None)], schemas.FILE_CHANGES
+        [("r", "c", "a", "M", None, 1, 1, None, 1), ("r", "c", "b", "M", None, 1, 1, None, 2), ("r", "c", None, "D", "gone", None, 3, None, None)], schemas.FILE_CHANGES
     )
     got = rows(tables.scan_changes(merged), "file_path")
-    assert got == [("r", "c", "a", "M", None, 1, 1), ("r", "c", "gone", "D", None, 0, 3)]
+    assert got == [("r", "c", "a", "M", None, 1, 1, None), ("r", "c", "gone", "D", None, 0, 3, None)]
 
 
 def _text(folder):

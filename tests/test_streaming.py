@@ -37,3 +37,10 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = change_counts.stream_change_counts(spark.read.parquet(source), ["file_path"], "delivery")
     order = ["window_start", "file_path"]
     assert rows(streamed, *order) == rows(batch, *order)
+
+
+def test_stream_without_input_is_an_empty_table(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = change_counts.read_stream(spark, str(tmp_path / "in"), "event_id bigint, ts timestamp, kind string")
+    counts = change_counts.stream_change_counts(stream, ["kind"], "event_id")
+    assert change_counts.run_once(counts, ["kind"]).collect() == []

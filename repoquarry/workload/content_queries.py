@@ -44,6 +44,22 @@ def _(t: Inputs) -> DataFrame:
     )
 
 
+@query(
+    "read_contents_guards",
+    """select g.repo_id, g.file_path, case i % 7 when 0 then md5(text) when 3 then md5(repeat(md5(text) || chr(10), 1999) || md5(text) || chr(10) || chr(10) ||
+                '... (truncated, showing first 2000 lines)') else md5('') end as text_md5,
+              case when i % 7 in (4, 5, 6) then 0 else size end as file_size_bytes,
+              case i % 7 when 0 then length(text) - length(replace(text, chr(10), '')) + 1 when 3 then 2000 else 0 end as line_count, i % 7 in (0, 3) as is_readable,
+              case i % 7 when 1 then 'File too large: ' || size || ' bytes > 1048576 bytes' when 2 then 'Could not decode file content'
+                         when 4 then 'Skipped binary/large file type: .PNG' when 5 then 'Path is not a file' when 6 then 'File does not exist' end as error_message
+       from guard_important g join guard_files f on f.i = g.ordinal join documents on doc_id = i""",
+)
+def _(t: Inputs) -> DataFrame:
+    """Every guard: too large, no text, too many lines, binary, a directory, missing."""
+    read = contents.read_contents(t.guard_important, t.guard_files)
+    return read.select("repo_id", "file_path", F.md5("content").alias("text_md5"), "file_size_bytes", "line_count", "is_readable", "error_message")
+
+
 @query("content_stats", "select * from o_stats")
 def _(t: Inputs) -> DataFrame:
     return contents.content_stats(contents.read_contents(important(t), t.files))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +52,12 @@ def _(t: Inputs) -> DataFrame:
 @query(
     "recent_commits",
     f"""select repo_id, commit_id, author, {_TS}, message, pos as rank from o_log
-        where pos <= 10 and ts >= timestamp '1998-07-31'""",
+        where pos <= 10 and ts >= (select max(ts) from commits) - interval 1 day""",
 )
 def _(t: Inputs) -> DataFrame:
-    return history.recent_commits(t.commits, 10, "1998-07-31")
+    """The newest ten of each repository, as far as they fall on the last two days of all."""
+    last = t.commits.agg(F.max("ts")).first()[0]
+    return history.recent_commits(t.commits, 10, last - timedelta(days=1))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -196,31 +198,35 @@ def _(t: Inputs) -> DataFrame:
 )
 def _(t: Inputs) -> DataFrame:
     found = t.code_files.select("repo_id", paths.language_of("path").alias("language")).filter("language is not null").distinct()
-    offered = patterns.patterns_for_language(found.select("language").distinct()).filter(F.col("category") == "entry_points")
-    return found.join(offered, "language").select("repo_id", "language", "ordinal", "pattern")
+    offered = [patterns.entry_point_patterns(t.spark, k.upper()).withColumn("key", F.lit(k)) for k in fixed.ENTRY_POINTS]
+    return found.join(reduce(DataFrame.unionByName, offered), F.lower("language") == F.col("key")).select("repo_id", "language", "ordinal", "pattern")
 
 
-def _pattern_counts(t: Inputs, category: str) -> DataFrame:
+def _pattern_counts(t: Inputs, category: str, looked_up: DataFrame) -> DataFrame:
+    """Files per repository for each pattern of a lookup `(key, ordinal, pattern)`."""
     hits = patterns.explain_pattern(t.code_files).filter(F.col("category") == category)
-    return hits.groupBy("repo_id", "key", "pattern").agg(F.count("*").alias("files"))
+    counts = hits.groupBy("repo_id", "key", "pattern").agg(F.count("*").alias("files"))
+    return counts.join(looked_up, ["key", "pattern"]).select("repo_id", "key", "ordinal", "pattern", "files")
 
 
-_COUNTS = "select repo_id, key, pattern, count(*) as files from o_hits where category = '{}' group by all"
+_COUNTS = """select repo_id, key, ordinal, pattern, count(*) as files from o_hits join o_catalogue c using (category, key, pattern)
+             where category = '{}' group by all"""
 
 
 @query("config_patterns", _COUNTS.format("config_files"))
 def _(t: Inputs) -> DataFrame:
-    return _pattern_counts(t, "config_files")
+    return _pattern_counts(t, "config_files", patterns.config_patterns(t.spark).withColumn("key", F.lit("")))
 
 
 @query("test_patterns", _COUNTS.format("test_files"))
 def _(t: Inputs) -> DataFrame:
-    return _pattern_counts(t, "test_files")
+    return _pattern_counts(t, "test_files", patterns.test_patterns(t.spark).withColumn("key", F.lit("")))
 
 
 @query("framework_patterns", _COUNTS.format("framework_files"))
 def _(t: Inputs) -> DataFrame:
-    return _pattern_counts(t, "framework_files")
+    looked_up = [patterns.framework_patterns(t.spark, k).withColumn("key", F.lit(k)) for k in fixed.FRAMEWORK_FILES]
+    return _pattern_counts(t, "framework_files", reduce(DataFrame.unionByName, looked_up))
 
 
 @query(

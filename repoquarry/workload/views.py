@@ -47,6 +47,18 @@ VIEWS: dict[str, str] = {
         from documents join paths on i = doc_id
         union all
         select 'en', concat('ghost/', path), 'HIGH', 0.5, i, 'General file' from paths where i % 50 = 7""",
+    # Files that meet every guard on contents: one kind for each residue of the document's number.
+    "guard_files": """
+        select lang as repo_id, doc_id as i,
+               concat('g/', cast(doc_id as varchar(20)), case doc_id % 7 when 0 then '/a.py' when 1 then '/big.py' when 2 then '/null.py' when 3 then '/long.py'
+                                                          when 4 then '/x.PNG' when 5 then '/dir/inner.py' else '/other.py' end) as path,
+               case doc_id % 7 when 2 then null when 3 then repeat(concat(md5(text), chr(10)), 2500) else text end as content,
+               case doc_id % 7 when 1 then 1048577 + doc_id when 3 then 82500 else n_chars end as size
+        from documents""",
+    "guard_important": """
+        select repo_id, case i % 7 when 5 then replace(path, '/inner.py', '') when 6 then replace(path, 'other', 'gone') else path end as file_path,
+               'HIGH' as importance_level, i as ordinal
+        from guard_files""",
     "snapshot_a": "select repo_id, path, blob from files where (size + length(path)) % 10 <> 0",
     "snapshot_b": """
         select repo_id, case when size % 5 = 2 then concat('moved/', path) else path end as path,

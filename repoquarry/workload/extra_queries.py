@@ -128,14 +128,14 @@ def _(t: Inputs) -> DataFrame:
 
 @query(
     "change_impact",
-    """with recursive s as (select repo_id, path, i from code_paths where strpos(path, 'src/') = 1 and (repo_id <> 'r5' or i > 1000)),
+    """with recursive s as (select repo_id, path, i from code_paths where case when repo_id = 'r5' then i > 600 else strpos(path, 'src/') = 1 end),
        r as (select repo_id, path, 0 as depth from s
              union select e.repo_id, e.src, depth + 1 from r join code_edges e on e.repo_id = r.repo_id and e.dst = r.path)
        select repo_id, path, min(depth)::bigint as depth from r group by all""",
 )
 def _(t: Inputs) -> DataFrame:
     """Everything below src/ counts as changed; in r5, whose files import each other in one long chain, only its far end."""
-    changed = t.code_paths.filter(F.col("path").startswith("src/") & ((F.col("repo_id") != "r5") | (F.col("i") > 1000))).select("repo_id", "path")
+    changed = t.code_paths.filter(F.when(F.col("repo_id") == "r5", F.col("i") > 600).otherwise(F.col("path").startswith("src/"))).select("repo_id", "path")
     return dependencies.change_impact(changed, t.code_edges)
 
 

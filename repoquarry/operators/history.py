@@ -34,24 +34,23 @@ def recent_authors(commits: DataFrame, n: int = fixed.AUTHOR_COMMITS) -> DataFra
     return recent.withColumn("authors_count", F.size("authors").cast("bigint"))
 
 
-def latest_commit(commits: DataFrame) -> DataFrame:
-    """`(repo_id, last_commit, last_commit_date)` of the newest commit; plain aggregation, no sort."""
+def _last(commits: DataFrame) -> list[Column]:
+    """Id and time of the newest commit as aggregates: the first in the log if it is numbered, else the latest."""
     if "seq" in commits.columns:
         last, when = F.min_by("commit_id", "seq"), F.min_by("ts", "seq")
     else:
         last, when = F.max_by("commit_id", F.struct("ts", "commit_id")), F.max("ts")
-    return commits.groupBy("repo_id").agg(last.alias("last_commit"), when.alias("last_commit_date"))
+    return [last.alias("last_commit"), when.alias("last_commit_date")]
+
+
+def latest_commit(commits: DataFrame) -> DataFrame:
+    """`(repo_id, last_commit, last_commit_date)` of the newest commit; plain aggregation, no sort."""
+    return commits.groupBy("repo_id").agg(*_last(commits))
 
 
 def commit_overview(commits: DataFrame) -> DataFrame:
     """Totals and newest commit of each repository in one aggregation."""
-    if "seq" in commits.columns:
-        last, when = F.min_by("commit_id", "seq"), F.min_by("ts", "seq")
-    else:
-        last, when = F.max_by("commit_id", F.struct("ts", "commit_id")), F.max("ts")
-    return commits.groupBy("repo_id").agg(
-        F.count("*").alias("total_commits"), last.alias("last_commit"), when.alias("last_commit_date")
-    )
+    return commits.groupBy("repo_id").agg(F.count("*").alias("total_commits"), *_last(commits))
 
 
 def recent_commits(commits: DataFrame, n: int = fixed.RECENT_COMMITS, since: datetime | str | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ HEADLINES = [
     "commit_digest", "diff_snapshots", "incremental_profile", "classify_basic", "match_patterns", "explain_pattern", "detect_frameworks",
     "head_per_directory", "read_contents", "prompt_sections", "parse_important_files", "repo_profile", "analyze_overview",
     "chunk_text", "top_k_similar", "search_docs", "term_index", "mask_sensitive", "import_edges", "debt_rollup", "health_trend",
-    "stream_change_counts", "change_impact",
+    "stream_change_counts", "change_impact", "docs_to_refresh", "commit_files", "directory_index", "sensitive_findings",
 ]
 
 

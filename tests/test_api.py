@@ -43,5 +43,5 @@ def test_spread_join_equals_plain_join(spark):
     large = spark.createDataFrame([("hot" if i % 3 else f"k{i % 5}", i) for i in range(600)], "k string, v bigint")
     small = spark.createDataFrame([("hot", "x"), ("k0", "y"), ("k0", "z")], "k string, w string")
     for how in ("inner", "left", "left_semi", "left_anti"):
-        plain, spread = large.join(small, ["k"], how), skew.spread_join(large, small, ["k"], "v", how)
+        plain, spread = large.join(small, ["k"], how), skew.spread_join(large, small, ["k"], "v", how, rows_per_place=3)
         assert sorted(map(str, plain.collect())) == sorted(map(str, spread.select(plain.columns).collect()))

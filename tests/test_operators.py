@@ -408,3 +408,9 @@ def test_docs_to_refresh(spark):
     reports = spark.createDataFrame([("r", 1, "a", 5), ("r", 1, "b", 5), ("r", 2, "a", 9), ("r", 3, "never", 1)], "repo_id string, report_id int, file_path string, built_at int")
     changes = spark.createDataFrame([("r", "a", 7), ("r", "a", 3), ("r", "b", 4)], "repo_id string, file_path string, ts int")
     assert rows(dependencies.docs_to_refresh(reports, changes), "report_id") == [("r", 1, 2, 1, 7), ("r", 2, 1, 0, 7), ("r", 3, 1, 0, None)]
+
+
+def test_first_rows_beyond_the_group_limit(spark):
+    df = spark.range(5000).selectExpr("id % 2 as g", "id as v")
+    got = skew.first_rows(df, ["g"], [F.desc("v")], 1500).collect()
+    assert sorted((r.g, r.rank, r.v) for r in got) == sorted((g, k + 1, 4998 + g - 2 * k) for g in (0, 1) for k in range(1500))

@@ -24,7 +24,7 @@ from repoquarry.llm.tables import map_arrow, written
 from repoquarry.llm.texts import filled, gather, slices, words
 
 _KNOWN: dict[int, dict[bytes, bytes]] = {}
-MAX_KNOWN_WORDS = 1_000_000
+MAX_KNOWN_WORDS = 700_000
 """Words a Python worker remembers of a tokenizer from slice to slice. Words beyond are encoded once in each slice."""
 
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"

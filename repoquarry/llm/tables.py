@@ -37,6 +37,10 @@ def _root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/repoquarry-llm-{spark.sparkContext.applicationId}"
 
 
+TABLE_PREFIX = "llm_"
+"""Names of bucketed tables begin with it."""
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -50,6 +54,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def clear(spark: SparkSession) -> None:
     """Removes the tables this application has written; results not yet stored elsewhere are lost with them."""
+    for table in spark.catalog.listTables():
+        if table.name.startswith(TABLE_PREFIX):
+            spark.sql(f"drop table if exists {table.name}")
     context = spark.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(_root(spark))
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

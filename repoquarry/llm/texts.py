@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 6_000_000
 """Texts handled at once in a task; a longer single text is a slice of its own."""
 
 
@@ -95,6 +95,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         for low, high in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             if high > low:
                 yield batch.slice(low, high - low)
+        pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

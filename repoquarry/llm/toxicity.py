@@ -177,18 +177,18 @@ def held_out(doc_id):
 
 
 def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: defaultdict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", 1_500_000):  # a text of this size has some hundred thousand stems
+        counts: defaultdict[str, list[int]] = defaultdict(lambda: [0, 0])
         found = words(filled(batch.column("text")))
         cores = [_core(t) for t in found.table.to_pylist()]
         for i, label in enumerate(batch.column("label").to_pylist()):
             own = {cores[c] for c in np.unique(found.codes[found.offsets[i] : found.offsets[i + 1]]).tolist()}
             for stem in {s for core in own if len(core) >= SHORTEST for s in stems(core)}:
                 counts[stem][label > 0] += 1
-    names = list(counts)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(names, pa.string()), *(pa.array([counts[n][k] for n in names], pa.int64()) for k in (0, 1))], ["stem", "clean", "toxic"]
-    )
+        names = list(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), *(pa.array([counts[n][k] for n in names], pa.int64()) for k in (0, 1))], ["stem", "clean", "toxic"]
+        )
 
 
 def choose(counted: dict[str, tuple[int, int]], clean: int, toxic: int, least_support: int, least_weight: float) -> dict[str, float]:

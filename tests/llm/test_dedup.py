@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import ast
 import hashlib
 import re
 from collections import defaultdict
@@ -184,5 +185,5 @@ def test_op_queries_on_a_table(spark, tmp_path, odd):
         assert queries.QUERIES[name](spark, str(tmp_path)).count() == n
     kept = {(r.doc_id, r.n_words, r.n_removed): r.kept_sha256 for r in queries.op8_substring_dedup(spark, str(tmp_path)).collect()}
     for text in substring_truth(ODD):
-        i, words, gone, left = eval(text)  # our own text
+        i, words, gone, left = ast.literal_eval(text)
         assert kept[i, words, gone] == hashlib.sha256(left.encode()).hexdigest()

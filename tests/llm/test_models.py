@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import ast
 import random
 import zlib
 
@@ -205,10 +206,10 @@ def test_pipeline_stages_follow_brute_force(spark, tmp_path, labelled, corpus):
                     owner.setdefault(lower(line.strip()), i)
             assert rows == [(i, "\n".join(x for x in t.split("\n") if len(x.strip()) < 10 or owner[lower(x.strip())] == i)) for i, t in before]
         elif name == "near_dedup":
-            stay = {i for i, first, _ in map(eval, near_truth(before)) if i == first}
+            stay = {i for i, first, _ in map(ast.literal_eval, near_truth(before)) if i == first}
             assert rows == [(i, t) for i, t in before if i in stay]
         elif name == "substring_dedup":
-            left = {i: t for i, _, _, t in map(eval, substring_truth(before))}
+            left = {i: t for i, _, _, t in map(ast.literal_eval, substring_truth(before))}
             assert [(i, " ".join(t.split())) for i, t in rows] == [(i, left[i]) for i, _ in before]
             assert all(r.n_chars == len(r.text) for r in after.collect())
         else:

@@ -10,7 +10,6 @@ smallest id of all documents that hold it.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repoquarry.llm.tables import map_arrow, new_path, written
+from repoquarry.llm.tables import bucketed, map_arrow, written
 from repoquarry.llm.texts import slices
 
 _WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -45,16 +44,7 @@ class LineRuns:
         self.levels: list[list[str]] = [[]]
 
     def _store(self, rows: DataFrame) -> str:
-        name = f"llm_lines_{uuid.uuid4().hex[:12]}"
-        (
-            rows.repartition(self.buckets, "h1", "h2")
-            .write.format("parquet")
-            .bucketBy(self.buckets, "h1", "h2")
-            .sortBy("h1", "h2")
-            .option("path", new_path(self.spark, name))
-            .saveAsTable(name)
-        )
-        return name
+        return bucketed(rows, "lines", ["h1", "h2"], self.buckets)
 
     def tables(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]

@@ -10,7 +10,6 @@ none of what is common to all.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repoquarry.llm.shingles import shingles, signatures
-from repoquarry.llm.tables import join_groups, map_arrow, new_path, written
+from repoquarry.llm.tables import bucketed, join_groups, map_arrow, scratch, written
 from repoquarry.llm.texts import slices
 
 BANDS, ROWS, SIZE = 40, 6, 241
@@ -101,16 +100,6 @@ def merge(labels: DataFrame | None, links: DataFrame, name: str) -> DataFrame |
         labels = written(fresh, f"{name}-labels")
 
 
-def _store_sets(sets: DataFrame) -> DataFrame:
-    """The shingle sets bucketed by node, so that every round joins them where they are."""
-    spark = sets.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"llm_sets_{uuid.uuid4().hex[:12]}"
-    stored = sets.repartition(buckets, "node").write.format("parquet").bucketBy(buckets, "node").sortBy("node")
-    stored.option("path", new_path(spark, name)).saveAsTable(name)
-    return spark.table(name)
-
-
 def _verified(proposals: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The proposals `(leader, node)` whose shingle sets have a Jaccard similarity of `threshold` or more.
 
@@ -156,8 +145,14 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     Two texts are linked if their sets of `width` words in a row have a Jaccard similarity of `threshold` or more; classes are what
     links connect. `class_id` is the smallest id of the class. Weights of shingles are their counts in the text. A text of fewer words is one
     shingle; texts without words (null, empty, white space) are alone, each a class of its own. Null ids stay null and count as larger
-    than all others. Repeated rows are in one class. No rows give no rows.
+    than all others. Repeated rows are in one class. No rows give no rows. The result is stored; all tables on the way to it are removed.
     """
+    with scratch(docs.sparkSession):
+        return written(_near_classes(docs, doc_id, text, width, threshold), "near-classes", keep=True)
+
+
+def _near_classes(docs: DataFrame, doc_id: str, text: str, width: int, threshold: float) -> DataFrame:
+    spark = docs.sparkSession
     rows = written(sketches(docs, doc_id, text, width), "sketches")
     keys = ["k1", "k2"]
     nodes = written(rows.filter("n > 0").groupBy(*keys).agg(F.min("row_id").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("rows")), "nodes")
@@ -167,7 +162,8 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     shared = entries.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
     buckets = written(entries.join(shared, "bucket", "left_semi"), "buckets")
     members = buckets.select("node").distinct()
-    sets = _store_sets(rows.select(F.col("row_id").alias("node"), "shingles").join(members, "node", "left_semi"))
+    # Bucketed by node, so that every verification finds the sets where they are.
+    sets = spark.table(bucketed(rows.select(F.col("row_id").alias("node"), "shingles").join(members, "node", "left_semi"), "sets", ["node"]))
     notes = written(banded.select("node", "signature").join(members, "node", "left_semi"), "notes")
     merged = _classes(buckets, sets, notes, threshold)
     own = nodes if merged is None else nodes.join(merged, "node", "left")

@@ -11,7 +11,6 @@ window. An anchor with more different segments than a shard takes has its window
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repoquarry.llm.suffix_automaton import SuffixAutomaton
-from repoquarry.llm.tables import map_arrow, new_path, ship, written
+from repoquarry.llm.tables import bucketed, map_arrow, scratch, ship, written
 from repoquarry.llm.texts import SPACES, buffers, filled, mix, runs, slices, words
 
 GRAM = 5
@@ -224,11 +223,7 @@ def _firsts_by_hashes(contents: DataFrame, window: int) -> DataFrame:
 def _decisions(docs: DataFrame, window: int) -> DataFrame:
     """`(id, starts, mask)`: of a segment of a document, at its places, the windows (bits, from the first) that an earlier one holds."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"llm_segments_{uuid.uuid4().hex[:12]}"
-    stored = segments(docs, window).repartition(buckets, "anchor").write.format("parquet").bucketBy(buckets, "anchor").sortBy("anchor")
-    stored.option("path", new_path(spark, name)).saveAsTable(name)
-    table = spark.table(name)
+    table = spark.table(bucketed(segments(docs, window), "segments", ["anchor"]))
     full = F.pow(F.lit(2), F.col("windows")).cast("int") - 1
     twins = table.filter("covered").select("id", "starts", full.alias("mask"))
     rows = table.filter("not covered")
@@ -266,7 +261,9 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     columns = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", text.lower())]
     key = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_LAST))
     slim = docs.select(key.alias("id"), F.col(text).alias("text"))
-    cuts = _decisions(slim, window).groupBy("id").agg(F.collect_list(F.struct("starts", "mask")).alias("_cuts"))
+    with scratch(docs.sparkSession):
+        decisions = written(_decisions(slim, window), "decisions", keep=True)
+    cuts = decisions.groupBy("id").agg(F.collect_list(F.struct("starts", "mask")).alias("_cuts"))
     rows = docs.select(
         key.alias("id"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(text).isNull().alias("_null"), F.col(text).alias("text")
     )

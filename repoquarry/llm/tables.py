@@ -6,7 +6,9 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,26 +42,60 @@ def _root(spark: SparkSession) -> str:
 TABLE_PREFIX = "llm_"
 """Names of bucketed tables begin with it."""
 
+_OPEN: ContextVar[list[tuple[str, str | None]] | None] = ContextVar("_OPEN", default=None)
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at the end, but for those that are kept; what is kept must be read from a kept table."""
+    mine: list[tuple[str, str | None]] = []
+    token = _OPEN.set(mine)
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        for path, table in mine:
+            if table:
+                spark.sql(f"drop table if exists {table}")
+            _delete(spark, path)
 
-def written(df: DataFrame, name: str) -> DataFrame:
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _new_path(spark: SparkSession, name: str, table: str | None = None, keep: bool = False) -> str:
+    path = f"{_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if not keep and (mine := _OPEN.get()) is not None:
+        mine.append((path, table))
+    return path
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The rows as a Parquet table in the shared folder: computed once, kept when executors are lost, lineage cut."""
-    path = new_path(df.sparkSession, name)
+    path = _new_path(df.sparkSession, name, keep=keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int | None = None) -> str:
+    """Name of a table of the rows in the shared folder, bucketed and sorted by the keys: joins on them do not move it again."""
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{TABLE_PREFIX}{name}_{uuid.uuid4().hex[:12]}"
+    stored = df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    stored.option("path", _new_path(spark, name, table)).saveAsTable(table)
+    return table
+
+
 def clear(spark: SparkSession) -> None:
     """Removes the tables this application has written; results not yet stored elsewhere are lost with them."""
     for table in spark.catalog.listTables():
         if table.name.startswith(TABLE_PREFIX):
             spark.sql(f"drop table if exists {table.name}")
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(_root(spark))
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _root(spark))
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, share: int = 1000) -> DataFrame:

@@ -1,10 +1,10 @@
-"""Near-duplicate documents: ProbMinHash signatures of weighted word shingles, banding, exact verification, classes.
+"""Near-duplicate documents: ProbMinHash signatures of the sets of word shingles, banding, exact verification, classes.
 
 Rows with the same set of shingles are one node. Nodes that agree in a band share a bucket. Every bucket names a leader, its members
 propose to it, proposals with similar signatures are verified on the shingle sets, and verified links merge classes; so a large group
 of near copies costs a proposal per member, not one per pair. Buckets of one class are done. The nodes of the others, as a
-rule texts around a common passage, are joined on their rarest shingles, which loses no pair of the wanted similarity and makes
-none of what is common to all.
+rule texts around a common passage, are joined on their rarest shingles, which loses no pair of them of the wanted similarity and makes
+none of what is common to all. Bands, signatures and verification all take a shingle once, however often the text repeats it.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ BANDS, ROWS, SIZE = 40, 6, 241
 ESTIMATE = 151
 """Places that estimate a similarity."""
 _SLACK = 0.2
-"""Proposals whose signatures agree in less than the threshold less this are not verified (six standard deviations)."""
+"""Proposals to leaders whose signatures agree in less than the threshold less this (six standard deviations) are left to the join."""
 _LED = 1000
 """Proposals to one leader that are verified in one task."""
 
@@ -37,7 +37,8 @@ def sketches(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             found = shingles(batch.column(text), width)
-            full = signatures(found, SIZE)
+            # What is verified is the similarity of sets, so that is what the places have to estimate.
+            full = signatures(found._replace(counts=np.ones_like(found.counts)), SIZE)
             keys, sets = [], []
             for a, b in zip(found.offsets[:-1].tolist(), found.offsets[1:].tolist(), strict=True):
                 own = found.hashes[a:b]
@@ -143,7 +144,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     """One row per row of `docs`: `doc_id, class_id, class_size, n_shingles, row_id`.
 
     Two texts are linked if their sets of `width` words in a row have a Jaccard similarity of `threshold` or more; classes are what
-    links connect. `class_id` is the smallest id of the class. Weights of shingles are their counts in the text. A text of fewer words is one
+    links connect. `class_id` is the smallest id of the class. A shingle counts once, however often the text repeats it. A text of fewer words is one
     shingle; texts without words (null, empty, white space) are alone, each a class of its own. Null ids stay null and count as larger
     than all others. Repeated rows are in one class. No rows give no rows. The result is stored; all tables on the way to it are removed.
     """
@@ -224,7 +225,6 @@ def _classes(buckets: DataFrame, sets: DataFrame, notes: DataFrame, threshold: f
     """Labels `(node, class)` of the nodes that verified links connect; none if there are no links."""
 
     def settle(labels: DataFrame | None, pairs: DataFrame, name: str) -> DataFrame | None:
-        pairs = written(_alike(pairs, notes, threshold - _SLACK), f"{name}-alike")
         # Each node first proposes to one leader; as a rule that settles its other proposals.
         one = pairs.groupBy("node").agg(F.min("leader").alias("leader"))
         labels = merge(labels, _as_links(_verified(one, sets, threshold), f"{name}-links"), name)
@@ -233,7 +233,8 @@ def _classes(buckets: DataFrame, sets: DataFrame, notes: DataFrame, threshold: f
 
     leaders = buckets.groupBy("bucket").agg(F.min("node").alias("leader"))
     proposals = buckets.join(leaders, "bucket").filter("node <> leader").select("leader", "node").distinct()
-    labels = settle(None, written(proposals, "proposals"), "led")
+    # A linked pair that is left out here leaves its bucket with two classes, so the join below meets it again.
+    labels = settle(None, written(_alike(proposals, notes, threshold - _SLACK), "proposals"), "led")
     placed = buckets.withColumn("class", F.col("node")) if labels is None else (
         buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
     )

@@ -107,6 +107,35 @@ def test_near_classes_against_brute_force(spark, corpus, odd, empty):
     assert near_dedup.near_classes(empty).collect() == []
 
 
+def repeated_lines(repeats=400):
+    """Near copies of which one repeats a line or a paragraph many times, around texts of their own."""
+    rows = []
+    for g in range(12):
+        words = [f"g{g}w{k}" for k in range(200)]
+        line = " ".join(words[90:100])
+        text = " ".join(words)
+        rows.append((4 * g, text))
+        rows.append((4 * g + 1, " ".join([text, *[line] * (repeats if g % 2 else 40)])))
+        rows.append((4 * g + 2, " ".join([*[line] * repeats, text, "end"])))
+        rows.append((4 * g + 3, " ".join([*words[:100], *[f"o{g}w{k}" for k in range(100)], *[line] * repeats])))
+    return rows
+
+
+def test_near_copies_with_repeated_lines(spark):
+    rows = repeated_lines()
+    truth = near_truth(rows)
+    assert sum(f", {4 * g}, 3)" in text for g in range(12) for text in truth) == 36
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert sorted(str((r.doc_id, r.class_id, r.class_size)) for r in near_dedup.near_classes(docs).collect()) == truth
+
+
+def test_joined_pairs_need_no_alike_signatures(spark, monkeypatch):
+    rows = [(g, " ".join([f"c{k}" for k in range(100)] + [f"g{g // 2}w{k}" for k in range(30)] + [f"own{g}"])) for g in range(16)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(near_dedup, "_alike", lambda proposals, notes, least: proposals.filter("false"))
+    assert sorted(str((r.doc_id, r.class_id, r.class_size)) for r in near_dedup.near_classes(docs).collect()) == near_truth(rows)
+
+
 def test_chains_are_one_class(spark):
     words = [f"w{k}" for k in range(300)]
     rows = []

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,11 +56,32 @@ def _segment_hash(whole: np.ndarray, begin: np.ndarray, windows: np.ndarray) ->
         return mix(whole[begin] + mix(whole[begin + windows - 1] + windows.astype(np.uint64)))
 
 
+def _keyed(docs: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """Rows of `id, text` with `h1, h2`: a 128-bit hash of the text where the id is missing or of several rows, else zeros.
+
+    Rows of one id and one text have the same words to lose, so these columns are all that decisions need of a row.
+    """
+    several = F.col("id") == _LAST
+    if repeated is not None:
+        docs = docs.join(repeated.withColumn("_several", F.lit(True)), "id", "left")
+        several = several | F.col("_several").isNotNull()
+    # The seeds differ; one hash made from the other would share its collisions.
+    hashes = [F.when(several, F.xxhash64(F.lit(seed), F.col("text"))).otherwise(F.lit(0).cast("bigint")) for seed in (1, 2)]
+    return docs.withColumn("h1", hashes[0]).withColumn("h2", hashes[1]).drop("_several")
+
+
+def _repeated_ids(docs: DataFrame, key: Column) -> DataFrame | None:
+    """The ids that several rows have, stored; none if there are none."""
+    found = docs.select(key.alias("id")).filter(F.col("id") != _LAST).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    found = written(found, "repeated-ids", keep=True)
+    return None if found.isEmpty() else found
+
+
 def segments(docs: DataFrame, window: int) -> DataFrame:
-    """`(anchor, seg, id, starts, windows, covered)` from `(id, text)`: the places of each different segment of a document.
+    """`(anchor, seg, id, starts, hashes, windows, covered)` from `(id, h1, h2, text)`: the places of each different segment of an id.
 
-    `covered` segments also stand in an earlier document of the same slice of texts, which decides all their windows; the others are the
-    only ones that travel by anchor, so a passage that a third of all documents share is one row for each slice.
+    `hashes` has `h1, h2` for each of the starts, and is null if the id has one row. `covered` segments also stand in an earlier document of the
+    same slice of texts, which decides all their windows; the others are the only ones that travel by anchor, so a passage that a third of all documents share is one row for each slice.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,28 +102,35 @@ def segments(docs: DataFrame, window: int) -> DataFrame:
             width = end - begin + 1
             anchor = grams[place[begin]]
             seg = _segment_hash(whole, begin, width)
-            ids = batch.column("id").to_numpy()[owner[begin]]
+            ids, h1, h2 = (batch.column(c).to_numpy()[owner[begin]] for c in ("id", "h1", "h2"))
             start = begin - offsets[:-1][owner[begin]]
             order = np.lexsort((start, ids, seg, anchor))
-            anchor, seg, ids, start, width = (a[order] for a in (anchor, seg, ids, start, width))
+            anchor, seg, ids, start, width, h1, h2 = (a[order] for a in (anchor, seg, ids, start, width, h1, h2))
             new_seg = np.append(True, (anchor[1:] != anchor[:-1]) | (seg[1:] != seg[:-1])) if len(ids) else np.zeros(0, bool)
             new_row = new_seg | np.append(True, ids[1:] != ids[:-1]) if len(ids) else new_seg
             at = np.flatnonzero(new_row)
             covered = ~new_seg[at]
+            # Rows with the id of the first one are told apart by their hashes; an id of one row has none.
+            bounds = np.append(at, len(ids))
+            several = (h1[at] != 0) | (h2[at] != 0) if len(at) else np.zeros(0, bool)
+            taken = np.repeat(several, np.diff(bounds))
+            ends = np.concatenate(([0], np.cumsum(np.where(several, 2 * np.diff(bounds), 0)))).astype(np.int32)
+            hashed = np.column_stack((h1[taken], h2[taken])).ravel()
             spread = np.where(covered, mix(ids[at].astype(np.uint64) ^ seg[at]), anchor[at])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(spread.view(np.int64)),
                     pa.array(seg[at].view(np.int64)),
                     pa.array(ids[at]),
-                    pa.ListArray.from_arrays(np.append(at, len(ids)).astype(np.int32), start.astype(np.int32)),
+                    pa.ListArray.from_arrays(bounds.astype(np.int32), start.astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(hashed, pa.int64()), mask=pa.array(~several)),
                     pa.array(width[at].astype(np.int32)),
                     pa.array(covered),
                 ],
-                ["anchor", "seg", "id", "starts", "windows", "covered"],
+                ["anchor", "seg", "id", "starts", "hashes", "windows", "covered"],
             )
 
-    return map_arrow(docs, run, "anchor bigint, seg bigint, id bigint, starts array<int>, windows int, covered boolean")
+    return map_arrow(docs, run, "anchor bigint, seg bigint, id bigint, starts array<int>, hashes array<bigint>, windows int, covered boolean")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -149,10 +177,10 @@ def _places(starts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _contents(variants: DataFrame, docs: DataFrame, window: int) -> DataFrame:
     """The variants with the hashes of their words, `(vid, anchor, id, many, content)`; each is read in its first document.
 
-    Where several rows have the id of that document, those without the segment are passed over; repeated rows repeat the content.
+    Repeated rows repeat the content.
     """
-    wanted = variants.groupBy("id").agg(F.collect_list(F.struct("vid", "anchor", "seg", "start", "windows", "many")).alias("wanted"))
-    met = _packed(docs).join(wanted, "id").select("id", "packed", "wanted")
+    wanted = variants.groupBy("id", "h1", "h2").agg(F.collect_list(F.struct("vid", "anchor", "seg", "start", "windows", "many")).alias("wanted"))
+    met = _packed(docs).join(wanted, ["id", "h1", "h2"]).select("id", "packed", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _unpacked(batches):
@@ -221,17 +249,18 @@ def _firsts_by_hashes(contents: DataFrame, window: int) -> DataFrame:
 
 
 def _decisions(docs: DataFrame, window: int) -> DataFrame:
-    """`(id, starts, mask)`: of a segment of a document, at its places, the windows (bits, from the first) that an earlier one holds."""
+    """`(id, starts, hashes, mask)`: of a segment of an id, at its places, the windows (bits, from the first) that an earlier one holds."""
     spark = docs.sparkSession
     table = spark.table(bucketed(segments(docs, window), "segments", ["anchor"]))
     full = F.pow(F.lit(2), F.col("windows")).cast("int") - 1
-    twins = table.filter("covered").select("id", "starts", full.alias("mask"))
+    twins = table.filter("covered").select("id", "starts", "hashes", full.alias("mask"))
     rows = table.filter("not covered")
     shared = rows.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("seg").alias("s0"), F.max("seg").alias("s1")).filter("low < high")
     met = written(rows.join(shared, "anchor").select(*rows.columns, "low", (F.col("s0") != F.col("s1")).alias("differ")).filter("differ or id > low"), "shared-segments")
-    equal = met.filter("not differ").select("id", "starts", full.alias("mask"))
+    equal = met.filter("not differ").select("id", "starts", "hashes", full.alias("mask"))
     parts = met.filter("differ")
-    first = F.min(F.struct("id", F.col("starts")[0].alias("start"), "windows")).alias("one")
+    h1, h2 = (F.coalesce(F.get("hashes", F.lit(k)), F.lit(0).cast("bigint")).alias(f"h{k + 1}") for k in (0, 1))
+    first = F.min(F.struct("id", F.col("starts")[0].alias("start"), "windows", h1, h2)).alias("one")
     variants = parts.groupBy("anchor", "seg").agg(first).select("anchor", "seg", "one.*").withColumn("vid", F.monotonically_increasing_id())
     variants = written(variants, "variants")
     total = variants.count()
@@ -246,10 +275,20 @@ def _decisions(docs: DataFrame, window: int) -> DataFrame:
         F.lit(0),
         lambda mask, i: mask + F.when(F.get("firsts", i) < F.col("id"), F.pow(F.lit(2), i).cast("int")).otherwise(0),
     )
-    border = parts.join(told, ["anchor", "seg"]).select("id", "starts", bits.alias("mask")).filter("mask <> 0")
+    border = parts.join(told, ["anchor", "seg"]).select("id", "starts", "hashes", bits.alias("mask")).filter("mask <> 0")
     return twins.unionByName(equal).unionByName(border)
 
 
+def _cuts(decisions: DataFrame) -> DataFrame:
+    """`(id, h1, h2, _cuts)`: the decisions for each id and text."""
+    zero = F.lit(0).cast("bigint")
+    single = decisions.filter("hashes is null").select("id", zero.alias("h1"), zero.alias("h2"), "starts", "mask")
+    places = decisions.filter("hashes is not null").select("id", "hashes", "mask", F.posexplode("starts").alias("k", "start"))
+    h1, h2 = (F.get("hashes", F.col("k") * 2 + k).alias(f"h{k + 1}") for k in (0, 1))
+    told = single.unionByName(places.select("id", h1, h2, F.array("start").alias("starts"), "mask"))
+    return told.groupBy("id", "h1", "h2").agg(F.collect_list(F.struct("starts", "mask")).alias("_cuts"))
+
+
 def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 13) -> DataFrame:
     """All columns of `docs`, the text without repeated passages, `n_words` (before) and `n_removed`.
 
@@ -260,14 +299,15 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     columns = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", text.lower())]
     key = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_LAST))
-    slim = docs.select(key.alias("id"), F.col(text).alias("text"))
+    repeated = _repeated_ids(docs, key)
+    slim = _keyed(docs.select(key.alias("id"), F.col(text).alias("text")), repeated)
     with scratch(docs.sparkSession):
         decisions = written(_decisions(slim, window), "decisions", keep=True)
-    cuts = decisions.groupBy("id").agg(F.collect_list(F.struct("starts", "mask")).alias("_cuts"))
     rows = docs.select(
         key.alias("id"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(text).isNull().alias("_null"), F.col(text).alias("text")
     )
-    joined = _packed(rows).join(cuts, "id", "left").select("_row", "_null", "packed", "_cuts")
+    rows = _keyed(rows, repeated)
+    joined = _packed(rows).join(_cuts(decisions), ["id", "h1", "h2"], "left").select("_row", "_null", "packed", "_cuts")
     schema = T.StructType(
         [joined.schema["_row"], T.StructField("_text", T.StringType()), T.StructField("_words", T.LongType()), T.StructField("_removed", T.LongType())]
     )

@@ -191,6 +191,23 @@ def test_substrings_of_odd_documents(odd, empty):
     assert substring_dedup.dedup_substrings(empty).collect() == []
 
 
+@pytest.mark.parametrize("shard", [5000, 2])
+def test_substrings_of_rows_that_share_an_id(spark, monkeypatch, shard):
+    monkeypatch.setattr(substring_dedup, "SHARD_SEGMENTS", shard)
+    passage = " ".join(f"p{k}" for k in range(30))
+
+    def own(i, n=60):
+        return " ".join(f"d{i}w{k}" for k in range(n))
+
+    rows = [(1, f"{own(1)} {passage}"), (2, own(2)), (3, f"{passage} {own(3)}"), (3, own(4)), (3, f"{own(5, 7)} {passage} {own(5)}"), (3, None), (3, own(6, 5))]
+    rows += [(None, f"{own(7)} {passage}"), (None, own(8)), (None, own(8)), (None, own(9, 4)), (None, None), (None, f"{own(10, 20)} {passage} {own(2)}")]
+    rows += [(4, f"{own(11)} {own(8)}"), (4, f"{own(12, 3)} {own(11)}"), (5, own(13)), (5, f"{own(14, 9)} {own(4, 20)}"), (None, own(15))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for parts in (1, 5):
+        found = substring_dedup.dedup_substrings(docs.repartition(parts)).collect()
+        assert sorted(str((r.doc_id, r.n_words, r.n_removed, " ".join((r.text or "").split()))) for r in found) == substring_truth(rows)
+
+
 def test_automaton_knows_the_first_of_every_window():
     draw = np.random.default_rng(5)
     sequences = [draw.integers(0, 3, draw.integers(1, 30)).tolist() for _ in range(60)]

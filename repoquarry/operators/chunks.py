@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,48 @@ def chunk_text(files: DataFrame, size: int = 2000, overlap: int = 200) -> DataFr
     )
 
 
+SEPARATORS = ("\n\n", "\n", " ")
+"""Paragraphs, lines, words."""
+
+
+def split_recursive(files: DataFrame, size: int = 2000, separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
+    """`(repo_id, path, language, chunk_no, start, chunk)`: chunks of at most `size` characters that keep paragraphs, lines and words whole.
+
+    A text longer than a chunk is cut behind every separator of the first level; a piece that is still longer at the next one, and what
+    no separator cuts at `size` characters. Neighbouring pieces then fill chunks one after the other. Nothing is lost, doubled or trimmed: the chunks of a
+    text one after the other are the text. Empty and null texts have none. A text is folded inside its row.
+    """
+    pieces = F.array("content")
+    for separator in separators:
+        behind = rf"(?s).*?(?:{re.escape(separator)}|\z)"
+        pieces = F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(F.regexp_extract_all(p, F.lit(behind), F.lit(0)))))  # noqa: B023
+    fixed = F.lit(rf"(?s).{{1,{size}}}")
+    pieces = F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(F.regexp_extract_all(p, fixed, F.lit(0)))))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("chunk"))
+
+    def fill(state: Column, piece: Column) -> Column:
+        fits = F.length(state["chunk"]) + F.length(piece) <= size
+        done = F.when(fits, state["done"]).otherwise(F.array_append(state["done"], state["chunk"]))
+        return F.struct(done.alias("done"), F.when(fits, F.concat(state["chunk"], piece)).otherwise(piece).alias("chunk"))
+
+    chunks = F.aggregate(pieces, start, fill, lambda state: F.filter(F.array_append(state["done"], state["chunk"]), lambda c: c != ""))
+    texts = files.filter(F.length("content") > 0)
+    rows = unfold(texts, ["repo_id", "path", paths.language_of("path").alias("language")], _with_starts(chunks), "cut", "chunk_no")
+    return rows.select("repo_id", "path", "language", "chunk_no", "cut.start", "cut.chunk")
+
+
+def _with_starts(chunks: Column) -> Column:
+    """Chunks with the place of their first character, from 1."""
+    none = F.array().cast("array<struct<start: bigint, chunk: string>>")
+    start = F.struct(F.lit(1).cast("bigint").alias("at"), none.alias("found"))
+
+    def step(state: Column, chunk: Column) -> Column:
+        found = F.array_append(state["found"], F.struct(state["at"].alias("start"), chunk.alias("chunk")))
+        return F.struct((state["at"] + F.length(chunk)).alias("at"), found.alias("found"))
+
+    return F.aggregate(chunks, start, step, lambda state: state["found"])
+
+
 def _doubles(vector: Column | str) -> Column:
     return paths.col(vector).cast("array<double>")
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoquarry.functions import paths, text
 from repoquarry.functions.rows import unfold
+from repoquarry.operators.modules import file_edges
 from repoquarry.session import cut_lineage
 
 _ENTRY = "array<struct<package: string, version: string>>"
@@ -31,11 +34,14 @@ _LINE_REQUIREMENT = rf"(?m)^[ \t]*(?![A-Za-z0-9+._-]*:){_REQUIREMENT}"
 _QUOTED_REQUIREMENT = rf"[\"']{_REQUIREMENT}"
 _TOML_PAIR = r"(?m)^[ \t]*\"?([A-Za-z0-9._-]+)\"?[ \t]*=[ \t]*(?:\{[^}\n]*?version[ \t]*=[ \t]*)?\"([^\"\n]*)\""
 _GO_REQUIRE = r"(?m)^[ \t]*(?:require[ \t]+)?([\w.~-]+(?:\.[\w.~-]+)*/[\w./~-]+)[ \t]+(v[^\s]+)"
-_CARGO_TABLE = r"(?m)^\[(?:dev-|build-)?dependencies\.([\w-]+)\][ \t]*\n(?:(?!\[)[^\n]*\n)*?[ \t]*version[ \t]*=[ \t]*\"([^\"\n]*)\""
+_CARGO_TABLE = r"(?m)^\[(?:target\.[^\]\n]+\.)?(?:dev-|build-)?dependencies\.([\w-]+)\][ \t]*\n(?:(?!\[)[^\n]*\n)*?[ \t]*version[ \t]*=[ \t]*\"([^\"\n]*)\""
 _SETUP_CFG = r"(?m)^install_requires[ \t]*=[ \t]*([^\n]*(?:\n[ \t]+[^\n]*)*)"
 _GEM = r"(?m)^[ \t]*gem[ \t]+['\"]([^'\"\n]+)['\"](?:[ \t]*,[ \t]*['\"]([^'\"\n]*)['\"])?"
 _GRADLE = r"(?m)^[ \t]*(?:implementation|api|compileOnly|runtimeOnly|testImplementation|kapt|annotationProcessor)[ \t(]+['\"]([^:'\"\n]+:[^:'\"\n]+)(?::([^'\"\n]*))?['\"]"
 _POM = r"(?s)<dependency>.*?</dependency>"
+_POM_PROPERTIES = r"(?s)<properties>(.*?)</properties>"
+_SETUP_PY = r"\b(?:install_requires|setup_requires|tests_require)\s*=\s*\[((?:[^\]\"']|\"[^\"]*\"|'[^']*')*)\]"
+_DOTNET = r"(?s)<Package(?:Reference|Version)\b[^>]*?(?:/>|>.*?</Package(?:Reference|Version)>)"
 
 
 def _toml_sections(value: Column, names: str) -> Column:
@@ -59,14 +65,34 @@ def _package_json(value: Column) -> Column:
     return _json_maps(value, ["dependencies", "devDependencies", "peerDependencies", "optionalDependencies"])
 
 
+def _tag(block: Column, name: str) -> Column:
+    return F.regexp_extract(block, rf"(?s)<{name}>\s*(.*?)\s*</{name}>", 1)
+
+
 def _pom(value: Column) -> Column:
-    def tag(block: Column, name: str) -> Column:
-        return F.regexp_extract(block, rf"(?s)<{name}>\s*(.*?)\s*</{name}>", 1)
+    """Declared versions; one that names a property of the same file has its value."""
+    block = F.array_join(_all(value, _POM_PROPERTIES), "\n")
+    properties = F.transform(
+        _all(block, r"<[\w.-]+>[^<]*</", 0),
+        lambda p: F.struct(F.regexp_extract(p, r"^<([\w.-]+)>", 1).alias("name"), F.regexp_extract(p, r">\s*([^<]*?)\s*<", 1).alias("value")),
+    )
+
+    def entry(b: Column, known: Column) -> Column:
+        version = _tag(b, "version")
+        name = F.regexp_extract(version, r"^\$\{(.+)\}$", 1)
+        meant = F.try_element_at(F.filter(known, lambda p: p["name"] == name), F.lit(1))["value"]
+        return _pair(F.concat_ws(":", _tag(b, "groupId"), _tag(b, "artifactId")), F.coalesce(meant, version))
+
+    # A one-element array binds the properties, so they are found once.
+    return F.transform(F.array(properties), lambda known: F.transform(_all(value, _POM, 0), lambda b: entry(b, known)))[0].cast(_ENTRY)
 
-    return F.transform(
-        _all(value, _POM, 0),
-        lambda b: _pair(F.concat_ws(":", tag(b, "groupId"), tag(b, "artifactId")), tag(b, "version")),
-    ).cast(_ENTRY)
+
+def _dotnet(value: Column) -> Column:
+    def entry(b: Column) -> Column:
+        version = F.regexp_extract(b, r"\bVersion=[\"']([^\"']*)[\"']", 1)
+        return _pair(F.regexp_extract(b, r"\b(?:Include|Update)=[\"']([^\"']+)[\"']", 1), F.when(version != "", version).otherwise(_tag(b, "Version")))
+
+    return F.filter(F.transform(_all(value, _DOTNET, 0), entry), lambda e: e["package"] != "").cast(_ENTRY)
 
 
 def _pyproject(value: Column) -> Column:
@@ -89,7 +115,7 @@ def dependency_manifest(files: DataFrame, with_ignored: bool = False) -> DataFra
         (name == "pyproject.toml", "python", _pyproject(content)),
         (name == "package.json", "javascript", _package_json(content)),
         (name == "Cargo.toml", "rust", F.concat(
-            _by_regex(_toml_sections(content, "(?:workspace\\.)?(?:dev-|build-)?dependencies"), _TOML_PAIR), _by_regex(content, _CARGO_TABLE)
+            _by_regex(_toml_sections(content, r"(?:workspace\.|target\.[^\]\n]+\.)?(?:dev-|build-)?dependencies"), _TOML_PAIR), _by_regex(content, _CARGO_TABLE)
         )),
         (name == "go.mod", "go", _by_regex(content, _GO_REQUIRE)),
         (name == "pom.xml", "java", _pom(content)),
@@ -98,19 +124,71 @@ def dependency_manifest(files: DataFrame, with_ignored: bool = False) -> DataFra
         (name == "Gemfile", "ruby", _by_regex(content, _GEM)),
         (name == "composer.json", "php", _json_maps(content, ["require", "require-dev"])),
         (name.isin("build.gradle", "build.gradle.kts"), "java", _by_regex(content, _GRADLE)),
+        (name == "setup.py", "python", _by_regex(F.array_join(_all(content, _SETUP_PY), "\n"), _QUOTED_REQUIREMENT)),
+        (name.rlike(r"[.](cs|fs|vb)proj$|^Directory[.]Packages[.]props$"), "dotnet", _dotnet(content)),
     ]
+    return _entries(_visible(files, with_ignored), readers)
+
+
+def _entries(files: DataFrame, readers: list[tuple[Column, str, Column]]) -> DataFrame:
+    """Entries of the files that one of the readers `(test of the name, ecosystem, entries of the content)` knows."""
     ecosystem, entries = F.lit(None).cast("string"), F.array().cast(_ENTRY)
     for test, eco, found in reversed(readers):
         ecosystem = F.when(test, F.lit(eco)).otherwise(ecosystem)
         entries = F.when(test, found).otherwise(entries)
-    manifests = _visible(files, with_ignored).filter(
-        name.rlike(r"^requirements.*\.txt$")
-        | name.isin("pyproject.toml", "package.json", "Cargo.toml", "go.mod", "pom.xml", "Pipfile", "setup.cfg", "Gemfile", "composer.json", "build.gradle", "build.gradle.kts")
-    )
+    manifests = files.filter(reduce(lambda a, b: a | b, [test for test, _, _ in readers]))
     rows = unfold(manifests, ["repo_id", "path", ecosystem.alias("ecosystem")], entries, "entry")
     return rows.select("repo_id", "path", "ecosystem", "entry.package", "entry.version")
 
 
+_LOCKED_TOML = r"(?m)^\[\[package\]\][ \t]*\nname[ \t]*=[ \t]*\"([^\"\n]+)\"[ \t]*\nversion[ \t]*=[ \t]*\"([^\"\n]+)\""
+_GO_SUM = r"(?m)^(\S+) (v[^\s/]+) h1:"
+_YARN = r"(?m)^\"?(@?[^@\s\"]+)@[^\n]*:[ \t]*\n[ \t]+version:?[ \t]+\"?([^\"\s]+)"
+_GEM_LOCK = r"(?m)^ {4}([\w.-]+) \(([^)\n]+)\)[ \t]*$"
+
+
+def _npm_lock(value: Column) -> Column:
+    version = "map<string, struct<version: string>>"
+    parsed = F.from_json(value, f"packages {version}, dependencies {version}")
+    # Newer files list folders, of which the own one has no name; older ones list names.
+    folders = F.filter(F.map_entries(parsed["packages"]), lambda e: F.contains(e["key"], F.lit("node_modules/")))
+    newer = F.transform(folders, lambda e: _pair(F.regexp_extract(e["key"], r"^.*node_modules/(.+)$", 1), e["value"]["version"])).cast(_ENTRY)
+    older = F.transform(F.map_entries(parsed["dependencies"]), lambda e: _pair(e["key"], e["value"]["version"])).cast(_ENTRY)
+    return F.coalesce(newer, older, F.array().cast(_ENTRY))
+
+
+def _pipfile_lock(value: Column) -> Column:
+    version = "map<string, struct<version: string>>"
+    parsed = F.from_json(value, f"`default` {version}, develop {version}")
+    none = F.array().cast(_ENTRY)
+    entries = [F.transform(F.map_entries(parsed[f]), lambda e: _pair(e["key"], F.regexp_replace(e["value"]["version"], "^==", ""))).cast(_ENTRY) for f in ("default", "develop")]
+    return F.concat(*[F.coalesce(e, none) for e in entries])
+
+
+def _composer_lock(value: Column) -> Column:
+    listed = "array<struct<name: string, version: string>>"
+    parsed = F.from_json(value, f"packages {listed}, `packages-dev` {listed}")
+    none = F.array().cast(listed)
+    both = F.concat(F.coalesce(parsed["packages"], none), F.coalesce(parsed["packages-dev"], none))
+    return F.transform(both, lambda e: _pair(e["name"], e["version"])).cast(_ENTRY)
+
+
+def locked_dependencies(files: DataFrame, with_ignored: bool = False) -> DataFrame:
+    """`(repo_id, path, ecosystem, package, version)` as lock files resolve them, also what is needed indirectly."""
+    name, content = paths.file_name("path"), text.unix_lines("content")
+    readers = [
+        (name == "poetry.lock", "python", _by_regex(content, _LOCKED_TOML)),
+        (name == "Pipfile.lock", "python", _pipfile_lock(content)),
+        (name == "package-lock.json", "javascript", _npm_lock(content)),
+        (name == "yarn.lock", "javascript", _by_regex(content, _YARN)),
+        (name == "Cargo.lock", "rust", _by_regex(content, _LOCKED_TOML)),
+        (name == "go.sum", "go", _by_regex(content, _GO_SUM)),
+        (name == "Gemfile.lock", "ruby", _by_regex(content, _GEM_LOCK)),
+        (name == "composer.lock", "php", _composer_lock(content)),
+    ]
+    return _entries(_visible(files, with_ignored), readers).distinct()
+
+
 def _first_words(lists: Column) -> Column:
     """Module names of import lists such as "a, b as c"."""
     names = F.flatten(F.transform(lists, lambda names: F.split(names, ",")))
@@ -130,6 +208,37 @@ def _from_names(content: Column) -> Column:
     return F.flatten(F.transform(lines, names))
 
 
+def _jvm_names(names: Column) -> Column:
+    """Names of imports, one for each name in braces; "_" at the end is the "*" of Scala."""
+
+    def split(name: Column) -> Column:
+        package, listed = F.regexp_extract(name, r"^(.*)\{", 1), F.regexp_extract(name, r"\{(.*)\}", 1)
+        inner = F.transform(F.split(listed, ","), lambda n: F.concat(package, F.regexp_extract(n, r"([\w*]+)", 1)))
+        return F.when(listed != "", inner).otherwise(F.array(F.regexp_replace(name, r"\.?\{.*$|\.$", "")))
+
+    return F.transform(F.flatten(F.transform(names, split)), lambda n: F.regexp_replace(n, r"\._$", ".*"))
+
+
+_RUST_PUBLIC = r"(?:pub(?:\([^)]*\))?[ \t]+)?"
+
+
+def _unbraced(statements: Column) -> Column:
+    """Paths of `use` statements, with what stands in (nested) braces written out."""
+    group = r"^(.*?)([\w:]*)\{([^{}]*)\}(.*)$"
+
+    def innermost(statement: Column) -> Column:
+        part = lambda k: F.regexp_extract(statement, group, k)
+        listed = F.transform(F.filter(F.split(part(3), ","), lambda n: n != ""), lambda n: F.concat(part(2), n))
+        return F.when(statement.contains("{"), F.concat(part(1), F.array_join(listed, ","), part(4))).otherwise(statement)
+
+    def whole(statement: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(statement, r"\s+as\s+\w+", ""), r"\s+", "")
+        levels = F.split(bare, r"\{")  # one more than there are braces
+        return F.filter(F.split(F.aggregate(levels, bare, lambda text, _: innermost(text)), ","), lambda n: n != "")
+
+    return F.transform(F.flatten(F.transform(statements, whole)), lambda m: F.regexp_replace(m, "^::|:+$", ""))
+
+
 def _imports(language: Column, content: Column) -> Column:
     go_blocks = F.array_join(_all(content, r"(?ms)^import[ \t]*\((.*?)\)", 1), "\n")
     by_language = [
@@ -139,13 +248,16 @@ def _imports(language: Column, content: Column) -> Column:
             _first_words(_all(content, r"(?m)^[ \t]*import[ \t]+([\w., \t]+)")),
         )),
         (["JavaScript", "TypeScript", "JSX", "TSX", "Vue"], _all(content, r"(?:\bfrom|\bimport|\brequire\(|\bimport\()\s*['\"]([^'\"\n]+)['\"]")),
-        (["Java", "Kotlin", "Scala"], _all(content, r"(?m)^[ \t]*import[ \t]+(?:static[ \t]+)?([\w.]+(?:\.\*)?)")),
+        (["Java", "Kotlin", "Scala"], _jvm_names(_all(content, r"(?m)^[ \t]*import[ \t]+(?:static[ \t]+)?([\w.]+(?:\*|\{[^}\n]*\})?)"))),
         (["Go"], F.concat(
             _all(content, r"(?m)^[ \t]*import[ \t]+(?:[\w.]+[ \t]+)?\"([^\"\n]+)\""),
             _all(go_blocks, r"\"([^\"\n]+)\""),
         )),
         (["C", "C++"], _all(content, r"(?m)^[ \t]*#[ \t]*include[ \t]*[<\"]([^>\"\n]+)[>\"]")),
-        (["Rust"], F.transform(_all(content, r"(?m)^[ \t]*(?:pub[ \t]+)?use[ \t]+([\w:]+)"), lambda m: F.regexp_replace(m, ":+$", ""))),
+        (["Rust"], F.concat(
+            _unbraced(_all(content, rf"(?m)^[ \t]*{_RUST_PUBLIC}use[ \t]+([^;]+);")),
+            F.transform(_all(content, rf"(?m)^[ \t]*{_RUST_PUBLIC}mod[ \t]+(\w+)[ \t]*;"), lambda m: F.concat(F.lit("self::"), m)),
+        )),
         (["C#"], _all(content, r"(?m)^[ \t]*using[ \t]+(?:static[ \t]+)?([\w.]+)[ \t]*;")),
         (["Ruby"], _all(content, r"(?m)^[ \t]*require(?:_relative)?[ \t]+['\"]([^'\"\n]+)['\"]")),
         (["PHP"], _all(content, r"(?m)^[ \t]*use[ \t]+([\w\\]+)")),
@@ -166,61 +278,6 @@ def import_edges(files: DataFrame, with_ignored: bool = False) -> DataFrame:
     return unfold(sources, ["repo_id", "path", "language"], modules, "module")
 
 
-_SCRIPTS = ["", ".ts", ".tsx", ".js", ".jsx", ".vue", "/index.ts", "/index.tsx", "/index.js"]
-
-
-def _normal(path: Column) -> Column:
-    """The path with "." and ".." parts resolved."""
-    none = F.array().cast("array<string>")
-    up = lambda parts: F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
-    kept = F.aggregate(
-        F.split(path, "/"), none, lambda parts, x: F.when(x == "..", up(parts)).when(x.isin(".", ""), parts).otherwise(F.array_append(parts, x))
-    )
-    return F.array_join(kept, "/")
-
-
-def _candidates(language: Column, path: Column, module: Column) -> Column:
-    """Paths a module may stand for, seen from the file that names it."""
-    own = F.concat(F.regexp_replace(paths.parent_dir(path), "^[.]$", ""), F.lit("/"))
-
-    def under(roots: list[str], name: Column, endings: list[str]) -> Column:
-        return F.array(*[F.concat(F.lit(r), name, F.lit(e)) for r in roots for e in endings])
-
-    dots = F.length(F.regexp_extract(module, r"^(\.*)", 1))
-    rest = F.replace(F.regexp_replace(module, r"^\.+", ""), F.lit("."), F.lit("/"))
-    nested = F.replace(module, F.lit("."), F.lit("/"))
-    climbed = F.concat(own, F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0))), rest)
-    crate = F.replace(F.regexp_replace(module, "^crate::", ""), F.lit("::"), F.lit("/"))
-    java = [".java", ".kt", ".scala"]
-    roots = ["", "src/main/java/", "src/main/kotlin/", "src/main/scala/", "src/test/java/", "src/"]
-    found = (
-        F.when((language == "Python") & (dots > 0), under([""], climbed, [".py", "/__init__.py"]))
-        .when(language == "Python", under(["", "src/"], nested, [".py", "/__init__.py"]))
-        .when(language.isin("JavaScript", "TypeScript", "JSX", "TSX", "Vue") & module.rlike(r"^\.\.?(/|$)"), under([""], F.concat(own, module), _SCRIPTS))
-        .when(language.isin("Java", "Kotlin", "Scala"), F.concat(under(roots, nested, java), under(roots, F.regexp_replace(nested, "/[^/]*$", ""), java)))
-        .when(language.isin("C", "C++"), F.concat(F.array(F.concat(own, module)), under(["", "include/", "src/"], module, [""])))
-        .when(
-            (language == "Rust") & module.startswith("crate::"),
-            F.concat(under(["src/"], crate, [".rs", "/mod.rs"]), under(["src/"], F.regexp_replace(crate, "/[^/]*$", ""), [".rs", "/mod.rs"])),
-        )
-        .when(language == "Ruby", F.concat(F.array(F.concat(own, module, F.lit(".rb"))), under(["", "lib/"], module, [".rb"])))
-        .otherwise(F.array().cast("array<string>"))
-    )
-    return F.array_distinct(F.transform(found, _normal))
-
-
-def file_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """`(repo_id, src, dst)`: import edges whose module is a file of the same repository.
-
-    Absolute and relative modules of Python, relative ones of JavaScript and TypeScript, packages of Java, Kotlin and Scala under the usual
-    source roots, includes of C and C++, `crate::` of Rust, required files of Ruby. Each edge brings its few possible paths, which meet the
-    files on the path itself; a file imported everywhere is a hot key of the edges only, which Spark splits.
-    """
-    seen = unfold(edges, ["repo_id", F.col("path").alias("src")], _candidates(F.col("language"), F.col("path"), F.col("module")), "dst")
-    met = seen.filter("src <> dst").join(files.select("repo_id", F.col("path").alias("dst")), ["repo_id", "dst"], "left_semi")
-    return met.select("repo_id", "src", "dst").distinct()
-
-
 def impact_from_code(changed: DataFrame, files: DataFrame) -> DataFrame:
     """`change_impact` on the import edges of the files themselves."""
     return change_impact(changed, file_edges(import_edges(files), files))

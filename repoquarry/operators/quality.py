@@ -12,30 +12,39 @@ from repoquarry.functions.rows import unfold
 from repoquarry.operators.patterns import flag
 from repoquarry.sources.tree import file_tree
 
+_SECRET_NAME = r"(password|passwd|secret|api[_-]?key|token)(_[a-z0-9_]{1,40})?"
+_OCTET = r"(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 # Kinds of sensitive text, masked in this order.
 SENSITIVE = {
     "private_key": r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----",
     "access_key": r"\b(AKIA|ASIA)[0-9A-Z]{16}\b",
-    "token": r"\b(ghp|gho|ghs|glpat|xoxb|xoxp)[-_][0-9A-Za-z_-]{20,}",
-    "assigned_secret": r"(?i)(password|passwd|secret|api[_-]?key|token)(_[a-z0-9_]{1,40})?[\x22\x27]?[ \t]*[:=][ \t]*[^\s,;]{6,}",
+    "token": r"\b(github_pat|ghp|gho|ghu|ghs|ghr|glpat|xoxb|xoxp)[-_][0-9A-Za-z_-]{20,}",
+    "authorization": r"(?i)\b(bearer|basic)[ \t]+[0-9A-Za-z._~+/-]{16,}=*",
+    "url_password": r"\b[A-Za-z][0-9A-Za-z+.-]{1,30}://[^\s/:@]{0,200}:[^\s/@]{1,200}@",
+    # A quoted name or value goes with both its quotes, so what is left stays balanced.
+    "assigned_secret": rf"(?i)(\x22{_SECRET_NAME}\x22|\x27{_SECRET_NAME}\x27|{_SECRET_NAME})[ \t]*[:=][ \t]*"
+    r"(\x22[^\x22\n]{6,}\x22|\x27[^\x27\n]{6,}\x27|[\x22\x27]?[^\s,;\x22\x27}]{6,})",
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "ipv4": r"\b(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(\.(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}\b",
+    # Not a part of a longer row of numbers, as in a version.
+    "ipv4": rf"(?<![0-9])(?<![0-9]\.){_OCTET}(\.{_OCTET}){{3}}(?![0-9])(?!\.[0-9])",
     "phone": r"\+?[0-9]{1,3}[ -]\(?[0-9]{3}\)?[ -][0-9]{3}[ -]?[0-9]{4}\b",
 }
-# Every passage of a kind holds one of these literals; a text without any is spared the regex.
+# Every passage of a kind holds one of these literals, or meets the plainer regex; other texts are spared the regex of the kind.
 _LITERALS = {
     "private_key": ["-----BEGIN"],
     "access_key": ["AKIA", "ASIA"],
-    "token": ["ghp", "gho", "ghs", "glpat", "xoxb", "xoxp"],
+    "token": ["github_pat", "ghp", "gho", "ghu", "ghs", "ghr", "glpat", "xoxb", "xoxp"],
+    "url_password": ["://"],
     "assigned_secret": [":", "="],
     "email": ["@"],
 }
+_PLAINER = {"authorization": r"(?i)(bearer|basic)[ \t]", "ipv4": r"[0-9]\.[0-9]", "phone": "[0-9]{3}[ -]?[0-9]{4}"}
 MARKERS = ["TODO", "FIXME", "HACK"]
 
 
 def _may_hold(value: Column, kind: str) -> Column:
-    if kind not in _LITERALS:
-        return value.rlike("[0-9]{3}[ -]?[0-9]{4}" if kind == "phone" else r"[0-9]\.[0-9]")
+    if kind in _PLAINER:
+        return value.rlike(_PLAINER[kind])
     return reduce(lambda a, b: a | b, [F.contains(value, F.lit(word)) for word in _LITERALS[kind]])
 
 
@@ -122,14 +131,29 @@ def debt_rollup(files: DataFrame) -> DataFrame:
     )
 
 
+_STEPS = {"hour": "1 hour", "day": "1 day", "week": "7 days", "month": "1 month", "quarter": "3 months", "year": "1 year"}
+
+
+def dense_periods(rows: DataFrame, period: str, keys: list[str]) -> DataFrame:
+    """Every period between the first and the last of each key, also those `rows(keys, period)` has no row for."""
+    ends = rows.groupBy(*keys).agg(F.min("period").alias("_first"), F.max("period").alias("_last"))
+    spine = F.expr(f"sequence(_first, _last, interval {_STEPS[period]})")
+    return unfold(ends, keys, spine, "period")
+
+
 def health_trend(changes: DataFrame, period: str = "month", window: int = 4) -> DataFrame:
     """`(repo_id, period, changes, churn, churn_avg, churn_delta)`: churn, its moving average and change to the period before.
 
-    Windows run over one row per repository and period.
+    There is a row for every period from a repository's first change to its last: a period without changes has zeros and counts
+    in the average and as the period before. Changes without a time are in no period. Windows run over one row per repository and period.
     """
-    periods = changes.groupBy("repo_id", F.date_trunc(period, "ts").alias("period")).agg(
+    counted = changes.filter("ts is not null").groupBy("repo_id", F.date_trunc(period, "ts").alias("period")).agg(
         F.count("*").alias("changes"), F.sum(F.col("lines_added") + F.col("lines_deleted")).alias("churn")
     )
+    zero = F.lit(0).cast("bigint")
+    periods = dense_periods(counted, period, ["repo_id"]).join(counted, ["repo_id", "period"], "left").select(
+        "repo_id", "period", F.coalesce("changes", zero).alias("changes"), F.coalesce("churn", zero).alias("churn")
+    )
     order = Window.partitionBy("repo_id").orderBy("period")
     return periods.withColumn("churn_avg", F.avg("churn").over(order.rowsBetween(1 - window, 0))).withColumn(
         "churn_delta", F.col("churn") - F.lag("churn").over(order)

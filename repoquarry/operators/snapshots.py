@@ -6,15 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoquarry.operators.languages import enrich_files
+from repoquarry.operators.renames import pair_changed
 from repoquarry.operators.skew import rank_in_groups
 
 
-def diff_snapshots(a: DataFrame, b: DataFrame) -> DataFrame:
-    """`(repo_id, file_path, change_type, old_path)` leading from snapshot a to b, both `(repo_id, path, blob)`.
+def diff_snapshots(a: DataFrame, b: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """`(repo_id, file_path, change_type, old_path, similarity)` leading from snapshot a to b, both `(repo_id, path, blob)`.
 
-    M: same path, other blob. R: a removed and an added path with the same blob, paired one to one. What is left is
-    A or D. Equal blobs may be very many (empty files), so pairs are made by a rank that needs no single sorted group.
+    M: same path, other blob. R: a removed and an added path with the same blob (similarity 1), paired one to one; of what these leave,
+    if both snapshots have a column `content`, the pairs whose lines agree in `threshold` or more. What is left is A or D. Equal blobs may
+    be very many (empty files), so pairs are made by a rank that needs no single sorted group.
     """
+    changes = _by_blob(a, b).withColumn("similarity", F.when(F.col("change_type") == "R", F.lit(1.0)))
+    if "content" not in a.columns or "content" not in b.columns:
+        return changes
+    return pair_changed(changes, a, b, threshold)
+
+
+def _by_blob(a: DataFrame, b: DataFrame) -> DataFrame:
     tagged = a.select("repo_id", "path", "blob", F.lit(True).alias("in_a")).unionByName(
         b.select("repo_id", "path", "blob", F.lit(False).alias("in_a"))
     )

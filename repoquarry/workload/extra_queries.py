@@ -22,16 +22,36 @@ def _(t: Inputs) -> DataFrame:
     return cut.select("repo_id", "path", "language", "chunk_no", "start", F.md5("chunk").alias("chunk_md5"))
 
 
+def _cut_sql(pieces: str, behind: str) -> str:
+    return f"flatten(list_transform({pieces}, lambda p: case when length(p) <= 2000 then [p] else list_filter(regexp_extract_all(p, '{behind}'), lambda x: x <> '') end))"
+
+
+_PIECES = _cut_sql(_cut_sql(_cut_sql(_cut_sql("[content]", "(?s).*?(?:\\n\\n|\\z)"), "(?s).*?(?:\\n|\\z)"), "(?s).*?(?: |\\z)"), "(?s).{1,1000}.{0,1000}")
+
+
 @query(
-    "top_k_similar",
-    """with e as (select label::bigint as repo_id, vec_id, embedding::double[] as v from embeddings),
+    "split_recursive",
+    f"""with p as (select repo_id, path, language, {_PIECES} as pieces from o_all where length(content) > 0),
+        c as (select repo_id, path, language, string_split(list_reduce(pieces, lambda s, p:
+                case when length(string_split(s, chr(57344))[-1]) + length(p) <= 2000 then s || p else s || chr(57344) || p end), chr(57344)) as chunks from p),
+        n as (select repo_id, path, language, chunks, unnest(range(len(chunks))) as chunk_no from c)
+        select repo_id, path, language, chunk_no, coalesce(list_sum(list_transform(chunks[1:chunk_no], lambda x: length(x))), 0)::bigint + 1 as start, md5(chunks[chunk_no + 1]) as chunk_md5 from n""",
+)
+def _(t: Inputs) -> DataFrame:
+    cut = chunks.split_recursive(t.files)
+    return cut.select("repo_id", "path", "language", "chunk_no", "start", F.md5("chunk").alias("chunk_md5"))
+
+
+SIMILAR_TWIN = """with e as (select label::bigint as repo_id, vec_id, embedding::double[] as v from embeddings),
        c as (select repo_id, list(x order by i) as q from (
                select repo_id, i, avg(v[i]) as x from e, (select unnest(range(1, 65)) as i) group by all) group by repo_id)
        select repo_id, 'centroid' as query_id, rank, vec_id as chunk_id, similarity from (
          select *, row_number() over (partition by repo_id order by similarity desc, vec_id) as rank
          from (select e.repo_id, vec_id, round(list_cosine_similarity(v, q), 6) as similarity from e join c using (repo_id)))
-       where rank <= 10""",
-)
+       where rank <= 10"""
+
+
+@query("top_k_similar", SIMILAR_TWIN)
 def _(t: Inputs) -> DataFrame:
     """Labels stand for repositories; each is asked for the vectors nearest to its mean."""
     stored = t.embeddings.selectExpr("label as repo_id", "vec_id as chunk_id", "embedding as vector")
@@ -39,22 +59,20 @@ def _(t: Inputs) -> DataFrame:
     return chunks.top_k_similar(stored, asked, 10)
 
 
-_TERMS = ["the", "and", "que", "der", "les"]
-
-
-@query(
-    "search_docs",
-    f"""with w as (select repo_id, path, unnest(list_filter(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+'),
-                     lambda x: x in ({", ".join("'" + x + "'" for x in _TERMS)}))) as term from files),
+SEARCH_TERMS = ["the", "and", "que", "der", "les"]
+SEARCH_TWIN = f"""with w as (select repo_id, path, unnest(list_filter(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+'),
+                     lambda x: x in ({", ".join("'" + x + "'" for x in SEARCH_TERMS)}))) as term from files),
         p as (select repo_id, path, term, count(*) as tf from w group by all),
         i as (select p.repo_id, term, ln(1 + any_value(n)::double / count(*)) as idf from p
               join (select repo_id, count(*) as n from files group by repo_id) s using (repo_id) group by p.repo_id, term)
         select repo_id, rank, path, score from (
           select *, row_number() over (partition by repo_id order by score desc, path) as rank from (
-            select repo_id, path, round(sum(tf * idf), 6) as score from p join i using (repo_id, term) group by all)) where rank <= 10""",
-)
+            select repo_id, path, round(sum(tf * idf), 6) as score from p join i using (repo_id, term) group by all)) where rank <= 10"""
+
+
+@query("search_docs", SEARCH_TWIN)
 def _(t: Inputs) -> DataFrame:
-    return search.search_docs(t.files, _TERMS)
+    return search.search_docs(t.files, SEARCH_TERMS)
 
 
 @query(
@@ -103,27 +121,42 @@ def _(t: Inputs) -> DataFrame:
     return dependencies.import_edges(t.code_files)
 
 
-_FILE_EDGES = """
+# Which file of a small project imports which, by their places in the view.
+_POLY_EDGES = [
+    (2, 1), (3, 2), (4, 2), (5, 1), (5, 2), (9, 7), (11, 10), (12, 10), (13, 10), (14, 10), (16, 17), (16, 18),
+    (16, 20), (16, 19), (19, 20), (20, 17), (21, 18), (23, 22), (25, 24), (27, 26), (29, 28), (29, 30), (31, 32),
+]
+
+_FILE_EDGES = f"""
     select distinct a.repo_id, a.path as src, b.path as dst from code_paths a join code_paths b on a.repo_id = b.repo_id
-    where a.path not like '.%' and ((a.i % 16 = 2 and b.i = a.i + 9 and regexp_matches(b.path, '^(src/)?m[0-9]+/settings[.]py$'))
-          or (a.i % 16 = 3 and b.i = a.i + 4 and regexp_replace(a.path, 'm[0-9]+/[^/]*$', '') = regexp_replace(b.path, 'm[0-9]+/[^/]*$', '')))"""
+    where a.path not like '.%' and b.path not like '.%' and ((a.i % 16 = 2 and b.i = a.i + 9)
+          or (a.i % 16 = 3 and b.i = a.i + 4 and regexp_replace(a.path, 'm[0-9]+/[^/]*$', '') = regexp_replace(b.path, 'm[0-9]+/[^/]*$', '')))
+    union all
+    select a.repo_id, a.path, b.path from poly_paths a join poly_paths b on a.w = b.w
+    join (values {", ".join(map(str, _POLY_EDGES))}) e(s, d) on a.k = e.s and b.k = e.d"""
+
+
+def _sources(t: Inputs) -> DataFrame:
+    return t.code_files.unionByName(t.poly_files)
 
 
 @query("file_edges", _FILE_EDGES)
 def _(t: Inputs) -> DataFrame:
-    return dependencies.file_edges(dependencies.import_edges(t.code_files), t.code_files)
+    return dependencies.file_edges(dependencies.import_edges(_sources(t)), _sources(t))
 
 
 @query(
     "change_impact_from_code",
-    f"""with e as ({_FILE_EDGES}), s as (select repo_id, path from code_paths where i % 16 in (7, 11))
-        select repo_id, path, min(depth) as depth from (
-          select *, 0::bigint as depth from s union all select e.repo_id, e.src, 1 from e join s on e.repo_id = s.repo_id and e.dst = s.path) group by all""",
+    f"""with recursive e as ({_FILE_EDGES}),
+       s as (select repo_id, path from code_paths where i % 16 in (7, 11) union all select repo_id, path from poly_paths where k in (1, 17, 7)),
+       r as (select repo_id, path, 0 as depth from s union select e.repo_id, e.src, depth + 1 from r join e on e.repo_id = r.repo_id and e.dst = r.path where depth < 9)
+       select repo_id, path, min(depth)::bigint as depth from r group by all""",
 )
 def _(t: Inputs) -> DataFrame:
-    """All settings modules and scripts changed; their importers are found in the texts."""
+    """All settings modules and scripts changed, and the files at the end of chains of imports; their importers are found in the texts."""
     changed = t.code_paths.filter((F.col("i") % 16).isin(7, 11)).select("repo_id", "path")
-    return dependencies.impact_from_code(changed, t.code_files)
+    ends = t.poly_paths.filter(F.col("k").isin(1, 17, 7)).select("repo_id", "path")
+    return dependencies.impact_from_code(changed.unionByName(ends), _sources(t))
 
 
 @query(
@@ -149,29 +182,74 @@ def _(t: Inputs) -> DataFrame:
     return dependencies.docs_to_refresh(t.reports, t.file_changes)
 
 
-def _mask_sql(value: str) -> str:
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
+# The same as the lookarounds of the kind, for an engine without them; twice, as two addresses may share what stands between them.
+_ADDRESS = f"(^|[^0-9.]|(?:^|[^0-9])[.]){_OCTET}(?:[.]{_OCTET}){{3}}($|[^0-9.]|[.](?:$|[^0-9]))"
+
+
+def _mask_steps(value: str) -> list[tuple[str, str]]:
+    """Each kind with the text after it."""
+    steps = []
     for kind, regex in quality.SENSITIVE.items():
-        value = f"regexp_replace({value}, '{regex}', '[{kind.upper()}]', 'g')"
-    return value
+        for _ in range(2 if kind == "ipv4" else 1):
+            found, put = (_ADDRESS, "\\1[IPV4]\\2") if kind == "ipv4" else (regex, f"[{kind.upper()}]")
+            value = f"regexp_replace({value}, '{found}', '{put}', 'g')"
+        steps.append((kind, value))
+    return steps
+
 
+# Texts that hold one passage each, and what masking makes of them; `n` is a number of the row.
+_LEAKS = [
+    ("'curl -H \"Authorization: Bearer abc.DEF' || n || '0123456789\"'", "'curl -H \"Authorization: [AUTHORIZATION]\"'", "authorization"),
+    ("'git clone https://u' || n || ':s3cretpw@host.example/x.git'", "'git clone [URL_PASSWORD]host.example/x.git'", "url_password"),
+    ("'export T=github_pat_11AAAAAAA0' || n || 'bcdefghijklmn'", "'export T=[TOKEN]'", "token"),
+    ("'release 1.2.3.4.' || n || ' and 300.1.1.' || n", "'release 1.2.3.4.' || n || ' and 300.1.1.' || n", None),
+    ("'{\"password\": \"hunter22' || n || '\"}'", "'{[ASSIGNED_SECRET]}'", "assigned_secret"),
+    ("'ping 10.0.0.' || n || '.'", "'ping [IPV4].'", "ipv4"),
+    ("'const api_key = \"a b c ' || n || '\";'", "'const [ASSIGNED_SECRET];'", "assigned_secret"),
+    ("'mail a.b' || n || '@example.org now'", "'mail [EMAIL] now'", "email"),
+]
 
-@query("mask_sensitive", f"select repo_id, path, md5({_mask_sql('content')}) as text_md5 from (select * from files union all select * from code_files)")
+
+def _leaks(t: Inputs) -> DataFrame:
+    """Each part with one of the texts."""
+    content = F.lit(None).cast("string")
+    for kind, (text, _, _) in enumerate(_LEAKS):
+        content = F.when(F.col("i") % len(_LEAKS) == kind, F.expr(text)).otherwise(content)
+    numbered = t.code_paths.select("repo_id", F.concat(F.lit("leak/"), "path").alias("path"), "i", (F.col("i") % 100).cast("string").alias("n"))
+    return numbered.select("repo_id", "path", content.alias("content"))
+
+
+_LEAK_ROWS = "select repo_id, 'leak/' || path as path, i % {count} as kind, (i % 100)::varchar as n from code_paths".format(count=len(_LEAKS))
+
+
+@query(
+    "mask_sensitive",
+    f"select repo_id, path, md5({_mask_steps('content')[-1][1]}) as text_md5 from (select repo_id, path, content from files union all select repo_id, path, content from code_files)"
+    f" union all select repo_id, path, md5(case kind {' '.join(f'when {k} then {masked}' for k, (_, masked, _) in enumerate(_LEAKS))} end) from ({_LEAK_ROWS})",
+)
 def _(t: Inputs) -> DataFrame:
-    texts = t.files.unionByName(t.code_files)
+    texts = t.files.select("repo_id", "path", "content").unionByName(t.code_files.select("repo_id", "path", "content")).unionByName(_leaks(t))
     return quality.mask_sensitive(texts).select("repo_id", "path", F.md5("content").alias("text_md5"))
 
 
 def _findings_sql() -> str:
-    parts, value = [], "content"
-    for kind, regex in quality.SENSITIVE.items():
-        parts.append(f"select repo_id, path, '{kind}' as kind, len(regexp_extract_all({value}, '{regex}')) as findings from u")
-        value = f"regexp_replace({value}, '{regex}', '[{kind.upper()}]', 'g')"
-    return "with u as (select * from files union all select * from code_files) select * from (" + " union all ".join(parts) + ") where findings > 0"
+    """Marks of a kind that its step puts in."""
+    parts, before = [], "content"
+    for kind, after in _mask_steps("content"):
+        mark = f"[{kind.upper()}]"
+        count = lambda v: f"(length({v}) - length(replace({v}, '{mark}', ''))) // {len(mark)}"  # noqa: E731, B023
+        parts.append(f"select repo_id, path, '{kind}' as kind, {count(after)} - {count(before)} as findings from u")
+        before = after
+    leaks = f"select repo_id, path, case kind {' '.join(f'when {k} then {chr(39) + kind + chr(39)}' for k, (_, _, kind) in enumerate(_LEAKS) if kind)} end as kind, 1 as findings from ({_LEAK_ROWS})"
+    texts = "select repo_id, path, content from files union all select repo_id, path, content from code_files"
+    return f"with u as ({texts}) select * from (" + " union all ".join(parts) + f") where findings > 0 union all select * from ({leaks}) where kind is not null"
 
 
 @query("sensitive_findings", _findings_sql())
 def _(t: Inputs) -> DataFrame:
-    return quality.sensitive_findings(t.files.unionByName(t.code_files))
+    texts = t.files.select("repo_id", "path", "content").unionByName(t.code_files.select("repo_id", "path", "content")).unionByName(_leaks(t))
+    return quality.sensitive_findings(texts)
 
 
 @query(
@@ -220,13 +298,15 @@ def _(t: Inputs) -> DataFrame:
 
 @query(
     "health_trend",
-    """select repo_id, strftime(period, '%Y-%m-%d %H:%M:%S') as period, changes, churn, avg(churn) over (w rows 3 preceding) as churn_avg,
+    """with p as (select repo_id, date_trunc('month', ts) as period, count(*) as changes, sum(lines_added + lines_deleted)::bigint as churn from sparse_changes group by all),
+       months as (select repo_id, unnest(generate_series(min(period)::timestamp, max(period)::timestamp, interval 1 month)) as period from p group by repo_id),
+       d as (select repo_id, m.period, coalesce(changes, 0) as changes, coalesce(churn, 0) as churn from months m left join p using (repo_id, period))
+       select repo_id, strftime(period, '%Y-%m-%d %H:%M:%S') as period, changes, churn, avg(churn) over (w rows 3 preceding) as churn_avg,
               (churn - lag(churn) over w)::double as churn_delta
-       from (select repo_id, date_trunc('month', ts) as period, count(*) as changes, sum(lines_added + lines_deleted)::bigint as churn
-             from file_changes group by all) window w as (partition by repo_id order by period)""",
+       from d window w as (partition by repo_id order by period)""",
 )
 def _(t: Inputs) -> DataFrame:
-    return quality.health_trend(t.file_changes).withColumn("churn_delta", F.col("churn_delta").cast("double"))
+    return quality.health_trend(t.sparse_changes).withColumn("churn_delta", F.col("churn_delta").cast("double"))
 
 
 @query(

@@ -126,16 +126,34 @@ def _(t: Inputs) -> DataFrame:
 
 @query(
     "diff_snapshots",
-    """with f as (select coalesce(a.repo_id, b.repo_id) as repo_id, coalesce(a.path, b.path) as path, a.blob as ba, b.blob as bb,
-                         a.path is not null as ia, b.path is not null as ib
+    """with recursive f as (select coalesce(a.repo_id, b.repo_id) as repo_id, coalesce(a.path, b.path) as path, a.blob as ba, b.blob as bb,
+                         a.path is not null as ia, b.path is not null as ib, a.content as ca, b.content as cb
                   from snapshot_a a full join snapshot_b b on a.repo_id = b.repo_id and a.path = b.path),
-       d as (select repo_id, path, ba as blob, row_number() over (partition by repo_id, ba order by md5(path), path) as n from f where not ib),
-       n as (select repo_id, path, bb as blob, row_number() over (partition by repo_id, bb order by md5(path), path) as n from f where not ia)
-       select repo_id, path as file_path, 'M' as change_type, cast(null as varchar) as old_path from f where ia and ib and ba <> bb
+       d as (select repo_id, path, ba as blob, ca as content, row_number() over (partition by repo_id, ba order by md5(path), path) as n from f where not ib),
+       n as (select repo_id, path, bb as blob, cb as content, row_number() over (partition by repo_id, bb order by md5(path), path) as n from f where not ia),
+       p as (select d.repo_id as dr, d.path as old, d.content as oc, n.repo_id as nr, n.path as new, n.content as nc
+             from d full join n on d.repo_id = n.repo_id and d.blob = n.blob and d.n = n.n),
+       lg as (select repo_id, old, line, sum(length(line) + 1) as w from (select dr as repo_id, old, unnest(string_split(oc, chr(10))) as line from p where new is null) group by all),
+       ln as (select repo_id, new, line, sum(length(line) + 1) as w from (select nr as repo_id, new, unnest(string_split(nc, chr(10))) as line from p where old is null) group by all),
+       s as (select lg.repo_id, old, new, sum(least(lg.w, ln.w)) as common from lg join ln using (repo_id, line) group by all),
+       e as (select s.repo_id, s.old, s.new, common::double / greatest(length(x.oc) + 1, length(y.nc) + 1) as similarity
+             from s join p x on x.dr = s.repo_id and x.old = s.old and x.new is null join p y on y.nr = s.repo_id and y.new = s.new and y.old is null),
+       o as (select *, row_number() over (order by similarity desc, regexp_extract(old, '[^/]*$') <> regexp_extract(new, '[^/]*$'), old, new, repo_id) as r from e where similarity >= 0.5),
+       walk as (select 0::bigint as r, []::varchar[] as used, []::bigint[] as taken
+                union all
+                select o.r, case when free then used || ['a ' || repo_id || ' ' || old, 'b ' || repo_id || ' ' || new] else used end, case when free then taken || [o.r] else taken end
+                from (select o.*, used, taken, not list_contains(used, 'a ' || repo_id || ' ' || old) and not list_contains(used, 'b ' || repo_id || ' ' || new) as free
+                      from walk join o on o.r = walk.r + 1) o),
+       m as (select o.* from o where r in (select unnest(taken) from walk where walk.r = (select max(r) from walk)))
+       select repo_id, path as file_path, 'M' as change_type, cast(null as varchar) as old_path, cast(null as double) as similarity from f where ia and ib and ba <> bb
        union all
-       select coalesce(n.repo_id, d.repo_id), coalesce(n.path, d.path),
-              case when n.path is null then 'D' when d.path is null then 'A' else 'R' end, case when n.path is not null then d.path end
-       from d full join n on d.repo_id = n.repo_id and d.blob = n.blob and d.n = n.n""",
+       select nr, new, 'R', old, 1.0 from p where old is not null and new is not null
+       union all
+       select repo_id, new, 'R', old, similarity from m
+       union all
+       select dr, old, 'D', null, null from p where new is null and not exists (select 1 from m where m.repo_id = dr and m.old = p.old)
+       union all
+       select nr, new, 'A', null, null from p where old is null and not exists (select 1 from m where m.repo_id = nr and m.new = p.new)""",
 )
 def _(t: Inputs) -> DataFrame:
     return snapshots.diff_snapshots(t.snapshot_a, t.snapshot_b)

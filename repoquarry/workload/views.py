@@ -39,6 +39,10 @@ VIEWS: dict[str, str] = {
                case when l_returnflag = 'R' then concat('old/', p.path) end as old_path,
                cast(l_quantity as bigint) as lines_added, cast(l_linenumber as bigint) as lines_deleted
         from lineitem join commits c on l_orderkey = c.commit_id join paths p on l_partkey = p.i""",
+    # Two repositories change only in the first month of a quarter and of a year, so most of their months are empty.
+    "sparse_changes": """
+        select repo_id, case repo_id when 'es' then date_trunc('quarter', ts) when 'fr' then date_trunc('year', ts) else ts end as ts, lines_added, lines_deleted
+        from file_changes""",
     "important_files": """
         select lang as repo_id, path as file_path,
                case doc_id % 4 when 0 then 'CRITICAL' when 1 then 'HIGH' when 2 then 'MEDIUM' else 'LOW' end as importance_level,
@@ -59,10 +63,11 @@ VIEWS: dict[str, str] = {
         select repo_id, case i % 7 when 5 then replace(path, '/inner.py', '') when 6 then replace(path, 'other', 'gone') else path end as file_path,
                'HIGH' as importance_level, i as ordinal
         from guard_files""",
-    "snapshot_a": "select repo_id, path, blob from files where (size + length(path)) % 10 <> 0",
+    "snapshot_a": "select repo_id, path, blob, content from files where (size + length(path)) % 10 <> 0",
     "snapshot_b": """
         select repo_id, case when size % 5 = 2 then concat('moved/', path) else path end as path,
-               case when size % 7 = 0 then md5(concat(content, '!')) else blob end as blob
+               case when size % 7 = 0 then md5(concat(content, '!')) else blob end as blob,
+               case when size % 7 = 0 then concat(content, '!') else content end as content
         from files where (size + length(path)) % 10 <> 1""",
     "responses": """
         select lang as repo_id, doc_id as response_id,
@@ -118,6 +123,81 @@ VIEWS: dict[str, str] = {
             when 14 then concat('package main', chr(10), 'import (', chr(10), '  "fmt"', chr(10), '  x "example.com/dep', n, '"', chr(10), ')', chr(10))
             else concat('#include <stdio.h>', chr(10), '#include "m', n, '.h"', chr(10), '/* FIXME HACK */', chr(10)) end as content
           from (select repo_id, path, i, title, cast(i % 40 as varchar(20)) as n from code_paths) c) d""",
+    # Small projects of 33 files in many languages, each below a root of its own; three repositories share them out.
+    "poly_paths": """
+        select w, k, concat('poly', cast(cast(w as bigint) % 3 as varchar(20))) as repo_id, concat('w', w, '/', case k
+                  when 0 then 'backend/app/__init__.py'
+                  when 1 then 'backend/app/util.py'
+                  when 2 then 'backend/app/core.py'
+                  when 3 then 'backend/main.py'
+                  when 4 then 'tests/test_app.py'
+                  when 5 then 'backend/app/sub/near.py'
+                  when 6 then 'svc/go.mod'
+                  when 7 then 'svc/pkg/log/log.go'
+                  when 8 then 'svc/pkg/log/log_test.go'
+                  when 9 then 'svc/cmd/main.go'
+                  when 10 then 'jmod/src/main/java/com/w/A.java'
+                  when 11 then 'jmod/src/test/java/com/w/ATest.java'
+                  when 12 then 'jmod/src/main/kotlin/com/k/B.kt'
+                  when 13 then 'jmod/src/main/java/com/x/C.java'
+                  when 14 then 'jmod/src/main/scala/com/s/D.scala'
+                  when 15 then 'rs/Cargo.toml'
+                  when 16 then 'rs/src/main.rs'
+                  when 17 then 'rs/src/util.rs'
+                  when 18 then 'rs/src/io.rs'
+                  when 19 then 'rs/src/net/mod.rs'
+                  when 20 then 'rs/src/net/tcp.rs'
+                  when 21 then 'rs/tests/it.rs'
+                  when 22 then 'cs/Models/User.cs'
+                  when 23 then 'cs/Program.cs'
+                  when 24 then 'php/src/Models/User.php'
+                  when 25 then 'php/public/index.php'
+                  when 26 then 'rb/lib/w/tool.rb'
+                  when 27 then 'rb/bin/run.rb'
+                  when 28 then 'ts/b.ts'
+                  when 29 then 'ts/src/main.ts'
+                  when 30 then 'ts/src/lib/c.ts'
+                  when 31 then 'c/src/m.c'
+                  when 32 then 'c/include/w/h.h' end) as path
+        from (select cast(cast(floor(p_partkey / 33.0) as bigint) as varchar(20)) as w, p_partkey % 33 as k, p_partkey as i from part) p
+        where i >= 33 and i - k + 32 <= (select max(p_partkey) from part)""",
+    "poly_files": """
+        select repo_id, path, content, cast(length(content) as bigint) as size, md5(content) as blob
+        from (select repo_id, path, case k
+                  when 0 then '# package'
+                  when 1 then 'X = 1'
+                  when 2 then concat('import os', chr(10), 'from app.util import X', chr(10))
+                  when 3 then concat('import app.core', chr(10))
+                  when 4 then concat('from app.core import run', chr(10))
+                  when 5 then concat('from ..util import X', chr(10), 'import core', chr(10))
+                  when 6 then concat('module example.com/w', w, chr(10), chr(10), 'go 1.22', chr(10))
+                  when 7 then 'package log'
+                  when 8 then 'package log'
+                  when 9 then concat('package main', chr(10), 'import (', chr(10), '  "fmt"', chr(10), '  "example.com/w', w, '/pkg/log"', chr(10), ')', chr(10))
+                  when 10 then 'package com.w;'
+                  when 11 then concat('import com.w.A;', chr(10), 'import static com.w.A.run;', chr(10))
+                  when 12 then concat('import com.w.A', chr(10))
+                  when 13 then concat('import com.w.*;', chr(10), 'import java.util.*;', chr(10))
+                  when 14 then concat('import com.w.{A, Missing => M}', chr(10))
+                  when 15 then concat('[package]', chr(10), 'edition = "2021"', chr(10), 'name = "my-w', w, '"', chr(10))
+                  when 16 then concat('mod util;', chr(10), 'use crate::{io, net::{tcp as t, Missing}};', chr(10), 'use std::fs;', chr(10))
+                  when 17 then 'pub fn f() {}'
+                  when 18 then concat('use self::inner::X;', chr(10))
+                  when 19 then concat('pub mod tcp;', chr(10))
+                  when 20 then concat('pub(crate) use super::super::util::f;', chr(10))
+                  when 21 then concat('use my_w', w, '::io::read;', chr(10))
+                  when 22 then concat('namespace W', w, '.Models;', chr(10), 'class User {}')
+                  when 23 then concat('using System;', chr(10), 'using W', w, '.Models;', chr(10))
+                  when 24 then '<?php'
+                  when 25 then concat('<?php', chr(10), 'use App', chr(92), 'Models', chr(92), 'User;', chr(10))
+                  when 26 then '# tool'
+                  when 27 then concat('require ''w/tool''', chr(10), 'require_relative ''../lib/w/tool''', chr(10))
+                  when 28 then 'export const b = 1;'
+                  when 29 then concat('import { b } from "../b.js";', chr(10), 'import c from "@/lib/c";', chr(10), 'import r from "react";', chr(10))
+                  when 30 then 'export default 1;'
+                  when 31 then concat('#include <stdio.h>', chr(10), '#include "w/h.h"', chr(10))
+                  when 32 then '#pragma once' end as content
+          from poly_paths) c""",
     # Import edges between files: each file's importer has half its number, so reaching is a chain of halving; in r5 the
     # importer has the number before in that repository, so reaching takes as many rounds as it has files.
     "code_edges": """

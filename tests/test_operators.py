@@ -390,7 +390,7 @@ def test_masking_of_keys_and_names(spark):
     key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\nabc-def\n-----END RSA PRIVATE KEY-----"
     texts = {
         "DB_PASSWORD=supersecret": "DB_[ASSIGNED_SECRET]", "AWS_SECRET_ACCESS_KEY=abcdef123456": "AWS_[ASSIGNED_SECRET]",
-        '{"password": "hunter22", "x": 1}': '{"[ASSIGNED_SECRET], "x": 1}', key: "[PRIVATE_KEY]", "at 999.1.2.3": "at 999.1.2.3", "at 10.20.30.255": "at [IPV4]",
+        '{"password": "hunter22", "x": 1}': '{[ASSIGNED_SECRET], "x": 1}', key: "[PRIVATE_KEY]", "at 999.1.2.3": "at 999.1.2.3", "at 10.20.30.255": "at [IPV4]",
     }
     df = spark.createDataFrame([("r", t, t) for t in texts], "repo_id string, path string, content string")
     assert {r.path: r.content for r in quality.mask_sensitive(df).collect()} == texts

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from repoquarry.session import shared_dir
+from repoquarry.streaming.upserts import UpsertTable, by_hash, keep_table
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, **options: str) -> DataFrame:
@@ -32,37 +37,114 @@ def stream_change_counts(
     return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "change_count")
 
 
-def run_to_table(counts: DataFrame, table: str, checkpoint: str) -> None:
-    """Processes what is available and keeps the changed counts of each batch under `table/batch=N`.
+_VALUES = ("window_start", "window_end", "change_count")
 
-    A batch that is tried again overwrites its own folder, so failures leave neither gaps nor doubles. An empty batch -1 holds the
-    columns, so that a stream without input is a table without rows.
-    """
-    spark = counts.sparkSession
-    spark.createDataFrame([], counts.schema).write.mode("overwrite").parquet(f"{table}/batch=-1")
 
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+def _table(spark: SparkSession, path: str, keys: list[str], schema: T.StructType | None = None) -> UpsertTable:
+    """Counts by window; a window is a slot."""
+    return UpsertTable(spark, path, ["window_start", "window_end", *keys], F.unix_seconds("window_start"), schema)
+
 
-    query = (
-        counts.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(keep)
-        .start()
-    )
-    query.awaitTermination()
+def run_to_table(counts: DataFrame, table: str, checkpoint: str) -> None:
+    """Processes what is available and keeps one row for each window and key in the table.
+
+    A batch rewrites the windows it has counts of, as a rule the newest ones, so the table is as large as its windows and keys,
+    whatever the number of batches. Batches that are tried again leave neither gaps nor doubles, and a stream without input is a table
+    without rows.
+    """
+    keys = [c for c in counts.columns if c not in _VALUES]
+    keep_table(counts, _table(counts.sparkSession, table, keys, counts.schema), checkpoint)
 
 
 def latest_counts(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
     """Newest count of each window and key in a table kept by `run_to_table`."""
-    kept = spark.read.option("basePath", table).parquet(f"{table}/batch=*")
-    return kept.groupBy("window_start", "window_end", *keys).agg(F.max_by("change_count", "batch").alias("change_count"))
+    return _table(spark, table, keys).read().select("window_start", "window_end", *keys, "change_count")
 
 
 def run_once(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Runs a count stream to its end in a new place below the shared folder and returns the table of counts."""
     spark = counts.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/change_counts/{uuid.uuid4().hex}"
+    base = new_place(spark, "change_counts")
     run_to_table(counts, f"{base}/table", f"{base}/checkpoint")
     return latest_counts(spark, f"{base}/table", keys)
+
+
+def new_place(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}/{uuid.uuid4().hex}"
+
+
+_STATE = "change_count bigint, last_ts timestamp, last_change string"
+
+
+def newest_changes(stream: DataFrame, keys: list[str], delivery_id: str, time: str = "ts", change: str = "commit_id", delay: str = "1 day", idle_days: int = 30) -> DataFrame:
+    """`(keys, change_count, last_ts, last_change, idle)`: a row for each key and batch that has changes of it, as of then.
+
+    The state of a key is three values: its changes, and time and id of the newest one (ties: the largest id). A key without a change for
+    `idle_days` after its newest one, by the watermark, gives one more row that says so, and its state goes; a later change of it starts
+    from one again. Deliveries later than `delay` are dropped and repeated ones are remembered for that long. Changes come to a task in Arrow
+    batches, so a key with very many is never held whole.
+    """
+    types = dict(stream.dtypes)
+    kept = ", ".join(f"{k} {types[k]}" for k in keys)
+    timed = stream.select(*keys, F.col(time).cast("timestamp").alias("_time"), F.col(change).cast("string").alias("_change"), F.col(delivery_id).alias("_delivery"))
+    unique = timed.withWatermark("_time", delay).dropDuplicatesWithinWatermark(["_delivery"])
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        count, newest = 0, None
+        if state.exists:
+            count, at, name = state.get
+            newest = (pd.Timestamp(at), name)
+        idle = state.hasTimedOut
+        if idle:
+            state.remove()
+        else:
+            for batch in batches:
+                count += len(batch)
+                last = batch.sort_values(["_time", "_change"]).iloc[-1]
+                newest = max(newest or (last["_time"], last["_change"]), (last["_time"], last["_change"]))
+            state.update((count, newest[0].to_pydatetime(), newest[1]))
+            state.setTimeoutTimestamp(max(int(newest[0].timestamp() * 1000) + idle_days * 86_400_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(*key, count, newest[0], newest[1], idle)], columns=[*keys, "change_count", "last_ts", "last_change", "idle"])
+
+    return unique.groupBy(*keys).applyInPandasWithState(follow, f"{kept}, {_STATE}, idle boolean", _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def run_newest(changes: DataFrame, keys: list[str], table: str, checkpoint: str) -> None:
+    """Processes what is available of `newest_changes` and keeps one row for each key in the table."""
+    held = UpsertTable(changes.sparkSession, table, keys, by_hash(keys), changes.schema)
+
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        # In one batch a key may both go idle and come again; the later row holds.
+        one = new.groupBy(*keys).agg(F.max_by(F.struct(*new.columns), F.struct("last_ts", "idle")).alias("_row")).select("_row.*")
+        return old.join(one, keys, "left_anti").select(*new.columns).unionByName(one)
+
+    keep_table(changes, held, checkpoint, merge, "append")
+
+
+def stale_inputs(builds: DataFrame, changes: DataFrame, within: str = "30 days", delay: str = "1 day") -> DataFrame:
+    """`(repo_id, report_id, file_path, built_at, ts)`: changes of a report's input files after it was built and no later than `within`.
+
+    `builds(repo_id, report_id, file_path, built_at)`, `changes(repo_id, file_path, ts)`; streams and tables alike. On streams both
+    sides carry a watermark, so a build is kept for `within` and the delays, a change for the delays only.
+    """
+    built = builds.select("repo_id", "report_id", "file_path", F.col("built_at").cast("timestamp").alias("built_at"))
+    changed = changes.select(F.col("repo_id").alias("_repo"), F.col("file_path").alias("_path"), F.col("ts").cast("timestamp").alias("ts"))
+    if builds.isStreaming:
+        built, changed = built.withWatermark("built_at", delay), changed.withWatermark("ts", delay)
+    same = (F.col("repo_id") == F.col("_repo")) & (F.col("file_path") == F.col("_path"))
+    after = (F.col("ts") > F.col("built_at")) & (F.col("ts") <= F.col("built_at") + F.expr(f"interval {within}"))
+    return built.join(changed, same & after).select("repo_id", "report_id", "file_path", "built_at", "ts")
+
+
+def run_stale(inputs: DataFrame, table: str, checkpoint: str) -> DataFrame:
+    """Runs the joined streams to their end; one row for each stale input of a report, with its newest change."""
+    keys = ["repo_id", "report_id", "file_path", "built_at"]
+    held = UpsertTable(inputs.sparkSession, table, keys, by_hash(keys), inputs.schema)
+    keep_table(inputs, held, checkpoint, lambda old, new: old.unionByName(new).groupBy(*keys).agg(F.max("ts").alias("ts")), "append")
+    return held.read()
+
+
+def reports_to_refresh(stale: DataFrame) -> DataFrame:
+    """`(repo_id, report_id, stale_inputs, last_change)` of the reports with stale inputs."""
+    newest = stale.groupBy("repo_id", "report_id", "file_path").agg(F.max("ts").alias("ts"))
+    return newest.groupBy("repo_id", "report_id").agg(F.count("*").alias("stale_inputs"), F.max("ts").alias("last_change"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["path_queries", "language_queries", "history_queries", "content_queries", "report_queries", "extra_queries"]
+_MODULES = ["path_queries", "language_queries", "history_queries", "content_queries", "report_queries", "extra_queries", "stored_queries"]
 
 
 def load():

@@ -317,3 +317,57 @@ Total Languages: {language_count}
 Total Code Files: {code_files}
 
 Language Breakdown:"""
+SUMMARY_LANGUAGE = "- {language}: {share}% ({lines} lines, {files} files)"
+SUMMARY_SAMPLES = """
+  Sample files: {samples}"""
+SEARCH_CONTEXT = """\
+Repository: {url}
+Primary Language: {primary_language}
+
+{summary}
+"""
+READABLE_FILE = "  ✅ {path} ({level}, {lines} lines)"
+UNREADABLE_FILE = "  ❌ {path} - {error}"
+OVERVIEW_LANGUAGE = "- **{language}**: {lines} lines ({share}%)"
+OVERVIEW_DIRECTORY = "- **{name}**: {files} files"
+OVERVIEW_FILE = "- `{path}` ({level}) - {type}"
+FALLBACK_FILE = "- {path} ({level})"
+ROOT_TITLE = "Root directory:"
+DIRECTORY_TITLE = "{dir}/:"
+DIRECTORY_FILE = "  - {name}"
+DIRECTORY_MORE = "  ... and {more} more files"
+CARD_HEAD = """
+============================================================
+📊 REPOSITORY ANALYSIS
+============================================================
+📍 Repository URL: {url}
+📁 Local Path: {path}
+🌿 Current Branch: {branch}
+📝 Total Commits: {commits}
+🔄 Last Commit: {last}..."""
+CARD_PEOPLE = "👥 Contributors ({count}): {authors}"
+CARD_MORE_PEOPLE = "    ... and {more} more"
+CARD_LANGUAGES = """
+💻 Programming Languages:
+{languages}"""
+CARD_LANGUAGE = "    ('{language}', {lines})"
+DIGEST_HEAD = """
+{rank}. {hash} by {author}"""
+DIGEST_TIME = "   📅 {time}"
+DIGEST_MESSAGE = "   💬 {headline}"
+DIGEST_FILE = "   📄 {files} file changed"
+DIGEST_FILES = "   📄 {files} files changed"
+DIGEST_LINES = "   ➕{added} ➖{deleted} lines"
+INSIGHT_LANGUAGE = "Primary language is {language} with {share}% coverage"
+INSIGHT_CRITICAL = "Identified {critical} critical files essential for understanding the project"
+INSIGHT_HIGH = "Found {high} high-importance files containing key business logic"
+INSIGHT_CONFIDENCE = "Average classification confidence: {share}%"
+CRITICAL_RECOMMENDATION = "Start documentation with critical files: {paths}"
+BASIC_IMPORTANT = "Identified {count} potentially important files"
+BASIC_LANGUAGE = "Primary language: {language}"
+REPORT_CONFIDENCE = "**Analysis Confidence**: {share}%"
+REPORT_LEVEL = "## {level} Files"
+REPORT_FILE = "### `{path}`"
+REPORT_TYPE = "- **Type**: {type}"
+REPORT_FILE_CONFIDENCE = "- **Confidence**: {share}%"
+REPORT_REASONS = "- **Reasons**: {reasons}"

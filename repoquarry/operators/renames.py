@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,21 +48,25 @@ def match_one_to_one(pairs: DataFrame) -> DataFrame:
     """`(repo_id, old, new, similarity)`: the pairs a greedy choice takes, the most similar first, then those that keep their name, then
     by paths.
 
-    A pair that is the best of both its files is taken in any case, so all such pairs are taken at once and their files leave; rounds
-    are stored, and end when no pair is left.
+    A pair that is the best of both its files is taken in any case, so all such pairs are taken at once and their files leave. As long as pairs
+    are left, the very best of them is such a pair, so the rounds end when there is none; each is stored.
     """
     name = lambda c: F.substring_index(c, "/", -1)
     order = F.struct((-F.col("similarity")).alias("far"), (name("old") != name("new")).alias("renamed"), F.col("old"), F.col("new"))
-    left = cut_lineage(pairs.withColumn("order", order))
-    taken = left.limit(0).select("repo_id", "old", "new", "similarity")
-    while not left.isEmpty():
+    stored = cut_lineage(pairs.withColumn("order", order))
+    left, rounds = stored, []
+    while True:
         best = [left.groupBy("repo_id", side).agg(F.min("order").alias("order")).select("repo_id", "order") for side in ("old", "new")]
         mutual = best[0].join(best[1], ["repo_id", "order"]).select("repo_id", "order.old", "order.new", (-F.col("order.far")).alias("similarity"))
-        mutual = cut_lineage(mutual)
-        taken = taken.unionByName(mutual)
-        rest = left.join(mutual.select("repo_id", "old"), ["repo_id", "old"], "left_anti").join(mutual.select("repo_id", "new"), ["repo_id", "new"], "left_anti")
-        left = cut_lineage(rest)
-    return taken
+        rounds.append(cut_lineage(mutual))
+        taken = reduce(DataFrame.unionByName, rounds)
+        if rounds[-1].isEmpty():
+            return taken
+        if len(rounds) % 16 == 0:
+            rounds = [cut_lineage(taken)]
+        left = stored
+        for side in ("old", "new"):
+            left = left.join(taken.select("repo_id", side), ["repo_id", side], "left_anti")
 
 
 def pair_changed(changes: DataFrame, a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:

@@ -18,10 +18,6 @@ from repoquarry.plans.profile import LANGUAGES
 from repoquarry.session import cut_lineage
 
 
-def _join(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
-
 def _languages() -> Column:
     return F.coalesce(F.col("languages"), F.array().cast(LANGUAGES))
 
@@ -37,9 +33,9 @@ def language_summary_column() -> Column:
     early = F.exists(F.slice(langs, 1, 2), lambda e: F.size(e["sample_files"]) > 0)
 
     def entry(e: Column, i: Column) -> Column:
-        head = _join("- ", e["language"], ": ", text.percent(e["percentage"]), "% (", text.grouped(e["line_count"]), " lines, ", e["file_count"], " files)")
+        head = text.fill(fixed.SUMMARY_LANGUAGE, language=e["language"], share=text.percent(e["percentage"]), lines=text.grouped(e["line_count"]), files=e["file_count"])
         shown = (F.size(e["sample_files"]) > 0) & ((i < 2) | ((i == 2) & ~early))
-        samples = _join("\n  Sample files: ", F.array_join(F.slice(e["sample_files"], 1, 3), ", "))
+        samples = text.fill(fixed.SUMMARY_SAMPLES, samples=F.array_join(F.slice(e["sample_files"], 1, 3), ", "))
         return F.when(shown, F.concat(head, samples)).otherwise(head)
 
     code_files = F.aggregate(langs, F.lit(0).cast("bigint"), lambda total, e: total + e["file_count"])
@@ -54,13 +50,7 @@ def language_summary_text(profile: DataFrame) -> DataFrame:
 
 def search_context(profile: DataFrame) -> DataFrame:
     """`(repo_id, context)`: address, primary language, language summary."""
-    context = text.lines_text(
-        _join("Repository: ", F.coalesce("repo_url", F.lit("None"))),
-        _join("Primary Language: ", F.col("primary_language")),
-        F.lit(""),
-        language_summary_column(),
-        F.lit(""),
-    )
+    context = text.fill(fixed.SEARCH_CONTEXT, url=F.coalesce("repo_url", F.lit("None")), primary_language="primary_language", summary=language_summary_column())
     return profile.select("repo_id", context.alias("context"))
 
 
@@ -75,8 +65,8 @@ def content_summary(contents: DataFrame) -> DataFrame:
     )
     line = F.when(
         F.col("is_readable"),
-        _join("  ✅ ", F.col("file_path"), " (", F.col("importance_level"), ", ", F.col("line_count"), " lines)"),
-    ).otherwise(_join("  ❌ ", F.col("file_path"), " - ", F.col("error_message")))
+        text.fill(fixed.READABLE_FILE, path="file_path", level="importance_level", lines="line_count"),
+    ).otherwise(text.fill(fixed.UNREADABLE_FILE, path="file_path", error="error_message"))
     return _head_lines(stats, head).unionByName(_file_lines(contents, line))
 
 
@@ -119,11 +109,11 @@ def overview_column(with_contents: bool) -> Column:
     langs = _languages()
 
     def language_line(e: Column) -> Column:
-        return _join("- **", e["language"], "**: ", text.grouped(e["line_count"]), " lines (", text.percent(e["percentage"]), "%)")
+        return text.fill(fixed.OVERVIEW_LANGUAGE, language=e["language"], lines=text.grouped(e["line_count"]), share=text.percent(e["percentage"]))
 
     def directory_line(d: Column) -> Column:
         name = F.when(d["dir"] == ".", "Root directory").otherwise(d["dir"])
-        return _join("- **", name, "**: ", d["file_count"], " files")
+        return text.fill(fixed.OVERVIEW_DIRECTORY, name=name, files=d["file_count"])
 
     head = text.fill_lines(
         fixed.OVERVIEW_HEAD,
@@ -144,7 +134,7 @@ def overview_column(with_contents: bool) -> Column:
         parts.append(text.fill_lines(fixed.OVERVIEW_CONTENTS, **numbers, total_lines=total_lines))
         parts.append(
             F.coalesce(
-                F.transform("listed", lambda f: _join("- `", f["file_path"], "` (", f["importance_level"], ") - ", f["content_type"])),
+                F.transform("listed", lambda f: text.fill(fixed.OVERVIEW_FILE, path=f["file_path"], level=f["importance_level"], type=f["content_type"])),
                 nothing,
             )
         )
@@ -181,7 +171,7 @@ def fallback_overview(profile: DataFrame, contents: DataFrame) -> DataFrame:
         languages=F.when(F.size(_languages()) > 0, names).otherwise("Unknown"),
         **{c: c for c in ("primary_language", "successful_reads", "content_files", "critical_files", "high_files", "medium_files")},
     )
-    line = _join("- ", F.col("file_path"), " (", F.col("importance_level"), ")")
+    line = text.fill(fixed.FALLBACK_FILE, path="file_path", level="importance_level")
     return (
         _head_lines(joined, head, 0)
         .unionByName(_file_lines(contents.filter("is_readable"), line, 1))
@@ -194,9 +184,9 @@ def directory_text(files: DataFrame, n: int = 10) -> DataFrame:
     head = tree.head_per_directory(files, n)
     ordered = F.sort_array(F.collect_list(F.struct("rank", "name")))
     blocks = head.groupBy("repo_id", "dir").agg(ordered.alias("head"), F.max("more").alias("more"))
-    title = F.when(F.col("dir") == ".", F.lit("Root directory:")).otherwise(_join(F.col("dir"), "/:"))
-    names = F.transform("head", lambda e: _join("  - ", e["name"]))
-    more = F.when(F.col("more") > 0, F.array(_join("  ... and ", F.col("more"), " more files"))).otherwise(F.array().cast("array<string>"))
+    title = F.when(F.col("dir") == ".", F.lit(fixed.ROOT_TITLE)).otherwise(text.fill(fixed.DIRECTORY_TITLE, dir="dir"))
+    names = F.transform("head", lambda e: text.fill(fixed.DIRECTORY_FILE, name=e["name"]))
+    more = F.when(F.col("more") > 0, F.array(text.fill(fixed.DIRECTORY_MORE, more="more"))).otherwise(F.array().cast("array<string>"))
     return blocks.select(
         "repo_id", "dir", F.array_join(F.concat(F.array(title), names, more, F.array(F.lit(""))), "\n").alias("text")
     )
@@ -205,28 +195,21 @@ def directory_text(files: DataFrame, n: int = 10) -> DataFrame:
 def repo_card(profile: DataFrame) -> DataFrame:
     """`(repo_id, card)`: address, branch, commits, newest commit, contributors, ten languages."""
     count = F.size("authors")
-    bar = "=" * 60
-    people = F.when(
-        count > 0, _join("👥 Contributors (", count, "): ", F.array_join(F.slice("authors", 1, 5), ", "))
-    )
-    rest = F.when(count > 5, _join("    ... and ", count - 5, " more"))
-    listed = F.array_join(
-        F.transform(F.slice(_languages(), 1, 10), lambda e: _join("    ('", e["language"], "', ", e["line_count"], ")")), "\n"
-    )
-    has_languages = F.size(_languages()) > 0
+    people = text.fill(fixed.CARD_PEOPLE, count=count, authors=F.array_join(F.slice("authors", 1, 5), ", "))
+    entries = F.transform(F.slice(_languages(), 1, 10), lambda e: text.fill(fixed.CARD_LANGUAGE, language=e["language"], lines=e["line_count"]))
+    empty = F.lit("")
     card = text.lines_text(
-        F.lit(f"\n{bar}"),
-        F.lit("📊 REPOSITORY ANALYSIS"),
-        F.lit(bar),
-        _join("📍 Repository URL: ", F.coalesce("repo_url", F.lit(""))),
-        _join("📁 Local Path: ", F.coalesce("local_path", F.lit(""))),
-        _join("🌿 Current Branch: ", F.coalesce("branch", F.lit(""))),
-        _join("📝 Total Commits: ", F.col("total_commits")),
-        _join("🔄 Last Commit: ", text.short_hash("last_commit"), "..."),
-        people,
-        rest,
-        F.when(has_languages, F.lit("\n💻 Programming Languages:")),
-        F.when(has_languages, listed),
+        text.fill(
+            fixed.CARD_HEAD,
+            url=F.coalesce("repo_url", empty),
+            path=F.coalesce("local_path", empty),
+            branch=F.coalesce("branch", empty),
+            commits="total_commits",
+            last=text.short_hash("last_commit"),
+        ),
+        F.when(count > 0, people),
+        F.when(count > 5, text.fill(fixed.CARD_MORE_PEOPLE, more=count - 5)),
+        F.when(F.size(_languages()) > 0, text.fill(fixed.CARD_LANGUAGES, languages=F.array_join(entries, "\n"))),
     )
     return profile.select("repo_id", card.alias("card"))
 
@@ -239,14 +222,15 @@ def commit_digest(commits: DataFrame, changes: DataFrame, n: int = fixed.DIGEST_
     recent = history.recent_commits(commits, n)
     rolled = history.commit_rollup(recent, history.changes_of(changes, recent))
     files = F.col("file_count")
+    many = F.when(files == 1, fixed.DIGEST_FILE).otherwise(fixed.DIGEST_FILES)
     entry = text.lines_text(
-        _join("\n", F.col("rank"), ". ", text.short_hash("commit_id"), " by ", F.col("author")),
-        _join("   📅 ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")),
-        _join("   💬 ", text.message_headline(text.strip_text("message"))),
-        F.when(files > 0, _join("   📄 ", files, " file", F.when(files == 1, "").otherwise("s"), " changed")),
+        text.fill(fixed.DIGEST_HEAD, rank="rank", hash=text.short_hash("commit_id"), author="author"),
+        text.fill(fixed.DIGEST_TIME, time=F.date_format("ts", "yyyy-MM-dd HH:mm:ss")),
+        text.fill(fixed.DIGEST_MESSAGE, headline=text.message_headline(text.strip_text("message"))),
+        F.when(files > 0, F.replace(many, F.lit("{files}"), files.cast("string"))),
         F.when(
             (files > 0) & ((F.col("total_additions") > 0) | (F.col("total_deletions") > 0)),
-            _join("   ➕", F.col("total_additions"), " ➖", F.col("total_deletions"), " lines"),
+            text.fill(fixed.DIGEST_LINES, added="total_additions", deleted="total_deletions"),
         ),
     )
     return rolled.select(
@@ -270,10 +254,10 @@ def insights_column() -> Column:
     first = F.try_element_at(_languages(), F.lit(1))
     critical, high = F.coalesce("critical", F.lit(0)), F.coalesce("high", F.lit(0))
     return _present(
-        F.when(first.isNotNull(), _join("Primary language is ", first["language"], " with ", text.percent(first["percentage"]), "% coverage")),
-        F.when(critical > 0, _join("Identified ", critical, " critical files essential for understanding the project")),
-        F.when(high > 0, _join("Found ", high, " high-importance files containing key business logic")),
-        _join("Average classification confidence: ", text.percent(F.coalesce("avg_confidence", F.lit(0.0)) * 100), "%"),
+        F.when(first.isNotNull(), text.fill(fixed.INSIGHT_LANGUAGE, language=first["language"], share=text.percent(first["percentage"]))),
+        F.when(critical > 0, text.fill(fixed.INSIGHT_CRITICAL, critical=critical)),
+        F.when(high > 0, text.fill(fixed.INSIGHT_HIGH, high=high)),
+        text.fill(fixed.INSIGHT_CONFIDENCE, share=text.percent(F.coalesce("avg_confidence", F.lit(0.0)) * 100)),
     )
 
 
@@ -285,7 +269,7 @@ def recommendations_column() -> Column:
     return _present(
         F.when(
             F.col("critical_paths").isNotNull(),
-            _join("Start documentation with critical files: ", F.array_join("critical_paths", ", ")),
+            text.fill(fixed.CRITICAL_RECOMMENDATION, paths=F.array_join("critical_paths", ", ")),
         ),
         by_language,
         F.when(F.col("has_config"), F.lit(fixed.CONFIG_RECOMMENDATION)),
@@ -329,8 +313,8 @@ def analyze_basic(profile: DataFrame, files: DataFrame, n: int = fixed.BASIC_FIL
         "important_count",
         F.array(
             F.lit(done),
-            _join("Identified ", F.col("important_count"), " potentially important files"),
-            _join("Primary language: ", F.col("primary_language")),
+            text.fill(fixed.BASIC_IMPORTANT, count="important_count"),
+            text.fill(fixed.BASIC_LANGUAGE, language="primary_language"),
             F.lit(better),
         ).alias("insights"),
         F.array(*map(F.lit, fixed.BASIC_RECOMMENDATIONS)).alias("recommendations"),
@@ -364,7 +348,7 @@ def important_files_report(important: DataFrame) -> DataFrame:
             F.array(
                 F.lit("# Important Files Analysis"),
                 F.lit(""),
-                _join("**Analysis Confidence**: ", text.percent(F.col("confidence_score") * 100), "%"),
+                text.fill(fixed.REPORT_CONFIDENCE, share=text.percent(F.col("confidence_score") * 100)),
                 F.lit(""),
             )
         ).alias("line_no", "line"),
@@ -373,7 +357,7 @@ def important_files_report(important: DataFrame) -> DataFrame:
     titles = (
         shown.select("repo_id", "level_rank", "importance_level")
         .distinct()
-        .select("repo_id", "level_rank", *_no_file(), F.posexplode(F.array(_join("## ", F.col("importance_level"), " Files"), F.lit(""))).alias("line_no", "line"))
+        .select("repo_id", "level_rank", *_no_file(), F.posexplode(F.array(text.fill(fixed.REPORT_LEVEL, level="importance_level"), F.lit(""))).alias("line_no", "line"))
     )
     body = shown.select(
         "repo_id",
@@ -382,10 +366,10 @@ def important_files_report(important: DataFrame) -> DataFrame:
         "file_path",
         F.posexplode(
             F.array(
-                _join("### `", F.col("file_path"), "`"),
-                _join("- **Type**: ", F.col("content_type")),
-                _join("- **Confidence**: ", text.percent(F.col("confidence_score") * 100), "%"),
-                _join("- **Reasons**: ", F.array_join("reasons", ", ")),
+                text.fill(fixed.REPORT_FILE, path="file_path"),
+                text.fill(fixed.REPORT_TYPE, type="content_type"),
+                text.fill(fixed.REPORT_FILE_CONFIDENCE, share=text.percent(F.col("confidence_score") * 100)),
+                text.fill(fixed.REPORT_REASONS, reasons=F.array_join("reasons", ", ")),
                 F.lit(""),
             )
         ).alias("line_no", "line"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from repoquarry.functions import paths, text
 from repoquarry.functions.rows import unfold
+from repoquarry.session import cut_lineage
 
 SCRIPTS = ["JavaScript", "TypeScript", "JSX", "TSX", "Vue"]
 JVM = ["Java", "Kotlin", "Scala"]
@@ -163,12 +164,26 @@ def _by_name(edges: DataFrame, roots: DataFrame, separator: str) -> DataFrame:
     return found.groupBy("repo_id", "src", "module").agg(longest).select("repo_id", "src", "module", "at.*")
 
 
-def _declared(files: DataFrame, name: str, regex: str) -> DataFrame:
-    """`(repo_id, name, root)`: what manifests of this name call the tree they lie in; of several trees of one name the uppermost."""
-    found = files.filter(paths.file_name("path") == name).select(
-        "repo_id", F.regexp_extract(text.unix_lines("content"), regex, 1).alias("name"), _directory(F.col("path")).alias("root")
-    )
-    return found.filter("name <> ''").groupBy("repo_id", "name").agg(F.min_by("root", F.struct(F.length("root"), F.col("root"))).alias("root"))
+_CRATE = r"(?m)^\[package\][ \t]*\n(?:(?!\[)[^\n]*\n)*?[ \t]*name[ \t]*=[ \t]*\"([^\"\n]+)\""
+_GO_MODULE = r"(?m)^module[ \t]+\"?([^\s\"]+)"
+_NAMESPACE = r"(?m)^[ \t]*namespace[ \t]+([\w.]+)"
+
+
+def _declared(files: DataFrame) -> DataFrame:
+    """`(repo_id, path, kind, name)`: names of crates, Go modules and C# namespaces, from the few files that declare any."""
+    file, content = paths.file_name("path"), text.unix_lines("content")
+    kind = F.when(file == "Cargo.toml", "crate").when(file == "go.mod", "go").when(paths.language_of("path") == "C#", "space")
+    names = F.when(kind == "crate", F.array(F.translate(F.regexp_extract(content, _CRATE, 1), "-", "_"))).when(
+        kind == "go", F.array(F.regexp_extract(content, _GO_MODULE, 1))
+    ).otherwise(F.regexp_extract_all(content, F.lit(_NAMESPACE), F.lit(1)))
+    rows = unfold(files.filter(kind.isNotNull()), ["repo_id", "path", kind.alias("kind")], F.array_distinct(names), "name")
+    return rows.filter("name <> ''")
+
+
+def _roots(declared: DataFrame, kind: str) -> DataFrame:
+    """`(repo_id, name, root)`: the tree a name stands for; of several trees of one name the uppermost."""
+    found = declared.filter(F.col("kind") == kind).select("repo_id", "name", _directory(F.col("path")).alias("root"))
+    return found.groupBy("repo_id", "name").agg(F.min_by("root", F.struct(F.length("root"), F.col("root"))).alias("root"))
 
 
 def _below(root: Column, behind: Column) -> Column:
@@ -192,12 +207,13 @@ def file_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
     Ignored files are nobody's modules. Packages give as many edges as they have files.
     """
     visible = files.filter(~paths.is_ignored("path"))
-    named = edges.select("repo_id", F.col("path").alias("src"), "language", "module")
+    # Both are narrow and read several times; contents are read once for each of them.
+    named = cut_lineage(edges.select("repo_id", F.col("path").alias("src"), "language", "module"))
+    declared = cut_lineage(_declared(visible))
     sources = visible.select("repo_id", F.col("path").alias("dst"))
     asked = unfold(named, ["repo_id", "src", "module"], _asked(F.col("language"), F.col("src"), F.col("module")), "asked").select("repo_id", "src", "module", "asked.*")
 
-    crates = _declared(visible, "Cargo.toml", r"(?m)^\[package\][ \t]*\n(?:(?!\[)[^\n]*\n)*?[ \t]*name[ \t]*=[ \t]*\"([^\"\n]+)\"")
-    crates = crates.withColumn("name", F.translate("name", "-", "_"))
+    crates = _roots(declared, "crate")
     external = _by_name(named.filter((F.col("language") == "Rust") & ~F.col("module").rlike("^(crate|self|super)(::|$)")), crates, "::")
     source_root = F.concat_ws("/", F.nullif("root", F.lit("")), F.lit("src"))
     inner = F.filter("behind", lambda p: p != "*")
@@ -205,10 +221,10 @@ def file_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
         _beginnings(inner, lambda begin, n: _exact(F.concat(source_root, F.lit("/"), begin), [".rs", "/mod.rs"], n + 1)), _exact(source_root, ["/lib.rs", "/main.rs"])
     )
     asked = asked.unionByName(unfold(external, ["repo_id", "src", "module"], of_crates, "asked").select("repo_id", "src", "module", "asked.*"))
-    single = resolve(asked, sources.withColumnRenamed("dst", "place")).select("repo_id", "src", F.col("place").alias("dst"))
+    # Stored, as the expressions that ask are large and would be planned for every use.
+    single = resolve(cut_lineage(asked), sources.withColumnRenamed("dst", "place")).select("repo_id", "src", F.col("place").alias("dst"))
 
-    go_modules = _declared(visible, "go.mod", r"(?m)^module[ \t]+\"?([^\s\"]+)")
-    go_packages = _by_name(named.filter("language = 'Go'"), go_modules, "/").select("repo_id", "src", _below(F.col("root"), F.col("behind")).alias("place"))
+    go_packages = _by_name(named.filter("language = 'Go'"), _roots(declared, "go"), "/").select("repo_id", "src", _below(F.col("root"), F.col("behind")).alias("place"))
     go_files = sources.filter(F.col("dst").endswith(".go") & ~F.col("dst").endswith("_test.go"))
 
     jvm_files = sources.filter(F.col("dst").rlike(r"[.](java|kt|scala)$"))
@@ -217,10 +233,8 @@ def file_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
     wild_asked = wild.select("repo_id", "src", "module", package.alias("key"), F.lit(True).alias("anchored"), F.lit(False).alias("strict"), F.lit(1).alias("rank"))
     wild_packages = resolve(wild_asked, jvm_files.select("repo_id", _directory(F.col("dst")).alias("place")).distinct())
 
-    spaces = F.regexp_extract_all(text.unix_lines("content"), F.lit(r"(?m)^[ \t]*namespace[ \t]+([\w.]+)"), F.lit(1))
-    declaring = visible.filter(paths.language_of("path") == "C#")
-    declared = unfold(declaring, ["repo_id", F.col("path").alias("dst")], F.array_distinct(spaces), "module")
-    using = named.filter("language = 'C#'").join(declared, ["repo_id", "module"]).select("repo_id", "src", "dst")
+    spaces = declared.filter("kind = 'space'").select("repo_id", F.col("path").alias("dst"), F.col("name").alias("module"))
+    using = named.filter("language = 'C#'").join(spaces, ["repo_id", "module"]).select("repo_id", "src", "dst")
 
     found = single.unionByName(_in_directories(go_packages, go_files)).unionByName(_in_directories(wild_packages, jvm_files)).unionByName(using)
     return found.filter("src <> dst").distinct()

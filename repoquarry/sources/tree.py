@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from repoquarry import schemas
 from repoquarry.functions import paths, text
-from repoquarry.session import cut_lineage
+from repoquarry.session import cut_lineage, ship
 
 _BATCH = 2000  # listing rows handed back to Spark at a time
 _BATCH_BYTES = 64 * 1024 * 1024  # file bytes handed back to Spark at a time
@@ -75,6 +75,7 @@ def list_tree(repos: DataFrame, levels: int = 3, keep_ignored: bool = False) ->
     folders are not opened, and files that are found pass no further Python.
     """
     skip = None if keep_ignored else paths.IGNORED_REGEX
+    ship(repos.sparkSession)
 
     def one_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         roots = _Roots(skip)
@@ -131,6 +132,7 @@ def scan_files(listing: DataFrame, keep_ignored: bool = False) -> DataFrame:
                     rows, held = [], 0
             yield pd.DataFrame(rows, columns=["repo_id", "path", "data", "size", "blob"])
 
+    ship(listing.sparkSession)
     wanted = listing if keep_ignored else listing.filter(~paths.is_ignored("path"))
     raw = wanted.mapInPandas(read, "repo_id string, path string, data binary, size bigint, blob string")
     return raw.select("repo_id", "path", text.decode_text("data").alias("content"), "size", "blob")

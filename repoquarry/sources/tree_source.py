@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
 
 from repoquarry.functions import paths, text
+from repoquarry.session import ship
 from repoquarry.sources.tree import _Roots
 
 FORMAT = "repo_tree"
@@ -118,6 +119,7 @@ class TreeSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TreeSource)
 
@@ -147,4 +149,5 @@ def write_trees(files: DataFrame, root: str) -> None:
                     stream.write(row["content"].encode())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["files"])
 
+    ship(files.sparkSession)
     files.filter("content is not null").select("repo_id", "path", "content").mapInArrow(write, "files bigint").agg(F.sum("files")).collect()

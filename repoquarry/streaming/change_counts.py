@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from repoquarry.session import shared_dir
+from repoquarry.session import shared_dir, ship
 from repoquarry.streaming.upserts import UpsertTable, by_hash, keep_table
 
 
@@ -84,6 +84,7 @@ def newest_changes(stream: DataFrame, keys: list[str], delivery_id: str, time: s
     from one again. Deliveries later than `delay` are dropped and repeated ones are remembered for that long. Changes come to a task in Arrow
     batches, so a key with very many is never held whole.
     """
+    ship(stream.sparkSession)
     types = dict(stream.dtypes)
     kept = ", ".join(f"{k} {types[k]}" for k in keys)
     timed = stream.select(*keys, F.col(time).cast("timestamp").alias("_time"), F.col(change).cast("string").alias("_change"), F.col(delivery_id).alias("_delivery"))

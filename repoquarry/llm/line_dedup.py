@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,6 +103,14 @@ def line_keys(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFr
     return map_arrow(docs.select(F.col(doc_id).cast("bigint").alias(doc_id), text), run, "h1 bigint, h2 bigint, id bigint")
 
 
+def _parts(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of a few MB of text."""
+    sizes = pc.binary_length(batch.column("_row").field(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // 3_000_000)) + 1
+    for low, high in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+        yield batch.slice(low, high - low)
+
+
 def dedup_lines(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10, batches: int = 4, runs: LineRuns | None = None
 ) -> DataFrame:
@@ -143,7 +152,7 @@ def dedup_lines(
     )
 
     def keep(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow:
+        for batch in (part for whole in arrow for part in _parts(whole, text)):
             owned_lists = batch.column("_owned")
             flat = owned_lists.values
             pairs = np.empty(len(flat), _HASH)

@@ -27,6 +27,9 @@ ESTIMATE = 151
 """Places that estimate a similarity."""
 _SLACK = 0.2
 """Proposals to leaders whose signatures agree in less than the threshold less this (six standard deviations) are left to the join."""
+_SLICE = 1_500_000
+"""Bytes of text sketched at once: a shingle takes some hundred bytes of arrays, a text several thousand."""
+_LAST = (1 << 63) - 1
 _LED = 1000
 """Proposals to one leader that are verified in one task."""
 
@@ -35,7 +38,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     """Per row: `row_id, doc_id, k1, k2` (128-bit hash of the shingle set), `n`, `bands`, `signature` (a byte each), `shingles`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, _SLICE):
             found = shingles(batch.column(text), width)
             # What is verified is the similarity of sets, so that is what the places have to estimate.
             full = signatures(found._replace(counts=np.ones_like(found.counts)), SIZE)
@@ -249,8 +252,15 @@ def _classes(buckets: DataFrame, sets: DataFrame, notes: DataFrame, threshold: f
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
     """All columns of `docs`, and of each class of near duplicates the row with the smallest id only.
 
-    If that id is repeated, all rows with it stay.
+    If that id is repeated, all rows with it stay. Rows without an id come behind all others, each on its own: one of them stays only
+    if its class has no id.
     """
-    classes = near_classes(docs, doc_id, text, width, threshold)
-    gone = classes.filter(F.col(doc_id) > F.col("class_id")).select(F.col(doc_id).alias("_gone"))
-    return docs.join(gone.distinct(), docs[doc_id] == F.col("_gone"), "left_anti")
+    key = "_key"
+    while key in (c.lower() for c in docs.columns):
+        key += "_"
+    # Only rows without an id are stored, so that the numbers they get stay theirs.
+    missing = written(docs.filter(F.col(doc_id).isNull()).withColumn(key, F.lit(_LAST) - F.monotonically_increasing_id()), "without-id")
+    keyed = docs.filter(F.col(doc_id).isNotNull()).withColumn(key, F.col(doc_id).cast("bigint")).unionByName(missing)
+    classes = near_classes(keyed, key, text, width, threshold)
+    gone = classes.filter(F.col(key) > F.col("class_id")).select(key).distinct()
+    return keyed.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -24,7 +24,7 @@ from repoquarry.llm.tables import map_arrow, written
 from repoquarry.llm.texts import filled, gather, slices, words
 
 _KNOWN: dict[int, dict[bytes, bytes]] = {}
-MAX_KNOWN_WORDS = 700_000
+MAX_KNOWN_WORDS = 300_000
 """Words a Python worker remembers of a tokenizer from slice to slice. Words beyond are encoded once in each slice."""
 
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -107,7 +107,7 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(held)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 4_000_000):
             flat, bounds = encoder.encode(batch.column(text))
             row, piece, start, pieces = [], [], [], []
             for i in range(batch.num_rows):

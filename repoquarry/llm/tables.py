@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import repoquarry
+from repoquarry.llm.texts import give_back
 from repoquarry.session import shared_dir
 
 _SHIPPED: set[str] = set()
@@ -30,9 +31,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """`mapInArrow` by workers that have this package."""
+    """`mapInArrow` by workers that have this package and give their memory back at the end of a task."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def freed(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(freed, schema)
 
 
 def _root(spark: SparkSession) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -98,6 +100,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         pa.default_memory_pool().release_unused()
 
 
+def give_back() -> None:
+    """Returns what a task no longer needs to the machine: workers outlive tasks, and the next stage needs the memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scrambles 64-bit integers one to one."""
     with np.errstate(over="ignore"):

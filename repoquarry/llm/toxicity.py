@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repoquarry.llm.tables import map_arrow
+from repoquarry.llm.tables import map_arrow, written
 from repoquarry.llm.texts import Words, filled, mix, slices, words
 
 # Function words of the languages of the corpora this is for.
@@ -154,7 +154,8 @@ def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: s
     found = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
     # Of near copies one counts: else whatever a group of copies has in common would look like a sign of its label.
     sketched = map_arrow(found.select("id", "label", "text"), _sketch, "id bigint, label int, text string, sketch bigint")
-    return sketched.groupBy("sketch", "label").agg(F.min(F.struct("id", "text")).alias("one")).select("one.id", "label", "one.text")
+    one = sketched.groupBy("sketch", "label").agg(F.min(F.struct("id", "text")).alias("one")).select("one.id", "label", "one.text")
+    return written(one, "toxicity-sample")
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,15 +232,15 @@ def learn(
     text: str = "text",
     label: str = "toxic",
     most_docs: int = 40_000,
-    most_patterns: int = 20_000,
     least_support: int = 4,
     least_share: float = 0.01,
     least_weight: float = 3.0,
 ) -> Model:
     """Patterns and weights from at most `most_docs` labelled documents that are not held out.
 
-    A pattern needs `least_support` toxic documents and `least_share` of them all. Three quarters give the patterns, one quarter, which they have not seen, the weights of the kinds of matches. What comes to the
-    driver is bounded by `most_patterns` and by six numbers for each document of the sample. Without labels of both kinds there are
+    A pattern needs `least_support` toxic documents and `least_share` of them all, so there are at most as many as a toxic document has
+    different stems on average, divided by `least_share`; none is left out. Three quarters give the patterns, one quarter, which they have not seen, the weights of the kinds of matches. What comes to the
+    driver is bounded by that and by six numbers for each document of the sample. Without labels of both kinds there are
     no patterns and the prior weights hold.
     """
     sample = _sample(docs, labels, doc_id, text, label, most_docs)
@@ -253,7 +254,7 @@ def learn(
     counted = counted.groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     share = (F.col("toxic") + 0.5) / (sizes[1] + 1) / ((F.col("clean") + 0.5) / (sizes[0] + 1))
     telling = counted.filter((F.col("toxic") >= least_support) & (F.log(share) >= least_weight))
-    rows = telling.orderBy(F.desc("toxic"), "clean", "stem").limit(most_patterns).collect()
+    rows = telling.orderBy(F.desc("toxic"), "clean", "stem").collect()
     patterns = choose({r[0]: (r[1], r[2]) for r in rows}, sizes[0], sizes[1], least_support, least_weight)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,15 +271,15 @@ def learn(
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", score: str = "toxicity") -> DataFrame:
     """All columns of `docs` and a score from 0 to 1. Null and empty texts, and texts without a match, have the score of no match.
 
-    Whole texts are read. A column named like `score` is replaced. Rows are scored independently; repeated rows get equal scores.
+    Whole texts are read. A column named like `score`, in any case, is replaced. Rows are scored independently; repeated rows get equal scores.
     """
     from repoquarry.llm.sentence_pieces import put
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.patterns)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 3_000_000):
             z = model.weights[0] + scorer.features(batch.column(text)) @ model.weights[1:]
             yield put(batch, score, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
 
-    kept = [f for f in docs.schema.fields if f.name != score]
+    kept = [f for f in docs.schema.fields if f.name.lower() != score.lower()]
     return map_arrow(docs, run, type(docs.schema)(kept).add(score, "double"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -17,9 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repoquarry.llm.sentence_pieces import put
-from repoquarry.llm.tables import map_arrow
+from repoquarry.llm.tables import map_arrow, written
 from repoquarry.llm.texts import Words, filled, slices, words
 from repoquarry.llm.toxicity import held_out
+from repoquarry.operators.skew import first_rows
 
 # Ranges of code points of scripts, from the Unicode blocks.
 SCRIPTS = {
@@ -45,11 +47,16 @@ def script(word: str) -> str | None:
     """Script of the first letter with a known one; none for words without letters."""
     for char in word:
         if char.isalpha():
-            point = ord(char)
-            return next((name for low, high, name in _SCRIPT_OF if low <= point <= high), "other")
+            return _script_of(char)
     return None
 
 
+@cache
+def _script_of(letter: str) -> str:
+    point = ord(letter)
+    return next((name for low, high, name in _SCRIPT_OF if low <= point <= high), "other")
+
+
 def trigrams(word: str) -> list[str]:
     marked = f"  {word} "
     return [marked[i : i + 3] for i in range(len(marked) - 2)]
@@ -57,7 +64,8 @@ def trigrams(word: str) -> list[str]:
 
 def _core(token: bytes) -> str:
     """Letters of the token in lower case; marks and digits inside part nothing."""
-    return "".join(c for c in token.decode("utf-8", "replace").lower() if c.isalpha())
+    text = token.decode("utf-8", "replace").lower()
+    return text if text.isalpha() else "".join(filter(str.isalpha, text))
 
 
 class Model(NamedTuple):
@@ -91,22 +99,30 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most_docs: int = 20_000, most_trigrams: int = 60_000, least_script: float = 0.02
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most_docs: int | None = 5_000, most_trigrams: int | None = 15_000, least_script: float = 0.02
 ) -> Model:
-    """Trigram counts per language from at most `most_docs` documents with a language, outside the held-out quarter, by id hash.
+    """Trigram counts from at most `most_docs` documents of each language, outside the held-out quarter, by id hash.
 
-    The `most_trigrams` most frequent trigrams come to the driver. A language uses a script if at least `least_script` of its words
+    The `most_trigrams` most frequent trigrams of each language come to the driver, so neither documents nor trigrams of a rare language give
+    way to those of a large one. None stands for no bound. A language uses a script if at least `least_script` of its words
     are written in it. Without labelled documents the model knows no language and every text is `und`.
     """
     known = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(lang).cast("string").alias("lang")).filter(
         F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id"))
     )
-    chosen = known.groupBy("id").agg(F.min("lang").alias("lang")).orderBy(F.xxhash64("id"), "id").limit(most_docs)
-    sample = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    chosen = known.groupBy("id").agg(F.min("lang").alias("lang"))
+    if most_docs is not None:
+        chosen = F.broadcast(first_rows(chosen, ["lang"], [F.xxhash64("id").asc(), F.asc("id")], most_docs).select("id", "lang"))
+    sample = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text")).join(chosen, "id")
     counted = map_arrow(sample.select("text", "lang"), _count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = written(counted, "trigrams")
     kept = counted.groupBy("gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     is_script = F.col("gram").startswith("script:")
-    rows = kept.filter(~is_script).orderBy(F.desc("all"), "gram").limit(most_trigrams).collect()
+    trigrams = kept.filter(~is_script)
+    if most_trigrams is not None:
+        frequent = first_rows(counted.filter(~is_script), ["lang"], [F.desc("n"), F.asc("gram")], most_trigrams).select("gram").distinct()
+        trigrams = trigrams.join(frequent, "gram", "left_semi")
+    rows = trigrams.orderBy(F.desc("all"), "gram").collect()
     script_rows = kept.filter(is_script).collect()  # at most one row for each script
     languages = sorted({name for r in [*rows, *script_rows] for name in r["by"]})
     counts = np.zeros((len(rows) + 1, len(languages)))
@@ -232,4 +248,4 @@ def tag_languages(docs: DataFrame, model: Model, text: str = "text", penalty: fl
 
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())] + [T.StructField("lang_spans", SPANS)] * with_spans
     names = {f.name for f in new}
-    return map_arrow(docs, run, T.StructType([f for f in docs.schema.fields if f.name not in names] + new))
+    return map_arrow(docs, run, T.StructType([f for f in docs.schema.fields if f.name.lower() not in names] + new))

@@ -82,12 +82,12 @@ def model_bytes(path: str) -> bytes:
 
 
 def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
+    return T.StructType([f for f in df.schema.fields if f.name.lower() != name.lower()] + [T.StructField(name, kind)])
 
 
 def put(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
-    """The batch with the column set; it goes last."""
-    kept = [c for c in batch.schema.names if c != name]
+    """The batch with the column set; it goes last, and columns of that name in any case are left out."""
+    kept = [c for c in batch.schema.names if c.lower() != name.lower()]
     return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), values], [*kept, name])
 
 

@@ -3,7 +3,7 @@
 A shard holds the words of some documents of one language as ids, with a separator between pieces. Its forward and its backward BWT
 are kept together: every phrase is a pair of intervals, the right neighbours of a phrase are the symbols its backward interval spans,
 and extending by one of them gives both intervals of the longer phrase. Counts of a shard are interval sizes; they are summed over all
-shards. The depth grows by one word a round: a phrase of d words is extended only where its first and its last d - 1 words are
+shards, packed by parts of all phrases so that what is shuffled is a few bytes for each. The depth grows by one word a round: a phrase of d words is extended only where its first and its last d - 1 words are
 frequent in the whole language, so nothing rare is shuffled beyond its pairs and nothing frequent is missed. Words outside every
 frequent phrase become separators, so the indexes shrink from round to round.
 """
@@ -11,29 +11,52 @@ frequent phrase become separators, so the indexes shrink from round to round.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repoquarry.llm.tables import map_arrow, scratch, ship, written
-from repoquarry.llm.texts import buffers, distinct, filled, runs, slices
+from repoquarry.llm.tables import discard, kept_apart, map_arrow, scratch, ship, written
+from repoquarry.llm.texts import buffers, distinct, filled, give_back, mix, runs, slices
 from repoquarry.operators.skew import first_rows
 
 UNKNOWN = "und"
-SHARD_BYTES = 6_000_000
-"""Text of one language that makes a shard, and of all languages that a task holds back before it gives out shards."""
+SHARD_BYTES = 4_000_000
+"""Text of one language that makes a shard; a task gives out all it holds back when that is twice as much."""
+PART_PHRASES = 1_000_000
+"""Phrases of all shards, at most one for each word, that a task sums at once."""
 
 _BLANKS = np.zeros(256, bool)
 _BLANKS[[0x20, 0x09]] = True
 _BREAKS = np.zeros(256, bool)
 _BREAKS[list(b".,;:!?\n\v\f\r")] = True
 
-_STATE = "shard bigint, lang string, symbols array<int>, marks array<int>, first array<bigint>, rest array<bigint>, counts array<bigint>"
+_STATE = "shard bigint, lang string, words int, symbols binary, marks binary, part int, start int, size int, packed binary"
+_NAMED = "shard bigint, size int, packed binary, lang string, gids array<bigint>, first array<bigint>, rest array<bigint>, counts array<bigint>"
+_WORDS = "shard bigint, size int, packed binary, lang string, gids array<bigint>, words array<string>, counts array<bigint>, total bigint"
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _row(schema: str, **given) -> pa.RecordBatch:
+    """One row of the schema; numpy arrays are lists, what is not given is null."""
+    names, columns = [], []
+    for field in schema.split(", "):
+        name, kind = field.split(" ")
+        value = given.get(name)
+        if kind.startswith("array<"):
+            kind = _ARROW[kind[6:-1]]
+            column = pa.nulls(1, pa.list_(kind)) if value is None else pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), value if isinstance(value, pa.Array) else pa.array(value, kind))
+        else:
+            column = pa.array([value], _ARROW[kind])
+        names.append(name)
+        columns.append(column)
+    return pa.RecordBatch.from_arrays(columns, names)
 
 
 class Half(NamedTuple):
@@ -132,8 +155,21 @@ def symbols_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return symbols, table
 
 
-def _shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """`(shard, lang, words, counts, symbols)`: shards of the documents of one language, made inside each task."""
+def _packed_words(table: pa.Array, counts: np.ndarray) -> bytes:
+    data, offsets = buffers(table)
+    whole = np.diff(offsets).astype("<i4").tobytes() + counts.astype("<i8").tobytes() + data.tobytes()
+    return len(whole).to_bytes(8, "little") + pa.compress(whole, codec="zstd", asbytes=True)
+
+
+def _unpacked_words(packed: bytes, size: int) -> tuple[pa.Array, np.ndarray]:
+    whole = pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+    offsets = np.concatenate(([0], np.cumsum(np.frombuffer(whole, "<i4", size)))).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(offsets), pa.py_buffer(whole[12 * size :])])
+    return words, np.frombuffer(whole, "<i8", size, 4 * size)
+
+
+def _shards(docs: DataFrame, text: str, lang: str, parts: int) -> DataFrame:
+    """Shards of the documents of one language, made inside each task: a row with the text and rows that pack its words by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[pa.Array]] = {}
@@ -147,11 +183,15 @@ def _shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 sizes.pop(name)
                 symbols, table = symbols_of(pa.concat_arrays(held.pop(name)))
                 counts = np.bincount(symbols, minlength=len(table) + 1)[1:]
-                columns = [pa.array([(task << 32) + made]), pa.array([name])]
-                for values in (table.cast(pa.string()), pa.array(counts, pa.int64()), pa.array(symbols, pa.int32())):
-                    columns.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+                part = (np.array([xxhash.xxh3_64_intdigest(w) for w in table.to_pylist()], np.uint64) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                table, counts, part = table.take(pa.array(order)), counts[order], part[order]
+                number = np.concatenate(([0], np.argsort(order) + 1))
+                own = {"shard": (task << 32) + made, "lang": name}
                 made += 1
-                yield pa.RecordBatch.from_arrays(columns, ["shard", "lang", "words", "counts", "symbols"])
+                yield _row(_STATE, **own, words=len(symbols), symbols=_plain(number[symbols]))
+                for a, b in _runs(part):
+                    yield _row(_STATE, **own, part=int(part[a]), start=a, size=b - a, packed=_packed_words(table.slice(a, b - a), counts[a:b]))
 
         for batch in slices(batches, text, SHARD_BYTES):
             names = batch.column(lang).fill_null(UNKNOWN).dictionary_encode()
@@ -167,8 +207,44 @@ def _shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 yield from flush(list(held))
         yield from flush(list(held))
 
-    schema = "shard bigint, lang string, words array<string>, counts array<bigint>, symbols array<int>"
-    return map_arrow(docs.select(F.col(text), F.col(lang).cast("string")), run, schema)
+    return map_arrow(docs.select(F.col(text), F.col(lang).cast("string")), run, _STATE)
+
+
+def _frequent_words(entries: DataFrame, min_count: int, parts: int) -> DataFrame:
+    """Sums of the words of all shards, part by part: rows with a shard name its frequent words (packed nodes and names), those without
+    list the frequent words of a language and count all its words. More frequent words have smaller names, so phrases pack closer."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows, taken = [], 0
+        langs = table.column("lang").to_pylist()
+        for lang in sorted(set(langs)):
+            chosen = table.filter(pc.equal(table.column("lang"), lang))
+            sizes = chosen.column("size").to_numpy()
+            lists = [_unpacked_words(p.as_py(), n) for p, n in zip(chosen.column("packed"), sizes.tolist(), strict=True)]
+            coded = pa.concat_arrays([w for w, _ in lists]).dictionary_encode()
+            codes = coded.indices.to_numpy()
+            sums = np.zeros(len(coded.dictionary), np.int64)
+            np.add.at(sums, codes, np.concatenate([c for _, c in lists]))
+            often = np.flatnonzero(sums >= min_count)
+            often = often[np.argsort(-sums[often], kind="stable")]
+            names = np.zeros(len(sums), np.int64)
+            names[often] = (taken + np.arange(len(often))) * parts + key[0].as_py() + 1
+            taken += len(often)
+            words = coded.dictionary.take(pa.array(often)).cast(pa.string())
+            rows.append(_row(_WORDS, lang=lang, gids=names[often], words=words, counts=sums[often], total=int(sums.sum())))
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            node = chosen.column("start").to_numpy()[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            name = names[codes]
+            kept = name > 0
+            owner, node, name = owner[kept], node[kept], name[kept]
+            shards = chosen.column("shard").to_numpy()
+            for a, b in _runs(owner):
+                rows.append(_row(_WORDS, shard=int(shards[owner[a]]), size=b - a, packed=_squeezed(node[a:b], name[a:b])))
+        result = pa.Table.from_batches(rows).combine_chunks()
+        give_back()
+        return result
+
+    return entries.groupBy("part").applyInArrow(run, _WORDS)
 
 
 def narrowed(symbols: np.ndarray, labels: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,56 +258,124 @@ def narrowed(symbols: np.ndarray, labels: np.ndarray, width: int) -> tuple[np.nd
     return np.unique(np.concatenate(([0], symbols)), return_inverse=True)[1][1:].astype(np.int32), np.where(covered, labels, 0)[kept]
 
 
-def _longer(state: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """The state of every shard after phrases of `length` words have been counted in it.
+def _squeezed(*columns: np.ndarray) -> bytes:
+    """Whole numbers as the differences to the one before; names come in order, so a phrase takes a few bytes."""
+    return pa.compress(b"".join(np.diff(c, prepend=0).astype("<i8").tobytes() for c in columns), codec="zstd", asbytes=True)
+
+
+def _expanded(packed: bytes, size: int, columns: int) -> list[np.ndarray]:
+    data = pa.decompress(packed, decompressed_size=8 * columns * size, codec="zstd") if size else b""
+    return list(np.cumsum(np.frombuffer(data, "<i8").reshape(columns, size), axis=1))
+
 
-    `found(shard, node, gid)` names the phrases of one word less that are frequent in the language. `marks` holds, for each word, the
-    number (node) of the phrase that begins there; `first`, `rest` and `counts` hold, for each node, the names of the phrases without
-    its last and its first word, and how often it occurs in the shard.
+def _plain(numbers: np.ndarray) -> bytes:
+    """32-bit numbers in no order."""
+    return pa.compress(numbers.astype("<i4").tobytes(), codec="zstd", asbytes=True)
+
+
+def _numbers(packed: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, decompressed_size=4 * size, codec="zstd") if size else b"", "<i4")
+
+
+def _runs(numbers: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of every run of equal numbers (0 or more)."""
+    begins = np.flatnonzero(np.diff(numbers, prepend=-1)).tolist()
+    return list(zip(begins, [*begins[1:], len(numbers)][: len(begins)], strict=True))
+
+
+def _longer(state: DataFrame, found: DataFrame, length: int, parts: int) -> DataFrame:
+    """What every shard knows after phrases of `length` words have been counted in it.
+
+    `found(shard, size, packed)` names the phrases of one word less that are frequent in the language. A row without a part is the state of
+    the shard: its text, and for each word the number (node) of the phrase that begins there; no marks stand for those of words. The other
+    rows pack the phrases of one part, from node `start` on: the names of the phrase without its last and without its first word,
+    and how often it occurs here.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({f: [] for f in ("shard", "lang", "symbols", "marks", "first", "rest", "counts")}).cast(_ARROW)
-        symbols = left.column("symbols").combine_chunks().flatten().to_numpy()
-        marks = left.column("marks").combine_chunks().flatten().to_numpy()
-        names = np.zeros(int(marks.max(initial=-1)) + 2, np.int64)  # the last one: no phrase
-        names[right.column("node").to_numpy()] = right.column("gid").to_numpy()
-        symbols, labels = narrowed(symbols, names[marks], length - 1)
-        index = PhraseIndex(symbols, length)
-        label_at = np.concatenate(([0], labels, [0, 0]))  # as the index has a separator in front
-        phrases = index.words()
-        for _ in range(length - 2):
-            phrases, _ = index.extend_right(phrases)
-        own = label_at[index.first_places(phrases)]
-        phrases, own = Phrases(*[values[own > 0] for values in phrases]), own[own > 0]
-        longer, parent = index.extend_right(phrases)
-        rest = label_at[index.first_places(longer) + 1]
-        longer, parent, rest = Phrases(*[values[rest > 0] for values in longer]), parent[rest > 0], rest[rest > 0]
-        marked = np.full(len(symbols) + 2, -1, np.int32)
-        places, node = index.places(longer)
-        marked[places] = node
-        lists = [symbols, marked[1:-1], own[parent], rest, longer.size]
-        columns = [left.column("shard").combine_chunks(), left.column("lang").combine_chunks()]
-        for values, kind in zip(lists, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True):
-            columns.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind)))
-        return pa.Table.from_arrays(columns, schema=_ARROW)
+        rows = []
+        if left.num_rows:
+            n = left.column("words")[0].as_py()
+            symbols, marks = (_numbers(m.as_py(), n) if (m := left.column(c)[0]).is_valid else None for c in ("symbols", "marks"))
+            marks = symbols - 1 if marks is None else marks
+            names = np.zeros(int(marks.max(initial=-1)) + 2, np.int64)  # the last one: no phrase
+            for size, packed in zip(right.column("size"), right.column("packed"), strict=True):
+                node, name = _expanded(packed.as_py(), size.as_py(), 2)
+                names[node] = name
+            symbols, labels = narrowed(symbols, names[marks], length - 1)
+            marked, first, rest, counts = count_longer(symbols, labels, length)
+            with np.errstate(over="ignore"):
+                part = mix(first.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rest.view(np.uint64)) % np.uint64(parts)
+            order = np.lexsort((rest, first, part))
+            first, rest, counts, part = (values[order] for values in (first, rest, counts, part))
+            new_number = np.append(np.argsort(order), -1)
+            own = {"shard": left.column("shard")[0].as_py(), "lang": left.column("lang")[0].as_py()}
+            rows.append(_row(_STATE, **own, words=len(symbols), symbols=_plain(symbols), marks=_plain(new_number[marked])))
+            for a, b in _runs(part.astype(np.int64)):
+                rows.append(_row(_STATE, **own, part=int(part[a]), start=a, size=b - a, packed=_squeezed(first[a:b], rest[a:b], counts[a:b])))
+        result = pa.Table.from_batches(rows or [_row(_STATE).slice(0, 0)]).combine_chunks()
+        give_back()
+        return result
 
     ship(state.sparkSession)
-    named = found.select(F.col("shard").alias("_shard"), "node", "gid")
+    named = found.select(F.col("shard").alias("_shard"), "size", "packed")
     return state.groupBy("shard").cogroup(named.groupBy("_shard")).applyInArrow(run, _STATE)
 
 
-_ARROW = pa.schema(
-    [("shard", pa.int64()), ("lang", pa.string())]
-    + [(name, pa.list_(kind)) for name, kind in (("symbols", pa.int32()), ("marks", pa.int32()))]
-    + [(name, pa.list_(pa.int64())) for name in ("first", "rest", "counts")]
-)
-
-
-def _named(grams: DataFrame, name: str) -> DataFrame:
-    """Frequent phrases with a name (from 1) that stays, as the table is stored."""
-    return written(grams.withColumn("gid", F.monotonically_increasing_id() + 1), name)
+def count_longer(symbols: np.ndarray, labels: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases of `length` words whose first and last `length` - 1 words have a label: for each word the number of the phrase that begins
+    there (-1: none); for each phrase both labels and its count."""
+    index = PhraseIndex(symbols, length)
+    label_at = np.concatenate(([0], labels, [0, 0]))  # as the index has a separator in front
+    phrases = index.words()
+    for _ in range(length - 2):
+        phrases, _ = index.extend_right(phrases)
+    own = label_at[index.first_places(phrases)]
+    phrases, own = Phrases(*[values[own > 0] for values in phrases]), own[own > 0]
+    longer, parent = index.extend_right(phrases)
+    rest = label_at[index.first_places(longer) + 1]
+    longer, parent, rest = Phrases(*[values[rest > 0] for values in longer]), parent[rest > 0], rest[rest > 0]
+    marked = np.full(len(symbols) + 2, -1, np.int64)
+    places, node = index.places(longer)
+    marked[places] = node
+    return marked[1:-1], own[parent], rest, longer.size.astype(np.int64)
+
+
+def _frequent(entries: DataFrame, min_count: int) -> DataFrame:
+    """Sums of all shards, part by part: rows with a shard name its frequent phrases (packed nodes and names), those without list the frequent
+    phrases of a language `(lang, gids, first, rest, counts)`. Names follow from the part, so a task that runs again gives the same."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        sizes = table.column("size").to_numpy()
+        lists = [_expanded(p.as_py(), n, 3) for p, n in zip(table.column("packed"), sizes.tolist(), strict=True)]
+        first, rest, counts = (np.concatenate(c) for c in zip(*lists, strict=True))
+        del lists
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        node = table.column("start").to_numpy()[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order = np.lexsort((rest, first))
+        first, rest, owner, node = first[order], rest[order], owner[order], node[order]
+        begins = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (rest[1:] != rest[:-1]))))
+        sums = np.add.reduceat(counts[order], begins)
+        often = sums >= min_count
+        names = np.where(often, (key[0].as_py() << 32) + np.cumsum(often), 0)
+        rows = []
+        langs = np.array(table.column("lang").to_pylist(), object)[owner[begins]]
+        for lang in sorted(set(langs[often])):
+            chosen = often & (langs == lang)
+            at = begins[chosen]
+            rows.append(_row(_NAMED, lang=lang, gids=names[chosen], first=first[at], rest=rest[at], counts=sums[chosen]))
+        name = np.repeat(names, np.diff(np.append(begins, len(first))))
+        kept = name > 0
+        by = np.argsort(owner[kept], kind="stable")
+        owner, node, name = owner[kept][by], node[kept][by], name[kept][by]
+        shards = table.column("shard").to_numpy()
+        for a, b in _runs(owner):
+            rows.append(_row(_NAMED, shard=int(shards[owner[a]]), size=b - a, packed=_squeezed(node[a:b], name[a:b])))
+        result = pa.Table.from_batches(rows or [_row(_NAMED).slice(0, 0)]).combine_chunks()
+        give_back()
+        return result
+
+    return entries.groupBy("part").applyInArrow(run, _NAMED)
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = 100, longest: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -242,43 +386,50 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", mi
     A frequent word or phrase is one row per shard before its sum.
     """
     with scratch(docs.sparkSession):
-        shards = written(_shards(docs, text, lang), "phrase-shards")
-        listed = F.posexplode(F.arrays_zip("words", "counts")).alias("node", "entry")
-        entries = shards.select("shard", "lang", listed).select("shard", "lang", "node", "entry.*")
-        totals = written(entries.groupBy("lang").agg(F.sum("counts").alias("n")), "phrase-totals", keep=True)
-        grams = _named(entries.groupBy("lang", "words").agg(F.sum("counts").alias("f")).filter(F.col("f") >= min_count), "phrase-words")
-        found = entries.join(grams.select("lang", "words", "gid"), ["lang", "words"]).select("shard", "node", "gid")
-        marks = F.transform("symbols", lambda s: s - 1).alias("marks")
-        state = shards.select("shard", "lang", "symbols", marks)
+        buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        shards = kept_apart(_shards(docs, text, lang, buckets), "phrase-shards", "shard")
+        packed = shards.filter("part is not null").select("shard", "lang", "part", "start", "size", "packed")
+        words = written(_frequent_words(packed, min_count, buckets), "phrase-words")
+        totals = written(words.filter("shard is null").groupBy("lang").agg(F.sum("total").alias("n")).filter("n > 0"), "phrase-totals", keep=True)
+        parts = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // PART_PHRASES))
+        found = words.filter("shard is not null").select("shard", "size", "packed")
+        entry = F.explode(F.arrays_zip("gids", "words", "counts")).alias("entry")
+        grams = words.filter("shard is null").select("lang", entry).select("lang", F.col("entry.gids").alias("gid"), "entry.words", F.col("entry.counts").alias("f"))
+        state = shards.filter("part is null").select("shard", "lang", "words", "symbols", "marks")
         one = F.array("f")
         level = grams.select("gid", "lang", F.array("words").alias("words"), one.alias("prefixes"), one.alias("suffixes"), "f")
-        parts = []
+        levels, before = [], [shards]
         for length in range(2, longest + 1):
-            state = written(_longer(state, found, length), f"phrase-state-{length}")
-            listed = F.posexplode(F.arrays_zip("first", "rest", "counts")).alias("node", "entry")
-            entries = state.select("shard", "lang", listed).select("shard", "lang", "node", "entry.*")
-            summed = entries.groupBy("lang", "first", "rest").agg(F.sum("counts").alias("f")).filter(F.col("f") >= min_count)
-            grams = _named(summed, f"phrase-grams-{length}")
-            found = entries.join(grams.select("first", "rest", "gid"), ["first", "rest"]).select("shard", "node", "gid")
+            known = kept_apart(_longer(state, found, length, parts), f"phrase-state-{length}", "shard")
+            state = known.filter("part is null").select("shard", "lang", "words", "symbols", "marks")
+            listed = known.filter("part is not null").select("shard", "lang", "part", "start", "size", "packed")
+            sums = written(_frequent(listed, min_count), f"phrase-sums-{length}")
+            for table in before:
+                discard(table)
+            before = [known, sums]
+            found = sums.filter("shard is not null").select("shard", "size", "packed")
+            entry = F.explode(F.arrays_zip("gids", "first", "rest", "counts")).alias("entry")
+            of_lang = sums.filter("shard is null").select("lang", entry)
+            grams = of_lang.select("lang", F.col("entry.gids").alias("gid"), "entry.first", "entry.rest", F.col("entry.counts").alias("f"))
             ahead = level.select(F.col("gid").alias("first"), F.col("words").alias("_words"), F.col("prefixes").alias("_prefixes"))
             behind = level.select(F.col("gid").alias("rest"), F.element_at("words", -1).alias("_last"), F.col("suffixes").alias("_suffixes"))
-            joined = grams.join(ahead, "first").join(behind, "rest")
-            whole = F.array("f")
-            longer = joined.select(
-                "gid",
-                "lang",
-                F.array_append("_words", F.col("_last")).alias("words"),
-                F.concat("_prefixes", whole).alias("prefixes"),
-                F.concat("_suffixes", whole).alias("suffixes"),
-                "f",
+            longer = written(
+                grams.join(ahead, "first").join(behind, "rest").select(
+                    "gid",
+                    "lang",
+                    F.array_append("_words", F.col("_last")).alias("words"),
+                    F.concat("_prefixes", one).alias("prefixes"),
+                    F.concat("_suffixes", one).alias("suffixes"),
+                    "f",
+                ),
+                f"phrase-level-{length}",
             )
             around = grams.select(F.explode(F.array("first", "rest")).alias("gid"), F.col("f").alias("_around")).groupBy("gid").agg(F.max("_around").alias("_around"))
-            parts.append(level.join(around, "gid", "left").withColumn("inside", F.coalesce(F.col("_around") >= F.col("f"), F.lit(False))).drop("_around"))
-            level = written(longer, f"phrase-level-{length}")
-        parts.append(level.withColumn("inside", F.lit(False)))
-        result = parts[0]
-        for part in parts[1:]:
-            result = result.unionByName(part)
+            inside = F.coalesce(F.col("_around") >= F.col("f"), F.lit(False))
+            levels.append(written(level.join(around, "gid", "left").withColumn("inside", inside).drop("_around"), f"phrase-judged-{length}"))
+            level = longer
+        levels.append(level.withColumn("inside", F.lit(False)))
+        result = reduce(DataFrame.unionByName, levels)
         return written(result.drop("gid"), "phrases", keep=True), totals
 
 

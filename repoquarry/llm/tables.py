@@ -83,7 +83,28 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The rows as a Parquet table in the shared folder: computed once, kept when executors are lost, lineage cut."""
     path = _new_path(df.sparkSession, name, keep=keep)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._path, stored._table = path, None
+    return stored
+
+
+def kept_apart(df: DataFrame, name: str, key: str) -> DataFrame:
+    """The rows as a stored table bucketed by the key, each written by the task that has it: joins on the key find them where they are."""
+    spark = df.sparkSession
+    table = f"{TABLE_PREFIX}{name.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
+    path = _new_path(spark, name, table)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    stored = spark.table(table)
+    stored._path, stored._table = path, table
+    return stored
+
+
+def discard(stored: DataFrame) -> None:
+    """Removes a table from `written` or `kept_apart` that nothing will read any more."""
+    if stored._table:
+        stored.sparkSession.sql(f"drop table if exists {stored._table}")
+    _delete(stored.sparkSession, stored._path)
 
 
 def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int | None = None) -> str:

@@ -76,11 +76,17 @@ def rank_in_groups(df: DataFrame, keys: list[str], by: str, rank: str = "rank")
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly to all tasks: a small file is few splits, however much work its rows are."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def ordinals(df: DataFrame, keys: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
     """Exact 1..n place of each row of its group in the order of the columns, with no group in one task.
 
     All rows are sorted in ranges over the whole table, which cut a large group into many; a row's place in the table less the place of
-    its group's first row gives its place in the group. The ranges are drawn from a sample, so the sorted rows are stored first.
+    its group's first row gives its place in the group. The ranges are drawn from a sample, so the sorted rows are stored first. Groups
+    that one task can sort are better numbered by a window.
     """
     ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
     stored = cut_lineage(ranged.withColumn("_range", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()))
@@ -92,22 +98,34 @@ def ordinals(df: DataFrame, keys: list[str], order: list[str], name: str = "ordi
     return placed.join(first, keys).withColumn(name, F.col("_place") - F.col("_first") + 1).drop("_range", "_id", "_shift", "_place", "_first")
 
 
-def paged_lists(df: DataFrame, keys: list[str], order: list[str], value: Column, page_size: int, name: str) -> DataFrame:
+def paged_lists(
+    df: DataFrame, keys: list[str], order: list[str], value: Column, page_size: int, name: str, rows_per_group: int = 1_000_000
+) -> DataFrame:
     """Groups as arrays sorted by `order`, in pages: `(keys, page, pages, name)`.
 
     Page p holds the places p * page_size + 1 up to (p + 1) * page_size, so the pages one after the other are the sorted group, whatever
-    their size. Groups beyond one page get their places from `ordinals`; no task or row holds a whole large group.
+    their size. Groups of up to `rows_per_group` rows are shuffled once by the keys, which numbers, counts and lists them; larger ones get
+    their places from ranges, so no task or row holds a whole large group. Rows are shuffled as plain columns: the sorted entries
+    are made where they are listed. Rows without a key are one page.
     """
+    hot = cut_lineage(df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows_per_group).dropna(subset=keys))
+    group = Window.partitionBy(*keys)
     entry = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], value.alias("_value"))
-    rows = df.select(*keys, *order, entry.alias("_entry"))
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    large = cut_lineage(sizes.filter(F.col("_n") > page_size))
-    count = F.ceil(F.col("_n") / F.lit(page_size)).cast("bigint")
+    listed = F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["_value"]).alias(name)
+    nameless = F.lit(False)
+    for key in keys:
+        nameless = nameless | F.col(key).isNull()
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    listed = F.transform(F.sort_array(F.collect_list("_entry")), lambda e: e["_value"]).alias(name)
-    if large.isEmpty():
-        return rows.groupBy(*keys).agg(listed).select(*keys, zero.alias("page"), one.alias("pages"), name)
-    small = rows.join(large, keys, "left_anti").groupBy(*keys).agg(listed).select(*keys, zero.alias("page"), one.alias("pages"), name)
-    placed = ordinals(rows.join(large, keys, "left_semi"), keys, order)
-    paged = placed.withColumn("page", F.floor((F.col("ordinal") - 1) / F.lit(page_size)).cast("bigint")).groupBy(*keys, "page").agg(listed)
-    return small.unionByName(paged.join(large.select(*keys, count.alias("pages")), keys).select(*keys, "page", "pages", name))
+    page = F.when(nameless, zero).otherwise(F.floor((F.col("_at") - 1) / F.lit(page_size)).cast("bigint")).alias("page")
+    pages = F.when(nameless, one).otherwise(F.ceil(F.col("_n") / F.lit(page_size)).cast("bigint")).alias("pages")
+
+    def paged(placed: DataFrame) -> DataFrame:
+        return placed.groupBy(*keys, page).agg(F.max(pages).alias("pages"), listed)
+
+    number, count = F.row_number().over(group.orderBy(*order)), F.count("*").over(group)
+    numbered = lambda rows: paged(rows.withColumns({"_at": number, "_n": count}))
+    if hot.isEmpty():
+        return numbered(df)
+    few = F.broadcast(hot)
+    placed = ordinals(df.join(few.select(*keys), keys, "left_semi"), keys, order, "_at")
+    return numbered(df.join(few, keys, "left_anti")).unionByName(paged(placed.join(few, keys)))

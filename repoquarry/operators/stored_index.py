@@ -9,68 +9,149 @@ cannot matter: their columns with the documents are not unfolded. Only the bucke
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from repoquarry.functions.rows import unfold
 from repoquarry.operators.search import terms_of
-from repoquarry.operators.skew import first_rows, ordinals, spread_join
+from repoquarry.operators.skew import first_rows, ordinals, spread, spread_join
+from repoquarry.session import cut_lineage, removed, ship, stored
 
 BLOCK = 128
 BUCKETS = 64
+_DOCUMENTS = 500
+"""Documents whose words are grouped at once."""
+_ROWS = 20_000
+"""Postings packed at once."""
+_COLUMNS = ("repo_id", "term", "block", "docs", "max_tf", "paths", "tfs", "positions")
+
+
+def _grouped(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows `(repo_id, path, term, positions)` of the documents of a batch, whose last column lists their words."""
+    words = batch.column("words")
+    sizes = words.value_lengths().to_numpy()
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    coded = words.flatten().dictionary_encode()
+    name = owner * (len(coded.dictionary) + 1) + coded.indices.to_numpy()
+    order = np.argsort(name, kind="stable")
+    begins = np.flatnonzero(np.diff(name[order], prepend=-1))
+    first = order[begins]
+    positions = pa.ListArray.from_arrays(pa.array(np.append(begins, len(order)), pa.int32()), pa.array(at[order], pa.int32()))
+    rows = pa.array(owner[first])
+    terms = coded.dictionary.take(coded.indices.take(pa.array(first)))
+    return pa.RecordBatch.from_arrays([batch.column("repo_id").take(rows), batch.column("path").take(rows), terms, positions], ["repo_id", "path", "term", "positions"])
+
+
+def term_positions(docs: DataFrame) -> DataFrame:
+    """`(repo_id, path, term, positions)` of `docs(repo_id, path, content)`; the first word has position 0.
+
+    Spark splits the texts; the words of a batch are grouped as numbers.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, _DOCUMENTS):
+                yield _grouped(batch.slice(start, _DOCUMENTS))
 
-def term_positions(text: Column | str) -> Column:
-    """Array of (term, positions) of a text; the first word has position 0."""
-    numbered = F.sort_array(F.transform(terms_of(text), lambda w, i: F.struct(w.alias("term"), i.alias("at"))))
-
-    def runs(words: Column) -> Column:
-        size = F.size(words)
-        starts = F.filter(
-            F.sequence(F.lit(1), size), lambda i: (i == 1) | (F.element_at(words, i)["term"] != F.element_at(words, F.greatest(i - 1, F.lit(1)))["term"])
-        )
-
-        def run(bounds: Column, start: Column, k: Column) -> Column:
-            end = F.coalesce(F.try_element_at(bounds, k + 2), size + 1)
-            return F.struct(F.element_at(words, start)["term"].alias("term"), F.transform(F.slice(words, start, end - start), lambda w: w["at"]).alias("positions"))
-
-        # One-element arrays bind what is used several times, so it is found once.
-        return F.transform(F.array(starts), lambda bounds: F.transform(bounds, lambda start, k: run(bounds, start, k)))[0]
-
-    none = F.array().cast("array<struct<term: string, positions: array<int>>>")
-    return F.transform(F.array(numbered), lambda w: F.when(F.size(w) == 0, none).otherwise(runs(w)))[0]
+    ship(docs.sparkSession)
+    words = docs.select("repo_id", "path", F.coalesce(terms_of("content"), F.array().cast("array<string>")).alias("words"))
+    kept = words.select("repo_id", "path").schema.fields
+    return words.mapInArrow(run, T.StructType([*kept, T.StructField("term", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]))
 
 
 def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def store_index(docs: DataFrame, path: str, block: int = BLOCK) -> None:
-    """Writes the index of `docs(repo_id, path, content)`.
-
-    The documents of a term get their places from one sort of all postings in ranges, so a word found everywhere is never one task's.
+def _packed(table: pa.Table, block: int) -> tuple[pa.RecordBatch, pa.Table]:
+    """Blocks of sorted postings, and those of the last term, which may go on."""
+    table = table.combine_chunks()
+    code = [table.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("repo_id", "term")]
+    new = np.flatnonzero(np.concatenate(([True], (np.diff(code[0]) != 0) | (np.diff(code[1]) != 0)))) if table.num_rows else np.zeros(0, np.int64)
+    if not len(new):
+        return _blocks_at(table, new, np.zeros(0, np.int64), 0), table
+    whole = int(new[-1])
+    sizes = np.diff(new)
+    counts = -(-sizes // block)
+    number = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    return _blocks_at(table, np.repeat(new[:-1], counts) + number * block, number, whole), table.slice(whole)
+
+
+def _blocks_at(table: pa.Table, begins: np.ndarray, number: np.ndarray, end: int) -> pa.RecordBatch:
+    column = lambda name: table.column(name).combine_chunks() if table.num_rows else pa.array([], table.schema.field(name).type)
+    at, offsets = pa.array(begins), pa.array(np.append(begins, end), pa.int32())
+    lists = lambda name: pa.ListArray.from_arrays(offsets, column(name))
+    docs, tf = pa.array(np.diff(np.append(begins, end)), pa.int64()), column("tf")
+    columns = [column("repo_id").take(at), column("term").take(at), pa.array(number, pa.int64()), docs, tf.take(at).cast(pa.int64()), lists("path"), lists("tf"), lists("positions")]
+    return pa.RecordBatch.from_arrays(columns, [*_COLUMNS])
+
+
+def _pack(postings: DataFrame, block: int) -> DataFrame:
+    """Blocks of the postings `(repo_id, term, path, tf, positions)`, whose terms lie one after the other, each in the order of its documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            # A term of very many documents is not packed anew with every batch.
+            if rows >= _ROWS and rows >= 2 * (held[0].num_rows if len(held) > 1 else 0):
+                packed, rest = _packed(pa.Table.from_batches(held), block)
+                yield packed
+                held, rows = rest.combine_chunks().to_batches(), rest.num_rows
+        if rows:
+            table = pa.Table.from_batches(held)
+            packed, rest = _packed(table, block)
+            yield packed
+            begins = np.arange(0, rest.num_rows, block)
+            yield _blocks_at(rest.combine_chunks(), begins, np.arange(len(begins)), rest.num_rows)
+
+    fields = {f.name: f for f in postings.schema.fields}
+    listed = [T.StructField(f"{c}s", T.ArrayType(fields[c].dataType)) for c in ("path", "tf")]
+    numbers = [T.StructField(c, T.LongType()) for c in ("block", "docs", "max_tf")]
+    schema = T.StructType([fields["repo_id"], fields["term"], *numbers, *listed, T.StructField("positions", T.ArrayType(fields["positions"].dataType))])
+    return postings.mapInArrow(run, schema)
+
+
+def store_index(docs: DataFrame, path: str, block: int = BLOCK, rows_per_group: int = 1_000_000) -> None:
+    """Writes the index of `docs(repo_id, path, content)`. Documents of no repository are left out.
+
+    Texts are dealt to all tasks and read once for the postings, which are stored as they are found, shuffled once by term and packed in
+    their order. A term of more than `rows_per_group` documents, which only a repository of as many can have, is sorted in ranges instead, so a word
+    found everywhere is never one task's.
     """
-    found = unfold(docs, ["repo_id", "path"], term_positions("content"), "found").select("repo_id", "path", "found.*")
-    postings = found.withColumn("less", -F.size("positions"))
-    placed = ordinals(postings, ["repo_id", "term"], ["less", "path"]).withColumn("block", F.floor((F.col("ordinal") - 1) / block).cast("bigint"))
-    entry = F.struct("ordinal", "path", (-F.col("less")).alias("tf"), "positions")
-    blocks = placed.groupBy("repo_id", "term", "block").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    stored = blocks.select(
-        "repo_id",
-        "term",
-        "block",
-        F.size("entries").cast("bigint").alias("docs"),
-        F.col("entries")[0]["tf"].cast("bigint").alias("max_tf"),
-        F.col("entries.path").alias("paths"),
-        F.col("entries.tf").alias("tfs"),
-        F.col("entries.positions").alias("positions"),
-        _bucket(F.col("term")).alias("bucket"),
-    )
-    # Of a bucket with very many rows several files are written, each in order.
-    stored.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "repo_id", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    spark, keys = docs.sparkSession, ["repo_id", "term"]
     docs.groupBy("repo_id").agg(F.count("*").alias("documents")).write.mode("overwrite").parquet(f"{path}/sizes")
+    found = stored(term_positions(spread(docs.select("repo_id", "path", "content").filter("repo_id is not null"))), f"{path}/found")
+    postings = found.select("repo_id", "term", "path", F.size("positions").alias("tf"), "positions")
+    large = spark.read.parquet(f"{path}/sizes").filter(F.col("documents") > rows_per_group).select("repo_id")
+    blocks = None
+    if not large.isEmpty():
+        counted = found.join(F.broadcast(large), "repo_id", "left_semi").groupBy(*keys).agg(F.count("*").alias("_rows"))
+        # At most one term for every `rows_per_group` postings.
+        hot = F.broadcast(cut_lineage(counted.filter(F.col("_rows") > rows_per_group).select(*keys)))
+        placed = ordinals(postings.join(hot, keys, "left_semi").withColumn("less", -F.col("tf")), keys, ["less", "path"])
+        entry = F.struct("ordinal", "path", "tf", "positions")
+        entries = placed.withColumn("block", F.floor((F.col("ordinal") - 1) / block).cast("bigint")).groupBy(*keys, "block").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+        blocks = entries.select(
+            *keys, "block", F.size("entries").cast("bigint").alias("docs"), F.col("entries")[0]["tf"].cast("bigint").alias("max_tf"),
+            F.col("entries.path").alias("paths"), F.col("entries.tf").alias("tfs"), F.col("entries.positions").alias("positions"),
+        )
+        postings = postings.join(hot, keys, "left_anti")
+    ordered = postings.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions("term", "repo_id", F.desc("tf"), "path")
+    packed = _pack(ordered, block)
+    whole = (packed.unionByName(blocks) if blocks is not None else packed).withColumn("bucket", _bucket(F.col("term")))
+    # Of a bucket with very many rows several files are written, each in order.
+    whole.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "repo_id", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    removed(spark, f"{path}/found")
 
 
 def _blocks(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:

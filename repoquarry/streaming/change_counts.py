@@ -73,41 +73,59 @@ def new_place(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}/{uuid.uuid4().hex}"
 
 
-_STATE = "change_count bigint, last_ts timestamp, last_change string"
+_STATE = "keys array<string>, change_counts array<bigint>, last_ats array<bigint>, last_changes array<string>, idle_ats array<bigint>"
+_NEVER = -(2**63)
+_KEY_TEXT = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+_IDLE_DAY = 86_400_000
 
 
-def newest_changes(stream: DataFrame, keys: list[str], delivery_id: str, time: str = "ts", change: str = "commit_id", delay: str = "1 day", idle_days: int = 30) -> DataFrame:
+def newest_changes(
+    stream: DataFrame, keys: list[str], delivery_id: str, time: str = "ts", change: str = "commit_id", delay: str = "1 day", idle_days: int = 30, buckets: int = 1024
+) -> DataFrame:
     """`(keys, change_count, last_ts, last_change, idle)`: a row for each key and batch that has changes of it, as of then.
 
-    The state of a key is three values: its changes, and time and id of the newest one (ties: the largest id). A key without a change for
-    `idle_days` after its newest one, by the watermark, gives one more row that says so, and its state goes; a later change of it starts
+    What is held of a key is its changes, and time and id of the newest one (ties: the largest id). A key without a change for
+    `idle_days` after its newest one, by the watermark, gives one more row that says so, and what is held of it goes; a later change of it starts
     from one again. Deliveries later than `delay` are dropped and repeated ones are remembered for that long. Changes come to a task in Arrow
-    batches, so a key with very many is never held whole.
+    batches, so a key with very many is never held whole. Keys are many and a state is a call of Python, so the keys of a bucket, by their
+    hash, share one; a checkpoint stays with its `buckets`.
     """
     ship(stream.sparkSession)
     types = dict(stream.dtypes)
     kept = ", ".join(f"{k} {types[k]}" for k in keys)
     timed = stream.select(*keys, F.col(time).cast("timestamp").alias("_time"), F.col(change).cast("string").alias("_change"), F.col(delivery_id).alias("_delivery"))
     unique = timed.withWatermark("_time", delay).dropDuplicatesWithinWatermark(["_delivery"])
-
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, newest = 0, None
-        if state.exists:
-            count, at, name = state.get
-            newest = (pd.Timestamp(at), name)
-        idle = state.hasTimedOut
-        if idle:
-            state.remove()
-        else:
+    # As text, keys of any type and missing ones stay as they are.
+    key_text = F.to_json(F.struct(*keys), _KEY_TEXT).alias("_key")
+    at = F.coalesce(F.unix_micros("_time"), F.lit(_NEVER)).alias("_at")
+    numbered = unique.select(by_hash(keys, buckets).alias("_bucket"), key_text, "_time", at, F.coalesce("_change", F.lit("")).alias("_change"))
+
+    def follow(bucket: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {key: tuple(values) for key, *values in zip(*state.get, strict=True)} if state.exists else {}
+        watermark, changed = state.getCurrentWatermarkMs(), set()
+        if not state.hasTimedOut:
             for batch in batches:
-                count += len(batch)
-                last = batch.sort_values(["_time", "_change"]).iloc[-1]
-                newest = max(newest or (last["_time"], last["_change"]), (last["_time"], last["_change"]))
-            state.update((count, newest[0].to_pydatetime(), newest[1]))
-            state.setTimeoutTimestamp(max(int(newest[0].timestamp() * 1000) + idle_days * 86_400_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(*key, count, newest[0], newest[1], idle)], columns=[*keys, "change_count", "last_ts", "last_change", "idle"])
-
-    return unique.groupBy(*keys).applyInPandasWithState(follow, f"{kept}, {_STATE}, idle boolean", _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+                for key, *newest in zip(batch["_key"].tolist(), batch["_at"].tolist(), batch["_change"].tolist(), strict=True):
+                    count, *last, _ = held.get(key, (0, _NEVER, "", 0))
+                    held[key] = (count + 1, *max(last, newest), 0)
+                    changed.add(key)
+        for key in changed:
+            *values, _ = held[key]
+            held[key] = (*values, max(values[1] // 1000 + idle_days * _IDLE_DAY, watermark + 1))
+        idle = [key for key, values in held.items() if key not in changed and values[-1] < watermark]
+        rows = [(key, *held[key][:3], False) for key in changed] + [(key, *held.pop(key)[:3], True) for key in idle]
+        if held:
+            state.update(tuple(map(list, zip(*[(key, *values) for key, values in held.items()], strict=True))))
+            state.setTimeoutTimestamp(min(values[-1] for values in held.values()))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(rows, columns=["key", "change_count", "last_at", "last_change", "idle"])
+
+    result = "key string, change_count bigint, last_at bigint, last_change string, idle boolean"
+    rows = numbered.groupBy("_bucket").applyInPandasWithState(follow, result, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    last_ts = F.when(F.col("last_at") != _NEVER, F.timestamp_micros("last_at")).alias("last_ts")
+    named = rows.select(F.from_json("key", kept, _KEY_TEXT).alias("key"), "change_count", last_ts, "last_change", "idle")
+    return named.select("key.*", "change_count", "last_ts", "last_change", "idle")
 
 
 def run_newest(changes: DataFrame, keys: list[str], table: str, checkpoint: str) -> None:

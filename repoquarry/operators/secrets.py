@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoquarry.functions.rows import unfold
+from repoquarry.operators.skew import spread
 
 CANDIDATES = {
     "random_hex": r"\b[0-9a-f]{32,}\b",
@@ -19,26 +20,28 @@ HEX_BITS, TEXT_BITS = 3.0, 4.2
 
 def entropy(token: Column) -> Column:
     """Shannon entropy in bits of the characters of a token."""
-    chars = F.split(token, "")
     size = F.length(token).cast("double")
 
     def part(c: Column) -> Column:
-        share = (F.length(token) - F.length(F.replace(token, c, F.lit("")))) / size
-        return -share * F.log2(share)
+        return F.transform(F.array((F.length(token) - F.length(F.replace(token, c, F.lit("")))) / size), lambda share: -share * F.log2(share))[0]
 
-    return F.aggregate(F.transform(F.array_distinct(F.filter(chars, lambda c: c != "")), part), F.lit(0.0), lambda total, x: total + x)
+    return F.aggregate(F.array_distinct(F.filter(F.split(token, ""), lambda c: c != "")), F.lit(0.0), lambda total, c: total + part(c))
 
 
 def luhn(token: Column) -> Column:
     """Whether the digits of a number of 13 to 19 digits end with the right check digit."""
-    digits = F.filter(F.split(F.regexp_replace(token, "[^0-9]", ""), ""), lambda c: c != "")
+    def weighted(digits: Column, i: Column) -> Column:
+        digit = F.substring(digits, i, F.lit(1)).cast("int")
+        twice = digit * 2
+        return F.when((F.length(digits) - i) % 2 == 1, F.when(twice > 9, twice - 9).otherwise(twice)).otherwise(digit)
 
-    def weighted(c: Column, i: Column) -> Column:
-        twice = c.cast("int") * 2
-        return F.when((F.size(digits) - i) % 2 == 0, F.when(twice > 9, twice - 9).otherwise(twice)).otherwise(c.cast("int"))
+    def right(digits: Column) -> Column:
+        total = F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda t, i: t + weighted(digits, i))
+        # Numbers of other lengths are not added up.
+        return F.length(digits).between(13, 19) & ~digits.rlike("^0+$") & (total % 10 == 0)
 
-    total = F.aggregate(F.transform(digits, weighted), F.lit(0), lambda t, x: t + x)
-    return F.size(digits).between(13, 19) & (total % 10 == 0) & ~F.regexp_replace(token, "[^0-9]", "").rlike("^0+$")
+    # A one-element array binds the digits, so they are found once.
+    return F.transform(F.array(F.regexp_replace(token, "[^0-9]", "")), right)[0]
 
 
 def account_check(token: Column) -> Column:
@@ -80,12 +83,15 @@ def secret_tokens(files: DataFrame) -> DataFrame:
     """`(repo_id, path, kind, position, token)`: tokens of a text that pass the test of their kind.
 
     Random hexadecimal and mixed strings have the entropy of keys; card numbers pass the Luhn test, international account numbers the
-    remainder of 97. A token may be of several kinds. Texts without a candidate are not folded. A null text has none.
+    remainder of 97. A token may be of several kinds. Texts without a candidate are not folded. A null text has none. The texts with one are
+    dealt to all tasks, as the tests cost far more than reading them.
     """
     none = F.array().cast("array<struct<token: string, position: int>>")
     value = F.col("content")
     parts = [_of_kind(kind, F.when(value.rlike(regex), _placed(value, regex)).otherwise(none)) for kind, regex in CANDIDATES.items()]
-    rows = unfold(files.select("repo_id", "path", "content"), ["repo_id", "path"], F.concat(*parts), "found")
+    candidate = "|".join(f"(?:{regex})" for regex in CANDIDATES.values())
+    texts = spread(files.select("repo_id", "path", "content").filter(value.rlike(candidate)))
+    rows = unfold(texts, ["repo_id", "path"], F.concat(*parts), "found")
     return rows.select("repo_id", "path", "found.kind", F.col("found.position").cast("bigint").alias("position"), "found.token")
 
 

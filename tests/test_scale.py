@@ -1,0 +1,90 @@
+"""Steps whose cost must follow the input: one reading of texts, one shuffle of rows, work on every task."""
+
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from repoquarry.operators import dependencies, secrets, stored_index
+from repoquarry.operators.skew import paged_lists
+from repoquarry.streaming import change_counts
+from repoquarry.workload.views import Inputs
+
+
+def one_split(spark, rows, schema):
+    return spark.createDataFrame(rows, schema).coalesce(1)
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 5])
+def test_blocks_of_index(spark, tmp_path, limit):
+    rows = [("r", f"p{i:03}", "word " * (i % 4 + 1) + f"only{i} x") for i in range(40)] + [("s", "q", "x word"), ("s", "null", None), (None, "lost", "word")]
+    place = str(tmp_path / "index")
+    stored_index.store_index(one_split(spark, rows, "repo_id string, path string, content string"), place, block=8, rows_per_group=limit)
+    found = spark.read.parquet(f"{place}/postings").filter("term = 'word'").orderBy("repo_id", "block").collect()
+    assert [(r.repo_id, r.block, r.docs, r.max_tf) for r in found] == [("r", 0, 8, 4), ("r", 1, 8, 4), ("r", 2, 8, 3), ("r", 3, 8, 2), ("r", 4, 8, 1), ("s", 0, 1, 1)]
+    order = sorted(range(40), key=lambda i: (-(i % 4 + 1), i))
+    assert [p for r in found[:5] for p in r.paths] == [f"p{i:03}" for i in order]
+    assert [len(p) for r in found[:5] for p in r.positions] == [tf for r in found[:5] for tf in r.tfs] == [i % 4 + 1 for i in order]
+    assert found[5].positions == [[1]]
+
+
+def test_packing_goes_on_over_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored_index, "_ROWS", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        rows = [("r", f"p{i:03}", "a b" if i % 2 else "b") for i in range(30)]
+        stored_index.store_index(one_split(spark, rows, "repo_id string, path string, content string"), str(tmp_path / "i"), block=4)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = {(r.term, r.block): r.docs for r in spark.read.parquet(str(tmp_path / "i/postings")).collect()}
+    assert found == {("a", b): 4 if b < 3 else 3 for b in range(4)} | {("b", b): 4 if b < 7 else 2 for b in range(8)}
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 4])
+def test_pages_of_large_and_small_groups(spark, limit):
+    rows = [("a", i % 7, i) for i in range(7)] + [("b", 1, 1), ("b", 1, 1), (None, 3, 1), (None, 2, 1), (None, 1, 1)]
+    df = spark.createDataFrame(rows, "k string, o long, v long")
+    paged = paged_lists(df, ["k"], ["o", "v"], F.struct("v", "o"), 2, "listed", rows_per_group=limit)
+    found = {(r.k, r.page): (r.pages, [tuple(v) for v in r.listed]) for r in paged.collect()}
+    assert found == {
+        ("a", 0): (4, [(0, 0), (1, 1)]), ("a", 1): (4, [(2, 2), (3, 3)]), ("a", 2): (4, [(4, 4), (5, 5)]), ("a", 3): (4, [(6, 6)]),
+        ("b", 0): (1, [(1, 1), (1, 1)]), (None, 0): (1, [(1, 1), (1, 2), (1, 3)]),
+    }
+
+
+def test_pages_shuffle_rows_once(spark):
+    df = spark.range(100).selectExpr("id % 9 as k", "id as o")
+    paged = paged_lists(df, ["k"], ["o"], F.col("o"), 3, "listed")
+    assert paged._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_expensive_texts_reach_every_task(spark):
+    files = one_split(spark, [("r", f"d/m{i}.py", f"import a{i}") for i in range(40)], "repo_id string, path string, content string")
+    assert dependencies.import_edges(files).rdd.getNumPartitions() > 1
+    numbers = files.select("repo_id", "path", F.lit("card 4111111111111111 or 4111111111111112, 0000000000000000").alias("content"))
+    found = secrets.secret_tokens(numbers)
+    assert found.rdd.getNumPartitions() > 1
+    assert found.count() == 40 and found.distinct().count() == 40
+
+
+def test_files_need_no_join(spark):
+    t = Inputs(spark, "/root/testdata/sf0.001")
+    assert "Join" not in t.files._jdf.queryExecution().optimizedPlan().toString()
+    assert t.files.select("repo_id", "path", "blob").exceptAll(t.documents.join(t.paths, F.col("i") == F.col("doc_id")).select("lang", "path", F.md5("text"))).isEmpty()
+
+
+def test_keys_share_states(spark, tmp_path):
+    """More keys than states; missing and large keys stay what they are, and each goes idle by itself."""
+    schema, big = "k long, s string, id long, ts timestamp", 2**62 + 1
+    at = lambda day, h=0: datetime(2024, 1, day, h)
+    first = [(big, "x", 1, at(1)), (big, "x", 10, at(1)), (None, "x", 3, at(1, 1)), (None, None, 4, at(2))] + [(i, "y", 100 + i, at(3)) for i in range(20)]
+    spark.createDataFrame(first, schema).coalesce(1).write.parquet(str(tmp_path / "in/a"))
+    spark.createDataFrame([(None, None, 7, at(25)), (0, "y", 8, at(24))], schema).coalesce(1).write.parquet(str(tmp_path / "in/b"))
+    stream = change_counts.read_stream(spark, str(tmp_path / "in/*"), schema, maxFilesPerTrigger="1")
+    rows = change_counts.newest_changes(stream, ["k", "s"], "id", change="id", idle_days=10, buckets=3)
+    change_counts.run_newest(rows, ["k", "s"], str(tmp_path / "table"), str(tmp_path / "checkpoint"))
+    table = change_counts.UpsertTable(spark, str(tmp_path / "table"), ["k", "s"], change_counts.by_hash(["k", "s"]))
+    found = {(r.k, r.s): (r.change_count, r.last_change, r.idle) for r in table.read().collect()}
+    assert found[(big, "x")] == (2, "10", True) and found[(None, "x")] == (1, "3", True) and found[(7, "y")] == (1, "107", True)
+    assert found[(0, "y")][:2] == (2, "8") and not found[(0, "y")][2]
+    assert len(found) == 23

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from repoquarry.functions import paths, text
 from repoquarry.functions.rows import unfold
 from repoquarry.operators.modules import file_edges
+from repoquarry.operators.skew import spread
 from repoquarry.session import cut_lineage
 
 _ENTRY = "array<struct<package: string, version: string>>"
@@ -271,9 +272,11 @@ def _imports(language: Column, content: Column) -> Column:
 def import_edges(files: DataFrame, with_ignored: bool = False) -> DataFrame:
     """`(repo_id, path, language, module)`: modules each source file names in its import statements.
 
-    For `from pkg import name` both `pkg` and `pkg.name` are given, as either may be the module.
+    For `from pkg import name` both `pkg` and `pkg.name` are given, as either may be the module. Texts are dealt to all tasks, as their
+    expressions cost far more than reading them.
     """
-    sources = _visible(files, with_ignored).withColumn("language", paths.language_of("path")).filter("language is not null")
+    known = _visible(files, with_ignored).filter(paths.language_of("path").isNotNull())
+    sources = spread(known.select("repo_id", "path", "content")).withColumn("language", paths.language_of("path"))
     modules = _imports(F.col("language"), text.unix_lines("content"))
     return unfold(sources, ["repo_id", "path", "language"], modules, "module")
 

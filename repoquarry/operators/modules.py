@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from repoquarry.functions import paths, text
 from repoquarry.functions.rows import unfold
+from repoquarry.operators.skew import spread
 from repoquarry.session import cut_lineage
 
 SCRIPTS = ["JavaScript", "TypeScript", "JSX", "TSX", "Vue"]
@@ -210,7 +211,8 @@ def file_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
     # Both are narrow and read several times; contents are read once for each of them.
     named = cut_lineage(edges.select("repo_id", F.col("path").alias("src"), "language", "module"))
     declared = cut_lineage(_declared(visible))
-    sources = visible.select("repo_id", F.col("path").alias("dst"))
+    # Paths are dealt to all tasks, as listing their ends costs far more than reading them.
+    sources = cut_lineage(spread(visible.select("repo_id", F.col("path").alias("dst"))))
     asked = unfold(named, ["repo_id", "src", "module"], _asked(F.col("language"), F.col("src"), F.col("module")), "asked").select("repo_id", "src", "module", "asked.*")
 
     crates = _roots(declared, "crate")

@@ -11,6 +11,7 @@ import bisect
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -21,14 +22,15 @@ from pyspark.sql import types as T
 
 from repoquarry.llm.sentence_pieces import model_bytes
 from repoquarry.llm.tables import map_arrow, written
-from repoquarry.llm.texts import filled, gather, slices, words
+from repoquarry.llm.texts import SPACES, buffers, distinct, filled, gather, runs, slices
 
 _KNOWN: dict[int, dict[bytes, bytes]] = {}
 MAX_KNOWN_WORDS = 300_000
 """Words a Python worker remembers of a tokenizer from slice to slice. Words beyond are encoded once in each slice."""
 
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+_IS_MARK = np.zeros(256, bool)
+_IS_MARK[list(_MARKS)] = True
 _BETWEEN = "\x01"
 _AT_ONCE = 2000
 
@@ -36,7 +38,7 @@ _AT_ONCE = 2000
 class WordEncoder:
     """A tokenizer that drops white space and case, so that words are encoded independently: each distinct word once.
 
-    Marks behind a word that ends with a letter are a token sequence of their own, so words are kept without them. Unknown words are
+    Marks behind a word that ends with a letter are a token sequence of their own, so they count as a word, and case is dropped, before distinct words are looked for. Unknown words are
     given to the library many at a time, with a mark between them that no word holds.
     """
 
@@ -69,29 +71,43 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text begins."""
-        found = words(filled(texts))
+        data, offsets = buffers(filled(texts))
+        data, begins, ends = self._units(data, *runs(~SPACES[data], offsets))
+        codes, table = distinct(data, begins, ends)
+        table = table.to_pylist()
         known = self.known
-        table = found.table.to_pylist()
-        per_word = [known.get(w) for w in table]
+        is_word = np.bincount(codes, minlength=len(table)) > 0  # not what lies between words
+        per_word = [known.get(w) if there else b"" for w, there in zip(table, is_word.tolist(), strict=True)]
         missing = [i for i, ids in enumerate(per_word) if ids is None]
-        parts: list[tuple[bytes, bytes]] = []
-        for word in map(table.__getitem__, missing):
-            low = word.lower()
-            core = low.rstrip(_MARKS)
-            if b"<|" in word:  # may hold a special token, which case and marks are part of
-                parts.append((word, b""))
-            else:
-                parts.append((core, low[len(core) :]) if core and core[-1] in _LETTERS else (low, b""))
-        fresh = self._encode_words(list({p for pair in parts for p in pair if p and p not in known})) | {b"": b""}
-        for i, (core, marks) in zip(missing, parts, strict=True):
-            per_word[i] = (known[core] if core in known else fresh[core]) + (known[marks] if marks in known else fresh[marks])
+        fresh = self._encode_words([table[i] for i in missing])
+        for i in missing:
+            per_word[i] = fresh[table[i]]
         if len(known) < MAX_KNOWN_WORDS:
-            again = np.bincount(found.codes, minlength=len(table)) > 1
-            fresh.update((table[i], per_word[i]) for i in missing if again[i])
-            known.update(list(fresh.items())[: MAX_KNOWN_WORDS - len(known)])
+            known.update(islice(fresh.items(), MAX_KNOWN_WORDS - len(known)))
         sizes = np.concatenate(([0], np.cumsum([len(b) >> 2 for b in per_word]))).astype(np.int64)
-        flat, at = gather(np.frombuffer(b"".join(per_word), np.uint32), sizes, found.codes)
-        return flat, at[found.offsets]
+        flat, at = gather(np.frombuffer(b"".join(per_word), np.uint32), sizes, codes)
+        return flat, at[np.searchsorted(begins, offsets)]
+
+    @staticmethod
+    def _units(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes in lower case, and the words with the marks behind a letter cut off as words of their own."""
+        low = data + (((data >= 65) & (data <= 90)) * np.uint8(32)).astype(np.uint8)
+        last = np.maximum.accumulate(np.where(_IS_MARK[low], np.int32(-1), np.arange(len(low), dtype=np.int32)))
+        cut = last[ends - 1] + 1
+        letter = (low[cut - 1] >= 97) & (low[cut - 1] <= 122)
+        cut = np.where((cut > begins) & letter, cut, ends)
+        # These may hold a special token, which case and marks are part of.
+        at = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+        word = np.searchsorted(begins, at, side="right") - 1
+        for i in np.unique(word[at + 2 <= ends[word]]).tolist():
+            low[begins[i] : ends[i]] = data[begins[i] : ends[i]]
+            cut[i] = ends[i]
+        split = cut < ends
+        place = np.arange(len(begins)) + np.cumsum(split) - split
+        unit_begins, unit_ends = (np.empty(len(begins) + int(split.sum()), np.int64) for _ in range(2))
+        unit_begins[place], unit_ends[place] = begins, cut
+        unit_begins[place[split] + 1], unit_ends[place[split] + 1] = cut[split], ends[split]
+        return low, unit_begins, unit_ends
 
 
 def token_pieces(

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -52,6 +53,16 @@ def test_words_of_any_text(texts):
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_are_remembered_without_case_and_marks():
+    encoder = packing.WordEncoder(sentence_pieces.model_bytes(WORDS))
+    encoder.known = {}
+    texts = ["Quark, QUARK, quark! quark", "<|Quark, <|Quark,", None]
+    flat, bounds = encoder.encode(pa.array(texts))
+    assert set(encoder.known) == {b"quark", b",", b"!", b"<|Quark,"}
+    whole = Tokenizer.from_str(sentence_pieces.model_bytes(WORDS).decode())
+    assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_op1_on_a_table(spark, tmp_path, odd):
     odd.write.parquet(f"{tmp_path}/documents.parquet")
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)

@@ -2,14 +2,16 @@
 
 A shard holds the words of some documents of one language as ids, with a separator between pieces. Its forward and its backward BWT
 are kept together: every phrase is a pair of intervals, the right neighbours of a phrase are the symbols its backward interval spans,
-and extending by one of them gives both intervals of the longer phrase. Counts of a shard are interval sizes; they are summed over all
-shards, packed by parts of all phrases so that what is shuffled is a few bytes for each. The depth grows by one word a round: a phrase of d words is extended only where its first and its last d - 1 words are
-frequent in the whole language, so nothing rare is shuffled beyond its pairs and nothing frequent is missed. Words outside every
-frequent phrase become separators, so the indexes shrink from round to round.
+and extending by one of them gives both intervals of the longer phrase. Counts of a shard are interval sizes and are summed over all
+shards in two steps: first the counts of cells that phrases fall into by a hash, about a byte for each, then those of the phrases in cells that
+are frequent; a phrase occurs no more often than its cell, so none is missed. The depth grows by one word a round: a phrase of d words
+is extended only where its first and its last d - 1 words are frequent in the whole language. Words outside every frequent phrase
+become separators, so the indexes shrink from round to round.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -29,17 +31,21 @@ from repoquarry.operators.skew import first_rows
 UNKNOWN = "und"
 SHARD_BYTES = 4_000_000
 """Text of one language that makes a shard; a task gives out all it holds back when that is twice as much."""
-PART_PHRASES = 1_000_000
-"""Phrases of all shards, at most one for each word, that a task sums at once."""
+PART_PHRASES = 4_000_000
+"""Occurrences of phrases, in all shards, whose counts a task sums at once."""
+CELLS = 8
+"""Cells for each phrase that could be frequent at most: so no more than one cell in eight is (a least count below 16 counts as 16)."""
 
 _BLANKS = np.zeros(256, bool)
 _BLANKS[[0x20, 0x09]] = True
 _BREAKS = np.zeros(256, bool)
 _BREAKS[list(b".,;:!?\n\v\f\r")] = True
 
-_STATE = "shard bigint, lang string, words int, symbols binary, marks binary, part int, start int, size int, packed binary"
+_STATE = "shard bigint, lang string, words int, symbols binary, marks binary, size int, packed binary, total bigint"
+_CELLS = "part int, shard bigint, size int, packed binary"
+_LISTED = "part int, shard bigint, lang string, size int, packed binary"
 _NAMED = "shard bigint, size int, packed binary, lang string, gids array<bigint>, first array<bigint>, rest array<bigint>, counts array<bigint>"
-_WORDS = "shard bigint, size int, packed binary, lang string, gids array<bigint>, words array<string>, counts array<bigint>, total bigint"
+_WORDS = "shard bigint, size int, packed binary, lang string, gids array<bigint>, words array<string>, counts array<bigint>"
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
 
 
@@ -155,21 +161,34 @@ def symbols_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return symbols, table
 
 
-def _packed_words(table: pa.Array, counts: np.ndarray) -> bytes:
+def _planes(numbers: np.ndarray) -> bytes:
+    """First the lowest bytes of all numbers, then the next ones, so that the high ones, mostly zero, take no room when packed."""
+    return numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: str, size: int, at: int = 0) -> np.ndarray:
+    if not size:
+        return np.zeros(0, kind)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, width * size, at).reshape(width, size).T).view(kind).reshape(size)
+
+
+def _packed_words(table: pa.Array, *columns: np.ndarray) -> bytes:
+    """Words and a whole number or more for each."""
     data, offsets = buffers(table)
-    whole = np.diff(offsets).astype("<i4").tobytes() + counts.astype("<i8").tobytes() + data.tobytes()
+    whole = b"".join([_planes(np.diff(offsets).astype("<i4")), *[_planes(c.astype("<i8")) for c in columns], data.tobytes()])
     return len(whole).to_bytes(8, "little") + pa.compress(whole, codec="zstd", asbytes=True)
 
 
-def _unpacked_words(packed: bytes, size: int) -> tuple[pa.Array, np.ndarray]:
+def _unpacked_words(packed: bytes, size: int, columns: int = 1) -> tuple[pa.Array, list[np.ndarray]]:
     whole = pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
-    offsets = np.concatenate(([0], np.cumsum(np.frombuffer(whole, "<i4", size)))).astype(np.int32)
-    words = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(offsets), pa.py_buffer(whole[12 * size :])])
-    return words, np.frombuffer(whole, "<i8", size, 4 * size)
+    offsets = np.concatenate(([0], np.cumsum(_from_planes(whole, "<i4", size)))).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(offsets), pa.py_buffer(whole[(4 + 8 * columns) * size :])])
+    return words, [_from_planes(whole, "<i8", size, (4 + 8 * k) * size) for k in range(columns)]
 
 
-def _shards(docs: DataFrame, text: str, lang: str, parts: int) -> DataFrame:
-    """Shards of the documents of one language, made inside each task: a row with the text and rows that pack its words by part."""
+def _shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """Shards of the documents of one language, made inside each task: the text and its words, the most frequent first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[pa.Array]] = {}
@@ -183,15 +202,12 @@ def _shards(docs: DataFrame, text: str, lang: str, parts: int) -> DataFrame:
                 sizes.pop(name)
                 symbols, table = symbols_of(pa.concat_arrays(held.pop(name)))
                 counts = np.bincount(symbols, minlength=len(table) + 1)[1:]
-                part = (np.array([xxhash.xxh3_64_intdigest(w) for w in table.to_pylist()], np.uint64) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                table, counts, part = table.take(pa.array(order)), counts[order], part[order]
+                order = np.argsort(-counts, kind="stable")
+                table, counts = table.take(pa.array(order)), counts[order]
                 number = np.concatenate(([0], np.argsort(order) + 1))
-                own = {"shard": (task << 32) + made, "lang": name}
+                packed = {"size": len(table), "packed": _packed_words(table, counts), "total": int(counts.sum())}
+                yield _row(_STATE, shard=(task << 32) + made, lang=name, words=len(symbols), symbols=_plain(number[symbols]), **packed)
                 made += 1
-                yield _row(_STATE, **own, words=len(symbols), symbols=_plain(number[symbols]))
-                for a, b in _runs(part):
-                    yield _row(_STATE, **own, part=int(part[a]), start=a, size=b - a, packed=_packed_words(table.slice(a, b - a), counts[a:b]))
 
         for batch in slices(batches, text, SHARD_BYTES):
             names = batch.column(lang).fill_null(UNKNOWN).dictionary_encode()
@@ -210,9 +226,96 @@ def _shards(docs: DataFrame, text: str, lang: str, parts: int) -> DataFrame:
     return map_arrow(docs.select(F.col(text), F.col(lang).cast("string")), run, _STATE)
 
 
+def _listed(row: dict, length: int) -> tuple[pa.Array | list[np.ndarray], np.ndarray, np.ndarray]:
+    """The words or the phrases (both names) of a shard, how often each occurs there, and a hash of each."""
+    if length == 1:
+        words, (counts,) = _unpacked_words(row["packed"], row["size"])
+        seed = zlib.crc32(row["lang"].encode())
+        return words, counts, np.array([xxhash.xxh3_64_intdigest(w, seed) for w in words.to_pylist()], np.uint64)
+    first, rest, counts = _expanded(row["packed"], row["size"], 3)
+    with np.errstate(over="ignore"):
+        return [first, rest], np.diff(counts, prepend=0), mix(first.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rest.view(np.uint64))
+
+
+def _parts(known: DataFrame) -> int:
+    return max(1, -(-(known.agg(F.sum("total")).first()[0] or 0) // PART_PHRASES))
+
+
+def _likely(known: DataFrame, length: int, min_count: int, parts: int) -> DataFrame:
+    """The entries of all shards, packed by part, of phrases whose cell occurs `min_count` times: `(part, shard, lang, size, packed)`.
+
+    A part is a run of cells. Shards send the counts of their cells to the task of the part, which answers every shard with a bit for each
+    cell it sent; these pick what is sent whole. Entries are the numbers of the phrases in their shard and what `_listed` gives.
+    """
+    listed = known.filter("size > 0").select("shard", "lang", "size", "packed")
+    width = CELLS * PART_PHRASES // max(min_count, 16)
+
+    def cells_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+        """Different cells in order, that of each phrase among them, and the runs of one part."""
+        cells, cell_at = np.unique(hashes % np.uint64(parts * width), return_inverse=True)
+        cells = cells.astype(np.int64)
+        return cells, cell_at, _runs(cells // width)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, counts, hashes = _listed(row, length)
+                cells, cell_at, spans = cells_of(hashes)
+                sums = np.minimum(np.bincount(cell_at, counts), min_count).astype(np.int64)  # less than 2^53
+                place = cells % width
+                rows = [
+                    _row(_CELLS, part=int(cells[a] // width), shard=row["shard"], size=b - a, packed=_squeezed(place[a:b], np.cumsum(sums[a:b])))
+                    for a, b in spans
+                ]
+                yield from pa.Table.from_batches(rows).combine_chunks().to_batches()
+
+    def answer(key: tuple, table: pa.Table) -> pa.Table:
+        sums, rows = np.zeros(width, np.int64), []
+        sent = [table.column(c).to_pylist() for c in ("shard", "size", "packed")]
+        for _, size, packed in zip(*sent, strict=True):
+            place, counts = _expanded(packed, size, 2)
+            sums[place] += np.diff(counts, prepend=0)
+        often = sums >= min_count
+        for shard, size, packed in zip(*sent, strict=True):
+            bits = often[_expanded(packed, size, 2)[0]]
+            if bits.any():
+                rows.append(_row(_CELLS, part=key[0].as_py(), shard=shard, size=size, packed=pa.compress(np.packbits(bits).tobytes(), codec="zstd", asbytes=True)))
+        return pa.Table.from_batches(rows or [_row(_CELLS).slice(0, 0)]).combine_chunks()
+
+    def pick(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        if left.num_rows and right.num_rows:
+            row = left.to_pylist()[0]
+            values, counts, hashes = _listed(row, length)
+            cells, cell_at, spans = cells_of(hashes)
+            span_of = {int(cells[a] // width): (a, b) for a, b in spans}
+            often = np.zeros(len(cells), bool)
+            for got in right.to_pylist():
+                a, b = span_of[got["part"]]
+                bits = pa.decompress(got["packed"], decompressed_size=-(-got["size"] // 8), codec="zstd", asbytes=True)
+                often[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
+            node = np.flatnonzero(often[cell_at])
+            part = cells[cell_at[node]] // width
+            order = np.argsort(part, kind="stable")
+            node, part = node[order], part[order]
+            for a, b in _runs(part):
+                at = node[a:b]
+                if length == 1:
+                    packed = _packed_words(values.take(pa.array(at)), at, counts[at])
+                else:
+                    packed = _squeezed(at, values[0][at], values[1][at], np.cumsum(counts[at]))
+                rows.append(_row(_LISTED, part=int(part[a]), shard=row["shard"], lang=row["lang"], size=b - a, packed=packed))
+        result = pa.Table.from_batches(rows or [_row(_LISTED).slice(0, 0)]).combine_chunks()
+        give_back()
+        return result
+
+    answers = map_arrow(listed, count, _CELLS).groupBy("part").applyInArrow(answer, _CELLS).withColumnRenamed("shard", "_shard")
+    return listed.groupBy("shard").cogroup(answers.groupBy("_shard")).applyInArrow(pick, _LISTED)
+
+
 def _frequent_words(entries: DataFrame, min_count: int, parts: int) -> DataFrame:
     """Sums of the words of all shards, part by part: rows with a shard name its frequent words (packed nodes and names), those without
-    list the frequent words of a language and count all its words. More frequent words have smaller names, so phrases pack closer."""
+    list the frequent words of a language. More frequent words have smaller names, so phrases pack closer."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         rows, taken = [], 0
@@ -220,20 +323,20 @@ def _frequent_words(entries: DataFrame, min_count: int, parts: int) -> DataFrame
         for lang in sorted(set(langs)):
             chosen = table.filter(pc.equal(table.column("lang"), lang))
             sizes = chosen.column("size").to_numpy()
-            lists = [_unpacked_words(p.as_py(), n) for p, n in zip(chosen.column("packed"), sizes.tolist(), strict=True)]
+            lists = [_unpacked_words(p.as_py(), n, 2) for p, n in zip(chosen.column("packed"), sizes.tolist(), strict=True)]
             coded = pa.concat_arrays([w for w, _ in lists]).dictionary_encode()
             codes = coded.indices.to_numpy()
             sums = np.zeros(len(coded.dictionary), np.int64)
-            np.add.at(sums, codes, np.concatenate([c for _, c in lists]))
+            np.add.at(sums, codes, np.concatenate([c for _, (_, c) in lists]))
             often = np.flatnonzero(sums >= min_count)
             often = often[np.argsort(-sums[often], kind="stable")]
             names = np.zeros(len(sums), np.int64)
             names[often] = (taken + np.arange(len(often))) * parts + key[0].as_py() + 1
             taken += len(often)
             words = coded.dictionary.take(pa.array(often)).cast(pa.string())
-            rows.append(_row(_WORDS, lang=lang, gids=names[often], words=words, counts=sums[often], total=int(sums.sum())))
+            rows.append(_row(_WORDS, lang=lang, gids=names[often], words=words, counts=sums[often]))
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            node = chosen.column("start").to_numpy()[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            node = np.concatenate([n for _, (n, _) in lists])
             name = names[codes]
             kept = name > 0
             owner, node, name = owner[kept], node[kept], name[kept]
@@ -259,22 +362,25 @@ def narrowed(symbols: np.ndarray, labels: np.ndarray, width: int) -> tuple[np.nd
 
 
 def _squeezed(*columns: np.ndarray) -> bytes:
-    """Whole numbers as the differences to the one before; names come in order, so a phrase takes a few bytes."""
-    return pa.compress(b"".join(np.diff(c, prepend=0).astype("<i8").tobytes() for c in columns), codec="zstd", asbytes=True)
+    """Whole numbers as the differences to the one before, small ones either way of zero in few bytes."""
+    steps = [np.diff(c.astype(np.int64), prepend=0) for c in columns]
+    return pa.compress(b"".join(_planes(((d << 1) ^ (d >> 63)).astype("<i8")) for d in steps), codec="zstd", asbytes=True)
 
 
 def _expanded(packed: bytes, size: int, columns: int) -> list[np.ndarray]:
-    data = pa.decompress(packed, decompressed_size=8 * columns * size, codec="zstd") if size else b""
-    return list(np.cumsum(np.frombuffer(data, "<i8").reshape(columns, size), axis=1))
+    data = pa.decompress(packed, decompressed_size=8 * columns * size, codec="zstd", asbytes=True) if size else b""
+    folded = [_from_planes(data, "<u8", size, 8 * k * size) for k in range(columns)]
+    return [np.cumsum((f >> np.uint64(1)).view(np.int64) ^ -(f & np.uint64(1)).view(np.int64)) for f in folded]
 
 
 def _plain(numbers: np.ndarray) -> bytes:
-    """32-bit numbers in no order."""
-    return pa.compress(numbers.astype("<i4").tobytes(), codec="zstd", asbytes=True)
+    """32-bit numbers from -1 in no order."""
+    return pa.compress(_planes((numbers + 1).astype("<u4")), codec="zstd", asbytes=True)
 
 
 def _numbers(packed: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(packed, decompressed_size=4 * size, codec="zstd") if size else b"", "<i4")
+    data = pa.decompress(packed, decompressed_size=4 * size, codec="zstd", asbytes=True) if size else b""
+    return _from_planes(data, "<u4", size).astype(np.int64) - 1
 
 
 def _runs(numbers: np.ndarray) -> list[tuple[int, int]]:
@@ -283,36 +389,44 @@ def _runs(numbers: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(begins, [*begins[1:], len(numbers)][: len(begins)], strict=True))
 
 
-def _longer(state: DataFrame, found: DataFrame, length: int, parts: int) -> DataFrame:
+def pair_numbers(symbols: np.ndarray) -> np.ndarray:
+    """For each word the number of the pair that begins there among all different ones in order; -1 where none does."""
+    numbers = np.full(len(symbols), -1, np.int64)
+    at = np.flatnonzero((symbols[:-1] > 0) & (symbols[1:] > 0))
+    numbers[at] = np.unique(symbols[at].astype(np.int64) * (int(symbols.max(initial=0)) + 1) + symbols[at + 1], return_inverse=True)[1]
+    return numbers
+
+
+def _longer(state: DataFrame, found: DataFrame, length: int) -> DataFrame:
     """What every shard knows after phrases of `length` words have been counted in it.
 
-    `found(shard, size, packed)` names the phrases of one word less that are frequent in the language. A row without a part is the state of
-    the shard: its text, and for each word the number (node) of the phrase that begins there; no marks stand for those of words. The other
-    rows pack the phrases of one part, from node `start` on: the names of the phrase without its last and without its first word,
-    and how often it occurs here.
+    `found(shard, size, packed)` names the phrases of one word less that are frequent in the language. The state of a shard is its text and, for each
+    word, the number (node) of the phrase that begins there; marks of words and of pairs follow from the text and are not kept. The
+    phrases are packed in order: the names of the phrase without its last and without its first word, and how often it occurs here.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if left.num_rows:
             n = left.column("words")[0].as_py()
-            symbols, marks = (_numbers(m.as_py(), n) if (m := left.column(c)[0]).is_valid else None for c in ("symbols", "marks"))
-            marks = symbols - 1 if marks is None else marks
+            symbols = _numbers(left.column("symbols")[0].as_py(), n)
+            if length == 2:
+                marks = symbols - 1
+            else:
+                marks = pair_numbers(symbols) if length == 3 else _numbers(left.column("marks")[0].as_py(), n)
             names = np.zeros(int(marks.max(initial=-1)) + 2, np.int64)  # the last one: no phrase
             for size, packed in zip(right.column("size"), right.column("packed"), strict=True):
                 node, name = _expanded(packed.as_py(), size.as_py(), 2)
                 names[node] = name
-            symbols, labels = narrowed(symbols, names[marks], length - 1)
+            # Words are numbered in the order of their names from the first round on, so pairs come in the order of both names.
+            symbols, labels = narrowed(names[marks] if length == 2 else symbols, names[marks], length - 1)
             marked, first, rest, counts = count_longer(symbols, labels, length)
-            with np.errstate(over="ignore"):
-                part = mix(first.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rest.view(np.uint64)) % np.uint64(parts)
-            order = np.lexsort((rest, first, part))
-            first, rest, counts, part = (values[order] for values in (first, rest, counts, part))
-            new_number = np.append(np.argsort(order), -1)
+            order = np.lexsort((rest, first))
+            first, rest, counts = (values[order] for values in (first, rest, counts))
+            marks = None if length == 2 else _plain(np.append(np.argsort(order), -1)[marked])
             own = {"shard": left.column("shard")[0].as_py(), "lang": left.column("lang")[0].as_py()}
-            rows.append(_row(_STATE, **own, words=len(symbols), symbols=_plain(symbols), marks=_plain(new_number[marked])))
-            for a, b in _runs(part.astype(np.int64)):
-                rows.append(_row(_STATE, **own, part=int(part[a]), start=a, size=b - a, packed=_squeezed(first[a:b], rest[a:b], counts[a:b])))
+            packed = {"size": len(first), "packed": _squeezed(first, rest, np.cumsum(counts)), "total": int(counts.sum())}
+            rows.append(_row(_STATE, **own, words=len(symbols), symbols=_plain(symbols), marks=marks, **packed))
         result = pa.Table.from_batches(rows or [_row(_STATE).slice(0, 0)]).combine_chunks()
         give_back()
         return result
@@ -347,11 +461,10 @@ def _frequent(entries: DataFrame, min_count: int) -> DataFrame:
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         sizes = table.column("size").to_numpy()
-        lists = [_expanded(p.as_py(), n, 3) for p, n in zip(table.column("packed"), sizes.tolist(), strict=True)]
-        first, rest, counts = (np.concatenate(c) for c in zip(*lists, strict=True))
+        lists = [_expanded(p.as_py(), n, 4) for p, n in zip(table.column("packed"), sizes.tolist(), strict=True)]
+        node, first, rest, counts = (np.concatenate(c) for c in zip(*[(n, f, r, np.diff(c, prepend=0)) for n, f, r, c in lists], strict=True))
         del lists
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        node = table.column("start").to_numpy()[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         order = np.lexsort((rest, first))
         first, rest, owner, node = first[order], rest[order], owner[order], node[order]
         begins = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (rest[1:] != rest[:-1]))))
@@ -383,30 +496,24 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", mi
 
     Phrases: `(lang, words, prefixes, suffixes, f, inside)`; `prefixes[k]` and `suffixes[k]` count the first and the last k + 1 words, and
     `inside` says that a phrase one word longer occurs just as often. Totals: `(lang, n)`. A null text is empty, a null language `und`.
-    A frequent word or phrase is one row per shard before its sum.
+    Only words and phrases in frequent cells are sent to be summed.
     """
     with scratch(docs.sparkSession):
-        buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        shards = kept_apart(_shards(docs, text, lang, buckets), "phrase-shards", "shard")
-        packed = shards.filter("part is not null").select("shard", "lang", "part", "start", "size", "packed")
-        words = written(_frequent_words(packed, min_count, buckets), "phrase-words")
-        totals = written(words.filter("shard is null").groupBy("lang").agg(F.sum("total").alias("n")).filter("n > 0"), "phrase-totals", keep=True)
-        parts = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // PART_PHRASES))
+        known = kept_apart(_shards(docs, text, lang), "phrase-shards", "shard")
+        totals = written(known.groupBy("lang").agg(F.sum("total").alias("n")).filter("n > 0"), "phrase-totals", keep=True)
+        parts = _parts(known)
+        words = written(_frequent_words(_likely(known, 1, min_count, parts), min_count, parts), "phrase-words")
         found = words.filter("shard is not null").select("shard", "size", "packed")
         entry = F.explode(F.arrays_zip("gids", "words", "counts")).alias("entry")
         grams = words.filter("shard is null").select("lang", entry).select("lang", F.col("entry.gids").alias("gid"), "entry.words", F.col("entry.counts").alias("f"))
-        state = shards.filter("part is null").select("shard", "lang", "words", "symbols", "marks")
         one = F.array("f")
         level = grams.select("gid", "lang", F.array("words").alias("words"), one.alias("prefixes"), one.alias("suffixes"), "f")
-        levels, before = [], [shards]
+        levels = []
         for length in range(2, longest + 1):
-            known = kept_apart(_longer(state, found, length, parts), f"phrase-state-{length}", "shard")
-            state = known.filter("part is null").select("shard", "lang", "words", "symbols", "marks")
-            listed = known.filter("part is not null").select("shard", "lang", "part", "start", "size", "packed")
-            sums = written(_frequent(listed, min_count), f"phrase-sums-{length}")
-            for table in before:
-                discard(table)
-            before = [known, sums]
+            state = known.select("shard", "lang", "words", "symbols", "marks")
+            before, known = known, kept_apart(_longer(state, found, length), f"phrase-state-{length}", "shard")
+            discard(before)
+            sums = written(_frequent(_likely(known, length, min_count, _parts(known)), min_count), f"phrase-sums-{length}")
             found = sums.filter("shard is not null").select("shard", "size", "packed")
             entry = F.explode(F.arrays_zip("gids", "first", "rest", "counts")).alias("entry")
             of_lang = sums.filter("shard is null").select("lang", entry)

@@ -58,6 +58,18 @@ def test_collocations_equal_brute_force(spark, least, longest, top):
     assert found and found == collocations_by_hand(rows, least, longest, top)
 
 
+def test_rare_phrases_are_not_sent_to_be_summed(spark, monkeypatch):
+    """Of pairs that occur once, at most those that share a cell with others are sent whole; what is frequent is counted in full."""
+    sent, summed = [], phrases._frequent
+    monkeypatch.setattr(phrases, "_frequent", lambda entries, *a: sent.append(sum(r[0] for r in entries.select("size").collect())) or summed(entries, *a))
+    names = [f"w{i}" for i in range(60)]
+    rows = [("en", f"{a} {b}.") for a in names for b in names] + [("en", "new york.")] * 60
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    found = [tuple(r) for r in phrases.collocations(docs, min_count=50, longest=2).collect()]
+    assert found == [("en", 1, "new york", 60, 60, 60, 7320, 1000 * 60 * 7320 // 3600)]
+    assert 1 <= sent[0] < 60 * 60 / 8
+
+
 def test_collocations_of_odd_documents(spark, odd, empty):
     found = sorted(tuple(r) for r in phrases.collocations(odd, min_count=2).collect())
     assert found == collocations_by_hand([("en", t) for _, t in ODD], 2, 5, 2000)

@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from repoquarry.operators import dependencies, secrets, stored_index
+from repoquarry.operators import dependencies, renames, secrets, stored_index
 from repoquarry.operators.skew import paged_lists
 from repoquarry.streaming import change_counts
 from repoquarry.workload.views import Inputs
@@ -88,3 +88,34 @@ def test_keys_share_states(spark, tmp_path):
     assert found[(big, "x")] == (2, "10", True) and found[(None, "x")] == (1, "3", True) and found[(7, "y")] == (1, "107", True)
     assert found[(0, "y")][:2] == (2, "8") and not found[(0, "y")][2]
     assert len(found) == 23
+
+
+@pytest.mark.parametrize("rows_in_walk", [100_000, 0])
+def test_copies_are_matched_in_few_rounds(spark, monkeypatch, rows_in_walk):
+    """Copies of near texts, one tie between texts that is not all with all, names that both sides have: rounds do not follow the number of copies."""
+    stored = []
+    monkeypatch.setattr(renames, "cut_lineage", lambda df, cut=renames.cut_lineage: stored.append(df) or cut(df))
+    body = "\n".join(f"line {i}" for i in range(20))
+    gone = [("r", f"a/{i % 7}/f{i}", body + f"\nend {i % 2}") for i in range(40)] + [("r", f"a/{i}/same", body) for i in range(3)] + [("s", "a/x", body)] * 2
+    new = [("r", f"b/{i % 5}/g{i}", body + f"\nfin {i % 2}") for i in range(30)] + [("r", f"b/{i}/same", body + "\nnew 1") for i in range(2)] + [("s", "b/x", body + "\n")]
+    gone += [("t", f"a/{i}", f"{body}\n{'one' if i % 2 else 'two'}\nold") for i in range(6)]
+    new += [("t", f"b/{i}", f"{body}\n{('one', 'two', 'six')[i % 3]}\nnew") for i in range(6)]
+    make = lambda rows: spark.createDataFrame(rows, "repo_id string, path string, content string")
+    pairs, files = renames.similar_texts(make(gone), make(new), 0.5)
+    assert pairs.filter("repo_id = 'r'").count() == 9
+    found = {(r.repo_id, r.new): (r.old, round(r.similarity, 6)) for r in renames.match_texts(pairs, files, rows_in_walk=rows_in_walk).collect()}
+    assert len(stored) < 60
+    every = []
+    for repo in ("r", "t"):
+        weights = lambda text: {line: len(line) + 1 for line in text.split("\n")}
+        for _, p, a in (g for g in gone if g[0] == repo):
+            for _, q, b in (n for n in new if n[0] == repo):
+                common = sum(w for line, w in weights(a).items() if line in weights(b))
+                every.append((-common / max(len(a) + 1, len(b) + 1), p.split("/")[-1] != q.split("/")[-1], p, q, repo))
+    expected, used = {}, set()
+    for far, _, p, q, repo in sorted(every):
+        if (repo, p) not in used and (repo, q) not in used:
+            used |= {(repo, p), (repo, q)}
+            expected[repo, q] = (p, round(-far, 6))
+    assert {k: v for k, v in found.items() if k[0] != "s"} == expected
+    assert found["s", "b/x"][0] == "a/x"

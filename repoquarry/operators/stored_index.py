@@ -19,17 +19,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repoquarry.functions.rows import unfold
+from repoquarry.operators import postings
 from repoquarry.operators.search import terms_of
-from repoquarry.operators.skew import first_rows, ordinals, spread, spread_join
-from repoquarry.session import cut_lineage, removed, ship, stored
+from repoquarry.operators.skew import first_rows, spread_join
+from repoquarry.session import cut_lineage, removed, ship
 
 BLOCK = 128
 BUCKETS = 64
 _DOCUMENTS = 500
 """Documents whose words are grouped at once."""
+_WORDS = 1_000_000
+"""Words whose postings are found together, about."""
 _ROWS = 20_000
-"""Postings packed at once."""
-_COLUMNS = ("repo_id", "term", "block", "docs", "max_tf", "paths", "tfs", "positions")
+"""Postings of blocks given out at once, about."""
+_PART = 16_000_000
+"""Bytes of texts whose postings a task merges, about."""
+_SAMPLE = 20_000
+"""Documents of a large repository that show its large terms."""
+_SLICES = -1
+"""Bucket of the slices of large terms, while they are not joined."""
 
 
 def _grouped(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -49,6 +57,11 @@ def _grouped(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("repo_id").take(rows), batch.column("path").take(rows), terms, positions], ["repo_id", "path", "term", "positions"])
 
 
+def _words(docs: DataFrame) -> DataFrame:
+    """`(repo_id, path, words)`: Spark splits the texts."""
+    return docs.select("repo_id", "path", F.coalesce(terms_of("content"), F.array().cast("array<string>")).alias("words"))
+
+
 def term_positions(docs: DataFrame) -> DataFrame:
     """`(repo_id, path, term, positions)` of `docs(repo_id, path, content)`; the first word has position 0.
 
@@ -61,7 +74,7 @@ def term_positions(docs: DataFrame) -> DataFrame:
                 yield _grouped(batch.slice(start, _DOCUMENTS))
 
     ship(docs.sparkSession)
-    words = docs.select("repo_id", "path", F.coalesce(terms_of("content"), F.array().cast("array<string>")).alias("words"))
+    words = _words(docs)
     kept = words.select("repo_id", "path").schema.fields
     return words.mapInArrow(run, T.StructType([*kept, T.StructField("term", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]))
 
@@ -70,88 +83,81 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def _packed(table: pa.Table, block: int) -> tuple[pa.RecordBatch, pa.Table]:
-    """Blocks of sorted postings, and those of the last term, which may go on."""
-    table = table.combine_chunks()
-    code = [table.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("repo_id", "term")]
-    new = np.flatnonzero(np.concatenate(([True], (np.diff(code[0]) != 0) | (np.diff(code[1]) != 0)))) if table.num_rows else np.zeros(0, np.int64)
-    if not len(new):
-        return _blocks_at(table, new, np.zeros(0, np.int64), 0), table
-    whole = int(new[-1])
-    sizes = np.diff(new)
-    counts = -(-sizes // block)
-    number = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    return _blocks_at(table, np.repeat(new[:-1], counts) + number * block, number, whole), table.slice(whole)
-
-
-def _blocks_at(table: pa.Table, begins: np.ndarray, number: np.ndarray, end: int) -> pa.RecordBatch:
-    column = lambda name: table.column(name).combine_chunks() if table.num_rows else pa.array([], table.schema.field(name).type)
-    at, offsets = pa.array(begins), pa.array(np.append(begins, end), pa.int32())
-    lists = lambda name: pa.ListArray.from_arrays(offsets, column(name))
-    docs, tf = pa.array(np.diff(np.append(begins, end)), pa.int64()), column("tf")
-    columns = [column("repo_id").take(at), column("term").take(at), pa.array(number, pa.int64()), docs, tf.take(at).cast(pa.int64()), lists("path"), lists("tf"), lists("positions")]
-    return pa.RecordBatch.from_arrays(columns, [*_COLUMNS])
-
+def _cuts(docs: DataFrame, large: DataFrame, rows_per_group: int) -> dict:
+    """Cuts `(tf, path)` of the documents of terms `(repo_id, term)` into slices of about `rows_per_group`, none for smaller terms.
 
-def _pack(postings: DataFrame, block: int) -> DataFrame:
-    """Blocks of the postings `(repo_id, term, path, tf, positions)`, whose terms lie one after the other, each in the order of its documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            # A term of very many documents is not packed anew with every batch.
-            if rows >= _ROWS and rows >= 2 * (held[0].num_rows if len(held) > 1 else 0):
-                packed, rest = _packed(pa.Table.from_batches(held), block)
-                yield packed
-                held, rows = rest.combine_chunks().to_batches(), rest.num_rows
-        if rows:
-            table = pa.Table.from_batches(held)
-            packed, rest = _packed(table, block)
-            yield packed
-            begins = np.arange(0, rest.num_rows, block)
-            yield _blocks_at(rest.combine_chunks(), begins, np.arange(len(begins)), rest.num_rows)
-
-    fields = {f.name: f for f in postings.schema.fields}
-    listed = [T.StructField(f"{c}s", T.ArrayType(fields[c].dataType)) for c in ("path", "tf")]
-    numbers = [T.StructField(c, T.LongType()) for c in ("block", "docs", "max_tf")]
-    schema = T.StructType([fields["repo_id"], fields["term"], *numbers, *listed, T.StructField("positions", T.ArrayType(fields["positions"].dataType))])
-    return postings.mapInArrow(run, schema)
+    They come from some documents of each large repository, as they only share out the work: at most one for every `rows_per_group` postings.
+    """
+    keys, share = ["repo_id", "term"], F.least(F.lit(1.0), _SAMPLE / F.col("documents"))
+    some = docs.join(F.broadcast(large), "repo_id").filter(F.pmod(F.xxhash64("path"), F.lit(1_000_000)) < share * 1_000_000)
+    step = F.greatest(F.lit(1), F.floor(share * rows_per_group)).alias("step")
+    tf = term_positions(some.select("repo_id", "path", "content")).select(*keys, "path", F.size("positions").alias("tf"))
+    counted = tf.groupBy(*keys).agg(F.count("*").alias("_rows")).join(F.broadcast(large), "repo_id").select(*keys, "_rows", step)
+    hot = F.broadcast(cut_lineage(counted.filter(F.col("_rows") > F.col("step")).select(*keys, "step")))
+    numbered = tf.join(hot, keys).withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("tf"), "path")) - 1)
+    cuts: dict = {}
+    for r in numbered.filter((F.col("_at") > 0) & (F.col("_at") % F.col("step") == 0)).orderBy("_at").select(*keys, "tf", "path").collect():
+        cuts.setdefault((r.repo_id, r.term), []).append((r.tf, r.path))
+    return cuts
+
+
+def _joined(slices: DataFrame, block: int) -> DataFrame:
+    """Blocks of large terms whose slices, one after the other, lie in blocks of their own: each is cut at the ends of the whole term's."""
+    keys = ["repo_id", "term"]
+    numbered = slices.withColumns({"_slice": F.expr(f"block div {postings.SLICE}"), "_in": F.col("block") % postings.SLICE})
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each slice.
+    shifts = numbered.groupBy(*keys, "_slice").agg(F.sum("docs").alias("_docs")).select(*keys, "_slice", F.coalesce(F.sum("_docs").over(before), F.lit(0)).alias("_shift"))
+    placed = numbered.join(F.broadcast(shifts), [*keys, "_slice"]).withColumn("_start", F.col("_shift") + F.col("_in") * block)
+    ahead = F.least(F.col("docs"), block - F.col("_start") % block).cast("int")
+    cut = lambda at, n: F.struct((F.col("_start") + at).alias("start"), *[F.slice(c, at + 1, n).alias(c) for c in ("paths", "tfs", "positions")])
+    both = placed.withColumn("_ahead", ahead).select(*keys, F.explode(F.array(cut(F.lit(0), F.col("_ahead")), cut(F.col("_ahead"), F.col("docs").cast("int") - F.col("_ahead")))).alias("_part"))
+    found = both.filter(F.size("_part.paths") > 0).withColumn("block", F.expr(f"_part.start div {block}")).withColumn("_stretch", F.expr("block div 1024"))
+    dealt = found.repartition(int(slices.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_stretch")
+    listed = dealt.groupBy(*keys, "_stretch", "block").agg(F.sort_array(F.collect_list("_part")).alias("_parts"))
+    whole = listed.select(*keys, "block", *[F.flatten(f"_parts.{c}").alias(c) for c in ("paths", "tfs", "positions")])
+    return whole.select(*keys, "block", F.size("paths").cast("bigint").alias("docs"), F.col("tfs")[0].cast("bigint").alias("max_tf"), "paths", "tfs", "positions")
+
+
+def _write(blocks: DataFrame, path: str, mode: str) -> None:
+    """Blocks in order. Paths of a term lie in runs that share their beginnings, which is how they are written."""
+    packed = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary#paths.list.element": "false"}
+    blocks.sortWithinPartitions("bucket", "term", "repo_id", "block").write.mode(mode).options(**packed).partitionBy("bucket").parquet(f"{path}/postings")
 
 
 def store_index(docs: DataFrame, path: str, block: int = BLOCK, rows_per_group: int = 1_000_000) -> None:
     """Writes the index of `docs(repo_id, path, content)`. Documents of no repository are left out.
 
-    Texts are dealt to all tasks and read once for the postings, which are stored as they are found, shuffled once by term and packed in
-    their order. A term of more than `rows_per_group` documents, which only a repository of as many can have, is sorted in ranges instead, so a word
-    found everywhere is never one task's.
+    Texts of few or uneven splits are first dealt to files for all tasks. The postings of some million words are sent as one compressed piece for
+    each part of the buckets; a part is of some million words too, so a task merges it in memory and writes its buckets. A term of more
+    than `rows_per_group` documents, which only a repository of as many can have, is merged in slices, so a word found everywhere is never one task's.
     """
-    spark, keys = docs.sparkSession, ["repo_id", "term"]
+    spark = docs.sparkSession
     docs.groupBy("repo_id").agg(F.count("*").alias("documents")).write.mode("overwrite").parquet(f"{path}/sizes")
-    found = stored(term_positions(spread(docs.select("repo_id", "path", "content").filter("repo_id is not null"))), f"{path}/found")
-    postings = found.select("repo_id", "term", "path", F.size("positions").alias("tf"), "positions")
-    large = spark.read.parquet(f"{path}/sizes").filter(F.col("documents") > rows_per_group).select("repo_id")
-    blocks = None
-    if not large.isEmpty():
-        counted = found.join(F.broadcast(large), "repo_id", "left_semi").groupBy(*keys).agg(F.count("*").alias("_rows"))
-        # At most one term for every `rows_per_group` postings.
-        hot = F.broadcast(cut_lineage(counted.filter(F.col("_rows") > rows_per_group).select(*keys)))
-        placed = ordinals(postings.join(hot, keys, "left_semi").withColumn("less", -F.col("tf")), keys, ["less", "path"])
-        entry = F.struct("ordinal", "path", "tf", "positions")
-        entries = placed.withColumn("block", F.floor((F.col("ordinal") - 1) / block).cast("bigint")).groupBy(*keys, "block").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-        blocks = entries.select(
-            *keys, "block", F.size("entries").cast("bigint").alias("docs"), F.col("entries")[0]["tf"].cast("bigint").alias("max_tf"),
-            F.col("entries.path").alias("paths"), F.col("entries.tf").alias("tfs"), F.col("entries.positions").alias("positions"),
-        )
-        postings = postings.join(hot, keys, "left_anti")
-    ordered = postings.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions("term", "repo_id", F.desc("tf"), "path")
-    packed = _pack(ordered, block)
-    whole = (packed.unionByName(blocks) if blocks is not None else packed).withColumn("bucket", _bucket(F.col("term")))
-    # Of a bucket with very many rows several files are written, each in order.
-    whole.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "repo_id", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    removed(spark, f"{path}/found")
+    texts = docs.select("repo_id", "path", "content").filter("repo_id is not null")
+    large = spark.read.parquet(f"{path}/sizes").filter(F.col("documents") > rows_per_group)
+    cuts = {} if large.isEmpty() else _cuts(texts, large, rows_per_group)
+
+    splits = texts.withColumn("_split", F.spark_partition_id()).groupBy("_split").agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("size"), F.count("*").alias("rows"))
+    found = splits.collect()
+    sizes, tasks = [r["size"] for r in found], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(tasks, -(-sum(sizes) // _PART), 1)
+    parts = parts if parts <= BUCKETS else -(-parts // BUCKETS) * BUCKETS
+    if len(sizes) < tasks or max(sizes) * tasks > 2 * sum(sizes):
+        # Files for all tasks, which take less disk than a shuffle of the texts.
+        files = {"compression": "zstd", "maxRecordsPerFile": max(1, sum(r["rows"] for r in found) // (2 * tasks))}
+        texts.write.mode("overwrite").options(**files).parquet(f"{path}/texts")
+        texts = spark.read.schema(texts.schema).parquet(f"{path}/texts")
+    ship(spark)
+    pieces = postings.inverted(_words(texts), parts, BUCKETS, cuts, _WORDS)
+    blocks = postings.merged(pieces, parts, docs.schema["repo_id"], block, _ROWS)
+    bucket = _bucket(F.col("term"))
+    _write(blocks.withColumn("bucket", F.when(F.col("block") >= postings.SLICE, F.lit(_SLICES)).otherwise(bucket)), path, "overwrite")
+    if cuts:
+        slices = spark.read.schema(T.StructType([*blocks.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{path}/postings").filter(F.col("bucket") == _SLICES)
+        _write(_joined(slices, block).withColumn("bucket", bucket), path, "append")
+        removed(spark, f"{path}/postings/bucket={_SLICES}")
+    removed(spark, f"{path}/texts")
 
 
 def _blocks(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:

@@ -1,12 +1,17 @@
 """Steps whose cost must follow the input: one reading of texts, one shuffle of rows, work on every task."""
 
+import glob
+import os
+import random
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from repoquarry.operators import dependencies, renames, secrets, stored_index
+from repoquarry.operators import dependencies, postings, renames, secrets, stored_index
 from repoquarry.operators.skew import paged_lists
+from repoquarry.session import stored
 from repoquarry.streaming import change_counts
 from repoquarry.workload.views import Inputs
 
@@ -40,6 +45,51 @@ def test_packing_goes_on_over_batches(spark, tmp_path, monkeypatch):
     assert found == {("a", b): 4 if b < 3 else 3 for b in range(4)} | {("b", b): 4 if b < 7 else 2 for b in range(8)}
 
 
+def test_index_takes_little_disk(spark, tmp_path):
+    """Shuffles and index together, against the texts as Parquet."""
+    draw = random.Random(5)
+    words = [f"{draw.choice('bcdfgl')}{draw.choice('aeiou')}{i}" for i in range(4000)]
+    rows = [("r", f"src/{i % 7}/f{i}_main.py", " ".join(words[min(3999, int(draw.paretovariate(0.6)))] for _ in range(300))) for i in range(6000)]
+    texts = stored(one_split(spark, rows, "repo_id string, path string, content string"), str(tmp_path / "texts"))
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    size = lambda folder: sum(os.path.getsize(f) for f in glob.glob(f"{folder}/**/*.parquet", recursive=True))
+    before = files()
+    stored_index.store_index(texts, str(tmp_path / "index"))
+    shuffled = sum(os.path.getsize(f) for f in files() - before if os.path.exists(f))
+    assert shuffled + size(tmp_path / "index") < 3 * size(tmp_path / "texts")
+
+
+def test_hash_is_sparks(spark):
+    texts = ["".join(chr(97 + (i * k) % 26) for k in range(i)) for i in range(70)] + ["é" * 9, "日本", "ß"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t").alias("h")).collect()
+    assert {r.t: r.h for r in found} == dict(zip(texts, postings.xxhash64(pa.array(texts)).view("int64").tolist()))
+
+
+@pytest.mark.parametrize("tasks", [3, 70])
+def test_slices_join_to_the_same_blocks(spark, tmp_path, monkeypatch, tasks):
+    """Terms in slices and in one; pieces of few words; repeated and missing paths, repositories with numbers."""
+    draw = random.Random(8)
+    docs = [(draw.choice([1, 1, 1, 2, None]), draw.choice([None, f"p{i}", f"p{i}", f"é{i % 9}"]), " ".join(draw.choices("a a a b b c dd ee".split(), k=draw.randrange(9)))) for i in range(150)]
+    docs += [(3, "none", ""), (3, "null", None)]
+    frame = spark.createDataFrame(docs, "repo_id int, path string, content string").repartition(4)
+    monkeypatch.setattr(stored_index, "_WORDS", 40)
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        found = []
+        for limit in (1_000_000, 20):
+            stored_index.store_index(frame, str(tmp_path / f"{limit}"), 8, limit)
+            assert not glob.glob(str(tmp_path / f"{limit}/postings/bucket=-1")) and not glob.glob(str(tmp_path / f"{limit}/texts"))
+            # Documents of one path and frequency have no order.
+            found.append([(r.repo_id, r.term, r.block, r.docs, r.max_tf, r.paths, r.tfs) for r in spark.read.parquet(str(tmp_path / f"{limit}/postings")).orderBy("repo_id", "term", "block").collect()])
+            held = sorted((r.repo_id, str(p), r.term, at) for r in spark.read.parquet(str(tmp_path / f"{limit}/postings")).collect() for p, ats in zip(r.paths, r.positions) for at in ats)
+            assert held == sorted((k, str(p), w, i) for k, p, text in docs if k is not None for i, w in enumerate((text or "").split()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert found[0] == found[1] and len({r[2] for r in found[0]}) > 5
+
+
 @pytest.mark.parametrize("limit", [1_000_000, 4])
 def test_pages_of_large_and_small_groups(spark, limit):
     rows = [("a", i % 7, i) for i in range(7)] + [("b", 1, 1), ("b", 1, 1), (None, 3, 1), (None, 2, 1), (None, 1, 1)]

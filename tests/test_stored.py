@@ -36,6 +36,15 @@ def test_stored_index_equals_scan(spark, texts, tmp_path, block, heads):
     assert rows(stored_index.search_index(spark, place, ["w1"], 10_000), "repo_id", "rank") == rows(search.search_docs(docs, ["w1"], 10_000), "repo_id", "rank")
 
 
+def test_index_of_slices_equals_scan(spark, texts, tmp_path):
+    place = str(tmp_path / "index")
+    stored_index.store_index(texts[1], place, 16, rows_per_group=60)
+    want = rows(search.search_docs(texts[1], ["w1", "w2"], 7), "repo_id", "rank")
+    assert rows(stored_index.search_index(spark, place, ["w1", "w2"], 7), "repo_id", "rank") == want
+    # Postings and sizes are all that stays on the disk.
+    assert sorted(os.listdir(place)) == ["postings", "sizes"] and not glob.glob(f"{place}/postings/bucket=-1")
+
+
 def test_only_wanted_buckets_are_read(spark, texts, tmp_path):
     place = str(tmp_path / "index")
     stored_index.store_index(texts[1], place)
